@@ -1,0 +1,34 @@
+"""Helpers shared by the operators of this subpackage."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: White space as Unicode defines it, for Java character classes.
+WS = r"\s\x1c-\x1f\x85\xa0  -     　"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder of the session (a local one only where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folium"))
+    return df.checkpoint()
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space at both ends, of any Unicode kind."""
+    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
+
+
+def spread(df: DataFrame, *keys: str, rows_per_part: int = 0) -> DataFrame:
+    """Even the rows out over the session's shuffle partitions, so that Python work does not hang on the input files' sizes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if keys else df.repartition(n)

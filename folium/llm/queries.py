@@ -1,0 +1,59 @@
+"""Queries of the training-data problems, each over its whole tables, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folium.llm import packing, skeleton, splitting
+from folium.llm.common import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_texts(table(spark, d, "text_chunks"), "text", limit=800, overlap=80)
+    return pieces.where("cut_kind <> 'whole'").select("page_id", "chunk_no", "cut_kind").distinct()
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_texts(table(spark, d, "text_chunks").distinct(), "text", limit=800, overlap=80)
+    return pieces.select("page_id", "chunk_no", "piece_no", F.col("piece_start").alias("start_pos"), F.col("piece_end").alias("end_pos"), "piece", "cut_kind")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return packing.pack_containers(docs, "doc_id", packing.word_tokens(F.col("text")), capacity=1024)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_containers(spark, d).where("pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = skeleton.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p9_forms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", skeleton.consistent_form(F.col("text")).alias("form"))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_containers, p9_found, p9_forms, p9_classes)}
+
+ORACLES: dict[str, str] = {
+    "p3_found": r"""
+        WITH t AS (SELECT page_id, chunk_no, regexp_replace(text, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS b FROM text_chunks WHERE text IS NOT NULL)
+        SELECT DISTINCT page_id, chunk_no,
+               CASE WHEN list_max(list_transform(regexp_split_to_array(b, '[\s\x{85}\p{Z}]+'), lambda x: length(x))) > 800 THEN 'forced' ELSE 'natural' END AS cut_kind
+        FROM t WHERE length(b) > 800""",
+    "p7_found": r"""
+        SELECT DISTINCT doc_id FROM documents
+        WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\p{Z}]+')) > 1024""",
+}
