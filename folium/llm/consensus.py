@@ -1,0 +1,147 @@
+"""Problem 4: consensus from several annotators' labels.
+
+A competence-and-spamming mixture: each label is either the true one, with the
+annotator's competence as probability, or drawn from the annotator's own guess
+distribution. Expectation-maximisation gives the probability of each label of
+each item and both parameters of each annotator.
+
+Labels outside the classes, nulls and rows without item or annotator count as
+not given; of several labels of one annotator on one item the latest counts. An
+item without labels has no consensus. Ties fall to the smaller label. Empty
+tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folium.llm.common import durable
+
+CLASSES = (0, 1, 2)
+
+
+def latest_labels(rows: DataFrame, item: list[str], annotator: str, criteria: list[str], order: list[str], classes: tuple[int, ...] = CLASSES) -> DataFrame:
+    """(item columns, annotator, criterion, label): usable labels, the latest row of an annotator on an item only."""
+    key = [*item, annotator]
+    last = rows.where(" and ".join(f"{c} is not null" for c in key)).groupBy(*key).agg(F.max(F.struct(*order, *criteria)).alias("r"))
+    long = last.select(*item, F.col(annotator).alias("annotator"), F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(f"r.{c}").cast("int").alias("label")) for c in criteria])).alias("x"))
+    return long.select(*item, "annotator", "x.criterion", "x.label").where(F.col("label").isin(*classes))
+
+
+def _likelihood(t: int) -> Column:
+    """Log-probability of the row's label if t is true."""
+    right = F.when(F.col("label") == t, F.col("c")).otherwise(0.0)
+    return F.log(right + (1 - F.col("c")) * F.col("g"))
+
+
+def _posteriors(labels: DataFrame, params: DataFrame, prior: DataFrame, item: list[str], classes: tuple[int, ...]) -> DataFrame:
+    """labels with the item's class probabilities as p0, p1, ...; the labels stay partitioned by item."""
+    d = labels.join(F.broadcast(params), ["criterion", "annotator", "label"], "left").join(F.broadcast(prior), "criterion", "left")
+    w = Window.partitionBy("criterion", *item)
+    for t in classes:
+        d = d.withColumn(f"s{t}", F.sum(_likelihood(t)).over(w) + F.log(f"prior{t}"))
+    top = F.greatest(*[F.col(f"s{t}") for t in classes])
+    total = sum((F.exp(F.col(f"s{t}") - top) for t in classes), F.lit(0.0))
+    for t in classes:
+        d = d.withColumn(f"p{t}", F.exp(F.col(f"s{t}") - top) / total)
+    return d
+
+
+def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES, rounds: int = 30, tol: float = 1e-3, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(labels with class probabilities, parameters) after expectation-maximisation.
+
+    parameters: criterion, annotator, label, c (competence), g (probability of
+    the label when guessing). Their number is annotators x classes x criteria;
+    the parameter table is joined by broadcast only as the label table's
+    distinct annotators are few (checked), by shuffle otherwise.
+    """
+    k = len(classes)
+    per_item = durable(labels.repartition("criterion", *item))
+    per_item = per_item.repartition("criterion", *item).persist()
+    who = per_item.select("criterion", "annotator").distinct()
+    params = who.withColumn("label", F.explode(F.array(*map(F.lit, classes)))).withColumn("c", F.lit(0.7)).withColumn("g", F.lit(1.0 / k))
+    prior = per_item.select("criterion").distinct()
+    for t in classes:
+        prior = prior.withColumn(f"prior{t}", F.lit(1.0 / k))
+    spark, old = labels.sparkSession, {}
+    small = who.limit(100_001).count() <= 100_000
+    p_schema, prior_schema = "criterion string, annotator string, label int, c double, g double", "criterion string, " + ", ".join(f"prior{t} double" for t in classes)
+    for _ in range(rounds):
+        post = _posteriors(per_item, params, prior, item, classes)
+        own = sum((F.when(F.col("label") == t, F.col(f"p{t}")).otherwise(0.0) for t in classes), F.lit(0.0))
+        truthful = own * F.col("c") / (F.col("c") + (1 - F.col("c")) * F.col("g"))
+        counts = post.groupBy("criterion", "annotator", "label").agg(
+            F.count("*").alias("n"), F.sum(truthful).alias("kept"), *[F.sum(F.col(f"p{t}")).alias(f"m{t}") for t in classes]
+        )
+        if not small:
+            counts = durable(counts)
+        by_who = Window.partitionBy("criterion", "annotator")
+        grid = params.select("criterion", "annotator", "label").join(counts, ["criterion", "annotator", "label"], "left").fillna(0)
+        spam = F.col("n") - F.col("kept")
+        new = grid.select(
+            "criterion", "annotator", "label",
+            ((F.sum("kept").over(by_who) + 0.5 * smoothing) / (F.sum("n").over(by_who) + smoothing)).alias("c"),
+            ((spam + smoothing / k) / (F.sum(spam).over(by_who) + smoothing)).alias("g"),
+        )
+        mass = counts.groupBy("criterion").agg(*[F.sum(f"m{t}").alias(f"m{t}") for t in classes])
+        total = sum((F.col(f"m{t}") for t in classes), F.lit(0.0))
+        new_prior = mass.select("criterion", *[((F.col(f"m{t}") + 1) / (total + k)).alias(f"prior{t}") for t in classes])
+        if small:
+            rows, pri = new.collect(), None
+            pri = new_prior.collect() if rows else []
+            params, prior = spark.createDataFrame(rows, p_schema), spark.createDataFrame(pri, prior_schema)
+            now = {(r["criterion"], r["annotator"], r["label"]): (r["c"], r["g"]) for r in rows}
+            if old and max((abs(x - y) for key in now for x, y in zip(now[key], old[key])), default=0) < tol:
+                break
+            old = now
+        else:
+            params, prior = durable(new), durable(new_prior)
+    return _posteriors(per_item, params, prior, item, classes), params
+
+
+def consensus(posteriors: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES) -> DataFrame:
+    """(criterion, item columns, label, probability, agreement, annotators): one row per item and criterion.
+
+    agreement: share of agreeing pairs among the item's labels, null for one label.
+    """
+    g = posteriors.groupBy("criterion", *item).agg(*[F.first(f"p{t}").alias(f"p{t}") for t in classes], *[F.sum((F.col("label") == t).cast("int")).alias(f"n{t}") for t in classes], F.count("*").alias("annotators"))
+    best = F.greatest(*[F.col(f"p{t}") for t in classes])
+    label = F.coalesce(*[F.when(F.col(f"p{t}") == best, F.lit(t)) for t in classes])
+    pairs = sum((F.col(f"n{t}") * (F.col(f"n{t}") - 1) for t in classes), F.lit(0))
+    n = F.col("annotators")
+    return g.select("criterion", *item, label.alias("label"), best.alias("probability"), F.when(n > 1, pairs / (n * (n - 1))).alias("agreement"), "annotators")
+
+
+def annotator_report(posteriors: DataFrame, params: DataFrame, classes: tuple[int, ...] = CLASSES) -> DataFrame:
+    """Per criterion and annotator: labels given, competence, kappa against the others, share of the commonest label, share of 1 and 2 interchanged.
+
+    The item's probabilities are compared without the annotator's own label.
+    """
+    d = posteriors
+    for t in classes:
+        d = d.withColumn(f"o{t}", F.col(f"s{t}") - _likelihood(t))
+    top = F.greatest(*[F.col(f"o{t}") for t in classes])
+    total = sum((F.exp(F.col(f"o{t}") - top) for t in classes), F.lit(0.0))
+    others = Window.partitionBy("criterion", "annotator")
+    cells = d.groupBy("criterion", "annotator", "label").agg(F.count("*").alias("n"), *[F.sum(F.exp(F.col(f"o{t}") - top) / total).alias(f"m{t}") for t in classes])
+    hit = sum((F.when(F.col("label") == t, F.col(f"m{t}")).otherwise(0.0) for t in classes), F.lit(0.0))
+    all_n = F.sum("n").over(others)
+    chance = sum((F.when(F.col("label") == t, F.col("n") / all_n * F.sum(f"m{t}").over(others) / all_n).otherwise(0.0) for t in classes), F.lit(0.0))
+    crossed = F.when(F.col("label") == 1, F.col("m2")).when(F.col("label") == 2, F.col("m1")).otherwise(0.0)
+    straight = F.when(F.col("label") == 1, F.col("m1")).when(F.col("label") == 2, F.col("m2")).otherwise(0.0)
+    per = cells.withColumn("hit", hit / all_n).withColumn("chance", chance).withColumn("crossed", crossed).withColumn("straight", straight).groupBy("criterion", "annotator").agg(
+        F.sum("n").alias("labels"), (F.max("n") / F.sum("n")).alias("top_share"), F.max_by("label", F.struct("n", -F.col("label"))).alias("top_label"),
+        (F.sum("crossed") / F.nullif(F.sum("crossed") + F.sum("straight"), F.lit(0.0))).alias("crossed_share"),
+        ((F.sum("hit") - F.sum("chance")) / F.nullif(1 - F.sum("chance"), F.lit(0.0))).alias("kappa"),
+    )
+    skill = params.groupBy("criterion", "annotator").agg(F.max("c").alias("competence"))
+    return per.join(skill, ["criterion", "annotator"])
+
+
+def faults(report: DataFrame, constant: float = 0.85, swapped: float = 0.7, random: float = 0.15) -> DataFrame:
+    """(annotator, fault): over all criteria of the report, weighted by labels."""
+    w = lambda c: F.sum(F.col(c) * F.col("labels")) / F.sum("labels")
+    g = report.groupBy("annotator").agg(w("top_share").alias("top_share"), w("crossed_share").alias("crossed"), w("kappa").alias("kappa"))
+    kind = F.when(F.col("top_share") >= constant, "constant").when(F.col("crossed") >= swapped, "swapped").when(F.coalesce(F.abs("kappa"), F.lit(1.0)) < random, "random")
+    return g.withColumn("fault", kind).where("fault is not null").select("annotator", "fault")

@@ -7,12 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import packing, skeleton, splitting
-from folium.llm.common import table
+from folium.llm import consensus, packing, ranking, skeleton, splitting
+from folium.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _ranked(spark: SparkSession, d: str, label: str) -> tuple[DataFrame, DataFrame]:
+    edges = durable(ranking.margins(ranking.usable_votes(table(spark, d, "judge_rows"), table(spark, d, "systems"), label)))
+    return edges, ranking.strengths(edges)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    _, ranked = _ranked(spark, d, "overall_winner")
+    return ranking.bands(table(spark, d, "systems"), ranked, "sys_name", 4).select("sys_name", "band")
+
+
+def p2_strengths(spark: SparkSession, d: str) -> DataFrame:
+    _, ranked = _ranked(spark, d, "faithfulness")
+    return ranking.bands(table(spark, d, "systems"), ranked, "sys_name", 4)
+
+
+def p2_residuals(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.residuals(*_ranked(spark, d, "overall_winner"))
+
+
+def p2_margins(spark: SparkSession, d: str) -> DataFrame:
+    votes = ranking.usable_votes(table(spark, d, "judge_rows"), table(spark, d, "systems"), "overall_winner")
+    return ranking.margins(votes).select("a", "b", "n", F.round("margin", 9).alias("margin"), F.round("weight", 9).alias("weight"))
+
+
+_ITEM = ["pair", "page_id"]
+
+
+def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    labels = consensus.latest_labels(table(spark, d, "human_rows"), _ITEM, "annotator_id", ["overall_winner", "fluency"], ["labelled_at", "loaded_at"])
+    return consensus.fit(labels, _ITEM)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.faults(consensus.annotator_report(*_consensus(spark, d))).withColumnRenamed("annotator", "annotator_id")
+
+
+def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_consensus(spark, d)[0], _ITEM)
+
+
+def p4_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.annotator_report(*_consensus(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split_texts(table(spark, d, "text_chunks"), "text", limit=800, overlap=80)
     return pieces.where("cut_kind <> 'whole'").select("page_id", "chunk_no", "cut_kind").distinct()
@@ -45,9 +89,25 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_containers, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p7_found, p7_containers, p9_found, p9_forms, p9_classes)}
 
 ORACLES: dict[str, str] = {
+    "p2_margins": r"""
+        WITH names AS (
+            SELECT DISTINCT sys_name, unnest([lower(sys_name), lower(hub_path), lower(short_alias), replace(lower(sys_name), '/', '-'), replace(lower(hub_path), '/', '-'), replace(lower(short_alias), '/', '-')]) AS alias FROM systems),
+        raw_votes AS (
+            SELECT DISTINCT x.sys_name AS s0, y.sys_name AS s1, page_id, judged_at, raw, faithfulness, fluency, completeness, no_hallucinations, overall_winner
+            FROM (SELECT *, regexp_split_to_array(regexp_replace(lower(trim(pair)), '\.json$', ''), '_(against|vs)_') AS sides FROM judge_rows)
+            JOIN names x ON x.alias = trim(sides[1]) JOIN names y ON y.alias = trim(sides[2]) WHERE x.sys_name <> y.sys_name),
+        votes AS (
+            SELECT s0, s1, coalesce(overall_winner, try_cast(nullif(regexp_extract(regexp_extract(regexp_replace(raw, '\+"', '"', 'g'), '(?s)\{.*\}', 0), '"overall_winner"\s*:\s*"?(-?[0-9]{1,3})\b', 1), '') AS INTEGER)) AS v
+            FROM raw_votes),
+        sums AS (
+            SELECT least(s0, s1) AS a, greatest(s0, s1) AS b, count(*) AS n,
+                   sum(CASE WHEN v = 0 THEN 0.5 WHEN (v = 1) = (s0 < s1) THEN 1.0 ELSE 0.0 END)::DOUBLE + 0.5 AS wa,
+                   sum(CASE WHEN v = 0 THEN 0.5 WHEN (v = 1) = (s0 < s1) THEN 0.0 ELSE 1.0 END)::DOUBLE + 0.5 AS wb
+            FROM votes WHERE v BETWEEN 0 AND 2 GROUP BY ALL)
+        SELECT a, b, n, round(ln(wa / wb), 9) AS margin, round(wa * wb / (wa + wb), 9) AS weight FROM sums""",
     "p3_found": r"""
         WITH t AS (SELECT page_id, chunk_no, regexp_replace(text, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS b FROM text_chunks WHERE text IS NOT NULL)
         SELECT DISTINCT page_id, chunk_no,

@@ -1,0 +1,146 @@
+"""Problem 2: one ranking from pairwise votes.
+
+Votes between two items give a log-odds margin with its inverse variance as
+weight; the strengths are the weighted least-squares solution on the comparison
+graph, that is of the system of its Laplacian, by conjugate gradient. What the
+strengths leave of the margins is cyclic inconsistency.
+
+Votes with a null item or label, labels outside 0..2 and votes of an item
+against itself are not usable. Items without a usable vote have no strength and
+rank last. Items of parts of the graph that never met are each centred on 0.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folium.llm.common import durable
+
+#: Distinct meeting pairs up to which the system is solved in the driver's memory; beyond it, by distributed steps.
+DRIVER_EDGES = 200_000
+
+
+def system_names(systems: DataFrame) -> DataFrame:
+    """(alias, sys_name): every name in use of each system, in lower case; systems is a table of fixed size."""
+    base = [F.lower("sys_name"), F.lower("hub_path"), F.lower("short_alias")]
+    names = F.array_distinct(F.array(*base, *[F.regexp_replace(c, "/", "-") for c in base]))
+    return systems.select("sys_name", F.explode(names).alias("alias")).where("alias is not null").distinct()
+
+
+def pair_side(pair: Column, side: int) -> Column:
+    """Name, in lower case, of one side of a pair in any of its spellings."""
+    clean = F.regexp_replace(F.lower(F.trim(pair)), r"\.json$", "")
+    return F.trim(F.get(F.split(clean, "_(?:against|vs)_"), F.lit(side)))
+
+
+def label_of(column: Column, raw: Column, name: str) -> Column:
+    """A label from its column, or from the object in the raw answer whatever it is wrapped in; null if there is none."""
+    text = F.regexp_replace(raw, r'\\+"', '"')
+    found = F.regexp_extract(F.regexp_extract(text, r"(?s)\{.*\}", 0), rf'"{name}"\s*:\s*"?(-?[0-9]{{1,3}})\b', 1)
+    return F.coalesce(column.cast("int"), F.nullif(found, F.lit("")).cast("int"))
+
+
+def usable_votes(votes: DataFrame, systems: DataFrame, label: str) -> DataFrame:
+    """(a, b, page_id, label): one row per vote, a < b and label 1 = a is better; repeats of a row count once."""
+    names = F.broadcast(system_names(systems))
+    v = votes.select(
+        pair_side(F.col("pair"), 0).alias("n0"), pair_side(F.col("pair"), 1).alias("n1"), "page_id", "judged_at", "raw",
+        *[F.col(c).alias(f"l_{c}") for c in ("faithfulness", "fluency", "completeness", "no_hallucinations", "overall_winner")],
+    )
+    v = v.join(names.select(F.col("alias").alias("n0"), F.col("sys_name").alias("s0")), "n0").join(names.select(F.col("alias").alias("n1"), F.col("sys_name").alias("s1")), "n1")
+    v = v.where("s0 <> s1").drop("n0", "n1").distinct()
+    value = label_of(F.col(f"l_{label}"), F.col("raw"), label)
+    swap = F.col("s0") > F.col("s1")
+    v = v.withColumn("v", value).where("v between 0 and 2")
+    return v.select(
+        F.least("s0", "s1").alias("a"), F.greatest("s0", "s1").alias("b"), "page_id",
+        F.when(swap & (F.col("v") > 0), 3 - F.col("v")).otherwise(F.col("v")).alias("label"),
+    )
+
+
+def margins(votes: DataFrame, prior: float = 0.5) -> DataFrame:
+    """(a, b, n, margin, weight): smoothed log-odds that a beats b, a tie being half a win for each, and its inverse variance."""
+    wins_a = F.sum(F.when(F.col("label") == 1, 1.0).when(F.col("label") == 0, 0.5).otherwise(0.0)) + prior
+    wins_b = F.sum(F.when(F.col("label") == 2, 1.0).when(F.col("label") == 0, 0.5).otherwise(0.0)) + prior
+    return votes.groupBy("a", "b").agg(F.count("*").alias("n"), wins_a.alias("wa"), wins_b.alias("wb")).select(
+        "a", "b", "n", F.log(F.col("wa") / F.col("wb")).alias("margin"), (F.col("wa") * F.col("wb") / (F.col("wa") + F.col("wb"))).alias("weight")
+    )
+
+
+def laplacian_cg(a: np.ndarray, b: np.ndarray, margin: np.ndarray, weight: np.ndarray, n: int, tol: float = 1e-12) -> np.ndarray:
+    """Strengths by conjugate gradient on the weighted Laplacian of the edges (a, b)."""
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        flow = weight * (x[a] - x[b])
+        return np.bincount(a, flow, n) - np.bincount(b, flow, n)
+
+    r = np.bincount(a, weight * margin, n) - np.bincount(b, weight * margin, n)
+    x, p, rr = np.zeros(n), r.copy(), float(r @ r)
+    stop = tol * max(rr, 1e-300)
+    for _ in range(10 * n + 10):
+        if rr <= stop:
+            break
+        q = apply(p)
+        step = rr / float(p @ q)
+        x, r = x + step * p, r - step * q
+        rr, old = float(r @ r), rr
+        p = r + rr / old * p
+    return x
+
+
+def distributed_cg(edges: DataFrame, steps: int = 60, tol: float = 1e-10) -> DataFrame:
+    """(item, strength) by the same iteration with the vectors as tables; for graphs beyond the driver's bound."""
+    arcs = durable(
+        edges.select(F.col("a").alias("item"), F.col("b").alias("other"), "weight", "margin").unionByName(
+            edges.select(F.col("b").alias("item"), F.col("a").alias("other"), "weight", (-F.col("margin")).alias("margin"))
+        )
+    )
+    state = arcs.groupBy("item").agg(F.sum("weight").alias("deg"), F.sum(F.col("weight") * F.col("margin")).alias("r"))
+    state = durable(state.withColumn("x", F.lit(0.0)).withColumn("p", F.col("r")))
+    rr = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    for _ in range(steps):
+        if rr <= tol * start or rr == 0:
+            break
+        flows = arcs.join(state.select(F.col("item").alias("other"), F.col("p").alias("po")), "other").groupBy("item").agg(F.sum(F.col("weight") * F.col("po")).alias("wp"))
+        q = durable(state.join(flows, "item").withColumn("q", F.col("deg") * F.col("p") - F.col("wp")).drop("wp"))
+        step = rr / q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        moved = q.select("item", "deg", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
+        now = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state, rr = durable(moved.withColumn("p", F.col("r") + (now / rr) * F.col("p"))), now
+    return state.select("item", F.col("x").alias("strength"))
+
+
+def strengths(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(item, strength); edges as margins() gives them."""
+    edges = durable(edges)
+    spark = edges.sparkSession
+    if edges.limit(driver_edges + 1).count() > driver_edges:
+        return distributed_cg(edges)
+    rows = edges.orderBy("a", "b").collect()
+    items = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
+    at = {s: k for k, s in enumerate(items)}
+    a, b = (np.array([at[r[c]] for r in rows], dtype=np.int64) for c in "ab")
+    x = laplacian_cg(a, b, *(np.array([r[c] for r in rows], dtype=float) for c in ("margin", "weight")), len(items)) if rows else []
+    return spark.createDataFrame([(s, float(v)) for s, v in zip(items, x)], "item string, strength double")
+
+
+def residuals(edges: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(a, b, n, margin, fitted, residual, share): what the ranking leaves of each margin, and its share of all weighted squares left."""
+    x, y = ranked.select(F.col("item").alias("a"), F.col("strength").alias("sa")), ranked.select(F.col("item").alias("b"), F.col("strength").alias("sb"))
+    e = edges.join(x, "a").join(y, "b").withColumn("fitted", F.col("sa") - F.col("sb")).withColumn("residual", F.col("margin") - F.col("fitted"))
+    square = F.col("weight") * F.col("residual") * F.col("residual")
+    total = e.agg(F.sum(square).alias("total"))
+    return e.crossJoin(F.broadcast(total)).select("a", "b", "n", "margin", "fitted", "residual", F.when(F.col("total") > 0, square / F.col("total")).otherwise(0.0).alias("share"))
+
+
+def bands(items: DataFrame, ranked: DataFrame, name: str, n: int) -> DataFrame:
+    """(name, strength, band): every item of the table, cut into n bands of equal size; ties fall by name.
+
+    The rank counts over the item table, which is of fixed size here.
+    """
+    from pyspark.sql import Window
+
+    all_ = items.select(name).distinct().join(ranked.withColumnRenamed("item", name), name, "left")
+    return all_.withColumn("band", F.ntile(n).over(Window.orderBy(F.col("strength").desc_nulls_last(), name)))
