@@ -1,0 +1,102 @@
+"""Problem 6: texts cut off by field limits or in transfer.
+
+Per source, the histogram of lengths, in characters and in bytes, is tested for
+spikes: a length that far more texts have than the lengths around it is a field
+limit. Texts at a limit without terminal punctuation are cut. Two more records
+of the full length count where they are given: a recorded length larger than
+the stored text's, and a reference text that goes on where the text stops.
+
+Null and blank texts are not cut. A text that stops just where its reference
+stops, or that ends past it, is not cut. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folium.llm.common import stripped
+
+#: End of a finished sentence: a mark, then closing quotation marks or brackets.
+TERMINAL = r"(?:[.!?…]|&c\.)[”’»\"')\]]*$"
+#: A last line that holds a page number only.
+PAGE_END = r"\s*\n[^\p{L}\d\n]*(?:p\.\s*)?(?:\d+|[ivxlc]+)[^\p{L}\d\n]*$"
+
+
+def letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
+
+
+def body(reference: Column) -> Column:
+    """A reference text without a page number at its end."""
+    return F.regexp_replace(stripped(reference), PAGE_END, "")
+
+
+def remainder(reversed_text: Column, reversed_reference: Column, width: int = 24, step: int = 9, steps: int = 5) -> Column:
+    """Letters of the reference after the place where the text stops; null if that place can't be found, 0 if the text holds the reference's end.
+
+    Both hold letters only, in reverse. The place is where the last `width` letters
+    stand in the reference; windows further back, and half as wide, stand in
+    where the last words differ.
+    """
+    windows = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k * step).alias("back")) for w in (width, width // 2) for k in range(steps)])
+
+    def after(o: Column) -> Column:
+        part = F.substring(reversed_text, o["back"] + 1, o["w"])
+        found = F.call_function("locate", part, reversed_reference)
+        return F.when((F.length(part) == o["w"]) & (found > 0), F.greatest(found - 1 - o["back"], F.lit(0)))
+
+    tails = F.array(*[F.substring(reversed_reference, k + 1, width) for k in (0, 12)])
+    reached = F.exists(tails, lambda t: (F.length(t) == width) & (F.call_function("locate", t, reversed_text) > 0))
+    return F.when(reached, 0).otherwise(F.get(F.filter(F.transform(windows, after), lambda x: x.isNotNull()), F.lit(0)))
+
+
+def spikes(lengths: DataFrame, around: int = 20, ratio: float = 5.0, least: int = 8) -> DataFrame:
+    """(source, unit, length, n): lengths at least `least` texts have, and `ratio` times as many as is usual within `around`.
+
+    lengths: (source, unit, length). One aggregate, and windows over the
+    distinct lengths of one source only.
+    """
+    from pyspark.sql import Window
+
+    h = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-around, around)
+    h = h.withColumn("other", F.sum("n").over(near) - F.col("n"))
+    return h.where((F.col("n") >= least) & (F.col("n") > ratio * F.greatest(F.col("other") / F.lit(2.0 * around), F.lit(1.0)))).select("source", "unit", "length", "n")
+
+
+def detect_cuts(df: DataFrame, source: str, text: str, recorded: str | None = None, reference: str | None = None, **spike) -> DataFrame:
+    """df with the evidence: at_limit, unfinished, recorded_more, goes_on (letters of the reference left), and cut.
+
+    Columns of these names are replaced. Limits are looked for among texts that
+    do not end a sentence, and each limit holds for its source only; the table
+    of limits has at most a few rows per source and is joined by the plan's own
+    choice.
+    """
+    evidence = ("at_limit", "unfinished", "recorded_more", "goes_on", "cut")
+    d = df.drop(*evidence)
+    t = stripped(F.col(text))
+    d = d.withColumn("_chars", F.length(text)).withColumn("_bytes", F.octet_length(text)).withColumn("_own", F.length(t))
+    d = d.withColumn("unfinished", (F.col("_own") > 0) & ~body(t).rlike(TERMINAL))
+    limits = spikes(d.where("unfinished").select(F.col(source).alias("source"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("_bytes").alias("length")))).alias("x")).select("source", "x.unit", "x.length"), **spike)
+    per = limits.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_lc"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_lb"))
+    d = d.join(per.withColumnRenamed("source", "_source"), F.col(source).eqNullSafe(F.col("_source")), "left")
+    at = F.coalesce(F.array_contains("_lc", F.col("_chars")) | F.array_contains("_lb", F.col("_bytes")), F.lit(False))
+    d = d.withColumn("at_limit", at)
+    more = F.coalesce(F.col(recorded) - F.col("_own") >= 3, F.lit(False)) & (F.col("_own") > 0) if recorded else F.lit(False)
+    d = d.withColumn("recorded_more", more)
+    if reference:
+        ref = body(F.col(reference))
+        d = d.withColumn("_t", F.reverse(letters(body(t)))).withColumn("_r", F.reverse(letters(ref))).withColumn("_stops_too", ~ref.rlike(TERMINAL))
+        d = d.withColumn("goes_on", F.when(F.col("_own") > 0, remainder(F.col("_t"), F.col("_r")))).drop("_t", "_r")
+    else:
+        d = d.withColumn("goes_on", F.lit(None).cast("int")).withColumn("_stops_too", F.lit(False))
+    by_limit = F.col("at_limit") & F.col("unfinished") & (F.coalesce(F.col("goes_on"), F.lit(1)) > 0)
+    by_reference = F.coalesce((F.col("goes_on") >= 3) | ((F.col("goes_on") >= 1) & F.col("unfinished") & ~F.col("_stops_too")), F.lit(False))
+    cut = by_limit | (F.col("recorded_more") & (F.coalesce(F.col("goes_on"), F.lit(1)) > 0)) | by_reference
+    return d.withColumn("cut", F.coalesce(cut, F.lit(False))).drop("_chars", "_bytes", "_own", "_source", "_lc", "_lb", "_stops_too")
+
+
+def cut_rates(detected: DataFrame, source: str) -> DataFrame:
+    """Per source: texts, cut texts and their share."""
+    return detected.groupBy(source).agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut_texts")).withColumn("share", F.col("cut_texts") / F.col("texts"))

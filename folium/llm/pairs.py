@@ -1,0 +1,216 @@
+"""Problem 5: defective answers of prompt and response pairs.
+
+A response has at most one defect, the first that holds of:
+empty      null, or nothing but white space, invisible characters, punctuation or a stand-in for no value
+refusal    begins with a refusal or a request for input (matched by one automaton) and holds none of the reference's beginning
+language   its stopwords vote for another language than the page's and the reference's
+copy       walks the suffix automaton of the page's words almost all the way and keeps the page's recognition errors
+truncated  the reference goes on after the place where it stops; where that place can't be found: it ends
+           no sentence, a delimiter stays open and the reference is finished
+
+A pair without its page has no page text to copy; without reference nothing
+counts as an error or as left over. Repeated rows count once.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from folium.llm import cutoff
+from folium.llm.common import stripped
+
+# Stand-ins for no value, letters and digits only.
+NO_VALUE = ("null", "none", "na", "nan", "nil", "undefined", "empty", "void", "missing", "blank", "nodata", "notext", "nocontent", "nooutput", "noanswer", "noresponse", "notavailable", "notapplicable")
+# Beginnings of refusals and of requests for input.
+REFUSALS = (
+    r"(?:i'?m|i am|we are|we're) (?:very |so |truly )?sorry,? but (?:i|we|this|it|that)\b",
+    r"sorry,? (?:but )?(?:i|we|it is|it's|this|that)\b", r"i(?: must| have to)? apologi[sz]e\b", r"(?:unfortunately|regrettably),? (?:i|we|this|it|the)\b", r"as an? (?:ai|large|language)\b",
+    r"i (?:must|have to) (?:decline|refuse)\b", r"i (?:can'?t|cannot|can not|won'?t|will not|could not|couldn'?t)(?: be able to)? (?:assist|help|correct|clean|restore|process|rewrite|complete|denoise|transcribe|provide|comply|do|fulfil|continue|edit|repair|read)",
+    r"i(?:'m| am) (?:unable|not able|not in a position|not allowed|not permitted|not comfortable)\b", r"i (?:do not|don't) (?:feel comfortable|see any|have (?:any|access|enough|the))",
+    r"no (?:correction|answer|output|text) can be\b", r"please (?:provide|paste|share|upload|send|supply|attach)\b", r"(?:could|can|would) you (?:please )?(?:paste|provide|share|upload|send|supply|attach)\b",
+    r"(?:the|this|your) (?:request|input|content|prompt) (?:was|is|has|falls|violates|can(?:no|')t)\b", r"it is not possible (?:for me )?to\b", r"there is no (?:text|input|content) to\b",
+    r"mi dispiace\b", r"mi spiace\b", r"purtroppo (?:non|mi)\b", r"non (?:sono in grado|posso (?:aiutar|correggere|elaborare|completare|fornire|soddisfare|assister)|mi è possibile|è possibile (?:correggere|elaborare|completare))", r"la richiesta non\b", r"(?:per favore|si prega di) (?:forni|incolla|invia)",
+    r"(?:es tut mir|tut mir) leid\b", r"leider kann\b", r"(?:je suis désolé|désolé|malheureusement,? je|je ne peux pas (?:aider|corriger|traiter))",
+)
+LEAD_IN = r"^\s*(?:[A-Z][^\n:.]{0,60}:|Sure! [^\n:]{0,60}:)(?=\s)"
+# Common words that tell the languages apart.
+STOPWORDS = {
+    "en": "the of and to was by with his her my their our in that who had for but beneath beyond above across within is from at it he she they i we",
+    "it": "il la di che un una del della dello lo gli nel nella per con sul sulla e ma perché perche quando finché finche mentre dopo prima alla al sotto fra",
+    "de": "der die das und den dem des ein eine einen im am auf unter in mit von zu als war nicht neben hinter weil während wahrend wo sodass bis denn",
+    "fr": "le la les de du des un une et dans sur sous près pres au aux que qui quand pendant car mais avec pour lorsque derrière derriere vers",
+}
+_STOP = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+_BREAK = re.compile(r"[-¬‐=­]\s*\n\s*")
+_WORDS = re.compile(r"[^\W\d_]+")
+_OPEN, _CLOSE = {"“": "”", "(": ")", "[": "]", "«": "»"}, {"”": "“", ")": "(", "]": "[", "»": "«"}
+
+
+class SuffixAutomaton:
+    """Of a sequence of words; state 0 is the empty word sequence."""
+
+    def __init__(self, words: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for w in words:
+            cur = len(self.next)
+            self.next.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and w not in self.next[p]:
+                self.next[p][w] = cur
+                p = link[p]
+            if p != -1:
+                q = self.next[p][w]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(self.next)
+                    self.next.append(dict(self.next[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p != -1 and self.next[p].get(w) == q:
+                        self.next[p][w] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        self.link, self.length = link, length
+
+    def coverage(self, words: list[str], least: int = 3) -> float:
+        """Share of the words that lie in runs of at least `least` words of the sequence."""
+        covered, state, run, seen = 0, 0, 0, 0
+        for k, w in enumerate(words):
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                run = self.length[state]
+            if w in self.next[state]:
+                state, run = self.next[state][w], run + 1
+            if run >= least:
+                covered += k + 1 - max(seen, k + 1 - run)
+                seen = k + 1
+        return covered / len(words) if words else 0.0
+
+
+def joined_words(text: str | None) -> list[str]:
+    """Words of a text whose hyphens at line ends are taken out."""
+    return _BREAK.sub("", (text or "").replace("\r\n", "\n").replace("\r", "\n")).split()
+
+
+def language_vote(text: str | None) -> tuple[str | None, dict[str, int]]:
+    """The language whose stopwords are most, if they are at least three and half as many again as any other's."""
+    words = _WORDS.findall((text or "").lower())
+    votes = {k: sum(w in s for w in words) for k, s in _STOP.items()}
+    first, second = sorted(votes, key=votes.get, reverse=True)[:2]
+    return (first if votes[first] >= 3 and votes[first] >= 1.5 * votes[second] else None), votes
+
+
+def open_delimiters(text: str) -> int:
+    """Depth of the delimiter stack at the end of the text; a closing mark without its opening one is passed over."""
+    stack: list[str] = []
+    for c in text:
+        if c in _OPEN:
+            stack.append(c)
+        elif stack and _CLOSE.get(c) == stack[-1]:
+            stack.pop()
+    return len(stack)
+
+
+class _Page:
+    """What the responses to one page are compared with; the automaton is built when first needed."""
+
+    def __init__(self, page: str | None, reference: str | None):
+        self.words = joined_words(page)
+        known = set(joined_words(reference)) | set((reference or "").split())
+        self.errors = {w for w in self.words if w not in known and any(c.islower() for c in w)} if reference else set()
+        right = joined_words(reference)
+        self.whole = self.words if len(right) == len(self.words) and right != self.words else None
+        self._automaton: SuffixAutomaton | None = None
+
+    def copied(self, response: str, kept: float, coverage: float) -> bool:
+        words = joined_words(re.sub(LEAD_IN, "", response) if response.lstrip()[:1] != self.first else response)
+        if self.whole and words == self.whole:
+            return True
+        have = set(words)
+        left = sum(w in have for w in self.errors)
+        if not self.errors or left < (kept * len(self.errors) if len(self.errors) >= 5 else len(self.errors)):
+            return False
+        if self._automaton is None:
+            self._automaton = SuffixAutomaton(self.words)
+        return self._automaton.coverage(words) >= coverage
+
+    @property
+    def first(self) -> str:
+        return self.words[0][0] if self.words else ""
+
+
+def response_defect(page: _Page, lang: str | None, response: str | None, reference_lang: str | None, kept: float = 0.8, coverage: float = 0.9) -> str | None:
+    """language, copy, open (a delimiter stays open) or None, of a response that is neither empty nor a refusal."""
+    if response is None:
+        return None
+    spoken, votes = language_vote(re.sub(LEAD_IN, "", response))
+    if spoken and lang and spoken != lang and spoken != reference_lang and votes[spoken] >= 2 * votes.get(lang, 0):
+        return "language"
+    if page.copied(response, kept, coverage):
+        return "copy"
+    return "open" if open_delimiters(response) else None
+
+
+def _judge():
+    @F.pandas_udf(StructType([StructField("d1", StringType()), StructField("d2", StringType())]))
+    def judge(page: pd.Series, lang: pd.Series, reference: pd.Series, one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, lg, r, a, b in zip(page, lang, reference, one, two):
+            if a is None and b is None:
+                out.append((None, None))
+                continue
+            known, about = _Page(p, r), language_vote(r)[0]
+            out.append((response_defect(known, lg, a, about), response_defect(known, lg, b, about)))
+        return pd.DataFrame(out, columns=["d1", "d2"])
+
+    return judge
+
+
+def is_empty(text: Column) -> Column:
+    left = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    return (left == "") | left.isin(*NO_VALUE)
+
+
+def is_refusal(text: Column) -> Column:
+    plain = F.translate(F.lower(stripped(text)), "’ʼ", "''")
+    return plain.rlike(r"^[\"'*\[(]*(?:(?:oh|hello|hi|well|hm+)[,.!] )?(?:" + "|".join(REFUSALS) + ")")
+
+
+def defects(pairs: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
+    """(key columns, side, defect).
+
+    pairs: page_id, model1, model2, ground_truth and the key columns; pages:
+    page_id, lang, text, of which a page delivered twice counts once.
+    """
+    p = pages.where("page_id is not null").groupBy("page_id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.col("text").isNull(), "text")).alias("_p"))
+    p = p.select("page_id", F.lower("_p.lang").alias("_lang"), F.col("_p.text").alias("_page"))
+    d = pairs.select(*dict.fromkeys([*key, "page_id"]), F.col("model1").alias("_m1"), F.col("model2").alias("_m2"), F.col("ground_truth").alias("_g")).join(p, "page_id", "left")
+    ref = cutoff.body(F.col("_g"))
+    d = d.withColumn("_r", F.reverse(cutoff.letters(ref))).withColumn("_done", ref.rlike(cutoff.TERMINAL))
+    for s in "12":
+        m = F.col(f"_m{s}")
+        d = d.withColumn(f"_l{s}", F.reverse(cutoff.letters(cutoff.body(m))))
+        d = d.withColumn(f"_e{s}", is_empty(m))
+        begins = F.call_function("locate", F.reverse(F.substring(f"_l{s}", -20, 20)), F.reverse("_r"))
+        d = d.withColumn(f"_f{s}", ~F.col(f"_e{s}") & is_refusal(m) & F.coalesce(begins == 0, F.lit(True)))
+        d = d.withColumn(f"_t{s}", F.when(~F.col(f"_e{s}") & ~F.col(f"_f{s}"), cutoff.remainder(F.col(f"_l{s}"), F.col("_r"))))
+        d = d.withColumn(f"_u{s}", ~cutoff.body(m).rlike(cutoff.TERMINAL))
+    asked = [F.when(~F.col(f"_e{s}") & ~F.col(f"_f{s}"), F.col(f"_m{s}")) for s in "12"]
+    d = d.withColumn("_j", _judge()("_page", "_lang", "_g", *asked))
+    rows = []
+    for s in "12":
+        j, left = F.col(f"_j.d{s}"), F.col(f"_t{s}")
+        cut = F.coalesce((left >= 3) | ((left >= 1) & F.col(f"_u{s}") & F.col("_done")), F.lit(False)) | (left.isNull() & F.col(f"_u{s}") & F.col("_done") & (j == "open"))
+        kind = F.when(F.col(f"_e{s}"), "empty").when(F.col(f"_f{s}"), "refusal").when(j.isin("language", "copy"), j).when(cut, "truncated")
+        rows.append(F.struct(F.lit(int(s)).alias("side"), kind.alias("defect")))
+    return d.select(*key, F.explode(F.array(*rows)).alias("x")).select(*key, "x.side", "x.defect").where("defect is not null").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import consensus, packing, ranking, skeleton, splitting
+from folium.llm import consensus, cutoff, packing, pairs, ranking, skeleton, splitting
 from folium.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,36 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("page_id", "chunk_no", "piece_no", F.col("piece_start").alias("start_pos"), F.col("piece_end").alias("end_pos"), "piece", "cut_kind")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "annotation_triples"), table(spark, d, "ocr_pages"), ["pair", "page_id"])
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p5_found(spark, d).groupBy("side", "defect").agg(F.count("*").alias("n"))
+
+
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    triples = table(spark, d, "annotation_triples").withColumn("sys_name", ranking.pair_side(F.col("pair"), 0))
+    recorded = table(spark, d, "metric_rows").where("length_ocr is not null").groupBy(F.lower("sys_name").alias("sys_name"), "page_id").agg(F.max("length_ocr").alias("recorded"))
+    rows = triples.select("sys_name", "pair", "page_id", "model1", "ground_truth").distinct().join(recorded, ["sys_name", "page_id"], "left")
+    cuts = cutoff.detect_cuts(rows, "sys_name", "model1", recorded="recorded", reference="ground_truth")
+    return cuts.withColumn("cut", F.col("cut") & ~pairs.is_empty(F.col("model1")) & ~pairs.is_refusal(F.col("model1")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).where("cut").select("pair", "page_id").distinct()
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_rates(_cuts(spark, d), "sys_name")
+
+
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "annotation_triples").select(ranking.pair_side(F.col("pair"), 0).alias("source"), "pair", "page_id", "model1").where("model1 is not null").distinct()
+    sizes = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("model1").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("model1").alias("length"))))
+    return cutoff.spikes(rows.select("source", sizes.alias("x")).select("source", "x.unit", "x.length"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return packing.pack_containers(docs, "doc_id", packing.word_tokens(F.col("text")), capacity=1024)
@@ -89,7 +119,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p7_found, p7_containers, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_limits, p7_found, p7_containers, p9_found, p9_forms, p9_classes)}
 
 ORACLES: dict[str, str] = {
     "p2_margins": r"""
@@ -100,7 +130,7 @@ ORACLES: dict[str, str] = {
             FROM (SELECT *, regexp_split_to_array(regexp_replace(lower(trim(pair)), '\.json$', ''), '_(against|vs)_') AS sides FROM judge_rows)
             JOIN names x ON x.alias = trim(sides[1]) JOIN names y ON y.alias = trim(sides[2]) WHERE x.sys_name <> y.sys_name),
         votes AS (
-            SELECT s0, s1, coalesce(overall_winner, try_cast(nullif(regexp_extract(regexp_extract(regexp_replace(raw, '\+"', '"', 'g'), '(?s)\{.*\}', 0), '"overall_winner"\s*:\s*"?(-?[0-9]{1,3})\b', 1), '') AS INTEGER)) AS v
+            SELECT s0, s1, coalesce(overall_winner, try_cast(nullif(regexp_extract(regexp_extract(regexp_replace(raw, '\\+"', '"', 'g'), '(?s)\{.*\}', 0), '"overall_winner"\s*:\s*"?(-?[0-9]{1,3})\b', 1), '') AS INTEGER)) AS v
             FROM raw_votes),
         sums AS (
             SELECT least(s0, s1) AS a, greatest(s0, s1) AS b, count(*) AS n,
@@ -113,6 +143,12 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT page_id, chunk_no,
                CASE WHEN list_max(list_transform(regexp_split_to_array(b, '[\s\x{85}\p{Z}]+'), lambda x: length(x))) > 800 THEN 'forced' ELSE 'natural' END AS cut_kind
         FROM t WHERE length(b) > 800""",
+    "p6_limits": r"""
+        WITH t AS (SELECT DISTINCT lower(trim(regexp_split_to_array(lower(trim(pair)), '_(against|vs)_')[1])) AS source, pair, page_id, model1 FROM annotation_triples WHERE model1 IS NOT NULL),
+        l AS (SELECT source, 'chars' AS unit, length(model1)::INT AS length FROM t UNION ALL SELECT source, 'bytes', strlen(model1)::INT FROM t),
+        h AS (SELECT source, unit, length, count(*) AS n FROM l GROUP BY ALL),
+        o AS (SELECT *, sum(n) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) - n AS other FROM h)
+        SELECT source, unit, length, n FROM o WHERE n >= 8 AND n > 5 * greatest(other / 40.0, 1.0)""",
     "p7_found": r"""
         SELECT DISTINCT doc_id FROM documents
         WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\p{Z}]+')) > 1024""",
