@@ -1,0 +1,269 @@
+"""Problem 8: evaluation texts leaking into training texts.
+
+Wu-Manber multi-pattern search: the patterns are the first `width` letters from
+each word of each evaluation item. Over a batch of documents, reduced to letters
+and digits, a shift table of hashed blocks skips the positions where no pattern
+can end, a table of suffix and prefix hashes selects the patterns, and direct
+comparison confirms them. Occurrences on neighbouring diagonals are then joined
+over misread and inserted words to the longest run of consecutive item words.
+
+Null and empty texts hold nothing. Items with fewer than `min_words` words can't
+be found. Words of a notice, that is of at least `notice_words` words that also
+stand in another item, do not count. Documents are read whole, in one pass per
+block of items, and no document is compared with another; only the items, of
+checked size, are sent to the executors.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folium.llm.skeleton import skeleton
+
+BLOCK = 5
+BITS = 22
+#: Items searched for in one pass; more are searched in further passes.
+ITEMS_PER_PASS = 5_000
+_KEEP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
+
+
+def letters(text: str) -> bytes:
+    """Lower-case letters and digits of a text in plain form, without anything between them."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", skeleton(text)).casefold()
+        return text.encode("ascii", "ignore").translate(None, _KEEP)
+    return text.lower().encode().translate(None, _KEEP)
+
+
+def _hashes(x: np.ndarray) -> np.ndarray:
+    """Hash of the block of BLOCK bytes that ends at each position; 0 before the first."""
+    h = np.zeros(len(x), dtype=np.uint32)
+    if len(x) >= BLOCK:
+        acc = np.zeros(len(x) - BLOCK + 1, dtype=np.uint32)
+        for k in range(BLOCK):
+            acc *= np.uint32(2654435)
+            acc += x[k : len(x) - BLOCK + 1 + k]
+        acc ^= acc >> np.uint32(15)
+        h[BLOCK - 1 :] = acc & np.uint32((1 << BITS) - 1)
+    return h
+
+
+class Items:
+    """Evaluation items with the search tables."""
+
+    def __init__(self, rows: list[tuple[int, str]], width: int, min_words: int, notice_words: int):
+        self.width, self.min_words = width, min_words
+        self.ids, self.text, self.starts = [], [], []
+        for i, t in sorted(rows):
+            words = [w for w in (letters(p) for p in (t or "").split()) if w]
+            if len(words) < min_words:
+                continue
+            self.ids.append(i)
+            self.text.append(b"".join(words))
+            self.starts.append(np.concatenate([[0], np.cumsum([len(w) for w in words])]).tolist())
+        self.notice = self._notices(notice_words)
+        self.where: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (t, s) in enumerate(zip(self.text, self.starts)):
+            for a in s[:-1]:
+                if len(t) - a >= width:
+                    self.where.setdefault(t[a : a + width], []).append((k, a))
+        self.patterns = np.array(sorted(self.where), dtype=f"S{width}")
+        flat = [self.where[p] for p in sorted(self.where)]
+        self.count = np.array([len(f) for f in flat], dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.owner = np.array([k for f in flat for k, _ in f], dtype=np.int64)
+        self.place = np.array([a for f in flat for _, a in f], dtype=np.int64)
+        self.shift = np.full(1 << BITS, width - BLOCK + 1, dtype=np.uint8)
+        self.both = np.zeros(1 << BITS, dtype=bool)
+        if len(self.patterns):
+            chars = np.frombuffer(b"".join(sorted(self.where)), dtype=np.uint8)
+            h = _hashes(chars).reshape(-1, width)
+            for j in range(BLOCK - 1, width):
+                np.minimum.at(self.shift, h[:, j], width - 1 - j)
+            self.both[self._pair(h[:, width - 1], h[:, BLOCK - 1])] = True
+
+    @staticmethod
+    def _pair(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return (last * np.uint32(40503) ^ first) & np.uint32((1 << BITS) - 1)
+
+    def _notices(self, n: int) -> list[set[int]]:
+        """Per item the numbers of the words in stretches of n words that stand in another item too."""
+        seen: dict[tuple[bytes, ...], set[int]] = {}
+        grams = []
+        for k, (t, s) in enumerate(zip(self.text, self.starts)):
+            words = [t[a:b] for a, b in zip(s, s[1:])]
+            grams.append([tuple(words[j : j + n]) for j in range(len(words) - n + 1)])
+            for g in grams[-1]:
+                seen.setdefault(g, set()).add(k)
+        return [{j + d for j, g in enumerate(gs) if len(seen[g]) > 1 for d in range(n)} for gs in grams]
+
+    def occurrences(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, pattern number) of every occurrence in the bytes of a batch."""
+        w = self.width
+        if len(x) < w or not len(self.patterns):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        h = _hashes(x)
+        end = np.flatnonzero(self.shift[h] == 0)  # elsewhere the shift is positive: no pattern ends there
+        end = end[end >= w - 1]
+        end = end[self.both[self._pair(h[end], h[end - w + BLOCK])]]
+        windows = np.lib.stride_tricks.sliding_window_view(x, w)
+        out_at, out_pattern = [], []
+        for k in range(0, len(end), 1 << 20):
+            at = end[k : k + (1 << 20)] - w + 1
+            text = np.ascontiguousarray(windows[at]).view(f"S{w}").ravel()
+            p = np.minimum(np.searchsorted(self.patterns, text), len(self.patterns) - 1)
+            ok = self.patterns[p] == text
+            out_at.append(at[ok])
+            out_pattern.append(p[ok])
+        return np.concatenate(out_at or [np.empty(0, np.int64)]), np.concatenate(out_pattern or [np.empty(0, np.int64)])
+
+    def longest_run(self, k: int, doc: bytes, hits: list[tuple[int, int]]) -> int:
+        """Most consecutive words of item k, notices left out, that doc holds along the hits (position in item, position in doc)."""
+        item, w = self.text[k], self.width
+        segments: list[list[int]] = []  # item from, item to, doc from
+        for a, b in sorted(hits, key=lambda x: (x[0], x[1])):
+            if any(s[0] <= a < s[1] and b - a == s[2] - s[0] for s in segments[-6:]):
+                continue
+            z, y = a + w, b + w
+            while z < len(item) and y < len(doc) and item[z] == doc[y]:
+                z, y = z + 1, y + 1
+            while a and b and item[a - 1] == doc[b - 1]:
+                a, b = a - 1, b - 1
+            segments.append([a, z, b])
+        segments.sort()
+        best = 0
+        done: list[tuple[int, int, int]] = []  # item from, item to, doc to of runs
+        for a, z, b in segments:
+            joined = None
+            for r in range(len(done) - 1, max(-1, len(done) - 9), -1):
+                if self._joins(item[done[r][1] : a], doc[done[r][2] : b], a - done[r][1], b - done[r][2]):
+                    joined = r
+                    break
+            if joined is None:
+                done.append((a, z, b + z - a))
+            elif z > done[joined][1]:
+                done[joined] = (done[joined][0], z, b + z - a)
+            if joined is not None:
+                done.append(done.pop(joined))
+        starts = self.starts[k]
+        for a, z, y in done:
+            if bisect_left(starts, z) - bisect_left(starts, a) < self.min_words - 6:  # its ends add a few words at most
+                continue
+            first = {s[0]: s for s in segments}.get(a)
+            best = max(best, self._words(k, a, z, first[2] if first else None, y, doc))
+        return best
+
+    @staticmethod
+    def _joins(left: bytes, right: bytes, n: int, m: int) -> bool:
+        """Whether the letters between two matching stretches are misread or inserted words only; stretches may touch or overlap by a few letters."""
+        if n < 0 or m < 0:
+            return min(n, m) >= -8 and abs(n - m) <= 14
+        if n <= 3 and m <= 24 or m <= 3 and n <= 3:
+            return True
+        if n > 80 or m > 110:
+            return False
+        return SequenceMatcher(None, left, right, autojunk=False).ratio() >= (0.5 if n <= 24 else 0.62) - (0.1 if m > n + 3 else 0)
+
+    def _words(self, k: int, a: int, z: int, b: int | None, y: int, doc: bytes) -> int:
+        """Words of the run [a, z) of item k, with misread words at its ends."""
+        starts, item = self.starts[k], self.text[k]
+        lo, hi = bisect_left(starts, a), bisect_left(starts, z + 1) - 1
+        while lo > 0 and b is not None:  # the word before may be misread
+            s = starts[lo - 1]
+            word = item[s : starts[lo]]
+            from_ = b - (a - starts[lo]) - len(word)
+            if from_ < 0 or SequenceMatcher(None, word, doc[max(0, from_ - 1) : from_ + len(word)], autojunk=False).ratio() < 0.6:
+                break
+            lo, a, b = lo - 1, s, from_
+        while hi < len(starts) - 1:
+            s = starts[hi]
+            word = item[s : starts[hi + 1]]
+            from_ = y - (z - s)
+            if SequenceMatcher(None, word, doc[from_ : from_ + len(word) + 1], autojunk=False).ratio() < 0.6:
+                break
+            hi, y, z = hi + 1, from_ + len(word), starts[hi + 1]
+        return sum(j not in self.notice[k] for j in range(lo, hi))
+
+
+def find_in_batch(items: Items, docs: list[str | None]) -> list[tuple[int, int, int]]:
+    """(document number, item id, words) of one batch."""
+    parts = [letters(t) if t else b"" for t in docs]
+    gap = b"\0" * items.width
+    offsets = np.cumsum([0] + [len(p) + len(gap) for p in parts])
+    at, pattern = items.occurrences(np.frombuffer(gap.join(parts) + gap, dtype=np.uint8))
+    if not len(at):
+        return []
+    many = items.count[pattern]
+    which = np.repeat(items.first[pattern], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(at, many)
+    d = np.searchsorted(offsets, at, side="right") - 1
+    k, a, p = items.owner[which], items.place[which], at - offsets[d]
+    order = np.lexsort((a, (p - a) // 8, k, d))
+    d, k, a, p = d[order], k[order], a[order], p[order]
+    strip = (p - a) // 8
+    new = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(k) != 0) | (np.diff(strip) != 0)])
+    gd, gk, gs, lo, hi, n = d[new], k[new], strip[new], a[new], a[np.r_[new[1:], len(a)] - 1], np.diff(np.r_[new, len(a)])
+    for step in (1, 2):  # three neighbouring strips of diagonals bear a run through a few insertions
+        near = np.zeros(len(gd), dtype=np.int64)
+        for j in range(1, step + 1):
+            if len(gd) > j:
+                same = np.r_[(gd[j:] == gd[:-j]) & (gk[j:] == gk[:-j]) & (gs[j:] == gs[:-j] + step), np.zeros(j, bool)]
+                near[same] = j
+        at_ = np.arange(len(gd)) + near
+        if step == 1:
+            lo1, hi1, n1 = np.where(near > 0, np.minimum(lo, lo[at_]), lo), np.where(near > 0, np.maximum(hi, hi[at_]), hi), n + np.where(near > 0, n[at_], 0)
+        else:
+            lo1, hi1, n1 = np.where(near > 0, np.minimum(lo1, lo[at_]), lo1), np.where(near > 0, np.maximum(hi1, hi[at_]), hi1), n1 + np.where(near > 0, n[at_], 0)
+    # a run of min_words words spans at least 2.5 letters a word less what errors at its ends hide; a fifth of its words begin a pattern, and one in three along it
+    span = hi1 - lo1 + items.width
+    dense = (span >= 2.5 * items.min_words) & (n1 >= max(1, items.min_words // 5)) & (n1 * 15 >= span)
+    if not dense.any():
+        return []
+    wide = 1 << 32  # one number for a document, an item and a band of 64 diagonals
+    code = (d * len(items.ids) + k) * wide + (p - a) // 64 + (wide >> 1)
+    good = (gd[dense] * len(items.ids) + gk[dense]) * wide + gs[dense] // 8 + (wide >> 1)
+    mine = np.isin(code, np.concatenate([good - 1, good, good + 1]))
+    hits = pd.DataFrame({"d": d[mine], "k": k[mine], "a": a[mine], "p": p[mine]})
+    out = []
+    for (d, k), h in hits.groupby(["d", "k"], sort=True):
+        n = items.longest_run(k, parts[d], list(zip(h["a"].tolist(), h["p"].tolist())))
+        if n >= items.min_words:
+            out.append((d, items.ids[k], n))
+    return out
+
+
+def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 25, width: int = 16, notice_words: int = 14, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """(doc, item, words): documents with at least min_words consecutive words of an item, and the longest such run."""
+    spark = docs.sparkSession
+    keyed = items.where(f"{item_text} is not null").select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    passes = max(1, -(-keyed.count() // per_pass))
+    texts = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_key).cast("long").alias("doc"), F.col(doc_text).alias("t"))
+    out = None
+    for n in range(passes):
+        rows = [(r["i"], r["t"]) for r in keyed.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect()]
+        shared = spark.sparkContext.broadcast((rows, width, min_words, notice_words))
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            tables = Items(*shared.value)
+            for b in batches:
+                ids, text = b["doc"].tolist(), b["t"].tolist()
+                for k in range(0, len(ids), 2000):
+                    found = find_in_batch(tables, text[k : k + 2000])
+                    yield pd.DataFrame([(ids[k + d], i, w) for d, i, w in found], columns=["doc", "item", "words"])
+
+        one = texts.mapInPandas(search, "doc long, item long, words int")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("doc", "item").agg(F.max("words").alias("words"))
+
+
+def leaked_items(leaks: DataFrame) -> DataFrame:
+    """(item, docs, words): every leaked item, how many documents hold it, and its longest run."""
+    return leaks.groupBy("item").agg(F.count("*").alias("docs"), F.max("words").alias("words"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import consensus, cutoff, packing, pairs, ranking, skeleton, splitting
+from folium.llm import consensus, cutoff, leaks, packing, pairs, ranking, skeleton, splitting
 from folium.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).where("pieces > 1").select(F.col("id").alias("doc_id")).distinct()
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(_leaks(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = skeleton.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
@@ -119,7 +131,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_limits, p7_found, p7_containers, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
 
 ORACLES: dict[str, str] = {
     "p2_margins": r"""
