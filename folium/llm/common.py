@@ -23,12 +23,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The same characters one by one, for trimming.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def stripped(text: Column) -> Column:
     """Text without white space at both ends, of any Unicode kind."""
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def spread(df: DataFrame, *keys: str, rows_per_part: int = 0) -> DataFrame:
     """Even the rows out over the session's shuffle partitions, so that Python work does not hang on the input files' sizes."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once per row.
+
+    They come out of a generator, through which the optimizer neither pushes
+    filters nor copies expressions.
+    """
+    kept = df.drop(*columns)
+    return kept.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import stripped
+from folium.llm.common import settled, stripped
 
 #: End of a finished sentence: a mark, then closing quotation marks or brackets.
 TERMINAL = r"(?:[.!?…]|&c\.)[”’»\"')\]]*$"
@@ -27,9 +27,25 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
 
 
+#: Characters at a text's end among which its page number or its last mark stands.
+_TAIL = 60
+
+
 def body(reference: Column) -> Column:
-    """A reference text without a page number at its end."""
-    return F.regexp_replace(stripped(reference), PAGE_END, "")
+    """A reference text without a page number at its end; reference without white space at the ends."""
+    tail = F.regexp_replace(F.right(reference, F.lit(_TAIL)), PAGE_END, "")
+    return F.concat(F.left(reference, F.length(reference) - _TAIL), tail)
+
+
+def finished(text: Column) -> Column:
+    """Whether a text ends a sentence."""
+    return F.right(text, F.lit(12)).rlike(TERMINAL)
+
+
+def same_end(text: Column, reference: Column, letters_: int = 24) -> Column:
+    """Whether both texts end in the same letters."""
+    a, b = (F.right(letters(F.right(x, F.lit(_TAIL))), F.lit(letters_)) for x in (text, reference))
+    return (F.length(a) == letters_) & (a == b)
 
 
 def remainder(reversed_text: Column, reversed_reference: Column, width: int = 24, step: int = 9, steps: int = 5) -> Column:
@@ -65,36 +81,41 @@ def spikes(lengths: DataFrame, around: int = 20, ratio: float = 5.0, least: int
     return h.where((F.col("n") >= least) & (F.col("n") > ratio * F.greatest(F.col("other") / F.lit(2.0 * around), F.lit(1.0)))).select("source", "unit", "length", "n")
 
 
-def detect_cuts(df: DataFrame, source: str, text: str, recorded: str | None = None, reference: str | None = None, **spike) -> DataFrame:
-    """df with the evidence: at_limit, unfinished, recorded_more, goes_on (letters of the reference left), and cut.
+def letters_left(text: Column, reference: Column) -> Column:
+    """remainder() of two texts as body() gives them; equal ends are told without looking at the whole."""
+    return F.when(same_end(text, reference), 0).otherwise(remainder(F.reverse(letters(text)), F.reverse(letters(reference))))
 
-    Columns of these names are replaced. Limits are looked for among texts that
-    do not end a sentence, and each limit holds for its source only; the table
-    of limits has at most a few rows per source and is joined by the plan's own
-    choice.
+
+def measure(df: DataFrame, text: str, reference: str | None = None) -> DataFrame:
+    """df with chars, bytes, own (length without white space at the ends), unfinished, goes_on (letters of the reference left) and stops_too (the reference ends no sentence).
+
+    Columns of these names are replaced. Nothing after this needs the texts.
     """
-    evidence = ("at_limit", "unfinished", "recorded_more", "goes_on", "cut")
-    d = df.drop(*evidence)
     t = stripped(F.col(text))
-    d = d.withColumn("_chars", F.length(text)).withColumn("_bytes", F.octet_length(text)).withColumn("_own", F.length(t))
-    d = d.withColumn("unfinished", (F.col("_own") > 0) & ~body(t).rlike(TERMINAL))
-    limits = spikes(d.where("unfinished").select(F.col(source).alias("source"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("_bytes").alias("length")))).alias("x")).select("source", "x.unit", "x.length"), **spike)
-    per = limits.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_lc"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_lb"))
-    d = d.join(per.withColumnRenamed("source", "_source"), F.col(source).eqNullSafe(F.col("_source")), "left")
-    at = F.coalesce(F.array_contains("_lc", F.col("_chars")) | F.array_contains("_lb", F.col("_bytes")), F.lit(False))
-    d = d.withColumn("at_limit", at)
-    more = F.coalesce(F.col(recorded) - F.col("_own") >= 3, F.lit(False)) & (F.col("_own") > 0) if recorded else F.lit(False)
-    d = d.withColumn("recorded_more", more)
-    if reference:
-        ref = body(F.col(reference))
-        d = d.withColumn("_t", F.reverse(letters(body(t)))).withColumn("_r", F.reverse(letters(ref))).withColumn("_stops_too", ~ref.rlike(TERMINAL))
-        d = d.withColumn("goes_on", F.when(F.col("_own") > 0, remainder(F.col("_t"), F.col("_r")))).drop("_t", "_r")
-    else:
-        d = d.withColumn("goes_on", F.lit(None).cast("int")).withColumn("_stops_too", F.lit(False))
-    by_limit = F.col("at_limit") & F.col("unfinished") & (F.coalesce(F.col("goes_on"), F.lit(1)) > 0)
-    by_reference = F.coalesce((F.col("goes_on") >= 3) | ((F.col("goes_on") >= 1) & F.col("unfinished") & ~F.col("_stops_too")), F.lit(False))
-    cut = by_limit | (F.col("recorded_more") & (F.coalesce(F.col("goes_on"), F.lit(1)) > 0)) | by_reference
-    return d.withColumn("cut", F.coalesce(cut, F.lit(False))).drop("_chars", "_bytes", "_own", "_source", "_lc", "_lb", "_stops_too")
+    d = settled(df, _t=body(t), _r=body(stripped(F.col(reference))) if reference else F.lit(None).cast("string"), chars=F.length(text), bytes=F.octet_length(text), own=F.coalesce(F.length(t), F.lit(0)))
+    left = F.when(F.col("own") > 0, letters_left(F.col("_t"), F.col("_r")))
+    return settled(d, unfinished=(F.col("own") > 0) & ~finished(F.col("_t")), stops_too=F.coalesce(~finished(F.col("_r")), F.lit(False)), goes_on=left).drop("_t", "_r")
+
+
+def detect_cuts(measured: DataFrame, source: str, recorded: str | None = None, **spike) -> DataFrame:
+    """measured with at_limit, recorded_more and cut.
+
+    measured: as measure() gives it, a repeated text in one row. Limits are
+    looked for among texts that do not end a sentence, and each holds for its
+    source only; the table of limits has one row per source.
+    """
+    d = measured.drop("at_limit", "recorded_more", "cut")
+    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])
+    limits = spikes(d.where("unfinished").select(F.col(source).alias("source"), F.explode(units).alias("x")).select("source", "x.unit", "x.length"), **spike)
+    per = limits.groupBy(F.col("source").alias("_source")).agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"_{u}") for u in ("chars", "bytes")])
+    d = d.join(per, F.col(source).eqNullSafe(F.col("_source")), "left")
+    at = F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False))
+    more = F.coalesce(F.col(recorded) - F.col("own") >= 3, F.lit(False)) & (F.col("own") > 0) if recorded else F.lit(False)
+    d = settled(d, at_limit=at, recorded_more=more).drop("_source", "_chars", "_bytes")
+    left = F.coalesce("goes_on", F.lit(1)) > 0
+    by_reference = (F.col("goes_on") >= 3) | ((F.col("goes_on") >= 1) & F.col("unfinished") & ~F.col("stops_too"))
+    cut = (F.col("at_limit") & F.col("unfinished") & left) | (F.col("recorded_more") & left) | F.coalesce(by_reference, F.lit(False))
+    return d.withColumn("cut", F.coalesce(cut, F.lit(False)))
 
 
 def cut_rates(detected: DataFrame, source: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from folium.llm import cutoff
-from folium.llm.common import stripped
+from folium.llm.common import settled, stripped
 
 # Stand-ins for no value, letters and digits only.
 NO_VALUE = ("null", "none", "na", "nan", "nil", "undefined", "empty", "void", "missing", "blank", "nodata", "notext", "nocontent", "nooutput", "noanswer", "noresponse", "notavailable", "notapplicable")
@@ -177,12 +177,13 @@ def _judge():
 
 
 def is_empty(text: Column) -> Column:
-    left = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
-    return (left == "") | left.isin(*NO_VALUE)
+    """Null, without a letter or digit, or a stand-in for no value."""
+    short = F.regexp_replace(F.lower(F.left(text, F.lit(60))), r"[^\p{L}\p{N}]+", "").isin(*NO_VALUE) & (F.length(text) <= 60)
+    return F.coalesce(~text.rlike(r"[\p{L}\p{N}]") | short, F.lit(True))
 
 
 def is_refusal(text: Column) -> Column:
-    plain = F.translate(F.lower(stripped(text)), "’ʼ", "''")
+    plain = F.translate(F.lower(F.left(stripped(text), F.lit(120))), "’ʼ", "''")
     return plain.rlike(r"^[\"'*\[(]*(?:(?:oh|hello|hi|well|hm+)[,.!] )?(?:" + "|".join(REFUSALS) + ")")
 
 
@@ -195,16 +196,17 @@ def defects(pairs: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     p = pages.where("page_id is not null").groupBy("page_id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.col("text").isNull(), "text")).alias("_p"))
     p = p.select("page_id", F.lower("_p.lang").alias("_lang"), F.col("_p.text").alias("_page"))
     d = pairs.select(*dict.fromkeys([*key, "page_id"]), F.col("model1").alias("_m1"), F.col("model2").alias("_m2"), F.col("ground_truth").alias("_g")).join(p, "page_id", "left")
-    ref = cutoff.body(F.col("_g"))
-    d = d.withColumn("_r", F.reverse(cutoff.letters(ref))).withColumn("_done", ref.rlike(cutoff.TERMINAL))
+    ref = cutoff.body(stripped(F.col("_g")))
+    d = settled(d, _ref=ref, _a1=cutoff.body(stripped(F.col("_m1"))), _a2=cutoff.body(stripped(F.col("_m2"))))
+    made = {"_done": cutoff.finished(F.col("_ref"))}
     for s in "12":
-        m = F.col(f"_m{s}")
-        d = d.withColumn(f"_l{s}", F.reverse(cutoff.letters(cutoff.body(m))))
-        d = d.withColumn(f"_e{s}", is_empty(m))
-        begins = F.call_function("locate", F.reverse(F.substring(f"_l{s}", -20, 20)), F.reverse("_r"))
-        d = d.withColumn(f"_f{s}", ~F.col(f"_e{s}") & is_refusal(m) & F.coalesce(begins == 0, F.lit(True)))
-        d = d.withColumn(f"_t{s}", F.when(~F.col(f"_e{s}") & ~F.col(f"_f{s}"), cutoff.remainder(F.col(f"_l{s}"), F.col("_r"))))
-        d = d.withColumn(f"_u{s}", ~cutoff.body(m).rlike(cutoff.TERMINAL))
+        m, a = F.col(f"_m{s}"), F.col(f"_a{s}")
+        begins = F.contains(cutoff.letters(F.left("_ref", F.lit(400))), F.left(cutoff.letters(F.left(a, F.lit(60))), F.lit(20)))
+        made[f"_e{s}"] = is_empty(m)
+        made[f"_f{s}"] = F.when(is_refusal(m), F.coalesce(~begins, F.lit(True))).otherwise(False)
+        made[f"_t{s}"] = F.when(~is_empty(m), cutoff.letters_left(a, F.col("_ref")))
+        made[f"_u{s}"] = ~cutoff.finished(a)
+    d = settled(d, **made)
     asked = [F.when(~F.col(f"_e{s}") & ~F.col(f"_f{s}"), F.col(f"_m{s}")) for s in "12"]
     d = d.withColumn("_j", _judge()("_page", "_lang", "_g", *asked))
     rows = []
