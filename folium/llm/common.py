@@ -44,5 +44,4 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     They come out of a generator, through which the optimizer neither pushes
     filters nor copies expressions.
     """
-    kept = df.drop(*columns)
-    return kept.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))

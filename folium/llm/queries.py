@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import consensus, cutoff, leaks, packing, pairs, ranking, skeleton, splitting
+from folium.llm import consensus, cutoff, leaks, ocr_repair, packing, pairs, ranking, skeleton, splitting
 from folium.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    clean = [("ground_truth", table(spark, d, "annotation_triples"), "ground_truth")]
+    return ocr_repair.page_faults(table(spark, d, "ocr_pages"), ["page_id"], "text", clean)
+
+
+def _p1_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    key = ["page_id"]
+    words = [ocr_repair.count_words(ocr_repair.line_words(ocr_repair.page_lines(table(spark, d, t), key, c), key)) for t, c in (("ocr_pages", "text"), ("annotation_triples", "ground_truth"))]
+    lex = durable(ocr_repair.lexicon(*words))
+    return lex, durable(ocr_repair.noise_words(lex))
+
+
+def p1_corrections(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_tables(spark, d)[1].where("fix is not null")
+
+
+def p1_pages(spark: SparkSession, d: str) -> DataFrame:
+    lex, noise = _p1_tables(spark, d)
+    return ocr_repair.repair(table(spark, d, "ocr_pages").select("page_id", "text").distinct(), ["page_id"], "text", lex, noise)
+
+
 def _ranked(spark: SparkSession, d: str, label: str) -> tuple[DataFrame, DataFrame]:
     edges = durable(ranking.margins(ranking.usable_votes(table(spark, d, "judge_rows"), table(spark, d, "systems"), label)))
     return edges, ranking.strengths(edges)
@@ -134,7 +155,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrections, p1_pages, p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
 
 ORACLES: dict[str, str] = {
     "p2_margins": r"""
