@@ -1,0 +1,15 @@
+"""Cutting the lineage of a table."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The table, kept in the session's shared checkpoint folder; a local folder only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folium"))
+    return df.checkpoint()

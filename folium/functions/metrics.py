@@ -1,0 +1,156 @@
+"""Text metrics: character and word error rates as native expressions, n-gram overlap natively or stemmed.
+
+A metric whose reference is empty or null is null; overlap with an empty side
+is 0.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from folium.functions import text as tx
+from folium.functions.stem import stem
+
+_ALPHABET_LIMIT = 0xD700 - 256
+
+
+def cer(reference: Column, hypothesis: Column) -> Column:
+    """Edit distance over code points of the stripped texts, by the reference's length."""
+    r = tx.strip(reference)
+    return F.levenshtein(r, tx.strip(hypothesis)) / F.nullif(F.length(r), F.lit(0))
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two word arrays: every distinct word of the two becomes one code point of a string."""
+    vocabulary = F.array_distinct(F.concat(a, b))
+
+    def encode(ws: Column) -> Column:
+        return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 256), 4, "0")), "UTF-16BE")), "")
+
+    return F.when(F.size(vocabulary) < _ALPHABET_LIMIT, F.levenshtein(encode(a), encode(b))).otherwise(_word_distance(a, b))
+
+
+@F.pandas_udf(IntegerType())
+def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b)])
+
+
+def edit_distance(a: list | str, b: list | str) -> int:
+    """Unit-cost edit distance of two sequences."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(diagonal + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def wer(reference: Column, hypothesis: Column, long_texts: bool = False) -> Column:
+    """Word edit distance by the number of reference words.
+
+    long_texts: also handle pairs with more distinct words than one plane of
+    code points holds; this puts a Python stage into the plan.
+    """
+    r, h = tx.wer_words(reference), tx.wer_words(hypothesis)
+    vocabulary = F.array_distinct(F.concat(r, h))
+
+    def encode(ws: Column) -> Column:
+        return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 256), 4, "0")), "UTF-16BE")), "")
+
+    distance = word_distance(r, h) if long_texts else F.levenshtein(encode(r), encode(h))
+    return distance / F.nullif(F.size(r), F.lit(0))
+
+
+def overlap(reference: Column, hypothesis: Column, n: int) -> Column:
+    """struct<p, r, f> of clipped n-gram overlap of two token arrays, without stemming."""
+    a, b = tx.ngrams(reference, n), tx.ngrams(hypothesis, n)
+    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
+    hits = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
+    p, r = hits / F.nullif(F.size(b), F.lit(0)), hits / F.nullif(F.size(a), F.lit(0))
+    p, r = F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0))
+    return F.struct(p.alias("p"), r.alias("r"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
+
+
+_TOKEN = re.compile("[^a-z0-9]+")
+
+
+def stemmed_tokens(text: str | None) -> list[str]:
+    """Lower-case tokens; those of more than three characters are stemmed."""
+    return [stem(t) if len(t) > 3 else t for t in _TOKEN.sub(" ", (text or "").lower()).split()]
+
+
+def _prf(hits: int, reference: int, hypothesis: int) -> tuple[float, float, float]:
+    p, r = hits / hypothesis if hypothesis else 0.0, hits / reference if reference else 0.0
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+def ngram_overlap(a: list[str], b: list[str], n: int) -> tuple[float, float, float]:
+    x, y = (Counter(zip(*(t[k:] for k in range(n)))) for t in (a, b))
+    return _prf(sum((x & y).values()), sum(x.values()), sum(y.values()))
+
+
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, one bit per token of a."""
+    places: dict[str, int] = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for t in b:
+        m = places.get(t, 0)
+        u = v & m
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+_FIELDS = [f"{m}_{k}" for m in ("rouge1", "rouge2", "rougeL") for k in "prf"]
+
+
+@F.pandas_udf(StructType([StructField(f, DoubleType()) for f in _FIELDS]))
+def stemmed_overlap(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """Precision, recall and F of unigrams, bigrams and the longest common subsequence, stemmed."""
+    out = []
+    for r, h in zip(reference, hypothesis):
+        a, b = stemmed_tokens(r), stemmed_tokens(h)
+        out.append((*ngram_overlap(a, b, 1), *ngram_overlap(a, b, 2), *_prf(common_subsequence(a, b), len(a), len(b))))
+    return pd.DataFrame(out, columns=_FIELDS)
+
+
+def preference(first: Column, second: Column) -> Column:
+    """1 if the first is larger, 2 if the second is, 0 for equal ones."""
+    return F.when(first > second, 1).when(second > first, 2).otherwise(0)
+
+
+def with_scores(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """df with the seven score columns; the one Python stage is the stemmer's."""
+    r, h = F.col(reference), F.col(hypothesis)
+    d = df.withColumn("_o", stemmed_overlap(r, h))
+    return d.select(
+        *df.columns, F.col("_o.rouge1_p").alias("unigram_precision"), F.col("_o.rouge1_r").alias("unigram_recall"), F.col("_o.rouge1_f").alias("unigram_f1"),
+        cer(r, h).alias("cer"), wer(r, h).alias("wer"), F.length(tx.strip(r)).alias("length_clean"), F.length(tx.strip(h)).alias("length_ocr"),
+    )
+
+
+#: Metrics by name; "ALL" gives the whole score.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "cer": cer, "wer": wer, "length": lambda r, h: F.length(tx.strip(h)), "rouge1": lambda r, h: stemmed_overlap(r, h)["rouge1_f"],
+    "rouge2": lambda r, h: stemmed_overlap(r, h)["rouge2_f"], "rougeL": lambda r, h: stemmed_overlap(r, h)["rougeL_f"],
+}
+
+
+def evaluate(df: DataFrame, reference: str, hypothesis: str, metric: str | Callable[[Column, Column], Column] = "ALL") -> DataFrame:
+    """df with one metric as column `score`, or with all of them; unknown names raise."""
+    if metric == "ALL":
+        return with_scores(df, reference, hypothesis)
+    if isinstance(metric, str):
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric!r}; known: ALL, {', '.join(METRICS)}")
+        metric = METRICS[metric]
+    return df.withColumn("score", metric(F.col(reference), F.col(hypothesis)))

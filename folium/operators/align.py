@@ -1,0 +1,233 @@
+"""Alignment of clean and noisy texts and the errors it shows.
+
+The Python functions state the algorithms; the DataFrame operators run them in
+Arrow batches, one text pair per row, and give long tables of counts. Columns
+are named gt_char and ocr_char throughout, whichever side an algorithm calls
+source.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+#: Shapes read for one another: two letters and the one they look like.
+SHAPES = (("rn", "m"), ("cl", "d"), ("vv", "w"))
+
+
+def chunk_clean_text(text: str, target: int = 200) -> list[str]:
+    """Chunks of about `target` characters that end on a full stop, or else on the next blank or full stop."""
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = start + target
+        stop = min(end + target // 3 + 1, n)
+        dot = text.find(".", end, stop) if end < n else -1
+        if dot >= 0:
+            end = dot
+        else:
+            end = stop if end < n else end
+            limit = min(end + target // 10 + 1, n)
+            while end < limit and text[end] not in " .":
+                end += 1
+        out.append(text[start : end + 1].strip())
+        start = end + 1
+    return out
+
+
+def best_match(clean: str, ocr: str, hint: int = 0, window: int = 1000, stride: int = 5, accept: float = 0.6) -> tuple[str | None, float, int]:
+    """(region or None, ratio, position after the best region) of the noisy text around the hint; the earliest of equally good regions counts."""
+    first, last = max(0, hint - window // 2), min(len(ocr), max(0, hint - window // 2) + window)
+    best, at, region = 0.0, hint, ""
+    # nearest to the hint first, as the text is mostly there; a bound on the ratio then spares most of the others
+    for k in sorted(range(first, last, stride), key=lambda k: abs(k - hint)):
+        piece = ocr[k : k + len(clean)]
+        m = SequenceMatcher(None, clean, piece)
+        if m.real_quick_ratio() < best or m.quick_ratio() < best:
+            continue
+        score = m.ratio()
+        if score > best or score == best > 0 and k < at:
+            best, at, region = score, k, piece
+    return (region if best > accept else None), best, at + len(region)
+
+
+def align_document(clean: str, ocr: str, target: int = 200, window: int = 1000, stride: int = 5) -> list[tuple[str, str | None]]:
+    """Every chunk of the clean text with its region of the noisy text, or None; the search goes on from the last best region."""
+    out, cursor = [], 0
+    for chunk in chunk_clean_text(clean, target):
+        region, _, cursor = best_match(chunk, ocr, cursor, window, stride)
+        out.append((chunk, region))
+    return out
+
+
+def character_errors(clean: str, ocr: str) -> Counter:
+    """Counts of (kind, gt_char, ocr_char), kind sub, ins or del, of the differing spans; what a longer span has over is deleted or inserted."""
+    out: Counter = Counter()
+    for tag, a, b, c, d in SequenceMatcher(None, clean, ocr).get_opcodes():
+        if tag == "equal":
+            continue
+        left, right = clean[a:b], ocr[c:d]
+        shared = min(len(left), len(right))
+        out.update(("sub", x, y) for x, y in zip(left, right) if x != y)
+        out.update(("del", x, "") for x in left[shared:])
+        out.update(("ins", "", y) for y in right[shared:])
+    return out
+
+
+def edit_script(gt: str, ocr: str) -> list[tuple[str, str, str]]:
+    """Substitutions, deletions and insertions of one shortest script; traced from the end, a match or substitution before a deletion before an insertion."""
+    n, m = len(gt), len(ocr)
+    d = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            d[i][j] = i + j if not i or not j else min(d[i - 1][j - 1] + (gt[i - 1] != ocr[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (gt[i - 1] != ocr[j - 1]):
+            if gt[i - 1] != ocr[j - 1]:
+                out.append(("sub", gt[i - 1], ocr[j - 1]))
+            i, j = i - 1, j - 1
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            out.append(("del", gt[i - 1], ""))
+            i -= 1
+        else:
+            out.append(("ins", "", ocr[j - 1]))
+            j -= 1
+    return out[::-1]
+
+
+def shape_errors(gt: str, ocr: str) -> Counter:
+    """Counts of (visual, gt shape, ocr shape) at equal positions of both words."""
+    out: Counter = Counter()
+    for two, one in SHAPES:
+        for i in range(min(len(gt), len(ocr))):
+            if ocr[i : i + 2] == two and gt[i] == one:
+                out[("visual", one, two)] += 1
+            if gt[i : i + 2] == two and ocr[i] == one:
+                out[("visual", two, one)] += 1
+    return out
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(diagonal + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def align_words(gt: list[str], ocr: list[str]) -> tuple[Counter, list[tuple[str, str, str]]]:
+    """(error counts, examples) of two word lists walked side by side.
+
+    At each step two words are paired, or one ground-truth word with two noisy
+    ones (a blank added), or two with one (a blank lost), whichever is nearest;
+    ties are pairs. What is left over when one list ends is dropped.
+    """
+    counts: Counter = Counter()
+    examples: list[tuple[str, str, str]] = []
+    i = j = 0
+    while i < len(gt) and j < len(ocr):
+        a, b = gt[i], ocr[j]
+        if a == b:
+            i, j = i + 1, j + 1
+            continue
+        direct = _distance(a, b)
+        added = _distance(a, b + ocr[j + 1]) if len(a) > len(b) and j + 1 < len(ocr) else None
+        lost = _distance(a + gt[i + 1], b) if len(b) > len(a) and i + 1 < len(gt) else None
+        best = min(x for x in (direct, added, lost) if x is not None)
+        if best == direct:
+            x, y, step = a, b, (1, 1)
+        elif best == added:
+            x, y, step = a, b + ocr[j + 1], (1, 2)
+            counts[("space_added", "", " ")] += 1
+            examples.append(("space_added", a, f"{b} {ocr[j + 1]}"))
+        else:
+            x, y, step = a + gt[i + 1], b, (2, 1)
+            counts[("space_removed", " ", "")] += 1
+            examples.append(("space_removed", f"{a} {gt[i + 1]}", b))
+        counts.update(e for e in edit_script(x, y) if e[0] == "sub")
+        counts.update(shape_errors(x, y))
+        i, j = i + step[0], j + step[1]
+    return counts, examples
+
+
+_COUNTS = ArrayType(StructType([StructField("kind", StringType()), StructField("gt_char", StringType()), StructField("ocr_char", StringType()), StructField("n", LongType())]))
+_PAIRS = ArrayType(StructType([StructField("clean_chunk", StringType()), StructField("ocr_chunk", StringType())]))
+
+
+def _rows(counter: Counter) -> list[tuple]:
+    return [(*k, n) for k, n in sorted(counter.items())]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _chunks(text: pd.Series) -> pd.Series:
+    return text.map(chunk_clean_text, na_action="ignore")
+
+
+@F.pandas_udf(_PAIRS)
+def _aligned(clean: pd.Series, ocr: pd.Series) -> pd.Series:
+    return pd.Series([align_document(a, b) if a is not None and b is not None else None for a, b in zip(clean, ocr)])
+
+
+@F.pandas_udf(_COUNTS)
+def _character_errors(clean: pd.Series, ocr: pd.Series) -> pd.Series:
+    return pd.Series([_rows(character_errors(a, b)) if a is not None and b is not None else None for a, b in zip(clean, ocr)])
+
+
+@F.pandas_udf(_COUNTS)
+def _word_errors(clean: pd.Series, ocr: pd.Series) -> pd.Series:
+    return pd.Series([_rows(align_words(a.split(), b.split())[0]) if a is not None and b is not None else None for a, b in zip(clean, ocr)])
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("gt_words", StringType()), StructField("ocr_words", StringType())])))
+def _space_examples(clean: pd.Series, ocr: pd.Series) -> pd.Series:
+    return pd.Series([align_words(a.split(), b.split())[1] if a is not None and b is not None else None for a, b in zip(clean, ocr)])
+
+
+def clean_chunks(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, chunk_no, chunk) of each text."""
+    return df.select(*key, F.posexplode(_chunks(F.col(text))).alias("chunk_no", "chunk"))
+
+
+def aligned_chunks(df: DataFrame, key: list[str], clean: str, ocr: str) -> DataFrame:
+    """(key, chunk_no, clean_chunk, ocr_chunk); ocr_chunk null where nothing matches well enough."""
+    return df.select(*key, F.posexplode(_aligned(F.col(clean), F.col(ocr))).alias("chunk_no", "x")).select(*key, "chunk_no", "x.*")
+
+
+def aligned_count(chunks: DataFrame) -> DataFrame:
+    """Chunks and aligned chunks of a table of aligned chunks."""
+    return chunks.agg(F.count("*").alias("chunks"), F.count("ocr_chunk").alias("aligned"))
+
+
+def _summed(rows: DataFrame, errors: Column) -> DataFrame:
+    return rows.select(F.explode(errors).alias("x")).groupBy("x.kind", "x.gt_char", "x.ocr_char").agg(F.sum("x.n").alias("n"))
+
+
+def chunk_errors(chunks: DataFrame) -> DataFrame:
+    """(kind, gt_char, ocr_char, n) over aligned chunks; chunks without partner are passed over."""
+    return _summed(chunks.where("ocr_chunk is not null"), _character_errors(F.col("clean_chunk"), F.col("ocr_chunk")))
+
+
+def word_errors(df: DataFrame, clean: str, ocr: str) -> DataFrame:
+    """(kind, gt_char, ocr_char, n) of words walked side by side: substitutions, blanks added and removed, shapes."""
+    return _summed(df, _word_errors(F.col(clean), F.col(ocr)))
+
+
+def space_examples(df: DataFrame, key: list[str], clean: str, ocr: str) -> DataFrame:
+    return df.select(*key, F.explode(_space_examples(F.col(clean), F.col(ocr))).alias("x")).select(*key, "x.*")
+
+
+def shape_counts(gt: Column, ocr: Column) -> Column:
+    """array<struct<gt_shape, ocr_shape, n>>: shapes read for one another at equal positions of both texts, natively."""
+    n = F.least(F.length(gt), F.length(ocr))
+    at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    rows = []
+    for two, one in SHAPES:
+        rows.append((one, two, F.size(F.filter(at, lambda i: (F.substring(ocr, i, F.lit(2)) == two) & (F.substring(gt, i, F.lit(1)) == one)))))
+        rows.append((two, one, F.size(F.filter(at, lambda i: (F.substring(gt, i, F.lit(2)) == two) & (F.substring(ocr, i, F.lit(1)) == one)))))
+    return F.array(*[F.struct(F.lit(a).alias("gt_shape"), F.lit(b).alias("ocr_shape"), c.alias("n")) for a, b, c in rows])

@@ -1,0 +1,123 @@
+"""Page datasets: strict joins, merging with renumbering, splits, training records."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folium.functions.text import hash_unit
+
+INSTRUCTION = "Clean the following OCR text:"  # fixed value: the training records' instruction
+
+
+def subset(df: DataFrame, key: str, keys: list[int] | DataFrame) -> DataFrame:
+    """Rows whose key is in the list, or in the table's first column."""
+    if isinstance(keys, DataFrame):
+        return df.join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi")
+    return df.where(F.col(key).isin(keys))
+
+
+def hash_sample(df: DataFrame, key: Column, fraction: float, seed: int = 42) -> DataFrame:
+    """A Bernoulli sample by the hash of the key: the same rows on every run and engine."""
+    return df.where(hash_unit(F.lit(seed), key) < fraction)
+
+
+def strict_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join in which every left key must have its partner; a missing one fails the job when the row is read."""
+    marked = right.withColumn("_there", F.lit(True))
+    joined = left.join(marked, key, "left")
+    return joined.where(F.coalesce(F.col("_there"), F.raise_error(F.concat(F.lit("no partner for key "), F.col(key).cast("string"))).cast("boolean"))).drop("_there")
+
+
+def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys that only one side has; an empty result is a one-to-one merge."""
+    a, b = (d.select(key).distinct().withColumn(m, F.lit(True)) for d, m in ((left, "_l"), (right, "_r")))
+    return a.join(b, key, "full").where("_l is null or _r is null").select(key, F.when(F.col("_l").isNull(), "right").otherwise("left").alias("side"))
+
+
+def shared_keys(*tables: DataFrame, key: str) -> DataFrame:
+    """Keys that all tables have."""
+    out = tables[0].select(key).distinct()
+    for t in tables[1:]:
+        out = out.join(t.select(key).distinct(), key, "left_semi")
+    return out
+
+
+def with_defaults(keys: DataFrame, sources: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """(key, one column per source): the source's value, empty where it has none."""
+    out = keys
+    for name, d in sources.items():
+        out = out.join(d.select(key, F.col(value).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with `new_id` from 0 in the given order.
+
+    Rows are numbered within ranges of the leading column, and the ranges'
+    offsets added, so that no single task sorts all rows.
+    """
+    lead = order[0]
+    sizes = df.groupBy(lead).agg(F.count("*").alias("_n"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(lead).orderBy(*order)) - 1
+    return df.withColumn("_i", within).join(offsets, lead).withColumn("new_id", F.col("_before") + F.col("_i")).drop("_i", "_before")
+
+
+def merge_datasets(parts: list[DataFrame], key: str) -> DataFrame:
+    """All parts, one after the other, with new ids from 0."""
+    out = None
+    for n, d in enumerate(parts):
+        d = d.withColumn("part_no", F.lit(n))
+        out = d if out is None else out.unionByName(d)
+    return numbered(out, ["part_no", key])
+
+
+def hash_split(df: DataFrame, key: str, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with `split`, train or test, of exact sizes: the first n(1 - ratio) keys by hash are for training.
+
+    The cut is found from counts per leading byte of the hash; only the rows of
+    the byte in which it falls are ranked.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = d.groupBy("_b").agg(F.count("*").alias("_n"))
+    total = d.agg(F.count("*").alias("_all"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = F.broadcast(sizes.crossJoin(total))  # at most 256 rows
+    cut = F.floor(F.col("_all") * F.lit(1 - test_ratio) + F.lit(1e-9))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return d.join(sizes, "_b").withColumn("split", F.when(rank <= cut, "train").otherwise("test")).drop("_h", "_b", "_n", "_before", "_all")
+
+
+def shuffled_split(keys: list, test_ratio: float = 0.2, seed: int = 42) -> tuple[list, list]:
+    """(train, test) of a list by the seeded shuffle of Python's generator; for small key lists whose published split must come out again."""
+    order = list(keys)
+    random.Random(seed).shuffle(order)
+    n = int(len(order) * (1 - test_ratio))
+    return order[:n], order[n:]
+
+
+def sft_records(df: DataFrame, noisy: str, clean: str) -> DataFrame:
+    """(instruction, input, output) of page pairs that have both sides."""
+    both = df.where(F.col(noisy).isNotNull() & F.col(clean).isNotNull())
+    return both.select(F.lit(INSTRUCTION).alias("instruction"), F.col(noisy).alias("input"), F.col(clean).alias("output"))
+
+
+def positional_pairs(a: Column, b: Column) -> Column:
+    """array<struct<a, b>> of two arrays, as long as the shorter one."""
+    n = F.least(F.size(a), F.size(b))
+    return F.transform(F.slice(a, 1, n), lambda x, i: F.struct(x.alias("a"), F.get(b, i).alias("b")))
+
+
+def latest_by_suffix(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(by, name): the name with the largest numeric suffix; names without one count as 0, ties by name."""
+    n = F.coalesce(F.nullif(F.regexp_extract(name, r"([0-9]+)$", 1), F.lit("")).cast("bigint"), F.lit(0))
+    return df.groupBy(*by).agg(F.max(F.struct(n.alias("n"), F.col(name).alias("name"))).alias("b")).select(*by, F.col("b.name").alias(name))
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """table with the rows of changes in place of those with the same key."""
+    return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)

@@ -1,0 +1,110 @@
+"""Denoising as a data flow: chunks, prompts, a pluggable backend, votes, merging.
+
+A backend is a callable from a list of message lists to a list of texts; a
+factory builds one per Python worker. No model is part of this package.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folium.functions.text import merge_chunks, sentence_chunks, words
+
+Backend = Callable[[list[list[dict]]], list[str]]
+
+SYSTEM = "You correct text from an optical character recognition system. Restore the words that were printed, keep grammar, order and meaning, and answer with the corrected text only."
+MODES = ("none", "simple", "complex")
+
+
+def messages(text: Column, mode: str = "none", shots: tuple[tuple[str, str], ...] = (), instruction: str = SYSTEM) -> Column:
+    """array<struct<role, content>>: instruction, example pairs unless the mode is none, and the text; the complex mode labels inputs."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
+    label = "Input: " if mode == "complex" else ""
+    msg = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    out = [msg("system", F.lit(instruction))]
+    for a, b in shots if mode != "none" else ():
+        out += [msg("user", F.lit(label + a)), msg("assistant", F.lit(b))]
+    return F.array(*out, msg("user", F.concat(F.lit(label), text)))
+
+
+def judge_prompt(clean: Column, ocr: Column, one: Column, two: Column) -> Column:
+    """The question which of two corrections of a page is better, by criterion."""
+    head = "Compare two corrections of a scanned page by faithfulness, fluency, completeness and no_hallucinations. Answer with a JSON object of these four and overall_winner; 1 means the first is better, 2 the second, 0 equal."
+    part = lambda name, c: F.concat(F.lit(f"\n\n{name}:\n"), F.coalesce(c, F.lit("")))
+    return F.concat(F.lit(head), part("clean_text", clean), part("ocr_text", ocr), part("denoised_1", one), part("denoised_2", two))
+
+
+def with_retry(call: Callable[[], str], transient: Callable[[Exception], bool], retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> str:
+    """The call's answer; transient failures are tried again after 1, 2, 4, ... seconds, others are raised at once."""
+    for n in range(retries + 1):
+        try:
+            return call()
+        except Exception as e:
+            if not transient(e):
+                raise
+            sleep(2**n)
+    raise RuntimeError(f"no answer after {retries + 1} attempts")
+
+
+def sentence_table(df: DataFrame, key: list[str], text: str, split: bool = True) -> DataFrame:
+    """(key, ord, text, start, end)."""
+    whole = F.array(F.struct(F.col(text).alias("text"), F.lit(0).alias("start"), F.length(text).alias("end")))
+    chunks = sentence_chunks(F.col(text)) if split else whole
+    return df.where(F.col(text).isNotNull()).select(*key, F.posexplode(chunks).alias("ord", "c")).select(*key, "ord", "c.*")
+
+
+def run_backend(chunks: DataFrame, key: list[str], factory: Callable[[], Backend], attempts: int = 1, mode: str = "none", shots: tuple = ()) -> DataFrame:
+    """(key, ord, start, end, attempt, answer): every chunk through the backend, batch by batch, one backend per worker."""
+    asked = chunks.select(*key, "ord", "start", "end", messages(F.col("text"), mode, shots).alias("m"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        backend = factory()
+        for b in batches:
+            prompts = [[{"role": x["role"], "content": x["content"]} for x in m] for m in b["m"]]
+            rest = b.drop(columns="m")
+            for n in range(attempts):
+                yield rest.assign(attempt=n, answer=backend(prompts))[[*rest.columns, "attempt", "answer"]]
+
+    types = dict(asked.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in asked.columns if c != "m") + ", attempt int, answer string"
+    return asked.mapInPandas(run, schema)
+
+
+def majority_text(attempts: DataFrame, key: list[str], attempt: str, text: str) -> DataFrame:
+    """(key, voted): of attempts at one text, those of the commonest word count, and their commonest word at each place; the first seen counts on ties.
+
+    Attempts of one text are few; places, not texts, are grouped.
+    """
+    a = attempts.where(F.col(text).isNotNull()).select(*key, F.col(attempt).alias("_a"), words(F.col(text)).alias("_w")).withColumn("_n", F.size("_w"))
+    sizes = a.groupBy(*key, "_n").agg(F.count("*").alias("_c"), F.min("_a").alias("_f"))
+    best = sizes.groupBy(*key).agg(F.max_by("_n", F.struct("_c", -F.col("_f"))).alias("_n"))
+    places = a.join(best, [*key, "_n"]).select(*key, "_a", F.posexplode_outer("_w").alias("_p", "_v"))
+    votes = places.groupBy(*key, "_p", "_v").agg(F.count("*").alias("_c"), F.min("_a").alias("_f"))
+    won = votes.groupBy(*key, "_p").agg(F.max_by("_v", F.struct("_c", -F.col("_f"))).alias("_v"))
+    return won.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"]), " ").alias("voted"))
+
+
+def denoise(pages: DataFrame, key: list[str], text: str, factory: Callable[[], Backend], attempts: int = 1, split: bool = True, mode: str = "none", shots: tuple = ()) -> DataFrame:
+    """(key, denoised): chunks, backend, vote over the attempts, chunks put together again."""
+    answers = run_backend(sentence_table(pages, key, text, split), key, factory, attempts, mode, shots)
+    if attempts > 1:
+        voted = majority_text(answers, [*key, "ord", "start", "end"], "attempt", "answer").withColumnRenamed("voted", "answer")
+    else:
+        voted = answers
+    parts = voted.groupBy(*key).agg(F.collect_list(F.struct("ord", F.col("answer").alias("text"), "start", "end")).alias("_c"))
+    return parts.select(*key, merge_chunks(F.col("_c")).alias("denoised"))
+
+
+def dictionary_backend(table: dict[str, str]) -> Callable[[], Backend]:
+    """A backend that replaces whole words of the last message; for tests and as a baseline."""
+
+    def factory() -> Backend:
+        return lambda prompts: [" ".join(table.get(w, w) for w in p[-1]["content"].split(" ")) for p in prompts]
+
+    return factory

@@ -1,0 +1,131 @@
+"""Error statistics: character frequencies, shares, merged counters, the common errors by one-dimensional clustering."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folium.operators.align import SHAPES
+
+#: Distinct values that are clustered at once, exactly; more are first put into bins of equal width.
+CLUSTER_VALUES = 5_000
+
+
+def character_counts(df: DataFrame, text: str) -> DataFrame:
+    """(symbol, n): characters of the texts joined by blanks without line ends, and the shapes of two letters at every position.
+
+    Blanks between texts are counted as one less than the texts; no text is put
+    together with another.
+    """
+    flat = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\n\r]", "")
+    d = df.select(flat.alias("t"))
+    chars = d.select(F.explode(F.filter(F.split("t", ""), lambda c: c != "")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
+    between = d.agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n")).select(F.lit(" ").alias("symbol"), "n")
+    shapes = d.agg(*[F.coalesce(F.sum((F.length("t") - F.length(F.regexp_replace("t", two, ""))) / 2), F.lit(0)).cast("bigint").alias(two) for two, _ in SHAPES])
+    shapes = shapes.select(F.explode(F.array(*[F.struct(F.lit(two).alias("symbol"), F.col(two).alias("n")) for two, _ in SHAPES])).alias("x")).select("x.*")
+    return chars.unionByName(between).unionByName(shapes).groupBy("symbol").agg(F.sum("n").alias("n"))
+
+
+def overlapping_count(text: Column, shape: str) -> Column:
+    """Positions where a shape stands, overlapping ones included."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(len(shape))) == shape))
+
+
+def shares(counts: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """counts with `share`, of the whole or within the given columns; null where the whole is 0.
+
+    The total is an aggregate joined back, so no partition holds all rows.
+    """
+    keys = within or []
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    joined = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))
+    return joined.withColumn("share", F.col("n") / F.nullif(F.col("_total"), F.lit(0))).drop("_total")
+
+
+def letter_shares(errors: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(kind, gt_char, ocr_char, n, rate): errors of a symbol by its occurrences in the clean text, to three places; errors never seen are dropped."""
+    occ = symbols.select(F.col("symbol").alias("gt_char"), F.col("n").alias("_occ"))
+    return errors.where("n <> 0").join(occ, "gt_char").withColumn("rate", F.bround(F.col("n") / F.nullif(F.col("_occ"), F.lit(0)), 3)).drop("_occ")
+
+
+def merged(*counters: DataFrame) -> DataFrame:
+    """Sum of counters with columns kind, gt_char, ocr_char and n; what does not stay above 0 is dropped."""
+    out = counters[0]
+    for c in counters[1:]:
+        out = out.unionByName(c)
+    return out.groupBy("kind", "gt_char", "ocr_char").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def space_totals(errors: DataFrame) -> DataFrame:
+    """(kind, n) of blanks added and removed, 0 for a kind that does not occur."""
+    kinds = errors.sparkSession.createDataFrame([("space_added",), ("space_removed",)], "kind string")
+    sums = errors.where("kind in ('space_added', 'space_removed')").groupBy("kind").agg(F.sum("n").alias("n"))
+    return kinds.join(sums, "kind", "left").fillna(0, ["n"])
+
+
+def cluster_breaks(values: np.ndarray, weights: np.ndarray, k: int) -> list[float]:
+    """Smallest values of the clusters of an exact one-dimensional k-means over sorted distinct values, by dynamic programming."""
+    n = len(values)
+    if n <= k:
+        return values.tolist()
+    w, wx, wxx = (np.concatenate([[0], np.cumsum(a)]) for a in (weights, weights * values, weights * values**2))
+
+    def cost(i: np.ndarray, j: int) -> np.ndarray:
+        s = w[j] - w[i]
+        return wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / np.maximum(s, 1e-300)
+
+    best = np.array([0.0] + [float(cost(np.array([0]), j)[0]) for j in range(1, n + 1)])
+    back = []
+    for _ in range(k - 1):
+        new, arg = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
+        for j in range(1, n + 1):
+            i = np.arange(j)
+            total = best[i] + cost(i, j)
+            arg[j] = int(np.argmin(total))
+            new[j] = total[arg[j]]
+        best = new
+        back.append(arg)
+    starts, j = [], n
+    for arg in reversed(back):
+        j = arg[j]
+        starts.append(j)
+    return sorted({float(values[min(s, n - 1)]) for s in [0, *starts]})
+
+
+def common_errors(errors: DataFrame, value: str, clusters: int, top: int) -> DataFrame:
+    """errors of the `top` clusters with the largest values, with their cluster's rank (1 = largest).
+
+    Only distinct values come to the driver, at most CLUSTER_VALUES of them;
+    beyond that, the means of as many bins of equal width.
+    """
+    v = errors.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    if v.limit(CLUSTER_VALUES + 1).count() > CLUSTER_VALUES:
+        lo, hi = v.agg(F.min("v"), F.max("v")).first()
+        bins = F.least(F.floor((F.col("v") - lo) / (hi - lo) * CLUSTER_VALUES), F.lit(CLUSTER_VALUES - 1))
+        v = v.groupBy(bins.alias("b")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"), F.min("v").alias("lo"))
+        rows = v.select("lo", "v", "w").orderBy("v").collect()
+        names = {r["v"]: r["lo"] for r in rows}
+    else:
+        rows = v.orderBy("v").collect()
+        names = {r["v"]: r["v"] for r in rows}
+    if not rows:
+        return errors.withColumn("cluster", F.lit(None).cast("int")).limit(0)
+    breaks = [names[b] for b in cluster_breaks(np.array([r["v"] for r in rows]), np.array([float(r["w"]) for r in rows]), clusters)]
+    rank = sum((F.when(F.col(value) < b, 1).otherwise(0) for b in breaks), F.lit(0)) + 1
+    return errors.where(F.col(value).isNotNull()).withColumn("cluster", rank.cast("int")).where(F.col("cluster") <= top)
+
+
+def error_distribution(errors: DataFrame, drop: tuple[tuple[str, str], ...] = ((" ", "\n"),), clusters: int = 5, top: int = 3) -> DataFrame:
+    """Common errors per kind: shares within the kind, the dropped pairs taken out after that, then the top clusters, largest first."""
+    d = shares(errors, ["kind"])
+    for a, b in drop:
+        d = d.where(~((F.col("gt_char") == a) & (F.col("ocr_char") == b)))
+    parts = [common_errors(d.where(F.col("kind") == k), "share", clusters, top) for k in ("sub", "ins", "del")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("kind", F.col("share").desc(), "gt_char", "ocr_char")
+
+
+def most_frequent(errors: DataFrame, n: int) -> DataFrame:
+    """The n most frequent errors with their rank; ties by symbol."""
+    w = Window.orderBy(F.col("n").desc(), "kind", "gt_char", "ocr_char")
+    return errors.orderBy(F.col("n").desc(), "kind", "gt_char", "ocr_char").limit(n).withColumn("rank", F.row_number().over(w))
