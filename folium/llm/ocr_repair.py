@@ -25,6 +25,9 @@ from folium.llm.common import durable, settled
 BREAKS = "-¬‐=­"
 # Groups of letters read for one another, beside single letters.
 CONFUSABLE_GROUPS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("lr", "h"), ("ii", "u"), ("ll", "u"), ("vv", "w"), ("in", "m"), ("ni", "m"), ("tl", "d"), ("fi", "h"), ("iu", "m"), ("rr", "n"), ("lc", "k"))
+#: White space within lines, and the marks around words.
+_BLANK = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_BEFORE, _AFTER = "“”„\"'‘’([«¿", "”“\"'‘’)]».,;:!?"
 _EDGE = r"(?<![^\s])[“”„\"'‘’(\[«¿]+|[”“\"'‘’)\]».,;:!?]+(?![^\s])"
 ROMAN = r"c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 #: Words of at most this many letters are looked for as variants at distance two; longer ones too, but shorter ones than LEAST_TWO are not.
@@ -68,7 +71,7 @@ def page_lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
     most one short line more, without a page number, has no header.
     """
     d = df.where(F.col(text).isNotNull()).select(*key, F.split(F.col(text), "\n").alias("_l"))
-    d = d.withColumn("_l", F.transform("_l", lambda x: F.regexp_replace(x, r"[\s\p{Z}]+$", "")))
+    d = settled(d, _l=F.transform("_l", lambda x: F.rtrim(x, F.lit(_BLANK))))
     d = settled(d, _nb=F.filter(F.transform("_l", lambda x, i: F.when(F.length(F.trim(x)) > 0, i)), lambda i: i.isNotNull()))
     ends = F.array(F.get("_nb", F.lit(0)), F.get("_nb", F.size("_nb") - 1))
     d = settled(d, _ends=ends)
@@ -77,11 +80,12 @@ def page_lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
     plain = F.filter(F.transform("_l", lambda x, i: F.when(F.get(F.col("_k"), i) == "body", F.length(F.trim(x)))), lambda n: n.isNotNull())
     title = ~F.array_contains("_k", "pagenum") & ((F.size(plain) == 0) | ((F.size(plain) == 1) & (F.get(plain, F.lit(0)) <= 16)))
     d = settled(d, _k=F.when(title, F.transform("_k", lambda k: F.when(k == "header", "body").otherwise(k))).otherwise(F.col("_k")))
-    breaks = rf"\p{{L}}[{BREAKS}]$"
+    broken = lambda x: F.right(x, F.lit(2)).rlike(rf"^\p{{L}}[{BREAKS}]$")
     body = F.filter(F.transform("_k", lambda k, i: F.when(k == "body", i)), lambda i: i.isNotNull())
     d = settled(d, _b=body)
-    after = F.transform("_b", lambda i, n: F.when(F.get("_l", i).rlike(breaks), F.struct(i.alias("i"), F.get(F.col("_b"), n + 1).alias("j"))))
-    d = settled(d, _a=F.map_from_entries(F.filter(after, lambda x: x.isNotNull())), _j=F.transform(F.filter(after, lambda x: x.isNotNull()), lambda x: x["j"]))
+    after = F.transform("_b", lambda i, n: F.when(broken(F.get("_l", i)), F.struct(i.alias("i"), F.get(F.col("_b"), n + 1).alias("j"))))
+    d = settled(d, _a=F.filter(after, lambda x: x.isNotNull()))
+    d = settled(d, _a=F.map_from_entries("_a"), _j=F.transform("_a", lambda x: x["j"]))
 
     def row(x: Column, i: Column) -> Column:
         j = F.try_element_at("_a", i)
@@ -94,23 +98,30 @@ def page_lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
     return d.select(*key, F.inline(F.transform("_l", row)))
 
 
+def _bare(word: Column) -> Column:
+    return F.ltrim(F.rtrim(word, F.lit(_AFTER)), F.lit(_BEFORE))
+
+
 def words_of(line: Column) -> Column:
     """Lower-case words of a line without the marks around them; dashes part words."""
     # mixed cases of roman letters, and the capital numeral before a small word, are no numerals: a mark keeps them apart
-    seen = F.regexp_replace(F.regexp_replace(line, r"\b(i)(?=I\b)|\b(l)(?=[IVXLC]+\b)|(?<![A-Z.] )\b(I)(?=I \p{Ll})", "$1$2$3¦"), "[—–]+|--+", " ")
-    return F.filter(F.split(F.regexp_replace(F.lower(seen), _EDGE, ""), r"[\s\p{Z}]+"), lambda w: w != "")
+    odd = F.regexp_replace(line, r"\b(i)(?=I\b)|\b(l)(?=[IVXLC]+\b)|(?<![A-Z.] )\b(I)(?=I \p{Ll})", "$1$2$3¦")
+    seen = F.when(line.rlike("II|iI|l[IVXLC]"), odd).otherwise(line)
+    plain = F.replace(F.replace(F.lower(seen), F.lit("—"), F.lit(" ")), F.lit("–"), F.lit(" "))
+    plain = F.when(plain.rlike(rf"[{_BLANK.replace(' ', '')}]|--"), F.regexp_replace(plain, rf"[{_BLANK}]|--+", " ")).otherwise(plain)
+    return F.filter(F.transform(F.split(plain, " "), _bare), lambda w: w != "")
 
 
 def line_words(lines: DataFrame, key: list[str]) -> DataFrame:
-    """(key, line_no, words, last_part, first_part): the words of body lines; of a word broken at the line end the parts stand apart."""
-    body = lines.where("kind = 'body'")
+    """(key, line_no, kind, words, last_part, first_part): the words of body lines; of a word broken at the line end the parts stand apart. Edge lines have no words; blank body lines are left out."""
     inner = F.when(F.col("continues"), F.regexp_replace("line", r"^\s*\S+", "")).otherwise(F.col("line"))
     inner = F.when(F.col("broken"), F.regexp_replace(inner, r"\S+$", "")).otherwise(inner)
     part = F.regexp_extract(F.lower(F.regexp_replace("line", "[—–]+", " ")), rf"(\S+)[{BREAKS}]$", 1)
-    clean = lambda c: F.regexp_replace(c, _EDGE, "")
-    return body.select(
-        *key, "line_no", words_of(inner).alias("words"), F.when(F.col("broken"), clean(part)).alias("last_part"),
-        clean(F.get(F.split(F.lower("tail"), "[—–]"), F.lit(0))).alias("first_part"),
+    body = F.col("kind") == "body"
+    d = lines.where(~body | (F.length("line") > 0)).withColumn("_in", inner)
+    return d.select(
+        *key, "line_no", "kind", F.when(body, words_of(F.col("_in"))).otherwise(F.array().cast("array<string>")).alias("words"), F.when(body & F.col("broken"), _bare(part)).alias("last_part"),
+        F.when(body & F.col("tail").isNotNull(), _bare(F.get(F.split(F.lower("tail"), "[—–]"), F.lit(0)))).alias("first_part"),
     )
 
 
@@ -216,10 +227,16 @@ def line_faults(words: DataFrame, key: list[str], lex: DataFrame, noise: DataFra
     rare = spread.withColumn("prev", F.when(F.col("pos") > 0, F.get("_w", F.greatest(F.col("pos") - 1, F.lit(0))))).withColumn("next", F.get("_w", F.col("pos") + 1)).drop("_w", "pos").join(top, "word", "left_anti")
     rare = rare.where(~_ordinary(F.col("word")))
     wrong = rare.join(noise.select("word", F.lit(True).alias("bad")), "word", "left").join(lex.select("word", "known"), "word", "left")
-    wrong = wrong.where(~F.coalesce("known", F.lit(False)))
+    wrong = durable(wrong.where(~F.coalesce("known", F.lit(False))).select(*key, "line_no", "word", "prev", "next", "bad"))
     sure = wrong.where("bad").select(*key, "line_no")
     open_ = wrong.where("bad is null")
     whole = open_.select(*key, "line_no", F.explode(F.array(F.concat("prev", "word"), F.concat("word", "next"))).alias("word")).where("word is not null").join(lex.where("known").select("word"), "word").select(*key, "line_no")
+    misread = sure.unionByName(whole).withColumn("kind", F.lit("misread"))
+    return misread.unionByName(broken_words(words, key, lex, noise)).distinct()
+
+
+def broken_words(words: DataFrame, key: list[str], lex: DataFrame, noise: DataFrame) -> DataFrame:
+    """(key, line_no, kind) of the words broken at line ends: hyphen where the mark must go, misread for the line with the wrong part."""
     broken = words.where("last_part is not null").select(*key, "line_no", "last_part", F.coalesce("first_part", F.lit("")).alias("first_part"))
     broken = broken.withColumn("word", F.concat("last_part", "first_part")).withColumn("hyphened", F.concat_ws("-", "last_part", "first_part"))
     known = lex.where("known").select("word", "n")
@@ -229,11 +246,11 @@ def line_faults(words: DataFrame, key: list[str], lex: DataFrame, noise: DataFra
     faulty = b.where(F.col("nj").isNull() & ~F.col("compound") & F.col("fix").isNotNull() & ~F.contains("fix", F.lit(" ")))
     first = F.substring("fix", F.lit(1), F.length("last_part")) == F.col("last_part")
     misjoined = faulty.select(*key, F.when(first, F.col("line_no") + 1).otherwise(F.col("line_no")).alias("line_no"))
-    misread = sure.unionByName(whole).unionByName(misjoined).withColumn("kind", F.lit("misread"))
-    return misread.unionByName(hyphen).distinct()
+    return misjoined.withColumn("kind", F.lit("misread")).unionByName(hyphen)
 
 
 def edge_faults(lines: DataFrame, key: list[str]) -> DataFrame:
+    """(key, line_no, kind) of headers and page numbers."""
     return lines.where("kind <> 'body'").select(*key, "line_no", "kind")
 
 
@@ -241,13 +258,11 @@ def page_faults(pages: DataFrame, key: list[str], text: str, trusted: list[tuple
     """(src_field, key, line_no, kind): the noisy lines of scanned pages, and the page layout left in trusted texts.
 
     trusted: (name, table, column) of clean texts with the same key, whose words
-    decide which words are sound. Word tables are kept between the steps; page
-    and trusted texts are each read once for the words and once for the lines.
+    decide which words are sound. Every text is read and taken apart once; the
+    words by line are kept for the steps that follow.
     """
-    lines = page_lines(pages, key, text)
-    words = line_words(lines, key)
-    clean = [(name, page_lines(df, key, column)) for name, df, column in trusted]
-    clean_words = [(name, line_words(ls, key)) for name, ls in clean]
+    words = durable(line_words(page_lines(pages, key, text), key))
+    clean_words = [(name, durable(line_words(page_lines(df, key, column), key))) for name, df, column in trusted]
     counts = None
     for _, w in clean_words:
         counts = count_words(w) if counts is None else counts.unionByName(count_words(w))
@@ -255,9 +270,9 @@ def page_faults(pages: DataFrame, key: list[str], text: str, trusted: list[tuple
         counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
     lex = durable(lexicon(count_words(words), counts))
     noise = durable(noise_words(lex))
-    out = edge_faults(lines, key).unionByName(line_faults(words, key, lex, noise)).withColumn("src_field", F.lit(text))
-    for (name, ls), (_, ws) in zip(clean, clean_words):
-        layout = edge_faults(ls, key).unionByName(line_faults(ws.where("last_part is not null").withColumn("words", F.array().cast("array<string>")), key, lex, noise).where("kind = 'hyphen'"))
+    out = edge_faults(words, key).unionByName(line_faults(words, key, lex, noise)).withColumn("src_field", F.lit(text))
+    for name, ws in clean_words:
+        layout = edge_faults(ws, key).unionByName(broken_words(ws, key, lex, noise).where("kind = 'hyphen'"))
         out = out.unionByName(layout.withColumn("src_field", F.lit(name)))
     return out.select("src_field", *key, "line_no", "kind").distinct()
 
