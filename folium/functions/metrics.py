@@ -27,14 +27,29 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(r, tx.strip(hypothesis)) / F.nullif(F.length(r), F.lit(0))
 
 
-def word_distance(a: Column, b: Column) -> Column:
+def _let(values: dict[str, Column], f: Callable[[Column], Column]) -> Column:
+    """f of a struct of the values, each of them computed once per row however often f uses it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), f), F.lit(0))
+
+
+def _encoded_distance(a: Column, b: Column) -> Column:
     """Edit distance of two word arrays: every distinct word of the two becomes one code point of a string."""
-    vocabulary = F.array_distinct(F.concat(a, b))
 
-    def encode(ws: Column) -> Column:
+    def encode(ws: Column, vocabulary: Column) -> Column:
         return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 256), 4, "0")), "UTF-16BE")), "")
 
-    return F.when(F.size(vocabulary) < _ALPHABET_LIMIT, F.levenshtein(encode(a), encode(b))).otherwise(_word_distance(a, b))
+    def distance(s: Column) -> Column:
+        d = F.levenshtein(encode(s["a"], s["v"]), encode(s["b"], s["v"]))
+        return F.when(F.size(s["v"]) < _ALPHABET_LIMIT, d)
+
+    return _let({"a": a, "b": b, "v": F.array_distinct(F.concat(a, b))}, distance)
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two word arrays of any vocabulary; a Python stage takes the pairs that one plane of code points can't hold."""
+    native = _encoded_distance(a, b)
+    large = F.size(F.array_distinct(F.concat(a, b))) >= _ALPHABET_LIMIT
+    return F.coalesce(native, _word_distance(F.when(large, a), F.when(large, b)))
 
 
 @F.pandas_udf(IntegerType())
@@ -58,24 +73,30 @@ def wer(reference: Column, hypothesis: Column, long_texts: bool = False) -> Colu
     long_texts: also handle pairs with more distinct words than one plane of
     code points holds; this puts a Python stage into the plan.
     """
-    r, h = tx.wer_words(reference), tx.wer_words(hypothesis)
-    vocabulary = F.array_distinct(F.concat(r, h))
-
-    def encode(ws: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 256), 4, "0")), "UTF-16BE")), "")
-
-    distance = word_distance(r, h) if long_texts else F.levenshtein(encode(r), encode(h))
-    return distance / F.nullif(F.size(r), F.lit(0))
+    distance = word_distance if long_texts else _encoded_distance
+    if long_texts:
+        r, h = tx.wer_words(reference), tx.wer_words(hypothesis)
+        return distance(r, h) / F.nullif(F.size(r), F.lit(0))
+    words = {"r": tx.wer_words(reference), "h": tx.wer_words(hypothesis)}
+    return _let(words, lambda s: distance(s["r"], s["h"]) / F.nullif(F.size(s["r"]), F.lit(0)))
 
 
 def overlap(reference: Column, hypothesis: Column, n: int) -> Column:
     """struct<p, r, f> of clipped n-gram overlap of two token arrays, without stemming."""
-    a, b = tx.ngrams(reference, n), tx.ngrams(hypothesis, n)
     count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    hits = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
-    p, r = hits / F.nullif(F.size(b), F.lit(0)), hits / F.nullif(F.size(a), F.lit(0))
-    p, r = F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0))
-    return F.struct(p.alias("p"), r.alias("r"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
+
+    def score(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        hits = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
+        return F.struct(hits.alias("h"), F.size(a).alias("n"), F.size(b).alias("m"))
+
+    def rates(s: Column) -> Column:
+        p, r = F.coalesce(s["h"] / F.nullif(s["m"], F.lit(0)), F.lit(0.0)), F.coalesce(s["h"] / F.nullif(s["n"], F.lit(0)), F.lit(0.0))
+        return F.struct(p.alias("p"), r.alias("r"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
+
+    grams = _let({"x": reference, "y": hypothesis}, lambda s: F.struct(tx.ngrams(s["x"], n).alias("a"), tx.ngrams(s["y"], n).alias("b")))
+    counts = F.transform(F.array(grams), score)
+    return F.get(F.transform(counts, rates), F.lit(0))
 
 
 _TOKEN = re.compile("[^a-z0-9]+")

@@ -289,9 +289,9 @@ def order_swaps(spark, d):
     return s.groupBy("side_a", "side_b", "criterion").agg(F.count(F.when(F.col("swap"), 1)).alias("shown_swapped"), F.sum("shown").alias("shown"), F.sum("back").alias("kept"))
 
 
-@query(f"WITH {_JUDGE} SELECT criterion, page_id, side_a, side_b, epoch_us(judged_at) AS judged_us, label FROM judge_long")
+@query(f"WITH {_JUDGE} SELECT criterion, page_id, side_a, side_b, epoch_us(judged_at) AS judged_us, label::DOUBLE AS label FROM judge_long")
 def labels_by_criterion(spark, d):
-    return judge_labels(spark, d).select("criterion", "page_id", "side_a", "side_b", F.unix_micros("judged_at").alias("judged_us"), "label")
+    return judge_labels(spark, d).select("criterion", "page_id", "side_a", "side_b", F.unix_micros("judged_at").alias("judged_us"), F.col("label").cast("double").alias("label"))
 
 
 @query(f"WITH {_JUDGE} SELECT page_id, criterion, max_by(label, (side_a, side_b, judged_at)) AS label FROM judge_long WHERE label IS NOT NULL GROUP BY ALL")
@@ -300,6 +300,7 @@ def labels_last_wins(spark, d):
     return sm.last_wins(long, ["page_id"], "ord")
 
 
-@query(f"WITH {_JUDGE} SELECT side_a, side_b, page_id, " + ", ".join(f"max({c}) AS {c}" for c in CRITERIA) + " FROM turned GROUP BY ALL")
+@query(f"WITH {_JUDGE} SELECT side_a, side_b, page_id, " + ", ".join(f"max({c})::DOUBLE AS {c}" for c in CRITERIA) + " FROM turned GROUP BY ALL")
 def label_matrix(spark, d):
-    return sm.label_matrix(judge_labels(spark, d), ["side_a", "side_b", "page_id"])
+    m = sm.label_matrix(judge_labels(spark, d), ["side_a", "side_b", "page_id"])
+    return m.select("side_a", "side_b", "page_id", *[F.col(c).cast("double").alias(c) for c in CRITERIA])
