@@ -37,18 +37,17 @@ def _likelihood(t: int) -> Column:
 
 def _posteriors(labels: DataFrame, params: DataFrame, prior: DataFrame, item: list[str], classes: tuple[int, ...]) -> DataFrame:
     """labels with the item's class probabilities as p0, p1, ...; the labels stay partitioned by item."""
-    d = labels.join(F.broadcast(params), ["criterion", "annotator", "label"], "left").join(F.broadcast(prior), "criterion", "left")
+    known = params.select("criterion", "annotator", "label", "c", "g", *[_likelihood(t).alias(f"l{t}") for t in classes])
+    d = labels.join(F.broadcast(known), ["criterion", "annotator", "label"], "left").join(F.broadcast(prior), "criterion", "left")
     w = Window.partitionBy("criterion", *item)
-    for t in classes:
-        d = d.withColumn(f"s{t}", F.sum(_likelihood(t)).over(w) + F.log(f"prior{t}"))
+    d = d.select("*", *[F.sum(f"l{t}").over(w).alias(f"_w{t}") for t in classes])
+    d = d.select("*", *[(F.col(f"_w{t}") + F.log(f"prior{t}")).alias(f"s{t}") for t in classes])
     top = F.greatest(*[F.col(f"s{t}") for t in classes])
     total = sum((F.exp(F.col(f"s{t}") - top) for t in classes), F.lit(0.0))
-    for t in classes:
-        d = d.withColumn(f"p{t}", F.exp(F.col(f"s{t}") - top) / total)
-    return d
+    return d.select("*", *[(F.exp(F.col(f"s{t}") - top) / total).alias(f"p{t}") for t in classes]).drop(*[f"_w{t}" for t in classes])
 
 
-def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES, rounds: int = 30, tol: float = 1e-3, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES, rounds: int = 20, tol: float = 2e-3, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(labels with class probabilities, parameters) after expectation-maximisation.
 
     parameters: criterion, annotator, label, c (competence), g (probability of
@@ -57,8 +56,8 @@ def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES,
     distinct annotators are few (checked), by shuffle otherwise.
     """
     k = len(classes)
-    per_item = durable(labels.repartition("criterion", *item))
-    per_item = per_item.repartition("criterion", *item).persist()
+    # kept by item and in order, so that no round shuffles or sorts the labels again
+    per_item = labels.repartition("criterion", *item).sortWithinPartitions("criterion", *item).persist()
     who = per_item.select("criterion", "annotator").distinct()
     params = who.withColumn("label", F.explode(F.array(*map(F.lit, classes)))).withColumn("c", F.lit(0.7)).withColumn("g", F.lit(1.0 / k))
     prior = per_item.select("criterion").distinct()
@@ -120,7 +119,7 @@ def annotator_report(posteriors: DataFrame, params: DataFrame, classes: tuple[in
     """
     d = posteriors
     for t in classes:
-        d = d.withColumn(f"o{t}", F.col(f"s{t}") - _likelihood(t))
+        d = d.withColumn(f"o{t}", F.col(f"s{t}") - F.col(f"l{t}"))
     top = F.greatest(*[F.col(f"o{t}") for t in classes])
     total = sum((F.exp(F.col(f"o{t}") - top) for t in classes), F.lit(0.0))
     others = Window.partitionBy("criterion", "annotator")
