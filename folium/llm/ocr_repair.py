@@ -50,12 +50,13 @@ def _running_title(line: Column) -> Column:
 def _page_number(line: Column, edge: Column) -> Column:
     """Whether a line holds nothing but a page number, arabic or small roman, with its marks; digits may be misread as letters.
 
-    At the page's edge a single roman letter or a small word of roman letters counts as well.
+    At the page's edge a single roman letter or a small word of roman letters
+    counts as well. A number all of whose digits are misread is not told from
+    the rest of a broken word.
     """
     core = F.regexp_replace(F.regexp_replace(line, r"^[^\p{L}\p{N}]*(?:p\.\s*)?", ""), r"[^\p{L}\p{N}|!]+", "")
     bare = F.regexp_replace(line, r"\s+", "").rlike(r"^[\p{L}\p{N}]+$")
     number = core.rlike(r"^[0-9lIoOiStszZB&A|!]{1,4}$") & core.rlike("[0-9]") & (~bare | (F.length(core) < 4))
-    number = number | (edge & ~bare & core.rlike(r"^[tlIioOsSzZB&|!]{2}$") & line.rlike(r"[^\p{L}\p{N}\s]"))
     letters = F.translate(core, "1I|!jíì", "iiiiiii")
     roman = core.rlike("^[a-z1|!jíìI]+$") & core.rlike("[a-z]") & letters.rlike(rf"^(?=.){ROMAN}$") & (edge | ~bare | ((F.length(core) > 1) & ~core.isin("li", "mi", "vi", "ci", "di", "mix")))
     return (F.length(F.trim(line)) <= 14) & (number | roman)
