@@ -96,11 +96,16 @@ def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b: texts that look the same and are different characters.
 
-    Digests are kept once; classes of one exact text, however many copies they
-    have, are dropped by an aggregate before any pair is formed.
+    Digests are kept once. Different texts of one look are paired, not their
+    copies; copies come in by their text, so that equal texts, however many
+    there are, never meet each other. Classes of one text drop out in an
+    aggregate before that.
     """
     members = durable(look_alike_members(df, key, text).distinct())
-    mixed = members.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select("look")
-    left = members.join(mixed, "look")
-    a, b = left.alias("a"), left.alias("b")
-    return a.join(b, F.col("a.look") == F.col("b.look")).where("a.exact <> b.exact and a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    texts = members.groupBy("look", "exact").agg(F.count("*").alias("n"))
+    mixed = texts.groupBy("look").agg(F.count("*").alias("texts")).where("texts > 1").select("look")
+    texts = texts.join(mixed, "look").select("look", "exact")
+    differing = texts.select("look", F.col("exact").alias("e1")).join(texts.select("look", F.col("exact").alias("e2")), "look").where("e1 < e2").select("e1", "e2")
+    one, two = (members.select(F.col("id").alias(i), F.col("exact").alias(e)) for i, e in (("x", "e1"), ("y", "e2")))
+    pairs = differing.join(one, "e1").join(two, "e2").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
