@@ -7,7 +7,9 @@ each item and both parameters of each annotator.
 
 Labels outside the classes, nulls and rows without item or annotator count as
 not given; of several labels of one annotator on one item the latest counts. An
-item without labels has no consensus. Ties fall to the smaller label. Empty
+item without labels has no consensus. An item has at most one label of each
+annotator, so the rows of one item, which one window takes, are no more than
+there are annotators. Ties fall to the smaller label. Empty
 tables give empty results.
 """
 
@@ -35,10 +37,10 @@ def _likelihood(t: int) -> Column:
     return F.log(right + (1 - F.col("c")) * F.col("g"))
 
 
-def _posteriors(labels: DataFrame, params: DataFrame, prior: DataFrame, item: list[str], classes: tuple[int, ...]) -> DataFrame:
-    """labels with the item's class probabilities as p0, p1, ...; the labels stay partitioned by item."""
+def _posteriors(labels: DataFrame, params: DataFrame, prior: DataFrame, item: list[str], classes: tuple[int, ...], few: bool) -> DataFrame:
+    """labels with the item's class probabilities as p0, p1, ...; few: the parameter table is small enough to broadcast, and the labels stay partitioned by item."""
     known = params.select("criterion", "annotator", "label", "c", "g", *[_likelihood(t).alias(f"l{t}") for t in classes])
-    d = labels.join(F.broadcast(known), ["criterion", "annotator", "label"], "left").join(F.broadcast(prior), "criterion", "left")
+    d = labels.join(F.broadcast(known) if few else known, ["criterion", "annotator", "label"], "left").join(F.broadcast(prior), "criterion", "left")
     w = Window.partitionBy("criterion", *item)
     d = d.select("*", *[F.sum(f"l{t}").over(w).alias(f"_w{t}") for t in classes])
     d = d.select("*", *[(F.col(f"_w{t}") + F.log(f"prior{t}")).alias(f"s{t}") for t in classes])
@@ -67,7 +69,7 @@ def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES,
     small = who.limit(100_001).count() <= 100_000
     p_schema, prior_schema = "criterion string, annotator string, label int, c double, g double", "criterion string, " + ", ".join(f"prior{t} double" for t in classes)
     for _ in range(rounds):
-        post = _posteriors(per_item, params, prior, item, classes)
+        post = _posteriors(per_item, params, prior, item, classes, small)
         own = sum((F.when(F.col("label") == t, F.col(f"p{t}")).otherwise(0.0) for t in classes), F.lit(0.0))
         truthful = own * F.col("c") / (F.col("c") + (1 - F.col("c")) * F.col("g"))
         counts = post.groupBy("criterion", "annotator", "label").agg(
@@ -96,7 +98,7 @@ def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES,
             old = now
         else:
             params, prior = durable(new), durable(new_prior)
-    return _posteriors(per_item, params, prior, item, classes), params
+    return _posteriors(per_item, params, prior, item, classes, small), params
 
 
 def consensus(posteriors: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES) -> DataFrame:
