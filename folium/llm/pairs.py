@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from folium.llm import cutoff
-from folium.llm.common import settled, spread, stripped
+from folium.llm.common import settled, stripped
 
 # Stand-ins for no value, letters and digits only.
 NO_VALUE = ("null", "none", "na", "nan", "nil", "undefined", "empty", "void", "missing", "blank", "nodata", "notext", "nocontent", "nooutput", "noanswer", "noresponse", "notavailable", "notapplicable")
@@ -196,8 +196,8 @@ def defects(pairs: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     p = pages.where("page_id is not null").groupBy("page_id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.col("text").isNull(), "text")).alias("_p"))
     p = p.select("page_id", F.lower("_p.lang").alias("_lang"), F.col("_p.text").alias("_page"))
     d = pairs.select(*dict.fromkeys([*key, "page_id"]), F.col("model1").alias("_m1"), F.col("model2").alias("_m2"), F.col("ground_truth").alias("_g"))
-    # the number of partitions is given, as the Python stage's work is not told by the bytes that adaptive execution would put together
-    d = spread(d, "page_id").join(p, "page_id", "left")
+    # no partitioning is forced here, so that adaptive execution may split a page that very many pairs share
+    d = d.join(p, "page_id", "left")
     ref = cutoff.body(stripped(F.col("_g")))
     d = settled(d, _ref=ref, _a1=cutoff.body(stripped(F.col("_m1"))), _a2=cutoff.body(stripped(F.col("_m2"))))
     made = {"_done": cutoff.finished(F.col("_ref"))}
