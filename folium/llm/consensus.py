@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from folium.llm.common import durable
 
 CLASSES = (0, 1, 2)
+#: Pairs of criterion and annotator whose parameters are kept in the driver and broadcast; more are kept in tables.
+FEW = 100_000
 
 
 def latest_labels(rows: DataFrame, item: list[str], annotator: str, criteria: list[str], order: list[str], classes: tuple[int, ...] = CLASSES) -> DataFrame:
@@ -49,6 +51,28 @@ def _posteriors(labels: DataFrame, params: DataFrame, prior: DataFrame, item: li
     return d.select("*", *[(F.exp(F.col(f"s{t}") - top) / total).alias(f"p{t}") for t in classes]).drop(*[f"_w{t}" for t in classes])
 
 
+def _maximise(sums: list[dict], known: list[tuple[str, str]], classes: tuple[int, ...], smoothing: float) -> tuple[list[tuple], list[tuple]]:
+    """Rows of parameters and of label frequencies from the expected counts of a round."""
+    k = len(classes)
+    n, kept, mass = {}, {}, {}
+    for r in sums:
+        key = r["criterion"], r["annotator"], r["label"]
+        n[key], kept[key] = r["n"], r["kept"]
+        for t in classes:
+            mass[r["criterion"], t] = mass.get((r["criterion"], t), 0.0) + r[f"m{t}"]
+    rows = []
+    for who in known:
+        all_n, all_kept = (sum(x.get((*who, t), 0) for t in classes) for x in (n, kept))
+        for t in classes:
+            spam = n.get((*who, t), 0) - kept.get((*who, t), 0)
+            rows.append((*who, t, float((all_kept + 0.5 * smoothing) / (all_n + smoothing)), float((spam + smoothing / k) / (all_n - all_kept + smoothing))))
+    prior = []
+    for c in sorted({c for c, _ in known}):
+        total = sum(mass.get((c, t), 0.0) for t in classes)
+        prior.append((c, *[(mass.get((c, t), 0.0) + 1) / (total + k) for t in classes]))
+    return rows, prior
+
+
 def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES, rounds: int = 20, tol: float = 2e-3, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(labels with class probabilities, parameters) after expectation-maximisation.
 
@@ -66,7 +90,8 @@ def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES,
     for t in classes:
         prior = prior.withColumn(f"prior{t}", F.lit(1.0 / k))
     spark, old = labels.sparkSession, {}
-    small = who.limit(100_001).count() <= 100_000
+    small = who.limit(FEW + 1).count() <= FEW
+    known = {(r["criterion"], r["annotator"]) for r in who.collect()} if small else set()
     p_schema, prior_schema = "criterion string, annotator string, label int, c double, g double", "criterion string, " + ", ".join(f"prior{t} double" for t in classes)
     for _ in range(rounds):
         post = _posteriors(per_item, params, prior, item, classes, small)
@@ -75,8 +100,15 @@ def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES,
         counts = post.groupBy("criterion", "annotator", "label").agg(
             F.count("*").alias("n"), F.sum(truthful).alias("kept"), *[F.sum(F.col(f"p{t}")).alias(f"m{t}") for t in classes]
         )
-        if not small:
-            counts = durable(counts)
+        if small:  # one pass over the labels a round; the sums are a few rows per annotator
+            rows, pri = _maximise([r.asDict() for r in counts.collect()], sorted(known), classes, smoothing)
+            params, prior = spark.createDataFrame(rows, p_schema), spark.createDataFrame(pri, prior_schema)
+            now = {r[:3]: r[3:] for r in rows}
+            if old and max((abs(x - y) for key in now for x, y in zip(now[key], old[key])), default=0) < tol:
+                break
+            old = now
+            continue
+        counts = durable(counts)
         by_who = Window.partitionBy("criterion", "annotator")
         grid = params.select("criterion", "annotator", "label").join(counts, ["criterion", "annotator", "label"], "left").fillna(0)
         spam = F.col("n") - F.col("kept")
@@ -87,17 +119,7 @@ def fit(labels: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES,
         )
         mass = counts.groupBy("criterion").agg(*[F.sum(f"m{t}").alias(f"m{t}") for t in classes])
         total = sum((F.col(f"m{t}") for t in classes), F.lit(0.0))
-        new_prior = mass.select("criterion", *[((F.col(f"m{t}") + 1) / (total + k)).alias(f"prior{t}") for t in classes])
-        if small:
-            rows, pri = new.collect(), None
-            pri = new_prior.collect() if rows else []
-            params, prior = spark.createDataFrame(rows, p_schema), spark.createDataFrame(pri, prior_schema)
-            now = {(r["criterion"], r["annotator"], r["label"]): (r["c"], r["g"]) for r in rows}
-            if old and max((abs(x - y) for key in now for x, y in zip(now[key], old[key])), default=0) < tol:
-                break
-            old = now
-        else:
-            params, prior = durable(new), durable(new_prior)
+        params, prior = durable(new), durable(mass.select("criterion", *[((F.col(f"m{t}") + 1) / (total + k)).alias(f"prior{t}") for t in classes]))
     return _posteriors(per_item, params, prior, item, classes, small), params
 
 

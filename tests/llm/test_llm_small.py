@@ -234,3 +234,13 @@ def test_consensus_of_nothing(spark):
     d = spark.createDataFrame([], "item int, who string, overall int, at int")
     post, params = consensus.fit(consensus.latest_labels(d, ["item"], "who", ["overall"], ["at"]), ["item"], rounds=2)
     assert consensus.consensus(post, ["item"]).count() == 0 and consensus.faults(consensus.annotator_report(post, params)).count() == 0
+
+
+def test_both_ways_to_maximise_agree(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [(i, w, t if rng.random() < p else rng.choice([0, 1, 2]), 1) for i in range(40) for t in [rng.choice([0, 1, 2])] for w, p in (("a", 0.9), ("b", 0.7), ("c", 0.1))]
+    labels = consensus.latest_labels(spark.createDataFrame(rows, "item int, who string, overall int, at int"), ["item"], "who", ["overall"], ["at"])
+    few = {(r["annotator"], r["label"]): (r["c"], r["g"]) for r in consensus.fit(labels, ["item"], rounds=2)[1].collect()}
+    monkeypatch.setattr(consensus, "FEW", 0)
+    many = {(r["annotator"], r["label"]): (r["c"], r["g"]) for r in consensus.fit(labels, ["item"], rounds=2)[1].collect()}
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k]) for k in few)
