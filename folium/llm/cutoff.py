@@ -48,23 +48,45 @@ def same_end(text: Column, reference: Column, letters_: int = 24) -> Column:
     return (F.length(a) == letters_) & (a == b)
 
 
-def remainder(reversed_text: Column, reversed_reference: Column, width: int = 24, step: int = 9, steps: int = 5) -> Column:
+def misread_end(reversed_text: Column, reversed_reference: Column, done: Column, width: int = 24, end: int = 12) -> Column:
+    """Whether a text goes on to the reference's end with other letters for some of the last `end`.
+
+    The `width` letters before those stand in the text. What follows them there is
+    compared: a beginning of the reference's last letters is a text that stops
+    among them, and so is one whose own last letters stand there before the end.
+    Else it is the end misread if few letters differ, or if the text is done, that
+    is ends a sentence in its own words.
+    """
+    at = F.call_function("locate", F.substring(reversed_reference, end + 1, width), reversed_text)
+    want = F.substring(reversed_reference, 1, end)
+    rest = F.substring(reversed_text, F.greatest(at - end, F.lit(1)), F.least(at - 1, F.lit(end)))
+    missing = end - (at - 1)
+    last = F.substring(reversed_text, 1, 3)
+    stands = [(missing + k > 0) & (F.substring(want, missing + k + 1, F.lit(3)) == last) for k in (-2, -1, 0, 1, 2)]
+    stops = (missing > 0) & (F.substring(want, missing + 1, F.length(rest)) == rest)
+    for x in stands:
+        stops = stops | ((at > 3) & x & (last != F.substring(want, 1, 3)))
+    alike = (F.abs(missing) <= 2) & (F.levenshtein(rest, want, 4) >= 0)
+    return (F.length(reversed_reference) >= width + end) & (at > 0) & ~stops & (alike | (missing <= 0) | done)
+
+
+def remainder(reversed_text: Column, reversed_reference: Column, done: Column, width: int = 24, step: int = 9, steps: int = 5) -> Column:
     """Letters of the reference after the place where the text stops; null if that place can't be found, 0 if the text holds the reference's end.
 
-    Both hold letters only, in reverse. The place is where the last `width` letters
-    stand in the reference; windows further back, and half as wide, stand in
-    where the last words differ.
+    Both hold letters only, in reverse; done: whether the text ends a sentence.
+    Only the reference's own last letters, or misread ones in their place, are its
+    end. The place is where the last `width` letters stand in the reference; windows
+    further back, and half as wide, stand in where the last words differ.
     """
-    windows = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k * step).alias("back")) for w in (width, width // 2) for k in range(steps)])
 
-    def after(o: Column) -> Column:
-        part = F.substring(reversed_text, o["back"] + 1, o["w"])
+    def after(w: int, back: int) -> Column:
+        part = F.substring(reversed_text, back + 1, w)
         found = F.call_function("locate", part, reversed_reference)
-        return F.when((F.length(part) == o["w"]) & (found > 0), F.greatest(found - 1 - o["back"], F.lit(0)))
+        return F.when((F.length(part) == w) & (found > 0), F.greatest(found - 1 - back, F.lit(0)))
 
-    tails = F.array(*[F.substring(reversed_reference, k + 1, width) for k in (0, 12)])
-    reached = F.exists(tails, lambda t: (F.length(t) == width) & (F.call_function("locate", t, reversed_text) > 0))
-    return F.when(reached, 0).otherwise(F.get(F.filter(F.transform(windows, after), lambda x: x.isNotNull()), F.lit(0)))
+    tail = F.substring(reversed_reference, 1, width)
+    reached = (F.length(tail) == width) & (F.call_function("locate", tail, reversed_text) > 0)
+    return F.when(reached | misread_end(reversed_text, reversed_reference, done, width), 0).otherwise(F.coalesce(*[after(w, k * step) for w in (width, width // 2) for k in range(steps)]))
 
 
 def spikes(lengths: DataFrame, around: int = 20, ratio: float = 5.0, least: int = 8) -> DataFrame:
@@ -83,7 +105,9 @@ def spikes(lengths: DataFrame, around: int = 20, ratio: float = 5.0, least: int
 
 def letters_left(text: Column, reference: Column) -> Column:
     """remainder() of two texts as body() gives them; equal ends are told without looking at the whole."""
-    return F.when(same_end(text, reference), 0).otherwise(remainder(F.reverse(letters(text)), F.reverse(letters(reference))))
+    # in a lambda, the letters of both are taken once
+    pair = F.array(F.struct(F.reverse(letters(text)).alias("t"), F.reverse(letters(reference)).alias("r"), finished(text).alias("done")))
+    return F.when(same_end(text, reference), 0).otherwise(F.get(F.transform(pair, lambda x: remainder(x["t"], x["r"], x["done"])), F.lit(0)))
 
 
 def measure(df: DataFrame, text: str, reference: str | None = None) -> DataFrame:

@@ -99,6 +99,30 @@ def test_letters_left(spark, text, left):
     assert got == (None if left == -1 else 0 if left == 0 else len(only(CLEAN)) - len(only(text)))
 
 
+PAGE_9 = "In the grey morning the widow walked slowly across the old bridge to the garden above the mill."
+
+
+def test_letters_left_near_the_end(spark):
+    left = {
+        PAGE_9[:-1]: 0, "Oh. " + PAGE_9.replace("mill", "rnill"): 0, PAGE_9.replace("mill", "mitt"): 0, PAGE_9.replace("the mill", "thc rnill"): 0, PAGE_9.replace("mill", "weir"): 0,
+        PAGE_9.replace("mill.", "river. And so they went home again."): 0, PAGE_9[:-6]: 4, PAGE_9[:-3]: 2, PAGE_9[:-10]: 7, PAGE_9[:-14]: 11, PAGE_9[:-15]: 12, PAGE_9.replace("above", "abave")[:-3]: 2, PAGE_9.replace("walked", "walkcd")[:-6]: 4,
+    }
+    d = spark.createDataFrame([(t, PAGE_9) for t in left], "t string, r string").coalesce(1)
+    got = d.select("t", cutoff.letters_left(cutoff.body(F.col("t")), cutoff.body(F.col("r"))).alias("left")).collect()
+    assert {r["t"]: r["left"] for r in got} == left
+
+
+def test_short_cuts_are_found(spark):
+    texts = {k: PAGE_9[:-1][:-k].rstrip() for k in range(1, 14)} | {20: PAGE_9, 21: PAGE_9.replace("mill", "rnill")}
+    d = spark.createDataFrame([(k, "s", t, PAGE_9, 99) for k, t in texts.items()], "id int, src string, text string, ref string, rec int").coalesce(1)
+    m = cutoff.measure(d, "text", "ref").localCheckpoint()
+    for recorded in (None, "rec"):
+        assert {r["id"] for r in cutoff.detect_cuts(m, "src", recorded).where("cut").collect()} == {*range(1, 14)}
+    p = d.select(F.col("id").alias("page_id"), F.col("ref").alias("model1"), F.col("text").alias("model2"), F.col("ref").alias("ground_truth"))
+    pages = spark.createDataFrame([(1, "en", "Other words stand here.")], "page_id int, lang string, text string")
+    assert {tuple(r) for r in pairs.defects(p, pages, ["page_id"]).collect()} == {(k, 2, "truncated") for k in range(1, 14)}
+
+
 # ---- leaks
 
 VOCABULARY = [a + b for a in ("lam", "bro", "ket", "vin", "sol", "dar", "mip", "tus") for b in ("per", "lin", "gat", "mos", "ruk", "fen")]
