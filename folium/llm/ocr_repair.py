@@ -278,12 +278,45 @@ def page_faults(pages: DataFrame, key: list[str], text: str, trusted: list[tuple
     return out.select("src_field", *key, "line_no", "kind").distinct()
 
 
+def _joined_parts(tokens: DataFrame, key: list[str], lex: DataFrame, common_words: int = 20_000) -> DataFrame:
+    """tokens with the two parts of a word that a blank has parted in one token.
+
+    tokens: (key, line_no, part, pos, token, glued, word, hyphened). Neighbours of
+    a line with no mark between them are parts where together they are a sound word
+    and one of them is none; of three such neighbours the first two count. The most
+    frequent sound words, at most `common_words` of them, are told by a broadcast,
+    so that only neighbours with a rarer word are looked up by shuffle.
+    """
+    top = F.broadcast(lex.where("known").orderBy(F.col("n").desc(), "word").limit(common_words).select("word", F.lit(True).alias("common")))
+    line = Window.partitionBy(*key, "line_no").orderBy("pos")
+    d = tokens.join(top, "word", "left").withColumn("common", F.coalesce("common", _ordinary(F.col("word"))))
+    d = d.select("*", *[F.lead(c).over(line).alias(f"_{c}") for c in ("glued", "word", "common")])
+    d = d.where(F.col("glued").rlike(r"\p{L}$") & F.col("_glued").rlike(r"^\p{L}") & ~(F.col("common") & F.col("_common")))
+    sound = lex.where("known").select("word")
+    pairs = d.select(*key, "line_no", "pos", F.col("word").alias("_a"), F.col("_word").alias("_b"), F.concat("word", "_word").alias("word")).join(sound, "word").drop("word")
+    for c in ("_a", "_b"):
+        pairs = pairs.join(sound.select(F.col("word").alias(c), F.lit(True).alias(f"{c}_sound")), c, "left").withColumn(f"{c}_sound", F.coalesce(f"{c}_sound", _ordinary(F.col(c))))
+    pairs = pairs.where(~(F.col("_a_sound") & F.col("_b_sound"))).select(*key, "line_no", "pos")
+    # neighbouring pairs share a token: of a row of them every other one counts
+    pairs = pairs.withColumn("_row", F.col("pos") - F.row_number().over(line))
+    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(*key, "line_no", "_row").orderBy("pos"))).where("_k % 2 = 1")
+    ends = pairs.select(*key, "line_no", F.explode(F.array(F.struct("pos", F.lit(1).alias("side")), F.struct((F.col("pos") + 1).alias("pos"), F.lit(2).alias("side")))).alias("_x")).select(*key, "line_no", "_x.pos", "_x.side")
+    d = tokens.join(ends, [*key, "line_no", "pos"], "left")
+    for c in ("glued", "word"):
+        d = d.withColumn(f"_{c}", F.lead(c).over(line))
+    d = d.withColumn("_first", F.col("side").isNotNull()).where("side is null or side = 1")
+    whole = {c: F.when(F.col("_first"), F.concat(c, f"_{c}")).otherwise(F.col(c)) for c in ("glued", "word")}
+    d = d.withColumns(whole | {"token": F.when(F.col("_first"), F.concat("glued", "_glued")).otherwise(F.col("token")), "hyphened": F.when(~F.col("_first"), F.col("hyphened"))})
+    return d.select(*tokens.columns)
+
+
 def repair(pages: DataFrame, key: list[str], text: str, lex: DataFrame, noise: DataFrame) -> DataFrame:
     """(key, repaired): continuous paragraphs of each text, without edge lines, words joined and misread words put right.
 
     Paragraphs are parted by an empty line, as blank and indented lines part
-    them in the text. A word keeps the marks around it, and a capital at its
-    beginning. A page is one row before and after; only its own words come
+    them in the text. The parts of a word with a blank in it are put together
+    before words are corrected. A word keeps the marks around it, and a capital at
+    its beginning. Texts without words have no row here, see repaired_pages(). A page is one row before and after; only its own words come
     together again.
     """
     lines = page_lines(pages, key, text).where("kind = 'body'")
@@ -293,9 +326,11 @@ def repair(pages: DataFrame, key: list[str], text: str, lex: DataFrame, noise: D
     own = F.when(F.col("continues"), F.regexp_replace("line", r"^\s*\S+", "")).otherwise(F.col("line"))
     stem = F.regexp_replace(own, rf"[{BREAKS}]$", "")
     whole = F.when(F.col("broken") & F.col("tail").isNotNull(), F.concat(stem, F.lit("\u0001"), F.col("tail"))).otherwise(own)
-    t = tokens.select(*key, "line_no", "part", F.posexplode(F.split(F.trim(F.regexp_replace(whole, "([—–]+)", "$1\u0002")), r"[\s\u0002]+")).alias("pos", "token")).where("token <> ''")
+    token = F.filter(F.split(F.trim(F.regexp_replace(whole, "([—–]+)", "$1\u0002")), r"[\s\u0002]+"), lambda x: x != "")
+    t = tokens.select(*key, "line_no", "part", F.posexplode(token).alias("pos", "token"))
     t = t.withColumn("glued", F.regexp_replace("token", "\u0001", "")).withColumn("word", F.regexp_replace(F.lower(F.regexp_replace("glued", "[—–]", "")), _EDGE, ""))
     t = t.withColumn("hyphened", F.when(F.contains("token", F.lit("\u0001")), F.regexp_replace(F.lower(F.regexp_replace("token", "\u0001", "-")), _EDGE, "")))
+    t = _joined_parts(durable(t), key, lex)
     known = lex.where("known")
     t = t.join(noise, "word", "left").join(known.select(F.col("word").alias("hyphened"), F.col("n").alias("nh")), "hyphened", "left")
     bare = F.regexp_replace(F.regexp_replace("glued", "[—–]", ""), _EDGE, "")
@@ -304,3 +339,11 @@ def repair(pages: DataFrame, key: list[str], text: str, lex: DataFrame, noise: D
     words = t.select(*key, "part", "line_no", "pos", text_.alias("w")).groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("line_no", "pos", "w"))).alias("ws"))
     para = words.select(*key, "part", F.regexp_replace(F.array_join(F.transform("ws", lambda x: x["w"]), " "), "([—–]) ", "$1").alias("p"))
     return para.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "p"))), lambda x: x["p"]), "\n\n").alias("repaired"))
+
+
+def repaired_pages(pages: DataFrame, key: list[str], text: str, lex: DataFrame, noise: DataFrame) -> DataFrame:
+    """repair() with every key of the pages: an empty repair where a text is null, blank or nothing but edge lines."""
+    done = repair(pages, key, text, lex, noise)
+    done = done.select(*[F.col(k).alias(f"_{k}") for k in key], "repaired")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return pages.select(*key).distinct().join(done, same, "left").select(*key, F.coalesce("repaired", F.lit("")).alias("repaired"))

@@ -31,7 +31,7 @@ def p1_corrections(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_pages(spark: SparkSession, d: str) -> DataFrame:
     lex, noise = _p1_tables(spark, d)
-    return ocr_repair.repair(table(spark, d, "ocr_pages").select("page_id", "text").distinct(), ["page_id"], "text", lex, noise)
+    return ocr_repair.repaired_pages(table(spark, d, "ocr_pages").select("page_id", "text").distinct(), ["page_id"], "text", lex, noise)
 
 
 def _ranked(spark: SparkSession, d: str, label: str) -> tuple[DataFrame, DataFrame]:

@@ -232,6 +232,16 @@ def test_repaired_pages(spark):
     assert got[4] == "the garden of the clerk" and 3 not in got
 
 
+def test_parted_words_and_empty_pages(spark):
+    texts = {1: "the mirr or near,\nthe cr ooked (mir ror) a bout\nmir. Ror stands", 2: "Ta rnithithal, near the lamp", 3: None, 4: "  ", 5: "the mir ror mir ror", 6: "near or the"}
+    sound = ("the", "or", "mirror", "crooked", "tarnithithal", "near", "lamp", "a", "about", "stands")
+    lex = spark.createDataFrame([(w, 50, True) for w in sound] + [(w, 1, False) for w in ("mirr", "ta", "rnithithal", "cr", "ooked", "mir", "ror", "bout")], "word string, n long, known boolean")
+    pages = spark.createDataFrame(list(texts.items()), "page_id int, text string")
+    noise = spark.createDataFrame([("ta", "a"), ("mirr", "mirror"), ("cr", "or")], "word string, fix string")
+    got = {r["page_id"]: r["repaired"] for r in ocr_repair.repaired_pages(pages, ["page_id"], "text", lex, noise).collect()}
+    assert got == {1: "the mirror near, the crooked (mirror) about mir. Ror stands", 2: "Tarnithithal, near the lamp", 3: "", 4: "", 5: "the mirror mirror", 6: "near or the"}
+
+
 def test_corrections_against_plain_distance(spark):
     rng = random.Random(13)
     good = [("".join(rng.choice("abcdefgh") for _ in range(8)), 1000) for _ in range(30)]
