@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from folium.functions import text as tx
-from folium.functions.stem import stem
+from pageloom.functions import text as tx
+from pageloom.functions.stem import stem
 
 _ALPHABET_LIMIT = 0xD700 - 256
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.text import hash_unit, pair_sides
-from folium.schema import CRITERIA, LABELS
+from pageloom.functions.text import hash_unit, pair_sides
+from pageloom.schema import CRITERIA, LABELS
 
 
 def parsed_label(label: Column, raw: Column, criterion: str) -> Column:

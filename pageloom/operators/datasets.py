@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.functions.text import hash_unit
+from pageloom.functions.text import hash_unit
 
 INSTRUCTION = "Clean the following OCR text:"  # fixed value: the training records' instruction
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.text import merge_chunks, sentence_chunks, words
+from pageloom.functions.text import merge_chunks, sentence_chunks, words
 
 Backend = Callable[[list[list[dict]]], list[str]]
 

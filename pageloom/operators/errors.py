@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.operators.align import SHAPES
+from pageloom.operators.align import SHAPES
 
 #: Distinct values that are clustered at once, exactly; more are first put into bins of equal width.
 CLUSTER_VALUES = 5_000

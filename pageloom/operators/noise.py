@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.text import hash_unit
+from pageloom.functions.text import hash_unit
 
 #: Symbols that strew into a text, and characters of uniform noise.
 SYMBOLS = "~!$%&*+=?|"

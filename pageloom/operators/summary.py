@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.schema import CRITERIA, LABELS, METRICS
+from pageloom.schema import CRITERIA, LABELS, METRICS
 
 
 def metric_summary(scores: DataFrame, by: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.functions import metrics as mx
-from folium.functions import text as tx
-from folium.operators import agreement as ag
-from folium.operators import align as al
-from folium.operators import datasets as ds
-from folium.operators import denoise as dn
-from folium.operators import errors as er
-from folium.operators import noise as ns
-from folium.operators import summary as sm
-from folium.schema import CRITERIA, METRICS
+from pageloom.functions import metrics as mx
+from pageloom.functions import text as tx
+from pageloom.operators import agreement as ag
+from pageloom.operators import align as al
+from pageloom.operators import datasets as ds
+from pageloom.operators import denoise as dn
+from pageloom.operators import errors as er
+from pageloom.operators import noise as ns
+from pageloom.operators import summary as sm
+from pageloom.schema import CRITERIA, METRICS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

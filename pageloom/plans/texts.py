@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.durable import durable
-from folium.functions import text as tx
-from folium.operators import align as al
-from folium.operators import datasets as ds
-from folium.operators import denoise as dn
-from folium.operators import errors as er
-from folium.operators import noise as ns
-from folium.operators import summary as sm
-from folium.plans.queries import _PAGES, _TRIPLES, pages, query, table, triples
+from pageloom.durable import durable, fresh_folder
+from pageloom.functions import text as tx
+from pageloom.operators import align as al
+from pageloom.operators import datasets as ds
+from pageloom.operators import denoise as dn
+from pageloom.operators import errors as er
+from pageloom.operators import noise as ns
+from pageloom.operators import summary as sm
+from pageloom.plans.queries import _PAGES, _TRIPLES, pages, query, table, triples
 
 # ---- lengths and selections
 
@@ -314,18 +314,11 @@ def denoised_chunks(spark, d):
 @query("SELECT lang, count(*) AS pages, max(page_id) AS last_page FROM (SELECT DISTINCT page_id, lang, text FROM ocr_pages WHERE text IS NOT NULL) GROUP BY ALL")
 def streamed_pages(spark, d):
     """Page deliveries read as a stream, repeats taken out in its state; the result is read back from the stream's output."""
-    import uuid
+    from pageloom.streaming import scores
 
-    from folium.streaming import scores
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="folium")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = fresh_folder(spark, "stream")
     src = table(spark, d, "ocr_pages")
     stream = scores.answers_stream(spark, f"{d}/ocr_pages.parque[t]", src.schema).where("text is not null")
-    unique = scores.without_repeats(stream.withColumn("digest", F.xxhash64("lang", "text")), ["page_id", "digest"], "scanned_at")
+    unique = scores.without_repeats(stream.withColumn("digest", F.xxhash64("lang", "text")), ["page_id", "digest"])
     scores.run_available(unique.select("page_id", "lang"), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").groupBy("lang").agg(F.count("*").alias("pages"), F.max("page_id").alias("last_page"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def session(app: str = "folium", master: str | None = None, **conf: str) -> SparkSession:
+def session(app: str = "pageloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; cluster settings are taken as they come."""
     b = SparkSession.builder.appName(app)
     if master:
@@ -15,6 +15,7 @@ def session(app: str = "folium", master: str | None = None, **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (settings | conf).items():
         b = b.config(k, v)

@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.functions.text import file_stem
-from folium.schema import CRITERIA, JUDGEMENT
+from pageloom.functions.text import file_stem
+from pageloom.schema import CRITERIA, JUDGEMENT
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:

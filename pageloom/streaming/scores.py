@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folium.functions import metrics
+from pageloom.functions import metrics
 
 
 def answers_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -14,8 +14,15 @@ def answers_stream(spark: SparkSession, path: str, schema: StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def without_repeats(stream: DataFrame, keys: list[str], event_time: str, late: str = "30 days") -> DataFrame:
-    """The stream without repeated rows; state is kept as long as rows may be late."""
+def without_repeats(stream: DataFrame, keys: list[str], event_time: str | None = None, late: str = "30 days") -> DataFrame:
+    """The stream without repeated rows.
+
+    Without event time every key stays in the state and no row is lost, however
+    late. With it, state is kept for `late`, and older rows are dropped: it should
+    be the arrival time, which later batches do not fall behind.
+    """
+    if event_time is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
 
 

@@ -3,11 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folium.operators import agreement as ag
-from folium.operators import datasets as ds
-from folium.operators import denoise as dn
-from folium.operators import summary as sm
-from folium.schema import CRITERIA
+from pageloom.operators import agreement as ag
+from pageloom.operators import datasets as ds
+from pageloom.operators import denoise as dn
+from pageloom.operators import summary as sm
+from pageloom.schema import CRITERIA
 
 
 def plain_kappa(pairs):

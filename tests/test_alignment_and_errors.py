@@ -6,9 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folium.operators import align as al
-from folium.operators import errors as er
-from folium.operators import noise as ns
+from pageloom.operators import align as al
+from pageloom.operators import errors as er
+from pageloom.operators import noise as ns
 
 letters = st.text(alphabet="abrnmcl ", max_size=14)
 

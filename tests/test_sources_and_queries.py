@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from folium.sources import pages as src
-from folium.streaming import scores
+from pageloom.sources import pages as src
+from pageloom.streaming import scores
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,7 +61,7 @@ def test_stream_scores_and_windows(spark, tmp_path):
 
 
 def _names():
-    from folium.plans import queries, texts  # noqa: F401
+    from pageloom.plans import queries, texts  # noqa: F401
 
     return sorted(queries.ORACLES)
 
@@ -75,7 +75,7 @@ def _canon(rows, columns):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", _names())
 def test_query_against_sql(spark, name):
-    from folium.plans import queries
+    from pageloom.plans import queries
 
     con = duckdb.connect()
     con.execute("set timezone='UTC'")

@@ -3,9 +3,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folium.functions import metrics as mx
-from folium.functions import text as tx
-from folium.functions.stem import stem
+from pageloom.functions import metrics as mx
+from pageloom.functions import text as tx
+from pageloom.functions.stem import stem
 
 words = st.lists(st.sampled_from(["the", "a", "cat", "sat", "mat", "on"]), max_size=12)
 
