@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import durable
+from pageloom.llm.common import durable
 
 CLASSES = (0, 1, 2)
 #: Pairs of criterion and annotator whose parameters are kept in the driver and broadcast; more are kept in tables.

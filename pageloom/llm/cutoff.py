@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import settled, stripped
+from pageloom.llm.common import settled, stripped
 
 #: End of a finished sentence: a mark, then closing quotation marks or brackets.
 TERMINAL = r"(?:[.!?…]|&c\.)[”’»\"')\]]*$"

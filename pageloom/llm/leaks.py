@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.skeleton import skeleton
+from pageloom.llm.skeleton import skeleton
 
 BLOCK = 5
 BITS = 22

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import durable, settled
+from pageloom.llm.common import durable, settled
 
 #: Marks that break a word at a line end.
 BREAKS = "-¬‐=­"

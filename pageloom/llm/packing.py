@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from folium.llm.common import WS, durable
+from pageloom.llm.common import WS, durable
 
 #: Texts in one packing group; bounds the memory of a task at any input size.
 GROUP_ROWS = 20_000

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from folium.llm import cutoff
-from folium.llm.common import settled, stripped
+from pageloom.llm import cutoff
+from pageloom.llm.common import settled, stripped
 
 # Stand-ins for no value, letters and digits only.
 NO_VALUE = ("null", "none", "na", "nan", "nil", "undefined", "empty", "void", "missing", "blank", "nodata", "notext", "nocontent", "nooutput", "noanswer", "noresponse", "notavailable", "notapplicable")

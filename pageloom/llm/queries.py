@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import consensus, cutoff, leaks, ocr_repair, packing, pairs, ranking, skeleton, splitting
-from folium.llm.common import durable, table
+from pageloom.llm import consensus, cutoff, leaks, ocr_repair, packing, pairs, ranking, skeleton, splitting
+from pageloom.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import durable
+from pageloom.llm.common import durable
 
 #: Distinct meeting pairs up to which the system is solved in the driver's memory; beyond it, by distributed steps.
 DRIVER_EDGES = 200_000

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folium.llm.common import durable
+from pageloom.llm.common import durable
 
 # Characters drawn like an ASCII character, in the order of the ASCII characters.
 LOOK_ALIKES = {

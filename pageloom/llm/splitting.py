@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import WS, stripped
+from pageloom.llm.common import WS, stripped
 
 
 def cut_pattern(limit: int, least: int) -> str:

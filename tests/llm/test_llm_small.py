@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folium.llm import consensus, packing, ranking, skeleton, splitting
+from pageloom.llm import consensus, packing, ranking, skeleton, splitting
 
 # ---- splitting
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folium.llm import cutoff, leaks, ocr_repair, pairs
+from pageloom.llm import cutoff, leaks, ocr_repair, pairs
 
 # ---- suffix automaton
 
