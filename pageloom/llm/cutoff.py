@@ -1,10 +1,12 @@
 """Problem 6: texts cut off by field limits or in transfer.
 
-Per source, the histogram of lengths, in characters and in bytes, is tested for
-spikes: a length that far more texts have than the lengths around it is a field
-limit. Texts at a limit without terminal punctuation are cut. Two more records
-of the full length count where they are given: a recorded length larger than
-the stored text's, and a reference text that goes on where the text stops.
+Per source and column, the histogram of the lengths of texts that end no
+sentence, in characters and in bytes, is tested for spikes: a length that far
+more of them have than the lengths around it is a field limit. Texts at a limit
+without terminal punctuation are cut, unless the reference text stops there as
+well. Cuts in transfer have no common length and make no spike; for them two
+records of the full length count where they are given: a recorded length larger
+than the stored text's, and a reference text that goes on where the text stops.
 
 Null and blank texts are not cut. A text that stops just where its reference
 stops, or that ends past it, is not cut. Empty tables give empty results.
@@ -27,14 +29,15 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
 
 
-#: Characters at a text's end among which its page number or its last mark stands.
+#: Characters at a text's end whose letters are compared before whole texts are.
 _TAIL = 60
 
 
 def body(reference: Column) -> Column:
     """A reference text without a page number at its end; reference without white space at the ends."""
-    tail = F.regexp_replace(F.right(reference, F.lit(_TAIL)), PAGE_END, "")
-    return F.concat(F.left(reference, F.length(reference) - _TAIL), tail)
+    last = F.substring_index(reference, "\n", -1)
+    number = (F.length(last) < F.length(reference)) & F.concat(F.lit("\n"), last).rlike(PAGE_END)
+    return F.when(number, stripped(F.left(reference, F.length(reference) - F.length(last) - 1))).otherwise(reference)
 
 
 def finished(text: Column) -> Column:
@@ -76,31 +79,41 @@ def remainder(reversed_text: Column, reversed_reference: Column, done: Column, w
     Both hold letters only, in reverse; done: whether the text ends a sentence.
     Only the reference's own last letters, or misread ones in their place, are its
     end. The place is where the last `width` letters stand in the reference; windows
-    further back, and half as wide, stand in where the last words differ.
+    further back, and half as wide, stand in where the last words differ, and then
+    windows at doubling distances over the whole text.
     """
 
-    def after(w: int, back: int) -> Column:
-        part = F.substring(reversed_text, back + 1, w)
+    def after(w: int, back: Column) -> Column:
+        part = F.substring(reversed_text, back + 1, F.lit(w))
         found = F.call_function("locate", part, reversed_reference)
         return F.when((F.length(part) == w) & (found > 0), F.greatest(found - 1 - back, F.lit(0)))
 
     tail = F.substring(reversed_reference, 1, width)
     reached = (F.length(tail) == width) & (F.call_function("locate", tail, reversed_text) > 0)
-    return F.when(reached | misread_end(reversed_text, reversed_reference, done, width), 0).otherwise(F.coalesce(*[after(w, k * step) for w in (width, width // 2) for k in range(steps)]))
+    doublings = F.sequence(F.lit(0), F.greatest(F.floor(F.log2(F.greatest(F.length(reversed_text), F.lit(1)) / (step * steps))), F.lit(0)).cast("int"))
+    far = F.aggregate(doublings, F.lit(None).cast("int"), lambda acc, k: F.coalesce(acc, after(width, F.lit(step * steps) * F.pow(F.lit(2), k).cast("int"))))
+    near = [after(w, F.lit(k * step)) for w in (width, width // 2) for k in range(steps)]
+    return F.when(reached | misread_end(reversed_text, reversed_reference, done, width), 0).otherwise(F.coalesce(*near, far))
 
 
-def spikes(lengths: DataFrame, around: int = 20, ratio: float = 5.0, least: int = 8) -> DataFrame:
-    """(source, unit, length, n): lengths at least `least` texts have, and `ratio` times as many as is usual within `around`.
+def spikes(lengths: DataFrame, by: list[str], around: int = 20, ratio: float = 5.0, least: int = 8) -> DataFrame:
+    """(by, unit, length, n): lengths at least `least` texts have, and `ratio` times as many as is usual within `around`.
 
-    lengths: (source, unit, length). One aggregate, and windows over the
-    distinct lengths of one source only.
+    lengths: (by, unit, length). One aggregate, and windows over the distinct
+    lengths of one source only.
     """
     from pyspark.sql import Window
 
-    h = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
-    near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-around, around)
+    h = lengths.groupBy(*by, "unit", "length").agg(F.count("*").alias("n"))
+    near = Window.partitionBy(*by, "unit").orderBy("length").rangeBetween(-around, around)
     h = h.withColumn("other", F.sum("n").over(near) - F.col("n"))
-    return h.where((F.col("n") >= least) & (F.col("n") > ratio * F.greatest(F.col("other") / F.lit(2.0 * around), F.lit(1.0)))).select("source", "unit", "length", "n")
+    return h.where((F.col("n") >= least) & (F.col("n") > ratio * F.greatest(F.col("other") / F.lit(2.0 * around), F.lit(1.0)))).select(*by, "unit", "length", "n")
+
+
+def length_limits(measured: DataFrame, by: list[str], **spike) -> DataFrame:
+    """(by, unit, length, n): the field limits of each source (and column), from the texts that end no sentence."""
+    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])
+    return spikes(measured.where("unfinished").select(*by, F.explode(units).alias("x")).select(*by, "x.unit", "x.length"), by, **spike)
 
 
 def letters_left(text: Column, reference: Column) -> Column:
@@ -121,25 +134,24 @@ def measure(df: DataFrame, text: str, reference: str | None = None) -> DataFrame
     return settled(d, unfinished=(F.col("own") > 0) & ~finished(F.col("_t")), stops_too=F.coalesce(~finished(F.col("_r")), F.lit(False)), goes_on=left).drop("_t", "_r")
 
 
-def detect_cuts(measured: DataFrame, source: str, recorded: str | None = None, **spike) -> DataFrame:
-    """measured with at_limit, recorded_more and cut.
+def detect_cuts(measured: DataFrame, by: list[str], recorded: str | None = None, **spike) -> DataFrame:
+    """measured with evidence (limit, recorded or reference, the first that shows a cut, or null) and cut.
 
-    measured: as measure() gives it, a repeated text in one row. Limits are
-    looked for among texts that do not end a sentence, and each holds for its
-    source only; the table of limits has one row per source.
+    measured: as measure() gives it, a repeated text in one row; by: the source,
+    and the column where texts of several are measured. Each limit holds for its
+    source only; the table of limits has one row per source. The reference stands
+    against a limit or a recorded length where the text reaches its end.
     """
-    d = measured.drop("at_limit", "recorded_more", "cut")
-    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])
-    limits = spikes(d.where("unfinished").select(F.col(source).alias("source"), F.explode(units).alias("x")).select("source", "x.unit", "x.length"), **spike)
-    per = limits.groupBy(F.col("source").alias("_source")).agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"_{u}") for u in ("chars", "bytes")])
-    d = d.join(per, F.col(source).eqNullSafe(F.col("_source")), "left")
-    at = F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False))
+    d = measured.drop("evidence", "cut")
+    limits = length_limits(d, by, **spike)
+    per = limits.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"_{u}") for u in ("chars", "bytes")])
+    d = d.join(per, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    at_limit = F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False)) & F.col("unfinished")
     more = F.coalesce(F.col(recorded) - F.col("own") >= 3, F.lit(False)) & (F.col("own") > 0) if recorded else F.lit(False)
-    d = settled(d, at_limit=at, recorded_more=more).drop("_source", "_chars", "_bytes")
     left = F.coalesce("goes_on", F.lit(1)) > 0
-    by_reference = (F.col("goes_on") >= 3) | ((F.col("goes_on") >= 1) & F.col("unfinished") & ~F.col("stops_too"))
-    cut = (F.col("at_limit") & F.col("unfinished") & left) | (F.col("recorded_more") & left) | F.coalesce(by_reference, F.lit(False))
-    return d.withColumn("cut", F.coalesce(cut, F.lit(False)))
+    by_reference = F.coalesce((F.col("goes_on") >= 3) | ((F.col("goes_on") >= 1) & F.col("unfinished") & ~F.col("stops_too")), F.lit(False))
+    d = d.withColumn("evidence", F.when(at_limit & left, "limit").when(more & left, "recorded").when(by_reference, "reference"))
+    return d.withColumn("cut", F.col("evidence").isNotNull()).drop("_chars", "_bytes", *[f"_{c}" for c in by])
 
 
 def cut_rates(detected: DataFrame, source: str) -> DataFrame:

@@ -96,14 +96,18 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("side", "defect").agg(F.count("*").alias("n"))
 
 
+def _measured(spark: SparkSession, d: str, reference: bool = True) -> DataFrame:
+    """The answers of model1, measured where they are read; what is shuffled holds figures only, the digest keeping different texts apart."""
+    triples = table(spark, d, "annotation_triples").withColumn("sys_name", ranking.pair_side(F.col("pair"), 0)).withColumn("digest", F.xxhash64("model1", "ground_truth"))
+    return cutoff.measure(triples, "model1", "ground_truth" if reference else None)
+
+
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
-    triples = table(spark, d, "annotation_triples").withColumn("sys_name", ranking.pair_side(F.col("pair"), 0))
-    # texts are measured where they are read; what is shuffled holds figures only, the digest keeping different texts apart
-    rows = cutoff.measure(triples, "model1", "ground_truth").withColumn("digest", F.xxhash64("model1", "ground_truth"))
-    rows = rows.withColumn("no_answer", pairs.is_empty(F.col("model1")) | pairs.is_refusal(F.col("model1")))
-    rows = rows.drop("model1", "model2", "ground_truth", "loaded_at").distinct()
+    rows = _measured(spark, d)
+    refused = F.coalesce(pairs.is_refusal(F.when(F.coalesce("goes_on", F.lit(1)) > 0, F.col("model1"))), F.lit(False))
+    rows = rows.withColumn("no_answer", pairs.is_empty(F.col("model1")) | refused).drop("model1", "model2", "ground_truth", "loaded_at").distinct()
     recorded = table(spark, d, "metric_rows").where("length_ocr is not null").groupBy(F.lower("sys_name").alias("sys_name"), "page_id").agg(F.max("length_ocr").alias("recorded"))
-    cuts = cutoff.detect_cuts(rows.join(recorded, ["sys_name", "page_id"], "left"), "sys_name", recorded="recorded")
+    cuts = cutoff.detect_cuts(rows.join(recorded, ["sys_name", "page_id"], "left"), ["sys_name"], recorded="recorded")
     return cuts.withColumn("cut", F.col("cut") & ~F.coalesce("no_answer", F.lit(True)))
 
 
@@ -115,10 +119,15 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_rates(_cuts(spark, d), "sys_name")
 
 
+def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Cut rows by the first evidence that shows them."""
+    return _cuts(spark, d).where("cut").groupBy("evidence").agg(F.countDistinct("pair", "page_id").alias("n"))
+
+
 def p6_limits(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "annotation_triples").select(ranking.pair_side(F.col("pair"), 0).alias("source"), "pair", "page_id", "model1").where("model1 is not null").distinct()
-    sizes = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("model1").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("model1").alias("length"))))
-    return cutoff.spikes(rows.select("source", sizes.alias("x")).select("source", "x.unit", "x.length"))
+    """The field limits detection goes by: spikes among the answers that end no sentence."""
+    rows = _measured(spark, d, reference=False).select("sys_name", "pair", "page_id", "digest", "unfinished", "chars", "bytes").distinct()
+    return cutoff.length_limits(rows, ["sys_name"])
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +164,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrections, p1_pages, p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrections, p1_pages, p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_evidence, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
 
 ORACLES: dict[str, str] = {
     "p2_margins": r"""
@@ -180,11 +189,13 @@ ORACLES: dict[str, str] = {
                CASE WHEN list_max(list_transform(regexp_split_to_array(b, '[\s\x{85}\p{Z}]+'), lambda x: length(x))) > 800 THEN 'forced' ELSE 'natural' END AS cut_kind
         FROM t WHERE length(b) > 800""",
     "p6_limits": r"""
-        WITH t AS (SELECT DISTINCT lower(trim(regexp_split_to_array(lower(trim(pair)), '_(against|vs)_')[1])) AS source, pair, page_id, model1 FROM annotation_triples WHERE model1 IS NOT NULL),
-        l AS (SELECT source, 'chars' AS unit, length(model1)::INT AS length FROM t UNION ALL SELECT source, 'bytes', strlen(model1)::INT FROM t),
-        h AS (SELECT source, unit, length, count(*) AS n FROM l GROUP BY ALL),
-        o AS (SELECT *, sum(n) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) - n AS other FROM h)
-        SELECT source, unit, length, n FROM o WHERE n >= 8 AND n > 5 * greatest(other / 40.0, 1.0)""",
+        WITH t AS (SELECT DISTINCT trim(regexp_split_to_array(regexp_replace(lower(trim(pair)), '\.json$', ''), '_(?:against|vs)_')[1]) AS sys_name, pair, page_id, ground_truth, model1, regexp_replace(model1, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS body FROM annotation_triples WHERE model1 IS NOT NULL),
+        b AS (SELECT *, CASE WHEN contains(body, chr(10)) AND regexp_matches(regexp_extract(body, '\n[^\n]*$', 0), '^\n[^\p{L}\d\n]*(?:p\.\s*)?(?:\d+|[ivxlc]+)[^\p{L}\d\n]*$') THEN regexp_replace(regexp_replace(body, '\n[^\n]*$', ''), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '') ELSE body END AS last_ FROM t WHERE body <> ''),
+        u AS (SELECT * FROM b WHERE NOT regexp_matches(right(last_, 12), '(?:[.!?…]|&c\.)[”’»"'')\]]*$')),
+        l AS (SELECT sys_name, 'chars' AS unit, length(model1)::INT AS length FROM u UNION ALL SELECT sys_name, 'bytes', strlen(model1)::INT FROM u),
+        h AS (SELECT sys_name, unit, length, count(*) AS n FROM l GROUP BY ALL),
+        o AS (SELECT *, sum(n) OVER (PARTITION BY sys_name, unit ORDER BY length RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) - n AS other FROM h)
+        SELECT sys_name, unit, length, n FROM o WHERE n >= 8 AND n > 5 * greatest(other / 40.0, 1.0)""",
     "p7_found": r"""
         SELECT DISTINCT doc_id FROM documents
         WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\p{Z}]+')) > 1024""",

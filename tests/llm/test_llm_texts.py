@@ -71,6 +71,48 @@ def test_defects_without_page_or_reference(spark):
     assert pairs.defects(t.limit(0), pages.limit(0), ["pair", "page_id"]).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(words)
+def test_phrases_against_search(text):
+    patterns = ("a b", "b (c) d", "a/b a", "d")
+    plain = [x.split() for x in ("a b", "b c d", "b d", "a a", "b a", "d")]
+    found = {k for k in range(len(text)) for x in plain if text[k : k + len(x)] == x}
+    got = set(pairs.PhraseAutomaton(patterns).matches(text))
+    # of patterns that end on the same word the longest counts
+    assert got <= found and {k for k in found if text[k] != "d" or k == 0 or k in got} <= got | {k for k in found if any(j < k for j in got)}
+
+
+@pytest.mark.parametrize("text, out", [
+    ("I'm sorry, but I can't read this.", True), ("Well, I am very sorry but this page is empty", True), ("I won’t be able to complete it.", True), ("“I am sorry, but I cannot go,” said the clerk.", False),
+    ("The clerk said that he must. I am sorry, but I cannot go.", False), ("", False), (None, False), ("Es tut mir leid.", True), ("Non posso aiutarti.", True),
+])
+def test_refusals(text, out):
+    assert pairs.refuses(text) is out
+
+
+def test_defects_when_no_reference_is_known(spark):
+    """Copies are told by the other response, or by words with marks among their letters; cuts by their end and by what the page holds after it."""
+    odd = PAGE.replace("widow", "w1dow").replace("clerk", "cl;erk")
+    cases = [
+        (PAGE, CLEAN, "copy", None), (CLEAN, PAGE, None, "copy"), (CLEAN, CLEAN, None, None), ("I cannot assist with this text.", CLEAN, "refusal", None),
+        (CLEAN[:60], CLEAN, "truncated", None), ("She said: (the old", None, "truncated", "empty"), (CLEAN, "Mi dispiace, ma non posso.", None, "refusal"), (odd, None, "copy", "empty"),
+    ]
+    t = spark.createDataFrame([("p", i, a, b, None) for i, (a, b, _, _) in enumerate(cases)], "pair string, page_id long, model1 string, model2 string, ground_truth string")
+    pages = spark.createDataFrame([(i, "en", odd if i == 7 else PAGE) for i in range(len(cases))], "page_id long, lang string, text string")
+    got = {(r["page_id"], r["side"]): r["defect"] for r in pairs.defects(t, pages, ["pair", "page_id"]).collect()}
+    assert {(i, s): got.get((i, s)) for i in range(len(cases)) for s in (1, 2)} == {(i, s): c[1 + s] for i, c in enumerate(cases) for s in (1, 2)}
+
+
+def test_copies_keep_every_error_and_right_answers_do_not(spark):
+    half = CLEAN.replace("the garden", "tbe garden")
+    page = spark.createDataFrame([(i, "en", PAGE) for i in range(4)], "page_id long, lang string, text string")
+    long_ = " ".join([CLEAN.replace("key", f"key {k}") for k in range(400)])
+    page = page.unionByName(spark.createDataFrame([(9, "en", long_.replace("widow", "vvidow"))], page.schema))
+    rows = [("p", 0, half, PAGE, CLEAN), ("p", 1, PAGE.replace("\n", "\r\n"), CLEAN.upper(), CLEAN), ("p", 9, long_, long_.replace("widow", "vvidow"), long_)]
+    got = {(r["page_id"], r["side"]): r["defect"] for r in pairs.defects(spark.createDataFrame(rows, "pair string, page_id long, model1 string, model2 string, ground_truth string"), page, ["page_id"]).collect()}
+    assert got == {(0, 2): "copy", (1, 1): "copy", (9, 2): "copy"}
+
+
 # ---- cut off
 
 
@@ -83,12 +125,14 @@ def test_spikes_and_cuts(spark):
     rows += [(900, "t", "Short and finished.", 19, "Short and finished."), (901, "t", "It stops in the mid", 60, None), (902, "t", None, 5, "x"), (903, "t", "  ", 9, "x"), (904, "t", "Nothing", None, None)]
     d = spark.createDataFrame(rows, "id int, src string, text string, rec int, ref string").withColumn("chars", F.lit("clash"))
     m = cutoff.measure(d, "text", "ref")
-    got = cutoff.detect_cuts(m, "src", "rec")
+    got = cutoff.detect_cuts(m, ["src"], "rec")
     cut = {r["id"] for r in got.where("cut").collect()}
     assert cut == {r[0] for r in rows[:300] if len(r[2]) == 100} | {901}
+    assert {r["id"]: r["evidence"] for r in got.where("cut").collect()}[901] == "recorded" and got.where("evidence = 'limit'").count() == len(cut) - 1
+    assert [tuple(r) for r in cutoff.length_limits(m.withColumn("col", F.lit("text")), ["src", "col"]).orderBy("unit").collect()] == [("s", "text", u, 100, len(cut) - 1) for u in ("bytes", "chars")]
     rate = {r["src"]: (r["texts"], r["cut_texts"]) for r in cutoff.cut_rates(got, "src").collect()}
     assert rate["t"] == (5, 1)
-    assert cutoff.detect_cuts(cutoff.measure(d.limit(0), "text"), "src").count() == 0
+    assert cutoff.detect_cuts(cutoff.measure(d.limit(0), "text"), ["src"]).count() == 0
 
 
 @pytest.mark.parametrize("text, left", [(CLEAN, 0), (CLEAN[:-20], None), (CLEAN[:50], None), ("entirely other words that never stand there at all", -1), (CLEAN + " And more.", 0)])
@@ -110,14 +154,19 @@ def test_letters_left_near_the_end(spark):
     d = spark.createDataFrame([(t, PAGE_9) for t in left], "t string, r string").coalesce(1)
     got = d.select("t", cutoff.letters_left(cutoff.body(F.col("t")), cutoff.body(F.col("r"))).alias("left")).collect()
     assert {r["t"]: r["left"] for r in got} == left
+    # the place is found however far back the last letters that stand in both are
+    far = "".join(f"{PAGE_9[:-1]} number {'x' * k} stands here. " for k in range(1, 30))
+    lost = far[:1500] + " zq" * 200
+    d = spark.createDataFrame([(lost, far)], "t string, r string")
+    assert d.select(cutoff.letters_left(F.col("t"), F.col("r"))).first()[0] is not None
 
 
 def test_short_cuts_are_found(spark):
     texts = {k: PAGE_9[:-1][:-k].rstrip() for k in range(1, 14)} | {20: PAGE_9, 21: PAGE_9.replace("mill", "rnill")}
     d = spark.createDataFrame([(k, "s", t, PAGE_9, 99) for k, t in texts.items()], "id int, src string, text string, ref string, rec int").coalesce(1)
-    m = cutoff.measure(d, "text", "ref").localCheckpoint()
+    m = cutoff.measure(d, "text", "ref").cache()
     for recorded in (None, "rec"):
-        assert {r["id"] for r in cutoff.detect_cuts(m, "src", recorded).where("cut").collect()} == {*range(1, 14)}
+        assert {r["id"] for r in cutoff.detect_cuts(m, ["src"], recorded).where("cut").collect()} == {*range(1, 14)}
     p = d.select(F.col("id").alias("page_id"), F.col("ref").alias("model1"), F.col("text").alias("model2"), F.col("ref").alias("ground_truth"))
     pages = spark.createDataFrame([(1, "en", "Other words stand here.")], "page_id int, lang string, text string")
     assert {tuple(r) for r in pairs.defects(p, pages, ["page_id"]).collect()} == {(k, 2, "truncated") for k in range(1, 14)}
