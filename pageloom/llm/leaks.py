@@ -1,23 +1,29 @@
 """Problem 8: evaluation texts leaking into training texts.
 
 Wu-Manber multi-pattern search: the patterns are the first `width` letters from
-each word of each evaluation item. Over a batch of documents, reduced to letters
-and digits, a shift table of hashed blocks skips the positions where no pattern
-can end, a table of suffix and prefix hashes selects the patterns, and direct
-comparison confirms them. Occurrences on neighbouring diagonals are then joined
-over misread and inserted words to the longest run of consecutive item words.
+each word of each evaluation item. Documents are reduced to letters and digits.
+At an end of a window the hash of its last block looks up how far the window may
+jump, since no pattern ends before; where it may not, a table of suffix and
+prefix hashes selects the patterns, and direct comparison confirms them. The
+windows of many stretches of a batch jump at once. Occurrences that follow each
+other are then joined over misread and inserted words to the longest run of
+consecutive item words.
 
 Null and empty texts hold nothing. Items with fewer than `min_words` words can't
 be found. Words of a notice, that is of at least `notice_words` words that also
-stand in another item, do not count. Documents are read whole, in one pass per
-block of items, and no document is compared with another; only the items, of
-checked size, are sent to the executors.
+stand in another item, do not count; notices are looked for among all items
+before the search. Documents are read whole, and no document is compared with
+another. Items are searched for in blocks of at most `block_letters` letters, so
+that their tables have a bounded size; each block takes a pass over the documents.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -25,58 +31,107 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from pageloom.llm.skeleton import skeleton
+from pageloom.llm.common import durable
+from pageloom.llm.skeleton import LOOK_ALIKES, skeleton
 
 BLOCK = 5
 BITS = 22
-#: Items searched for in one pass; more are searched in further passes.
-ITEMS_PER_PASS = 5_000
-_KEEP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
+#: Letters of the items searched for in one pass; more are searched for in further passes.
+BLOCK_LETTERS = 8_000_000
+#: Letters of documents searched at once, and stretches whose windows jump at once.
+BATCH_LETTERS = 4_000_000
+LANES = 8_192
+#: Letters that may stand between two matching stretches of a run, in the item and in the document: misread or inserted words.
+GAP_ITEM, GAP_DOC = 80, 110
+#: Letters by which the one gap may be longer than the other: an inserted or lost word or two.
+DRIFT = 30
+#: Misread words that count at each end of a run.
+END_WORDS = 3
+_MARKS = re.compile(r"[\W_]+")
+#: Small letters whose capitals look like a Latin one: as capitals and small letters are one here, they are too.
+_PARTNERS = {c.casefold(): p.casefold() for p, many in LOOK_ALIKES.items() for c in many if c.isalpha() and not c.casefold().isascii()}
+_PARTNER = re.compile("|".join(map(re.escape, _PARTNERS)))
+_ASCII_MARKS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 
 
 def letters(text: str) -> bytes:
-    """Lower-case letters and digits of a text in plain form, without anything between them."""
+    """Lower-case letters and digits of a text in plain form, of any script, without anything between them."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", skeleton(text)).casefold()
-        return text.encode("ascii", "ignore").translate(None, _KEEP)
-    return text.lower().encode().translate(None, _KEEP)
+        plain = _PARTNER.sub(lambda m: _PARTNERS[m[0]], unicodedata.normalize("NFKD", skeleton(text)).casefold())
+        return _MARKS.sub("", plain).encode("utf-8", "ignore")
+    return text.lower().encode().translate(None, _ASCII_MARKS)
 
 
-def _hashes(x: np.ndarray) -> np.ndarray:
-    """Hash of the block of BLOCK bytes that ends at each position; 0 before the first."""
-    h = np.zeros(len(x), dtype=np.uint32)
-    if len(x) >= BLOCK:
-        acc = np.zeros(len(x) - BLOCK + 1, dtype=np.uint32)
-        for k in range(BLOCK):
-            acc *= np.uint32(2654435)
-            acc += x[k : len(x) - BLOCK + 1 + k]
-        acc ^= acc >> np.uint32(15)
-        h[BLOCK - 1 :] = acc & np.uint32((1 << BITS) - 1)
-    return h
+def item_words(text: str | None) -> list[bytes]:
+    return [w for w in (letters(p) for p in (text or "").split()) if w]
+
+
+def _eight(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number, zeros after the end."""
+    return np.ndarray((len(x),), dtype="<u8", buffer=np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _block_hash(eight: np.ndarray) -> np.ndarray:
+    """Hash of the first BLOCK of eight bytes."""
+    return ((eight & np.uint64((1 << 8 * BLOCK) - 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+
+
+def _alike(left: bytes, right: bytes, least: float) -> bool:
+    """Whether the matching blocks of both make up at least this share of their letters; their longest common subsequence, which bounds it, is taken first, one bit a letter."""
+    need = least * (len(left) + len(right)) / 2
+    if min(len(left), len(right)) < need:
+        return False
+    places: dict[int, int] = {}
+    for i, c in enumerate(left):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(left)) - 1
+    v = full
+    for c in right:
+        u = v & places.get(c, 0)
+        if u:
+            v = (v + u | v - u) & full
+    return len(left) - v.bit_count() >= need and SequenceMatcher(None, left, right, autojunk=False).ratio() >= least
 
 
 class Items:
-    """Evaluation items with the search tables."""
+    """Evaluation items with the search tables; rows: (id, text, numbers of the words that belong to a notice)."""
 
-    def __init__(self, rows: list[tuple[int, str]], width: int, min_words: int, notice_words: int):
+    def __init__(self, rows: list[tuple[int, str, list[int]]], width: int, min_words: int):
         self.width, self.min_words = width, min_words
-        self.ids, self.text, self.starts = [], [], []
-        for i, t in sorted(rows):
-            words = [w for w in (letters(p) for p in (t or "").split()) if w]
+        self.ids, self.text, self.starts, self.notice = [], [], [], []
+        for i, t, notice in sorted(rows):
+            words = item_words(t)
             if len(words) < min_words:
                 continue
             self.ids.append(i)
             self.text.append(b"".join(words))
             self.starts.append(np.concatenate([[0], np.cumsum([len(w) for w in words])]).tolist())
-        self.notice = self._notices(notice_words)
+            self.notice.append(set(notice))
+        # letters that the hits of a run of enough words span at least: its words but those at its ends
+        inner = max(1, min_words - 2 * END_WORDS - 2)
+        # letters between the last hit of a stretch and its end, and between its begin and the first hit
+        self.reach = width + 2 * max((b - a for s in self.starts for a, b in zip(s, s[1:])), default=0)
+        self.least = np.array([min(b - a for a, b in zip(s, s[inner:])) for s in self.starts], dtype=np.int64)
         self.where: dict[bytes, list[tuple[int, int]]] = {}
+        own: set[bytes] = set()
         for k, (t, s) in enumerate(zip(self.text, self.starts)):
-            for a in s[:-1]:
+            for j, a in enumerate(s[:-1]):
                 if len(t) - a >= width:
                     self.where.setdefault(t[a : a + width], []).append((k, a))
-        self.patterns = np.array(sorted(self.where), dtype=f"S{width}")
-        flat = [self.where[p] for p in sorted(self.where)]
+                    if any(w not in self.notice[k] for w in range(j, bisect_left(s, a + width))):
+                        own.add(t[a : a + width])
+        names = sorted(self.where)
+        self.patterns = np.array(names, dtype=f"S{width}")
+        flat = [self.where[p] for p in names]
+        #: Patterns that lie in notices only: however many items share them, they begin no run.
+        self.shared = np.array([p not in own for p in names], dtype=bool)
+        self.shared_places: dict[int, dict[int, list[int]]] = {}
+        for q in np.flatnonzero(self.shared).tolist():
+            by_item = self.shared_places[q] = {}
+            for k, a in flat[q]:
+                by_item.setdefault(k, []).append(a)
         self.count = np.array([len(f) for f in flat], dtype=np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.owner = np.array([k for f in flat for k, _ in f], dtype=np.int64)
@@ -84,36 +139,40 @@ class Items:
         self.shift = np.full(1 << BITS, width - BLOCK + 1, dtype=np.uint8)
         self.both = np.zeros(1 << BITS, dtype=bool)
         if len(self.patterns):
-            chars = np.frombuffer(b"".join(sorted(self.where)), dtype=np.uint8)
-            h = _hashes(chars).reshape(-1, width)
-            for j in range(BLOCK - 1, width):
-                np.minimum.at(self.shift, h[:, j], width - 1 - j)
-            self.both[self._pair(h[:, width - 1], h[:, BLOCK - 1])] = True
+            h = _block_hash(_eight(np.frombuffer(b"".join(names), dtype=np.uint8))).reshape(-1, width)
+            for j in range(width - BLOCK + 1):
+                np.minimum.at(self.shift, h[:, j], width - BLOCK - j)
+            self.both[self._pair(h[:, width - BLOCK], h[:, 0])] = True
 
     @staticmethod
     def _pair(last: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return (last * np.uint32(40503) ^ first) & np.uint32((1 << BITS) - 1)
+        return (last * np.uint64(40503) ^ first) & np.uint64((1 << BITS) - 1)
 
-    def _notices(self, n: int) -> list[set[int]]:
-        """Per item the numbers of the words in stretches of n words that stand in another item too."""
-        seen: dict[tuple[bytes, ...], set[int]] = {}
-        grams = []
-        for k, (t, s) in enumerate(zip(self.text, self.starts)):
-            words = [t[a:b] for a, b in zip(s, s[1:])]
-            grams.append([tuple(words[j : j + n]) for j in range(len(words) - n + 1)])
-            for g in grams[-1]:
-                seen.setdefault(g, set()).add(k)
-        return [{j + d for j, g in enumerate(gs) if len(seen[g]) > 1 for d in range(n)} for gs in grams]
+    def _stops(self, x: np.ndarray) -> np.ndarray:
+        """Window ends where the shift is 0; every stretch's window jumps by the shift its last block allows."""
+        w, n, eight = self.width, len(x), _eight(x)
+        lanes = max(1, min(LANES, (n - w) // (4 * w)))
+        bounds = np.linspace(w - 1, n, lanes + 1).astype(np.int64)
+        at, to = bounds[:-1].copy(), bounds[1:]
+        out = []
+        while len(at):
+            step = self.shift[_block_hash(eight[at - BLOCK + 1])]
+            hit = step == 0
+            if hit.any():
+                out.append(at[hit])
+            at += np.maximum(step, 1)
+            open_ = at < to
+            if not open_.all():
+                at, to = at[open_], to[open_]
+        return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
     def occurrences(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, pattern number) of every occurrence in the bytes of a batch."""
         w = self.width
         if len(x) < w or not len(self.patterns):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        h = _hashes(x)
-        end = np.flatnonzero(self.shift[h] == 0)  # elsewhere the shift is positive: no pattern ends there
-        end = end[end >= w - 1]
-        end = end[self.both[self._pair(h[end], h[end - w + BLOCK])]]
+        end, eight = self._stops(x), _eight(x)
+        end = end[self.both[self._pair(_block_hash(eight[end - BLOCK + 1]), _block_hash(eight[end - w + 1]))]]
         windows = np.lib.stride_tricks.sliding_window_view(x, w)
         out_at, out_pattern = [], []
         for k in range(0, len(end), 1 << 20):
@@ -128,37 +187,43 @@ class Items:
     def longest_run(self, k: int, doc: bytes, hits: list[tuple[int, int]]) -> int:
         """Most consecutive words of item k, notices left out, that doc holds along the hits (position in item, position in doc)."""
         item, w = self.text[k], self.width
-        segments: list[list[int]] = []  # item from, item to, doc from
-        for a, b in sorted(hits, key=lambda x: (x[0], x[1])):
-            if any(s[0] <= a < s[1] and b - a == s[2] - s[0] for s in segments[-6:]):
+        segments: list[tuple[int, int, int]] = []  # item from, item to, doc from
+        reach: dict[int, int] = {}  # by diagonal, how far the item stands there
+        for a, b in sorted(hits):
+            if a < reach.get(b - a, -1):
                 continue
-            z, y = a + w, b + w
+            z, y, diagonal = a + w, b + w, b - a
             while z < len(item) and y < len(doc) and item[z] == doc[y]:
                 z, y = z + 1, y + 1
             while a and b and item[a - 1] == doc[b - 1]:
                 a, b = a - 1, b - 1
-            segments.append([a, z, b])
-        segments.sort()
-        best = 0
-        done: list[tuple[int, int, int]] = []  # item from, item to, doc to of runs
-        for a, z, b in segments:
-            joined = None
-            for r in range(len(done) - 1, max(-1, len(done) - 9), -1):
-                if self._joins(item[done[r][1] : a], doc[done[r][2] : b], a - done[r][1], b - done[r][2]):
-                    joined = r
-                    break
-            if joined is None:
-                done.append((a, z, b + z - a))
-            elif z > done[joined][1]:
-                done[joined] = (done[joined][0], z, b + z - a)
-            if joined is not None:
-                done.append(done.pop(joined))
+            segments.append((a, z, b))
+            reach[diagonal] = z
         starts = self.starts[k]
-        for a, z, y in done:
-            if bisect_left(starts, z) - bisect_left(starts, a) < self.min_words - 6:  # its ends add a few words at most
-                continue
-            first = {s[0]: s for s in segments}.get(a)
-            best = max(best, self._words(k, a, z, first[2] if first else None, y, doc))
+        enough = self.min_words - 2 * END_WORDS
+        if bisect_left(starts, max(s[1] for s in segments)) - bisect_left(starts, min(s[0] for s in segments)) < enough:
+            return 0
+        best = 0
+        runs: list[tuple[int, int, int, int]] = []  # item from, item to, doc from, doc to
+        changed: list[int] = []  # when each run was last met
+        ends: dict[int, list[int]] = defaultdict(list)  # runs by the stretch of doc they end in
+        wide = GAP_DOC + 1
+        for now, (a, z, b) in enumerate(sorted(segments)):
+            near = {r for e in range((b - GAP_DOC) // wide, (b + 8) // wide + 1) for r in ends.get(e, ())}
+            r = next((r for r in sorted(near, key=lambda r: -changed[r]) if self._joins(item[runs[r][1] : a], doc[runs[r][3] : b], a - runs[r][1], b - runs[r][3])), None)
+            if r is None:
+                r = len(runs)
+                runs.append((a, z, b, b + z - a))
+                changed.append(now)
+                ends[runs[r][3] // wide].append(r)
+            elif z > runs[r][1]:
+                ends[runs[r][3] // wide].remove(r)
+                runs[r] = (runs[r][0], z, runs[r][2], b + z - a)
+                ends[runs[r][3] // wide].append(r)
+            changed[r] = now
+        for a, z, b, y in runs:
+            if bisect_left(starts, z) - bisect_left(starts, a) >= enough:
+                best = max(best, self._words(k, a, z, b, y, doc))
         return best
 
     @staticmethod
@@ -168,22 +233,23 @@ class Items:
             return min(n, m) >= -8 and abs(n - m) <= 14
         if n <= 3 and m <= 24 or m <= 3 and n <= 3:
             return True
-        if n > 80 or m > 110:
+        if n > GAP_ITEM or m > GAP_DOC or abs(n - m) > DRIFT:
             return False
-        return SequenceMatcher(None, left, right, autojunk=False).ratio() >= (0.5 if n <= 24 else 0.62) - (0.1 if m > n + 3 else 0)
+        return _alike(left, right, (0.5 if n <= 24 else 0.62) - (0.1 if m > n + 3 else 0))
 
-    def _words(self, k: int, a: int, z: int, b: int | None, y: int, doc: bytes) -> int:
-        """Words of the run [a, z) of item k, with misread words at its ends."""
+    def _words(self, k: int, a: int, z: int, b: int, y: int, doc: bytes) -> int:
+        """Words of the run [a, z) of item k, with at most END_WORDS misread words at each end."""
         starts, item = self.starts[k], self.text[k]
         lo, hi = bisect_left(starts, a), bisect_left(starts, z + 1) - 1
-        while lo > 0 and b is not None:  # the word before may be misread
+        first, last = lo - END_WORDS, hi + END_WORDS
+        while lo > max(0, first):  # the word before may be misread
             s = starts[lo - 1]
             word = item[s : starts[lo]]
             from_ = b - (a - starts[lo]) - len(word)
             if from_ < 0 or SequenceMatcher(None, word, doc[max(0, from_ - 1) : from_ + len(word)], autojunk=False).ratio() < 0.6:
                 break
             lo, a, b = lo - 1, s, from_
-        while hi < len(starts) - 1:
+        while hi < min(len(starts) - 1, last):
             s = starts[hi]
             word = item[s : starts[hi + 1]]
             from_ = y - (z - s)
@@ -193,6 +259,21 @@ class Items:
         return sum(j not in self.notice[k] for j in range(lo, hi))
 
 
+def _may_chain(hits: list[tuple[int, int]], reach: int, least: int) -> bool:
+    """Whether hits may follow each other over `least` letters of an item; whatever longest_run() joins, does."""
+    begin: list[int] = []
+    for i, (a, p) in enumerate(hits):
+        first = a
+        for j in range(i):
+            b, q = hits[j]
+            if b < a <= b + reach and -DRIFT <= p - a - q + b <= DRIFT and begin[j] < first:
+                first = begin[j]
+        if a - first >= least:
+            return True
+        begin.append(first)
+    return False
+
+
 def find_in_batch(items: Items, docs: list[str | None]) -> list[tuple[int, int, int]]:
     """(document number, item id, words) of one batch."""
     parts = [letters(t) if t else b"" for t in docs]
@@ -201,62 +282,98 @@ def find_in_batch(items: Items, docs: list[str | None]) -> list[tuple[int, int,
     at, pattern = items.occurrences(np.frombuffer(gap.join(parts) + gap, dtype=np.uint8))
     if not len(at):
         return []
-    many = items.count[pattern]
-    which = np.repeat(items.first[pattern], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = np.repeat(at, many)
-    d = np.searchsorted(offsets, at, side="right") - 1
-    k, a, p = items.owner[which], items.place[which], at - offsets[d]
-    order = np.lexsort((a, (p - a) // 8, k, d))
-    d, k, a, p = d[order], k[order], a[order], p[order]
-    strip = (p - a) // 8
-    new = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(k) != 0) | (np.diff(strip) != 0)])
-    gd, gk, gs, lo, hi, n = d[new], k[new], strip[new], a[new], a[np.r_[new[1:], len(a)] - 1], np.diff(np.r_[new, len(a)])
-    for step in (1, 2):  # three neighbouring strips of diagonals bear a run through a few insertions
-        near = np.zeros(len(gd), dtype=np.int64)
-        for j in range(1, step + 1):
-            if len(gd) > j:
-                same = np.r_[(gd[j:] == gd[:-j]) & (gk[j:] == gk[:-j]) & (gs[j:] == gs[:-j] + step), np.zeros(j, bool)]
-                near[same] = j
-        at_ = np.arange(len(gd)) + near
-        if step == 1:
-            lo1, hi1, n1 = np.where(near > 0, np.minimum(lo, lo[at_]), lo), np.where(near > 0, np.maximum(hi, hi[at_]), hi), n + np.where(near > 0, n[at_], 0)
-        else:
-            lo1, hi1, n1 = np.where(near > 0, np.minimum(lo1, lo[at_]), lo1), np.where(near > 0, np.maximum(hi1, hi[at_]), hi1), n1 + np.where(near > 0, n[at_], 0)
-    # a run of min_words words spans at least 2.5 letters a word less what errors at its ends hide; a fifth of its words begin a pattern, and one in three along it
-    span = hi1 - lo1 + items.width
-    dense = (span >= 2.5 * items.min_words) & (n1 >= max(1, items.min_words // 5)) & (n1 * 15 >= span)
-    if not dense.any():
+    doc_of = np.searchsorted(offsets, at, side="right") - 1
+    mine = ~items.shared[pattern]
+    many = items.count[pattern[mine]]
+    which = np.repeat(items.first[pattern[mine]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    p, d = np.repeat(at[mine], many), np.repeat(doc_of[mine], many)
+    k, a, p = items.owner[which], items.place[which], p - offsets[d]
+    pairs = np.unique(d * len(items.ids) + k)
+    if (~mine).any():  # patterns of notices count for the items that are met otherwise in the document
+        own = np.isin(doc_of, np.unique(d)) & ~mine
+        met = defaultdict(set)
+        for c in pairs.tolist():
+            met[c // len(items.ids)].add(c % len(items.ids))
+        extra = []
+        for q, where, n in zip(pattern[own].tolist(), at[own].tolist(), doc_of[own].tolist()):
+            holders = items.shared_places[q]
+            extra += [(n, o, x, where - offsets[n]) for o in met[n] for x in holders.get(o, ())]
+        if extra:
+            e = np.array(extra, dtype=np.int64)
+            d, k, a, p = (np.concatenate([x, y]) for x, y in zip((d, k, a, p), e.T))
+    if not len(d):
         return []
-    wide = 1 << 32  # one number for a document, an item and a band of 64 diagonals
-    code = (d * len(items.ids) + k) * wide + (p - a) // 64 + (wide >> 1)
-    good = (gd[dense] * len(items.ids) + gk[dense]) * wide + gs[dense] // 8 + (wide >> 1)
-    mine = np.isin(code, np.concatenate([good - 1, good, good + 1]))
-    hits = pd.DataFrame({"d": d[mine], "k": k[mine], "a": a[mine], "p": p[mine]})
-    out = []
-    for (d, k), h in hits.groupby(["d", "k"], sort=True):
-        n = items.longest_run(k, parts[d], list(zip(h["a"].tolist(), h["p"].tolist())))
+    # hits that no run can bridge fall apart: neighbours in a run are near in the document and in the item, and drift little
+    group = d * len(items.ids) + k
+    for turn in range(6):
+        value, most = ((p - a, DRIFT), (p, GAP_DOC + items.reach), (a, GAP_ITEM + items.reach))[turn % 3]
+        order = np.lexsort((value, group))
+        d, k, a, p, group, value = (x[order] for x in (d, k, a, p, group, value))
+        new = np.flatnonzero(np.r_[True, (np.diff(group) != 0) | (np.diff(value) > most)])
+        span = np.maximum.reduceat(a, new) - np.minimum.reduceat(a, new) + items.width
+        size = np.diff(np.r_[new, len(a)])
+        wide = np.repeat(span >= items.least[k[new]], size)
+        group = np.repeat(np.arange(len(new)), size)[wide]
+        d, k, a, p = (x[wide] for x in (d, k, a, p))
+        if not len(d):
+            return []
+    new = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+    last = np.r_[new[1:], len(a)]
+    best: dict[tuple[int, int], int] = {}
+    for lo, hi in zip(new.tolist(), last.tolist()):
+        key, hits = (int(d[lo]), int(k[lo])), list(zip(a[lo:hi].tolist(), p[lo:hi].tolist()))
+        if len(hits) <= 40 and not _may_chain(sorted(hits), GAP_ITEM + items.reach, items.least[key[1]] - items.width):
+            continue
+        n = items.longest_run(key[1], parts[key[0]], hits)
         if n >= items.min_words:
-            out.append((d, items.ids[k], n))
-    return out
+            best[key] = max(best.get(key, 0), n)
+    return [(n, items.ids[o], words) for (n, o), words in sorted(best.items())]
+
+
+_GRAMS = ArrayType(StructType([StructField("j", IntegerType()), StructField("h", LongType())]))
+
+
+def _grams(n: int):
+    @F.pandas_udf(_GRAMS)
+    def grams(text: pd.Series) -> pd.Series:
+        out = []
+        for t in text:
+            words = item_words(t)
+            out.append([(j, int.from_bytes(hashlib.blake2b(b" ".join(words[j : j + n]), digest_size=8).digest(), "little", signed=True)) for j in range(len(words) - n + 1)])
+        return pd.Series(out)
+
+    return grams
+
+
+def with_notices(items: DataFrame, n: int) -> DataFrame:
+    """(i, t, notice): items with the numbers of the words in stretches of n words that also stand in another item."""
+    g = items.select("i", F.explode(_grams(n)(F.col("t"))).alias("x")).select("i", "x.j", "x.h")
+    shared = g.groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo <> hi").select("h")
+    per = g.join(shared, "h").groupBy("i").agg(F.collect_set("j").alias("js"))
+    words = F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + n - 1))))
+    return items.join(per, "i", "left").select("i", "t", F.coalesce(words, F.array().cast("array<int>")).alias("notice"))
 
 
-def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 25, width: int = 16, notice_words: int = 14, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 25, width: int = 16, notice_words: int = 14, block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """(doc, item, words): documents with at least min_words consecutive words of an item, and the longest such run."""
     spark = docs.sparkSession
     keyed = items.where(f"{item_text} is not null").select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
-    passes = max(1, -(-keyed.count() // per_pass))
+    noticed = durable(with_notices(keyed, notice_words))
+    total = noticed.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // block_letters))
     texts = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_key).cast("long").alias("doc"), F.col(doc_text).alias("t"))
     out = None
     for n in range(passes):
-        rows = [(r["i"], r["t"]) for r in keyed.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect()]
-        shared = spark.sparkContext.broadcast((rows, width, min_words, notice_words))
+        rows = [(r["i"], r["t"], r["notice"]) for r in noticed.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect()]
+        shared = spark.sparkContext.broadcast((rows, width, min_words))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             tables = Items(*shared.value)
             for b in batches:
                 ids, text = b["doc"].tolist(), b["t"].tolist()
-                for k in range(0, len(ids), 2000):
-                    found = find_in_batch(tables, text[k : k + 2000])
+                cut = np.cumsum(np.fromiter(map(len, text), np.int64, len(text))) // BATCH_LETTERS
+                for k, z in zip(*(lambda e: (np.r_[0, e].tolist(), np.r_[e, len(ids)].tolist()))(np.flatnonzero(np.diff(cut)) + 1)):
+                    found = find_in_batch(tables, text[k:z])
                     yield pd.DataFrame([(ids[k + d], i, w) for d, i, w in found], columns=["doc", "item", "words"])
 
         one = texts.mapInPandas(search, "doc long, item long, words int")

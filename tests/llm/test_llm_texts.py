@@ -208,28 +208,70 @@ def test_leaks_against_plain_word_search(spark):
     it = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()] + [(99, "too short"), (98, None)], "item_id long, text string")
     found = leaks.find_leaks(d, "doc_id", "text", it, "item_id", "text")
     assert {(r["doc"], r["item"]) for r in found.collect()} == truth
-    in_blocks = leaks.find_leaks(d, "doc_id", "text", it, "item_id", "text", per_pass=3)
+    in_blocks = leaks.find_leaks(d, "doc_id", "text", it, "item_id", "text", block_letters=600)
     assert {tuple(r) for r in in_blocks.collect()} == {tuple(r) for r in found.collect()}
     assert {r["item"] for r in leaks.leaked_items(found).collect()} == {i for _, i in truth}
     assert leaks.find_leaks(d, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
     assert leaks.find_leaks(d.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
 
 
-def test_shared_notices_do_not_count():
+def item_tables(spark, texts, min_words=25, notice_words=14):
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "i long, t string")
+    return leaks.Items([tuple(r) for r in leaks.with_notices(d, notice_words).collect()], 16, min_words)
+
+
+def test_shared_notices_do_not_count(spark):
     rng = random.Random(11)
     notice, own = passage(rng, 20), [passage(rng, 40) for _ in range(2)]
-    items = leaks.Items([(i, " ".join(o + notice)) for i, o in enumerate(own)], 16, 25, 14)
+    items = item_tables(spark, [o + notice for o in own])
     rest = passage(rng, 30)
     assert leaks.find_in_batch(items, [" ".join(rest + own[0][-10:] + notice)]) == []
     assert leaks.find_in_batch(items, [" ".join(own[0][-26:] + notice + rest)]) == [(0, 0, 26)]
-
-
-def test_occurrences_against_plain_search():
-    rng = random.Random(12)
-    items = leaks.Items([(1, " ".join(passage(rng, 40)))], 16, 5, 14)
-    text = leaks.letters(" ".join(passage(rng, 50)) + " " + items.text[0].decode())
+    assert leaks.find_in_batch(items, [" ".join(own[0][-13:] + notice + own[0][:13])]) == []
+    # a notice between two parts of a passage joins them, and does not count itself
+    parted = item_tables(spark, [own[0][:15] + notice + own[0][15:], own[1] + notice])
+    assert leaks.find_in_batch(parted, [" ".join(own[0][:15] + notice + own[0][15:])]) == [(0, 0, 40)]
+
+
+def test_notices_are_the_same_however_many_blocks(spark):
+    rng = random.Random(21)
+    notice = passage(rng, 16)
+    items = spark.createDataFrame([(k, " ".join(passage(rng, 30) + notice)) for k in range(6)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), "text")
+    found = [sorted(map(tuple, leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "text", block_letters=n).collect())) for n in (10**6, 300)]
+    assert found[0] == found[1] == [(k, k, 30) for k in range(6)]
+
+
+def test_an_item_many_times_in_one_document(spark):
+    """Misread words in every copy: the longest run is found however many copies stand in between."""
+    rng = random.Random(22)
+    item = passage(rng, 40)
+    copies = []
+    for k in range(60):
+        words = item[:12] + ["zzz" + "qx"[k % 2] * 9] * 6 + item[18:30]
+        copies += words + passage(rng, 25)
+    whole = list(item)
+    for j in (8, 17, 26):
+        whole[j] = whole[j][:-1] + "x"
+    items = item_tables(spark, [item])
+    assert leaks.find_in_batch(items, [" ".join(copies)]) == []
+    assert leaks.find_in_batch(items, [" ".join(copies[:900] + whole + copies[900:])])[0][:2] == (0, 0)
+
+
+def test_letters_of_any_script(spark):
+    assert leaks.letters("Éa, б-в 1") == "eaбb1".encode() and leaks.letters("A-b") == b"ab"
+    rng = random.Random(23)
+    item = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(40)]
+    assert leaks.find_in_batch(item_tables(spark, [item]), ["x " + " ".join(item[5:35]).upper()]) == [(0, 0, 30)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_occurrences_against_plain_search(spark, seed):
     import numpy as np
 
+    rng = random.Random(seed)
+    items = item_tables(spark, [passage(rng, 40) for _ in range(3)], 5)
+    text = b"\0".join(leaks.letters(" ".join(passage(rng, 500))) + items.text[k % 3][: rng.randrange(400)] for k in range(1 + 20 * seed))
     at, n = items.occurrences(np.frombuffer(text, dtype=np.uint8))
     want = {(m.start(), p) for p in items.where for m in re.finditer(b"(?=" + re.escape(p) + b")", text)}
     assert {(int(a), bytes(items.patterns[k])) for a, k in zip(at, n)} == want
