@@ -349,9 +349,9 @@ def with_notices(items: DataFrame, n: int) -> DataFrame:
     """(i, t, notice): items with the numbers of the words in stretches of n words that also stand in another item."""
     g = items.select("i", F.explode(_grams(n)(F.col("t"))).alias("x")).select("i", "x.j", "x.h")
     shared = g.groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo <> hi").select("h")
-    per = g.join(shared, "h").groupBy("i").agg(F.collect_set("j").alias("js"))
+    per = g.join(shared.hint("merge"), "h").groupBy("i").agg(F.collect_set("j").alias("js"))
     words = F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + n - 1))))
-    return items.join(per, "i", "left").select("i", "t", F.coalesce(words, F.array().cast("array<int>")).alias("notice"))
+    return items.join(per.hint("merge"), "i", "left").select("i", "t", F.coalesce(words, F.array().cast("array<int>")).alias("notice"))
 
 
 def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 25, width: int = 16, notice_words: int = 14, block_letters: int = BLOCK_LETTERS) -> DataFrame:

@@ -61,21 +61,25 @@ def p2_margins(spark: SparkSession, d: str) -> DataFrame:
 _ITEM = ["pair", "page_id"]
 
 
-def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    labels = consensus.latest_labels(table(spark, d, "human_rows"), _ITEM, "annotator_id", ["overall_winner", "fluency"], ["labelled_at", "loaded_at"])
-    return consensus.fit(labels, _ITEM)
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.latest_labels(table(spark, d, "human_rows"), _ITEM, "annotator_id", ["overall_winner", "fluency"], ["labelled_at", "loaded_at"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.faults(consensus.annotator_report(*_consensus(spark, d))).withColumnRenamed("annotator", "annotator_id")
+    return consensus.faults(consensus.annotator_report(*consensus.fit(_labels(spark, d), _ITEM))).withColumnRenamed("annotator", "annotator_id")
 
 
 def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.consensus(_consensus(spark, d)[0], _ITEM)
+    return consensus.consensus(consensus.fit(_labels(spark, d), _ITEM)[0], _ITEM)
 
 
 def p4_annotators(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.annotator_report(*_consensus(spark, d))
+    return consensus.annotator_report(*consensus.fit(_labels(spark, d), _ITEM))
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement beyond chance on each criterion."""
+    return consensus.chance_corrected_agreement(_labels(spark, d), _ITEM).withColumn("alpha", F.round("alpha", 9))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +168,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrections, p1_pages, p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_evidence, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrections, p1_pages, p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p4_agreement, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_evidence, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
 
 ORACLES: dict[str, str] = {
     "p2_margins": r"""
@@ -183,6 +187,13 @@ ORACLES: dict[str, str] = {
                    sum(CASE WHEN v = 0 THEN 0.5 WHEN (v = 1) = (s0 < s1) THEN 0.0 ELSE 1.0 END)::DOUBLE + 0.5 AS wb
             FROM votes WHERE v BETWEEN 0 AND 2 GROUP BY ALL)
         SELECT a, b, n, round(ln(wa / wb), 9) AS margin, round(wa * wb / (wa + wb), 9) AS weight FROM sums""",
+    "p4_agreement": r"""
+        WITH last_ AS (SELECT * FROM human_rows WHERE pair IS NOT NULL AND page_id IS NOT NULL AND annotator_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY pair, page_id, annotator_id ORDER BY labelled_at DESC NULLS LAST, loaded_at DESC NULLS LAST, overall_winner DESC NULLS LAST, fluency DESC NULLS LAST) = 1),
+        l AS (SELECT pair, page_id, 'overall_winner' AS criterion, overall_winner AS label FROM last_ UNION ALL SELECT pair, page_id, 'fluency', fluency FROM last_),
+        per AS (SELECT criterion, pair, page_id, count(*) AS m, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 2) AS n2 FROM l WHERE label IN (0, 1, 2) GROUP BY ALL HAVING m > 1),
+        g AS (SELECT criterion, count(*) AS items, sum(m)::BIGINT AS labels, sum((n0 * (m - n0) + n1 * (m - n1) + n2 * (m - n2)) / (m - 1)) AS seen, sum(n0) AS s0, sum(n1) AS s1, sum(n2) AS s2 FROM per GROUP BY ALL)
+        SELECT criterion, items, labels, round(1 - seen / ((s0 * (labels - s0) + s1 * (labels - s1) + s2 * (labels - s2)) / (labels - 1)), 9) AS alpha FROM g""",
     "p3_found": r"""
         WITH t AS (SELECT page_id, chunk_no, regexp_replace(text, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS b FROM text_chunks WHERE text IS NOT NULL)
         SELECT DISTINCT page_id, chunk_no,
