@@ -18,7 +18,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pageloom.functions import text as tx
 from pageloom.functions.stem import stem
 
-_ALPHABET_LIMIT = 0xD700 - 256
+#: Distinct words that code points beyond the first plane hold; pairs of texts with more go to Python.
+_ALPHABET_LIMIT = 0xFFFFF
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
@@ -36,7 +37,7 @@ def _encoded_distance(a: Column, b: Column) -> Column:
     """Edit distance of two word arrays: every distinct word of the two becomes one code point of a string."""
 
     def encode(ws: Column, vocabulary: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 256), 4, "0")), "UTF-16BE")), "")
+        return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
 
     def distance(s: Column) -> Column:
         d = F.levenshtein(encode(s["a"], s["v"]), encode(s["b"], s["v"]))
@@ -46,7 +47,7 @@ def _encoded_distance(a: Column, b: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays of any vocabulary; a Python stage takes the pairs that one plane of code points can't hold."""
+    """Edit distance of two word arrays of any vocabulary; a Python stage takes the pairs that code points can't hold."""
     native = _encoded_distance(a, b)
     large = F.size(F.array_distinct(F.concat(a, b))) >= _ALPHABET_LIMIT
     return F.coalesce(native, _word_distance(F.when(large, a), F.when(large, b)))
@@ -67,36 +68,41 @@ def edit_distance(a: list | str, b: list | str) -> int:
     return row[-1]
 
 
-def wer(reference: Column, hypothesis: Column, long_texts: bool = False) -> Column:
-    """Word edit distance by the number of reference words.
-
-    long_texts: also handle pairs with more distinct words than one plane of
-    code points holds; this puts a Python stage into the plan.
-    """
-    distance = word_distance if long_texts else _encoded_distance
-    if long_texts:
-        r, h = tx.wer_words(reference), tx.wer_words(hypothesis)
-        return distance(r, h) / F.nullif(F.size(r), F.lit(0))
+def wer(reference: Column, hypothesis: Column) -> Column:
+    """Word edit distance by the number of reference words; whatever the number of different words."""
     words = {"r": tx.wer_words(reference), "h": tx.wer_words(hypothesis)}
-    return _let(words, lambda s: distance(s["r"], s["h"]) / F.nullif(F.size(s["r"]), F.lit(0)))
+    native = _let(words, lambda s: _encoded_distance(s["r"], s["h"]) / F.nullif(F.size(s["r"]), F.lit(0)))
+    r, h = words.values()
+    large = F.size(F.array_distinct(F.concat(r, h))) >= _ALPHABET_LIMIT
+    # only texts of a million words can have so many different ones: others are not counted a second time
+    large = (F.length(reference) + F.length(hypothesis) >= 2 * _ALPHABET_LIMIT) & large
+    return F.coalesce(native, _word_distance(F.when(large, r), F.when(large, h)) / F.nullif(F.size(r), F.lit(0)))
 
 
 def overlap(reference: Column, hypothesis: Column, n: int) -> Column:
-    """struct<p, r, f> of clipped n-gram overlap of two token arrays, without stemming."""
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
+    """struct<p, r, f> of clipped n-gram overlap of two token arrays, without stemming.
+
+    The k-th of equal n-grams is numbered k on both sides: then the overlap is that of sets.
+    """
+
+    def numbered(grams: Column) -> Column:
+        def first(s: Column) -> Column:
+            """Of a sorted array, where the run of equal values begins that an element belongs to: the largest such place so far, by doubling steps."""
+            at = F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i).otherwise(0))
+            steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(s), F.lit(1)))).cast("int"))
+            return F.aggregate(steps, at, lambda m, k: F.transform(m, lambda x, i: F.greatest(x, F.coalesce(F.get(m, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))))
 
-    def score(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        hits = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
-        return F.struct(hits.alias("h"), F.size(a).alias("n"), F.size(b).alias("m"))
+        placed = _let({"s": F.array_sort(grams)}, lambda v: F.struct(v["s"].alias("s"), first(v["s"]).alias("f")))
+        return _let({"v": placed}, lambda v: F.transform(v["v"]["s"], lambda x, i: F.concat_ws("\u0001", x, (i - F.get(v["v"]["f"], i)).cast("string"))))
 
     def rates(s: Column) -> Column:
         p, r = F.coalesce(s["h"] / F.nullif(s["m"], F.lit(0)), F.lit(0.0)), F.coalesce(s["h"] / F.nullif(s["n"], F.lit(0)), F.lit(0.0))
         return F.struct(p.alias("p"), r.alias("r"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
 
-    grams = _let({"x": reference, "y": hypothesis}, lambda s: F.struct(tx.ngrams(s["x"], n).alias("a"), tx.ngrams(s["y"], n).alias("b")))
-    counts = F.transform(F.array(grams), score)
-    return F.get(F.transform(counts, rates), F.lit(0))
+    grams = _let({"x": reference, "y": hypothesis}, lambda s: F.struct(tx.ngrams(s["x"], n).alias("x"), tx.ngrams(s["y"], n).alias("y")))
+    placed = _let({"g": grams}, lambda s: F.struct(numbered(s["g"]["x"]).alias("a"), numbered(s["g"]["y"]).alias("b")))
+    counts = _let({"p": placed}, lambda s: F.struct(F.size(F.array_intersect(s["p"]["a"], s["p"]["b"])).alias("h"), F.size(s["p"]["a"]).alias("n"), F.size(s["p"]["b"]).alias("m")))
+    return _let({"c": counts}, lambda s: rates(s["c"]))
 
 
 _TOKEN = re.compile("[^a-z0-9]+")

@@ -38,13 +38,24 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
+def running_sums(values: Column) -> Column:
+    """Sums up to and with each element of an integer array, by doubling steps: n log n additions."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0)))
+
+    return F.aggregate(steps, values, step)
+
+
 def sentence_chunks(text: Column) -> Column:
     """array<struct<text, start, end>>: parts at '. ', the full stop kept; offsets run over the parts without the blanks between."""
     parts = F.split(text, r"\. ", -1)
     n = F.size(parts)
     dotted = F.transform(parts, lambda p, i: F.when(i < n - 1, F.concat(p, F.lit("."))).otherwise(p))
-    starts = F.aggregate(dotted, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    return F.transform(dotted, lambda p, i: F.struct(p.alias("text"), F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(p)).alias("end")))
+    both = F.array(F.struct(dotted.alias("d"), running_sums(F.transform(dotted, F.length)).alias("e")))
+    return F.get(F.transform(both, lambda s: F.transform(s["d"], lambda p, i: F.struct(p.alias("text"), (F.get(s["e"], i) - F.length(p)).alias("start"), F.get(s["e"], i).alias("end")))), F.lit(0))
 
 
 def merge_chunks(chunks: Column) -> Column:
@@ -70,6 +81,7 @@ def pair_sides(pair: Column) -> Column:
     return F.struct(F.trim(parts[0]).alias("a"), F.trim(F.get(parts, F.lit(1))).alias("b"))
 
 
+# Endings and separators of file names, and the marker before a model's answer.
 def scores_file(path: Column) -> Column:
     return F.concat(file_stem(path), F.lit("_classic_scores.json"))
 

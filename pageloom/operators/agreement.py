@@ -16,8 +16,12 @@ def parsed_label(label: Column, raw: Column, criterion: str) -> Column:
 
 
 def judgements(rows: DataFrame, criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
-    """rows with every criterion parsed; labels as they were given, out of range included."""
-    return rows.select(*[c for c in rows.columns if c not in criteria], *[parsed_label(F.col(c), F.col("raw"), c).alias(c) for c in criteria])
+    """rows with every criterion parsed; labels as they were given, out of range included. The object in the raw answer is looked for once a row."""
+    found = F.regexp_extract(F.regexp_replace("raw", r'\\+"', '"'), r"(?s)\{.*\}", 0)
+    label = lambda o, c: F.nullif(F.regexp_extract(o, rf'"{c}"\s*:\s*"?(-?[0-9]{{1,3}})\b', 1), F.lit("")).cast("int")
+    read = F.get(F.transform(F.array(found), lambda o: F.struct(*[label(o, c).alias(c) for c in criteria])), F.lit(0))
+    d = rows.withColumn("_read", F.when(F.col("raw").isNotNull(), read))
+    return d.select(*[c for c in rows.columns if c not in criteria], *[F.coalesce(F.col(c).cast("int"), F.col(f"_read.{c}")).alias(c) for c in criteria])
 
 
 def long_labels(rows: DataFrame, keys: list[str], criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
@@ -56,12 +60,13 @@ def winner(faithfulness: Column, fluency: Column, completeness: Column, no_hallu
     return F.when(ones > twos, 1).when(twos > ones, 2).otherwise(F.coalesce(first, F.when(coin, 1).otherwise(2)))
 
 
-def kappa(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
+def kappa(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", weight: str | None = None) -> DataFrame:
     """(by, n, kappa): unweighted kappa of two label columns; null below two pairs, or where chance agreement is whole.
 
-    One aggregate over the cells, however many pairs there are.
+    weight: how many pairs a row stands for. One aggregate over the cells, however many pairs there are.
     """
-    cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_n"))
+    count = F.sum(weight) if weight else F.count("*")
+    cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(count.alias("_n"))
     rows = cells.groupBy(*by, F.col("_a").alias("_k")).agg(F.sum("_n").alias("_ra"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(0)).alias("_d"))
     cols = cells.groupBy(*by, F.col("_b").alias("_k")).agg(F.sum("_n").alias("_rb"))
     both = rows.join(cols, [*by, "_k"], "full").fillna(0, ["_ra", "_rb", "_d"])
@@ -70,9 +75,9 @@ def kappa(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFr
     return g.select(*by, "n", F.when((F.col("n") > 1) & (pe < 1), (po - pe) / (1 - pe)).alias("kappa"))
 
 
-def kappa_with_overall(pairs: DataFrame, by: str, a: str = "a", b: str = "b") -> DataFrame:
+def kappa_with_overall(pairs: DataFrame, by: str, a: str = "a", b: str = "b", weight: str | None = None) -> DataFrame:
     """kappa per value of `by` and, as 'all', over all of them."""
-    return kappa(pairs, [by], a, b).unionByName(kappa(pairs.withColumn(by, F.lit("all")), [by], a, b))
+    return kappa(pairs, [by], a, b, weight).unionByName(kappa(pairs.withColumn(by, F.lit("all")), [by], a, b, weight))
 
 
 def in_range(label: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-#: Shapes read for one another: two letters and the one they look like.
+# Shapes read for one another, two letters and the one they look like.
 SHAPES = (("rn", "m"), ("cl", "d"), ("vv", "w"))
 
 
@@ -223,11 +223,18 @@ def space_examples(df: DataFrame, key: list[str], clean: str, ocr: str) -> DataF
 
 
 def shape_counts(gt: Column, ocr: Column) -> Column:
-    """array<struct<gt_shape, ocr_shape, n>>: shapes read for one another at equal positions of both texts, natively."""
-    n = F.least(F.length(gt), F.length(ocr))
-    at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    rows = []
-    for two, one in SHAPES:
-        rows.append((one, two, F.size(F.filter(at, lambda i: (F.substring(ocr, i, F.lit(2)) == two) & (F.substring(gt, i, F.lit(1)) == one)))))
-        rows.append((two, one, F.size(F.filter(at, lambda i: (F.substring(gt, i, F.lit(2)) == two) & (F.substring(ocr, i, F.lit(1)) == one)))))
-    return F.array(*[F.struct(F.lit(a).alias("gt_shape"), F.lit(b).alias("ocr_shape"), c.alias("n")) for a, b, c in rows])
+    """array<struct<gt_shape, ocr_shape, n>>: shapes read for one another at equal positions of both texts, natively, in one pass over their characters."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    both = F.array(F.struct(chars(gt).alias("g"), chars(ocr).alias("o")))
+
+    def counts(s: Column) -> Column:
+        n = F.least(F.size(s["g"]), F.size(s["o"]))
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        stands = lambda c, shape, i: (F.get(c, i) == shape[0]) & ((F.get(c, i + 1) == shape[1]) if len(shape) > 1 else F.lit(True))
+        rows = []
+        for two, one in SHAPES:
+            for left, right in ((one, two), (two, one)):
+                rows.append((left, right, F.size(F.filter(at, lambda i: F.coalesce(stands(s["g"], left, i) & stands(s["o"], right, i), F.lit(False))))))
+        return F.array(*[F.struct(F.lit(a).alias("gt_shape"), F.lit(b).alias("ocr_shape"), c.alias("n")) for a, b, c in rows])
+
+    return F.get(F.transform(both, counts), F.lit(0))

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.durable import durable
 from pageloom.functions.text import hash_unit
 
 INSTRUCTION = "Clean the following OCR text:"  # fixed value: the training records' instruction
@@ -54,16 +55,17 @@ def with_defaults(keys: DataFrame, sources: dict[str, DataFrame], key: str, valu
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with `new_id` from 0 in the given order.
+    """df with `new_id` from 0 in the given order; rows equal in it stand in any order.
 
-    Rows are numbered within ranges of the leading column, and the ranges'
-    offsets added, so that no single task sorts all rows.
+    Rows are parted by ranges of the whole order and numbered within their part;
+    the parts, of which there are few, are counted and their offsets added.
     """
-    lead = order[0]
-    sizes = df.groupBy(lead).agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(lead).orderBy(*order)) - 1
-    return df.withColumn("_i", within).join(offsets, lead).withColumn("new_id", F.col("_before") + F.col("_i")).drop("_i", "_before")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_i", place)
+    d = durable(d)  # sampled ranges may differ from run to run
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(offsets), "_part").withColumn("new_id", F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
 
 
 def merge_datasets(parts: list[DataFrame], key: str) -> DataFrame:
@@ -75,21 +77,51 @@ def merge_datasets(parts: list[DataFrame], key: str) -> DataFrame:
     return numbered(out, ["part_no", key])
 
 
+def merge_paired_datasets(clean: list[DataFrame], noisy: list[DataFrame], key: str, clean_text: str = "text", noisy_text: str = "text") -> DataFrame:
+    """(part_no, key, new_id, clean, noisy) of datasets given twice: both texts of a page get the same new id.
+
+    A page that only one side has, or has twice, fails the job.
+    """
+    if len(clean) != len(noisy):
+        raise ValueError("as many clean as noisy datasets are needed")
+    parts = []
+    for c, n in zip(clean, noisy):
+        both = c.select(key, F.lit(1).alias("c"), F.lit(0).alias("n"), F.col(clean_text).alias("clean"), F.lit(None).cast("string").alias("noisy"))
+        both = both.unionByName(n.select(key, F.lit(0).alias("c"), F.lit(1).alias("n"), F.lit(None).cast("string").alias("clean"), F.col(noisy_text).alias("noisy")))
+        g = both.groupBy(key).agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max("clean").alias("clean"), F.max("noisy").alias("noisy"))
+        one = F.when((F.col("c") == 1) & (F.col("n") == 1), True).otherwise(F.raise_error(F.concat(F.lit("not one clean and one noisy page: "), F.col(key).cast("string"))).cast("boolean"))
+        parts.append(g.where(one).select(key, "clean", "noisy"))
+    return merge_datasets(parts, key)
+
+
 def hash_split(df: DataFrame, key: str, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with `split`, train or test, of exact sizes: the first n(1 - ratio) keys by hash are for training.
+    """df with `split`, train or test, of exact sizes: the first n(1 - ratio) of the n keys by hash are for training.
 
-    The cut is found from counts per leading byte of the hash; only the rows of
-    the byte in which it falls are ranked.
+    The place of the cut is found from counts by the hash's first four digits, then
+    by the next four within them, and by rank among the few keys left; no other
+    row is ranked. All rows of a key are on one side.
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = d.groupBy("_b").agg(F.count("*").alias("_n"))
-    total = d.agg(F.count("*").alias("_all"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sizes = F.broadcast(sizes.crossJoin(total))  # at most 256 rows
-    cut = F.floor(F.col("_all") * F.lit(1 - test_ratio) + F.lit(1e-9))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return d.join(sizes, "_b").withColumn("split", F.when(rank <= cut, "train").otherwise("test")).drop("_h", "_b", "_n", "_before", "_all")
+    keys = df.select(F.col(key).alias("_key"), h.alias("_h")).distinct()
+
+    def reached(counted: DataFrame, at: str, before: Column) -> DataFrame:
+        """(at, _before, _cut): the value of `at` in whose rows the cut falls, and the rows before it."""
+        upto = F.sum("_n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+        c = counted.withColumn("_before", before + upto - F.col("_n"))
+        return c.where((F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_n"))).select(at, "_before", "_cut")
+
+    cut = keys.agg(F.floor(F.count("*") * F.lit(1 - test_ratio) + F.lit(1e-9)).alias("_cut"))
+    one = keys.groupBy(F.substring("_h", 1, 4).alias("_a")).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(cut))  # at most 65,536 rows
+    one = reached(one, "_a", F.lit(0))
+    within = keys.withColumn("_a", F.substring("_h", 1, 4)).join(F.broadcast(one.withColumnRenamed("_before", "_past")), "_a")
+    two = within.groupBy("_a", "_past", "_cut", F.substring("_h", 5, 4).alias("_b")).agg(F.count("*").alias("_n"))
+    two = reached(two, "_b", F.col("_past"))
+    last = within.drop("_past", "_cut").withColumn("_b", F.substring("_h", 5, 4)).join(F.broadcast(two), "_b")
+    last = last.withColumn("_rank", F.col("_before") + F.row_number().over(Window.orderBy("_h", "_key"))).where("_rank = _cut")
+    edge = last.agg(F.max(F.struct("_h", "_key")).alias("_edge"))  # one row, null where nothing is for training
+    d = df.crossJoin(F.broadcast(edge))
+    train = F.coalesce(F.struct(h.alias("_h"), F.col(key).alias("_key")) <= F.col("_edge"), F.lit(False))
+    return d.withColumn("split", F.when(train, "train").otherwise("test")).drop("_edge")
 
 
 def shuffled_split(keys: list, test_ratio: float = 0.2, seed: int = 42) -> tuple[list, list]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.operators.align import SHAPES
 
-#: Distinct values that are clustered at once, exactly; more are first put into bins of equal width.
-CLUSTER_VALUES = 5_000
+#: Distinct values that are clustered, in the driver; more raise.
+CLUSTER_VALUES = 2_000_000
 
 
 def character_counts(df: DataFrame, text: str) -> DataFrame:
@@ -28,8 +30,8 @@ def character_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def overlapping_count(text: Column, shape: str) -> Column:
-    """Positions where a shape stands, overlapping ones included."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(len(shape))) == shape))
+    """Positions where a shape stands, overlapping ones included, in one pass."""
+    return F.regexp_count(text, F.lit(f"(?={re.escape(shape)})"))
 
 
 def shares(counts: DataFrame, within: list[str] | None = None) -> DataFrame:
@@ -65,25 +67,34 @@ def space_totals(errors: DataFrame) -> DataFrame:
 
 
 def cluster_breaks(values: np.ndarray, weights: np.ndarray, k: int) -> list[float]:
-    """Smallest values of the clusters of an exact one-dimensional k-means over sorted distinct values, by dynamic programming."""
+    """Smallest values of the clusters of an exact one-dimensional k-means over sorted distinct values.
+
+    Dynamic programming in which the best start of the last cluster never moves back
+    as values are added, so that halving the range finds all starts in n log n steps.
+    """
     n = len(values)
     if n <= k:
         return values.tolist()
     w, wx, wxx = (np.concatenate([[0], np.cumsum(a)]) for a in (weights, weights * values, weights * values**2))
 
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
-        s = w[j] - w[i]
-        return wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / np.maximum(s, 1e-300)
+    def cost(i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        return wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / np.maximum(w[j] - w[i], 1e-300)
 
-    best = np.array([0.0] + [float(cost(np.array([0]), j)[0]) for j in range(1, n + 1)])
+    best = np.concatenate([[0.0], cost(np.zeros(n, dtype=int), np.arange(1, n + 1))])
     back = []
     for _ in range(k - 1):
         new, arg = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(1, n + 1):
-            i = np.arange(j)
-            total = best[i] + cost(i, j)
-            arg[j] = int(np.argmin(total))
-            new[j] = total[arg[j]]
+        open_ = [(1, n, 0, n - 1)]  # ends lo..hi whose clusters start at a..b
+        while open_:
+            lo, hi, a, b = open_.pop()
+            if lo > hi:
+                continue
+            mid = (lo + hi) // 2
+            i = np.arange(a, min(b, mid - 1) + 1)
+            total = best[i] + cost(i, mid)
+            at = int(np.argmin(total))
+            new[mid], arg[mid] = total[at], i[at]
+            open_ += [(lo, mid - 1, a, arg[mid]), (mid + 1, hi, arg[mid], b)]
         best = new
         back.append(arg)
     starts, j = [], n
@@ -96,22 +107,16 @@ def cluster_breaks(values: np.ndarray, weights: np.ndarray, k: int) -> list[floa
 def common_errors(errors: DataFrame, value: str, clusters: int, top: int) -> DataFrame:
     """errors of the `top` clusters with the largest values, with their cluster's rank (1 = largest).
 
-    Only distinct values come to the driver, at most CLUSTER_VALUES of them;
-    beyond that, the means of as many bins of equal width.
+    Only distinct values come to the driver, CLUSTER_VALUES of them at most.
     """
     v = errors.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("w"))
-    if v.limit(CLUSTER_VALUES + 1).count() > CLUSTER_VALUES:
-        lo, hi = v.agg(F.min("v"), F.max("v")).first()
-        bins = F.least(F.floor((F.col("v") - lo) / (hi - lo) * CLUSTER_VALUES), F.lit(CLUSTER_VALUES - 1))
-        v = v.groupBy(bins.alias("b")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"), F.min("v").alias("lo"))
-        rows = v.select("lo", "v", "w").orderBy("v").collect()
-        names = {r["v"]: r["lo"] for r in rows}
-    else:
-        rows = v.orderBy("v").collect()
-        names = {r["v"]: r["v"] for r in rows}
+    rows = v.limit(CLUSTER_VALUES + 1).collect()
+    if len(rows) > CLUSTER_VALUES:
+        raise ValueError(f"more than {CLUSTER_VALUES} distinct values; round them")
     if not rows:
         return errors.withColumn("cluster", F.lit(None).cast("int")).limit(0)
-    breaks = [names[b] for b in cluster_breaks(np.array([r["v"] for r in rows]), np.array([float(r["w"]) for r in rows]), clusters)]
+    rows.sort(key=lambda r: r["v"])
+    breaks = cluster_breaks(np.array([r["v"] for r in rows]), np.array([float(r["w"]) for r in rows]), clusters)
     rank = sum((F.when(F.col(value) < b, 1).otherwise(0) for b in breaks), F.lit(0)) + 1
     return errors.where(F.col(value).isNotNull()).withColumn("cluster", rank.cast("int")).where(F.col("cluster") <= top)
 

@@ -16,26 +16,27 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import hash_unit
 
-#: Symbols that strew into a text, and characters of uniform noise.
+# Fixed value: symbols that strew into a text.
 SYMBOLS = "~!$%&*+=?|"
+#: Characters of uniform noise.
 UNIFORM = "".join(map(chr, range(33, 127)))
 #: Errors a noise model takes; more are too many for a table that every task holds.
 MODEL_ROWS = 50_000
 
 
 def model_of(errors: DataFrame) -> dict:
-    """The noise model of an error table with kind, gt_char, ocr_char and share: substitutions and deletions by character, insertions by inserted character, shapes."""
+    """The noise model of an error table with kind, gt_char, ocr_char and share: substitutions and deletions by character, insertions by the inserted character, which is the one it follows, shapes."""
     rows = errors.select("kind", "gt_char", "ocr_char", "share").limit(MODEL_ROWS + 1).collect()
     if len(rows) > MODEL_ROWS:
         raise ValueError(f"a noise model holds at most {MODEL_ROWS} errors; take the common ones")
-    model: dict = {"sub": {}, "del": {}, "ins": [], "visual": []}
+    model: dict = {"sub": {}, "del": {}, "ins": {}, "visual": []}
     for r in sorted(rows, key=lambda r: (-r["share"], r["kind"], r["gt_char"], r["ocr_char"])):
         if r["kind"] == "sub":
             model["sub"].setdefault(r["gt_char"], []).append((r["ocr_char"], r["share"]))
         elif r["kind"] == "del":
             model["del"][r["gt_char"]] = r["share"]
         elif r["kind"] == "ins":
-            model["ins"].append((r["ocr_char"], r["share"]))
+            model["ins"][r["ocr_char"]] = r["share"]
         elif r["kind"] == "visual":
             model["visual"].append((r["gt_char"], r["ocr_char"], r["share"]))
     return model
@@ -46,7 +47,12 @@ def rng_of(*parts: object) -> random.Random:
 
 
 def perturb(text: str, model: dict, rng: random.Random, symbol_p: float = 0.005, uniform_p: float = 0.005) -> str:
-    """Noisy copy of a text. Per character, in this order: uniform noise, a shape, deletion, substitution, an insertion some characters back, a stray symbol."""
+    """Noisy copy of a text.
+
+    A character meets, in this order: uniform noise, a shape, deletion, each of which
+    ends its turn; then substitution, an insertion of the same character five to
+    fifteen places back, where there are more places than that, and a stray symbol.
+    """
     out: list[str] = []
     i = 0
     while i < len(text):
@@ -60,29 +66,27 @@ def perturb(text: str, model: dict, rng: random.Random, symbol_p: float = 0.005,
             out.append(shape[1])
             i += len(shape[0])
             continue
-        if not rng.random() < model["del"].get(c, 0.0):
-            out.append(next((t for t, p in model["sub"].get(c, ()) if rng.random() < p), c))
-        for t, p in model["ins"]:
-            if rng.random() < p:
-                back = rng.randint(5, 15)
-                if len(out) >= back:
-                    out.insert(len(out) - back, t)
-                break
+        i += 1
+        if c in model["del"] and rng.random() < model["del"][c]:
+            continue
+        out.append(next((t for t, p in model["sub"].get(c, ()) if rng.random() < p), c))
+        if c in model["ins"] and rng.random() < model["ins"][c]:
+            back = rng.randint(5, 15)
+            if back < len(out):
+                out.insert(len(out) - back, c)
         if rng.random() < symbol_p:
             out.append(rng.choice(SYMBOLS))
-        i += 1
     return "".join(out)
 
 
 def random_chunks(text: str, rng: random.Random, least: int = 1000, most: int = 2000, around: int = 100) -> list[str]:
-    """Chunks of random length, each drawn to the full stop nearest its end within `around` characters; blank ones are skipped."""
+    """Chunks of random length, each ended at the full stop nearest its drawn end within `around` characters, the last one too; blank ones are skipped."""
     out, start = [], 0
     while start < len(text):
         end = min(start + rng.randint(least, most), len(text))
-        lo, hi = max(start + 1, end - around), min(len(text), end + around)
-        dots = [k for k in range(lo, hi) if text[k] == "."]
-        if dots and end < len(text):
-            end = min(dots, key=lambda k: (abs(k - end), k)) + 1
+        dots = [k for k in range(max(start, end - around), min(len(text), end + around)) if text[k] == "."]
+        if dots:
+            end = min(dots, key=lambda k: abs(k - end)) + 1
         piece = text[start:end]
         if piece.strip():
             out.append(piece)

@@ -5,20 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.durable import durable
 from pageloom.schema import CRITERIA, LABELS, METRICS
 
 
+def ranked_values(long: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n, before, total): distinct values with how often they stand, the values below them and the group's size.
+
+    Values are parted by ranges, so that a group of any size spreads over tasks;
+    the parts, of which there are few, are summed and their offsets added.
+    """
+    counts = long.groupBy(*by, value).agg(F.count("*").alias("n"))
+    d = durable(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    sums = d.groupBy("_part", *by).agg(F.sum("n").alias("_n"))
+    group = Window.partitionBy(*by)
+    offsets = sums.select("_part", *by, F.sum("_n").over(group).alias("total"), (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.sum("n").over(Window.partitionBy("_part", *by).orderBy(value)) - F.col("n")
+    placed = d.withColumn("_within", within).join(offsets, ["_part", *by])
+    return placed.select(*by, value, "n", (F.col("_before") + F.col("_within")).alias("before"), "total")
+
+
+def quantile(p: float, value: str) -> Column:
+    """Aggregate over ranked_values(): the exact quantile, between two values in proportion."""
+    at = F.lit(p) * (F.col("total") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    stands = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
+    share = F.max(at - low)
+    return stands(low) + (stands(high) - stands(low)) * share
+
+
 def metric_summary(scores: DataFrame, by: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(by, metric, mean, median, std): exact median, population deviation; nulls are left out."""
     long = scores.unpivot([by], list(metrics), "metric", "value").where("value is not null")
-    return long.groupBy(by, "metric").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_pop("value").alias("std"))
+    middle = ranked_values(long, [by, "metric"], "value").groupBy(by, "metric").agg(quantile(0.5, "value").alias("median"))
+    return long.groupBy(by, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).join(middle, [by, "metric"]).select(by, "metric", "mean", "median", "std")
 
 
 def box_summary(scores: DataFrame, by: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(by, metric, n, low, q1, median, q3, high): what a box plot shows."""
     long = scores.unpivot([by], list(metrics), "metric", "value").where("value is not null")
-    q = [F.percentile("value", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return long.groupBy(by, "metric").agg(F.count("*").alias("n"), F.min("value").alias("low"), *q, F.max("value").alias("high"))
+    q = [quantile(p, "value").alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    return ranked_values(long, [by, "metric"], "value").groupBy(by, "metric").agg(F.sum("n").alias("n"), F.min("value").alias("low"), *q, F.max("value").alias("high"))
 
 
 def histogram(scores: DataFrame, by: str, metric: str, width: float) -> DataFrame:

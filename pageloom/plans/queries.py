@@ -131,40 +131,78 @@ def cer_histogram(spark, d):
     return sm.histogram(m, "sys_name", "cer", 0.05)
 
 
-def _scored(spark, d, side: str) -> DataFrame:
-    return mx.evaluate(triples(spark, d).where("ground_truth is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair", "page_id"), "ground_truth", side)
+def answers(spark, d) -> DataFrame:
+    """(pair, page_id, side, sys_name, answer, ground_truth): both answers of each triple, in rows of their own."""
+    sides = [F.struct(F.lit(n).alias("side"), F.col(f"model{n}").alias("answer")) for n in (1, 2)]
+    t = triples(spark, d).where("ground_truth is not null").select("pair", "page_id", "ground_truth", F.explode(F.array(*sides)).alias("x"))
+    name = tx.pair_sides(F.col("pair"))
+    return t.select("pair", "page_id", "x.side", F.when(F.col("x.side") == 1, name["a"]).otherwise(name["b"]).alias("sys_name"), "x.answer", "ground_truth").distinct()
+
+
+def _scored(spark, d) -> DataFrame:
+    return mx.evaluate(answers(spark, d), "ground_truth", "answer")
 
 
 @query()
 def page_scores(spark, d):
-    return _scored(spark, d, "model1").select("pair", "page_id", *METRICS, "length_clean", "length_ocr")
+    return _scored(spark, d).select("pair", "page_id", "side", *METRICS, "length_clean", "length_ocr")
 
 
 @query()
 def score_summary(spark, d):
-    scored = _scored(spark, d, "model1").withColumn("sys_name", tx.pair_sides(F.col("pair"))["a"])
-    return sm.metric_summary(scored, "sys_name")
+    return sm.metric_summary(_scored(spark, d), "sys_name")
+
+
+_SP = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+_ANSWERS = """a AS (SELECT DISTINCT pair, page_id, side, ground_truth, answer FROM (
+    SELECT pair, page_id, 1 AS side, ground_truth, model1 AS answer FROM annotation_triples UNION ALL SELECT pair, page_id, 2, ground_truth, model2 FROM annotation_triples) WHERE ground_truth IS NOT NULL)"""
+
+
+# the words that both texts begin and end with are taken off; then one reference word a step, for all texts at once, a running minimum taking the insertions
+@query(rf"""WITH RECURSIVE {_ANSWERS}, w AS (SELECT row_number() OVER () AS id, *, regexp_replace(regexp_replace(ground_truth, '^{_SP}+|{_SP}+$', '', 'g'), '{_SP}{_SP}+', ' ', 'g') AS r, regexp_replace(regexp_replace(answer, '^{_SP}+|{_SP}+$', '', 'g'), '{_SP}{_SP}+', ' ', 'g') AS h FROM a),
+s AS (SELECT id, list_filter(string_split(r, ' '), lambda z: z <> '') AS x, list_filter(string_split(h, ' '), lambda z: z <> '') AS y FROM w),
+f AS (SELECT *, least(len(x), len(y)) AS n, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]), false) - 1, least(len(x), len(y))) AS a FROM s WHERE y IS NOT NULL),
+g AS (SELECT id, x, y, a, coalesce(list_position(list_transform(range(0, n - a), lambda i: x[len(x) - i] = y[len(y) - i]), false) - 1, n - a) AS z FROM f),
+m AS (SELECT id, x[a + 1 : len(x) - z] AS x, y[a + 1 : len(y) - z] AS y FROM g),
+t AS (SELECT id, 0 AS i, len(x) AS nx, list_transform(x, lambda q: list_position(x, q)) AS xs, list_transform(y, lambda q: coalesce(list_position(x, q), 0)) AS ys FROM m),
+xw AS MATERIALIZED (SELECT id, generate_subscripts(xs, 1) AS i, unnest(xs) AS c FROM t),
+d AS (SELECT id, 0 AS i, 0 AS j, 0 AS v, -1 AS c FROM t UNION ALL SELECT id, 0, generate_subscripts(ys, 1), generate_subscripts(ys, 1), unnest(ys) FROM t),
+r AS (SELECT id, i, j, v, c FROM d UNION ALL
+ SELECT id, i, j, j + min(q - j) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING), c FROM (
+   SELECT r.id, r.i + 1 AS i, r.j, r.c, least(r.v + 1, coalesce(lag(r.v) OVER (PARTITION BY r.id ORDER BY r.j) + (xw.c <> r.c)::INT, r.i + 1)) AS q FROM r JOIN xw ON xw.id = r.id AND xw.i = r.i + 1)),
+dist AS (SELECT r.id, r.v FROM r JOIN t ON t.id = r.id AND r.i = t.nx AND r.j = len(t.ys))
+SELECT w.pair, w.page_id, w.side, round(dist.v / nullif(len(s.x), 0), 9) AS wer FROM w JOIN s USING (id) LEFT JOIN dist USING (id)""")
+def page_word_error_rates(spark, d):
+    return answers(spark, d).select("pair", "page_id", "side", F.round(mx.wer(F.col("ground_truth"), F.col("answer")), 9).alias("wer"))
+
+
+@query(f"""WITH {_ANSWERS}, s AS (SELECT *, regexp_replace(ground_truth, '^{_SP}+|{_SP}+$', '', 'g') AS r, regexp_replace(answer, '^{_SP}+|{_SP}+$', '', 'g') AS h FROM a),
+k AS (SELECT *, list_distinct(string_split(r || coalesce(h, ''), '')) AS abc FROM s),
+e AS (SELECT *, list_reduce(list_prepend('', list_transform(string_split(r, ''), lambda c: chr(list_position(abc, c)::INT))), lambda x, y: x || y) AS er, list_reduce(list_prepend('', list_transform(string_split(h, ''), lambda c: chr(list_position(abc, c)::INT))), lambda x, y: x || y) AS eh FROM k)
+SELECT pair, page_id, side, round(CASE WHEN r = '' OR h IS NULL THEN NULL WHEN h = '' THEN 1.0 ELSE levenshtein(er, eh) / length(r) END, 9) AS cer, length(r)::INT AS length_clean, length(h)::INT AS length_ocr FROM e""")
+def page_character_error_rates(spark, d):
+    """The SQL gives every character of a pair of texts one byte, as its edit distance goes by bytes."""
+    r, h = F.col("ground_truth"), F.col("answer")
+    return answers(spark, d).select("pair", "page_id", "side", F.round(mx.cer(r, h), 9).alias("cer"), F.length(tx.strip(r)).alias("length_clean"), F.length(tx.strip(h)).alias("length_ocr"))
 
 
 def _overlap_sql(n: int) -> str:
     gram = "tok" if n == 1 else "list_transform(range(1, greatest(len(tok), 1)), lambda i: tok[i] || ' ' || tok[i + 1])"
-    def side(c: str, a: str) -> str:
-        return f"{a} AS (SELECT pair, page_id, model1, ground_truth, unnest({gram}) AS g FROM (SELECT *, list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS tok FROM t))"
-    return f"""WITH {_TRIPLES}, {side('ground_truth', 'ga')}, {side('model1', 'gb')},
-    ca AS (SELECT pair, page_id, model1, ground_truth, g, count(*) AS n FROM ga GROUP BY ALL), cb AS (SELECT pair, page_id, model1, ground_truth, g, count(*) AS n FROM gb GROUP BY ALL),
-    hits AS (SELECT ca.pair, ca.page_id, ca.model1, ca.ground_truth, sum(least(ca.n, cb.n)) AS h FROM ca JOIN cb ON ca.pair = cb.pair AND ca.page_id = cb.page_id AND ca.g = cb.g AND ca.model1 IS NOT DISTINCT FROM cb.model1 AND ca.ground_truth IS NOT DISTINCT FROM cb.ground_truth GROUP BY ALL),
-    na AS (SELECT pair, page_id, model1, ground_truth, sum(n) AS n FROM ca GROUP BY ALL), nb AS (SELECT pair, page_id, model1, ground_truth, sum(n) AS n FROM cb GROUP BY ALL),
-    j AS (SELECT t.pair, t.page_id, coalesce(h / nb.n, 0) AS p, coalesce(h / na.n, 0) AS r FROM (SELECT DISTINCT pair, page_id, model1, ground_truth FROM t WHERE model1 IS NOT NULL AND ground_truth IS NOT NULL) t
-        LEFT JOIN hits ON t.pair = hits.pair AND t.page_id = hits.page_id AND t.model1 IS NOT DISTINCT FROM hits.model1 AND t.ground_truth IS NOT DISTINCT FROM hits.ground_truth
-        LEFT JOIN na ON t.pair = na.pair AND t.page_id = na.page_id AND t.model1 IS NOT DISTINCT FROM na.model1 AND t.ground_truth IS NOT DISTINCT FROM na.ground_truth
-        LEFT JOIN nb ON t.pair = nb.pair AND t.page_id = nb.page_id AND t.model1 IS NOT DISTINCT FROM nb.model1 AND t.ground_truth IS NOT DISTINCT FROM nb.ground_truth)
-    SELECT pair, page_id, round(p::DOUBLE, 9) AS p, round(r::DOUBLE, 9) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END::DOUBLE, 9) AS f FROM j"""
+
+    def grams(c: str) -> str:
+        return f"SELECT id, unnest({gram}) AS g FROM (SELECT id, list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS tok FROM k)"
+
+    return f"""WITH {_ANSWERS}, k AS (SELECT row_number() OVER () AS id, * FROM a WHERE answer IS NOT NULL),
+    ca AS (SELECT id, g, count(*) AS n FROM ({grams('ground_truth')}) GROUP BY ALL), cb AS (SELECT id, g, count(*) AS n FROM ({grams('answer')}) GROUP BY ALL),
+    hits AS (SELECT ca.id, sum(least(ca.n, cb.n)) AS h FROM ca JOIN cb USING (id, g) GROUP BY ALL), na AS (SELECT id, sum(n) AS n FROM ca GROUP BY ALL), nb AS (SELECT id, sum(n) AS n FROM cb GROUP BY ALL),
+    j AS (SELECT k.*, coalesce(h / nb.n, 0)::DOUBLE AS p, coalesce(h / na.n, 0)::DOUBLE AS r FROM k LEFT JOIN hits USING (id) LEFT JOIN na USING (id) LEFT JOIN nb USING (id))
+    SELECT pair, page_id, side, round(p, 9) AS p, round(r, 9) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END::DOUBLE, 9) AS f FROM j"""
 
 
 def _overlap(spark, d, n):
-    t = triples(spark, d).select("pair", "page_id", "model1", "ground_truth").distinct().where("model1 is not null and ground_truth is not null")
-    o = t.withColumn("a", tx.overlap_tokens(F.col("ground_truth"))).withColumn("b", tx.overlap_tokens(F.col("model1"))).select("pair", "page_id", mx.overlap(F.col("a"), F.col("b"), n).alias("o"))
-    return o.select("pair", "page_id", F.round("o.p", 9).alias("p"), F.round("o.r", 9).alias("r"), F.round("o.f", 9).alias("f"))
+    t = answers(spark, d).where("answer is not null")
+    o = t.select("pair", "page_id", "side", mx.overlap(tx.overlap_tokens(F.col("ground_truth")), tx.overlap_tokens(F.col("answer")), n).alias("o"))
+    return o.select("pair", "page_id", "side", F.round("o.p", 9).alias("p"), F.round("o.r", 9).alias("r"), F.round("o.f", 9).alias("f"))
 
 
 @query(_overlap_sql(1))
@@ -226,23 +264,19 @@ pairs AS (SELECT criterion, h.label AS a, j.label AS b FROM human_long h JOIN ju
 """
 
 
-def _weighted_kappa(cells: DataFrame, by: str) -> DataFrame:
-    c = cells.groupBy(by, "a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("w"))
-    ra = c.groupBy(by, F.col("a").alias("k")).agg(F.sum("w").alias("ra"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("d"))
-    rb = c.groupBy(by, F.col("b").alias("k")).agg(F.sum("w").alias("rb"))
-    g = ra.join(rb, [by, "k"], "full").fillna(0, ["ra", "rb", "d"]).groupBy(by).agg(F.sum("ra").alias("n"), F.sum("d").alias("d"), F.sum(F.col("ra") * F.col("rb")).alias("e"))
-    po, pe = F.col("d") / F.col("n"), F.col("e") / (F.col("n") * F.col("n"))
-    return g.select(by, "n", F.when((F.col("n") > 1) & (pe < 1), F.round((po - pe) / (1 - pe), 9)).alias("kappa"))
+def _kappa(cells: DataFrame, by: str) -> DataFrame:
+    return ag.kappa(cells.withColumn("w", F.col("na") * F.col("nb")), [by], weight="w").withColumn("kappa", F.round("kappa", 9))
 
 
 @query(_HJ + _KAPPA.format(by="criterion"))
 def kappa_human_judge(spark, d):
-    return _weighted_kappa(_human_judge(spark, d), "criterion")
+    return _kappa(_human_judge(spark, d), "criterion")
 
 
 @query(_HJ.replace("SELECT criterion, h.label", "SELECT 'all' AS criterion, h.label") + _KAPPA.format(by="criterion"))
 def kappa_human_judge_overall(spark, d):
-    return _weighted_kappa(_human_judge(spark, d).withColumn("criterion", F.lit("all")), "criterion")
+    both = ag.kappa_with_overall(_human_judge(spark, d).withColumn("w", F.col("na") * F.col("nb")), "criterion", weight="w")
+    return both.where("criterion = 'all'").withColumn("kappa", F.round("kappa", 9))
 
 
 @query(f"""WITH {_JUDGE}, m AS (SELECT sys_name, page_id, max(unigram_precision) AS unigram_precision, max(unigram_recall) AS unigram_recall, max(unigram_f1) AS unigram_f1 FROM metric_rows GROUP BY ALL),
@@ -257,7 +291,7 @@ def kappa_judge_metrics(spark, d):
     j = judge_labels(spark, d).where(ag.in_range(F.col("label"))).groupBy("side_a", "side_b", "page_id", "criterion", F.col("label").alias("a")).agg(F.count("*").alias("na"))
     x, y = (m.select(F.col("sys_name").alias(s), "page_id", "metric", F.col("v").alias(v)) for s, v in (("side_a", "va"), ("side_b", "vb")))
     p = j.join(x, ["side_a", "page_id"]).join(y, ["side_b", "page_id", "metric"]).withColumn("b", mx.preference(F.col("va"), F.col("vb"))).withColumn("nb", F.lit(1))
-    return _weighted_kappa(p.withColumn("what", F.concat_ws("/", "criterion", "metric")), "what")
+    return _kappa(p.withColumn("what", F.concat_ws("/", "criterion", "metric")), "what")
 
 
 @query(f"WITH {_JUDGE} SELECT side_a, side_b, count(*) FILTER (overall_winner IS NULL) AS nulls FROM turned GROUP BY ALL HAVING nulls > 0")

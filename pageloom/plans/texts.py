@@ -13,7 +13,15 @@ from pageloom.operators import denoise as dn
 from pageloom.operators import errors as er
 from pageloom.operators import noise as ns
 from pageloom.operators import summary as sm
-from pageloom.plans.queries import _PAGES, _TRIPLES, pages, query, table, triples
+from pageloom.schema import CRITERIA
+from pageloom.plans.queries import _ANSWERS, _PAGES, answers, pages, query, table, triples
+
+def page_pairs(spark, d) -> DataFrame:
+    """(page_id, ocr, clean): every text of a page with every clean text given for it; the join spreads them over the tasks."""
+    g = table(spark, d, "annotation_triples").where("ground_truth is not null").select("page_id", F.col("ground_truth").alias("clean")).distinct()
+    p = pages(spark, d).select("page_id", F.col("text").alias("ocr")).distinct()
+    return p.hint("merge").join(g, "page_id")
+
 
 # ---- lengths and selections
 
@@ -53,12 +61,21 @@ def merge_check(spark, d):
     return ds.unmatched(table(spark, d, "metric_rows"), table(spark, d, "annotation_triples"), "page_id")
 
 
-@query()
+@query("SELECT t.pair, t.page_id, length(p.text)::INT AS length FROM (SELECT DISTINCT pair, page_id, model1, model2, ground_truth FROM annotation_triples) t JOIN (SELECT page_id, max(text) AS text FROM ocr_pages GROUP BY 1) p USING (page_id)")
 def strict_pages(spark, d):
-    """Every triple with its page; a triple without one fails the query."""
-    p = pages(spark, d).select("page_id", "text").groupBy("page_id").agg(F.min("text").alias("text"))
-    t = triples(spark, d).join(p.select("page_id"), "page_id", "left_semi")
-    return ds.strict_join(t, p, "page_id").select("pair", "page_id", F.length("text").alias("length"))
+    """Every triple with its page; a triple whose page was never delivered fails the query."""
+    p = table(spark, d, "ocr_pages").groupBy("page_id").agg(F.max("text").alias("text"))
+    return ds.strict_join(triples(spark, d), p, "page_id").select("pair", "page_id", F.length("text").alias("length"))
+
+
+@query("""WITH o AS (SELECT DISTINCT dataset, page_id, text FROM ocr_pages WHERE text IS NOT NULL), m AS (SELECT 0 AS part_no, page_id, text FROM o WHERE dataset LIKE 'train%' UNION ALL SELECT 1, page_id, text FROM o WHERE dataset LIKE 'test%')
+SELECT part_no, page_id, row_number() OVER (ORDER BY part_no, page_id) - 1 AS new_id, md5(upper(text)) AS clean_md5, md5(text) AS noisy_md5 FROM m""")
+def paired_merge(spark, d):
+    """Datasets given twice, merged strictly: the same new id for both texts of a page. Capitals stand for the second version."""
+    p = pages(spark, d).select("dataset", "page_id", "text")
+    parts = [p.where(F.col("dataset").startswith(x)) for x in ("train", "test")]
+    merged = ds.merge_paired_datasets([x.withColumn("text", F.upper("text")) for x in parts], parts, "page_id")
+    return merged.select("part_no", "page_id", "new_id", F.md5("clean").alias("clean_md5"), F.md5("noisy").alias("noisy_md5"))
 
 
 @query(f"WITH {_PAGES} SELECT dataset, page_id FROM p WHERE ('0x' || substr(md5('42:' || page_id), 1, 8))::BIGINT / 4294967296.0 < 0.02")
@@ -88,12 +105,10 @@ def exact_split(spark, d):
     return ds.hash_split(pages(spark, d).select("page_id").distinct(), "page_id", 0.2, 42)
 
 
-@query("""WITH p AS (SELECT page_id, min(text) AS text FROM ocr_pages WHERE text IS NOT NULL GROUP BY 1), g AS (SELECT page_id, min(ground_truth) AS clean FROM annotation_triples WHERE ground_truth IS NOT NULL GROUP BY 1)
+@query("""WITH p AS (SELECT DISTINCT page_id, text FROM ocr_pages WHERE text IS NOT NULL), g AS (SELECT DISTINCT page_id, ground_truth AS clean FROM annotation_triples WHERE ground_truth IS NOT NULL)
 SELECT 'Clean the following OCR text:' AS instruction, text AS input, clean AS output FROM p JOIN g USING (page_id)""")
 def training_records(spark, d):
-    p = pages(spark, d).groupBy("page_id").agg(F.min("text").alias("text"))
-    g = table(spark, d, "annotation_triples").where("ground_truth is not null").groupBy("page_id").agg(F.min("ground_truth").alias("clean"))
-    return ds.sft_records(p.join(g, "page_id"), "text", "clean")
+    return ds.sft_records(page_pairs(spark, d), "ocr", "clean")
 
 
 # ---- sentences, prompts, votes
@@ -156,18 +171,16 @@ voted AS (SELECT id, string_agg(v, ' ' ORDER BY p) AS voted FROM won GROUP BY 1)
 SELECT t.pair, t.page_id, md5(coalesce(voted, '')) AS voted_md5 FROM best JOIN t USING (id) LEFT JOIN voted USING (id)""")
 def majority_vote(spark, d):
     """The three texts of a triple as attempts at one answer."""
-    t = triples(spark, d).withColumn("id", F.xxhash64("pair", "page_id", "model1", "model2", "ground_truth"))
-    a = t.select("pair", "page_id", "id", F.posexplode(F.array("model1", "model2", "ground_truth")).alias("att", "x"))
-    v = dn.majority_text(a, ["pair", "page_id", "id"], "att", "x")
-    return v.select("pair", "page_id", F.md5(F.coalesce("voted", F.lit(""))).alias("voted_md5"))
+    t = triples(spark, d).withColumn("voted", dn.majority_of(F.array("model1", "model2", "ground_truth"))).where("voted is not null")
+    return t.select("pair", "page_id", F.md5("voted").alias("voted_md5"))
 
 
-@query(f"""WITH {_TRIPLES}, s AS (SELECT pair, page_id, string_split(model1, '. ') AS a, string_split(ground_truth, '. ') AS b FROM (SELECT DISTINCT pair, page_id, model1, ground_truth FROM t) WHERE model1 IS NOT NULL AND ground_truth IS NOT NULL)
-SELECT pair, page_id, (i - 1)::INT AS pos, a[i] AS a, b[i] AS b FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM s)""")
+@query(f"""WITH {_ANSWERS}, s AS (SELECT pair, page_id, side, string_split(answer, '. ') AS a, string_split(ground_truth, '. ') AS b FROM a WHERE answer IS NOT NULL)
+SELECT pair, page_id, side, (i - 1)::INT AS pos, a[i] AS a, b[i] AS b FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM s)""")
 def positional_pairs(spark, d):
-    t = triples(spark, d).select("pair", "page_id", "model1", "ground_truth").distinct().where("model1 is not null and ground_truth is not null")
-    z = ds.positional_pairs(F.split("model1", r"\. "), F.split("ground_truth", r"\. "))
-    return t.select("pair", "page_id", F.posexplode(z).alias("pos", "z")).select("pair", "page_id", "pos", "z.a", "z.b")
+    t = answers(spark, d).where("answer is not null")
+    z = ds.positional_pairs(F.split("answer", r"\. "), F.split("ground_truth", r"\. "))
+    return t.select("pair", "page_id", "side", F.posexplode(z).alias("pos", "z")).select("pair", "page_id", "side", "pos", "z.a", "z.b")
 
 
 @query("""WITH n AS (SELECT DISTINCT sys_name, hub_path, short_alias FROM systems), m AS (SELECT DISTINCT sys_name, page_id, cer FROM metric_rows WHERE cer IS NOT NULL)
@@ -179,10 +192,25 @@ def aliased_scores(spark, d):
     return j.groupBy("name", "file_name").agg(F.count("*").alias("n"), F.round(F.min("cer"), 9).alias("least"))
 
 
-@query("SELECT page_id, pair, regexp_replace(regexp_replace(pair, '^.*/', ''), '\\.[^.]*$', '') || '_classic_scores.json' AS scores_file, regexp_replace(pair, '\\.[^.]*$', '') || '_rouge_comparison.json' AS preference_file FROM (SELECT DISTINCT page_id, pair FROM annotation_triples)")
+_STEM = "regexp_replace(regexp_replace({}, '^.*/', ''), '\\.[^.]*$', '')"
+
+
+@query(f"""SELECT page_id, pair, {_STEM.format('pair')} || '_classic_scores.json' AS scores_file, {_STEM.format('pair')} || '_rouge_comparison.json' AS preference_file,
+{_STEM.format('pair')} || '_denoised_' || replace(a, '/', '-') || '.json' AS denoised_file, {_STEM.format('a')} || '_Against_' || {_STEM.format('b')} || '.json' AS judgement_file
+FROM (SELECT DISTINCT page_id, pair, string_split(pair, '_vs_')[1] AS a, string_split(pair, '_vs_')[2] AS b FROM annotation_triples)""")
 def file_names(spark, d):
-    t = table(spark, d, "annotation_triples").select("page_id", "pair").distinct()
-    return t.select("page_id", "pair", tx.scores_file(F.col("pair")).alias("scores_file"), tx.preference_file(F.col("pair")).alias("preference_file"))
+    t = table(spark, d, "annotation_triples").select("page_id", "pair", tx.pair_sides(F.col("pair")).alias("s")).distinct()
+    p, a, b = F.col("pair"), F.col("s.a"), F.col("s.b")
+    return t.select("page_id", "pair", tx.scores_file(p).alias("scores_file"), tx.preference_file(p).alias("preference_file"), tx.denoised_file(p, a).alias("denoised_file"), tx.judgement_file(a, b).alias("judgement_file"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT pair, page_id, model1, model2, ground_truth FROM annotation_triples), p AS (SELECT page_id, min(text) AS text FROM ocr_pages GROUP BY 1)
+SELECT pair, page_id, {", ".join(f"CASE WHEN coalesce(length(model1), 0) > coalesce(length(model2), 0) THEN 1 WHEN coalesce(length(model2), 0) > coalesce(length(model1), 0) THEN 2 ELSE 0 END::INT AS {c}" for c in CRITERIA)} FROM t LEFT JOIN p USING (page_id)""")
+def judged_triples(spark, d):
+    """A judge asked about every triple, the answers shown in random order: one that prefers the longer answer, so that every label is known."""
+    p = table(spark, d, "ocr_pages").groupBy("page_id").agg(F.min("text").alias("text"))
+    t = triples(spark, d).join(p, "page_id", "left").withColumn("id", F.xxhash64("model1", "model2", "ground_truth"))
+    return dn.judge(t, ["pair", "page_id", "id"], "ground_truth", "text", "model1", "model2", dn.length_judge).drop("id")
 
 
 @query("SELECT json_valid(raw) AS valid, count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM judge_rows) WHERE raw IS NOT NULL AND trim(raw) <> '' GROUP BY ALL")
@@ -210,55 +238,45 @@ def character_shares(spark, d):
     return er.shares(flat.groupBy("symbol").agg(F.count("*").alias("n"))).withColumn("share", F.round("share", 12))
 
 
-def _parts(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _page_pairs(spark, d) -> DataFrame:
-    g = table(spark, d, "annotation_triples").where("ground_truth is not null").groupBy("page_id").agg(F.min("ground_truth").alias("clean"))
-    p = pages(spark, d).groupBy("page_id").agg(F.min("text").alias("ocr"))
-    return p.join(g, "page_id").repartition(_parts(spark), "page_id")
-
-
-_PAIR_SQL = "pp AS (SELECT page_id, o.text AS ocr, g.clean FROM (SELECT page_id, min(text) AS text FROM ocr_pages WHERE text IS NOT NULL GROUP BY 1) o JOIN (SELECT page_id, min(ground_truth) AS clean FROM annotation_triples WHERE ground_truth IS NOT NULL GROUP BY 1) g USING (page_id))"
+_PAIR_SQL = "pp AS (SELECT row_number() OVER () AS id, page_id, ocr, clean FROM (SELECT DISTINCT page_id, text AS ocr FROM ocr_pages WHERE text IS NOT NULL) JOIN (SELECT DISTINCT page_id, ground_truth AS clean FROM annotation_triples WHERE ground_truth IS NOT NULL) USING (page_id))"
 
 
-@query(f"WITH {_PAIR_SQL}, i AS (SELECT page_id, ocr, clean, unnest(range(1, least(length(ocr), length(clean)) + 1)) AS i FROM pp) SELECT gs AS gt_shape, os AS ocr_shape, (SELECT count(*) FROM i WHERE substr(clean, i, length(gs)) = gs AND substr(ocr, i, length(os)) = os) AS n FROM (VALUES ('m', 'rn'), ('rn', 'm'), ('d', 'cl'), ('cl', 'd'), ('w', 'vv'), ('vv', 'w')) v(gs, os)")
+@query(f"WITH {_PAIR_SQL}, i AS (SELECT ocr, clean, unnest(range(1, least(length(ocr), length(clean)) + 1)) AS i FROM pp) SELECT gs AS gt_shape, os AS ocr_shape, (SELECT count(*) FROM i WHERE substr(clean, i, length(gs)) = gs AND substr(ocr, i, length(os)) = os) AS n FROM (VALUES ('m', 'rn'), ('rn', 'm'), ('d', 'cl'), ('cl', 'd'), ('w', 'vv'), ('vv', 'w')) v(gs, os)")
 def shape_errors(spark, d):
-    p = _page_pairs(spark, d).select(F.explode(al.shape_counts(F.col("clean"), F.col("ocr"))).alias("x"))
+    p = page_pairs(spark, d).select(F.explode(al.shape_counts(F.col("clean"), F.col("ocr"))).alias("x"))
     return p.groupBy("x.gt_shape", "x.ocr_shape").agg(F.sum("x.n").alias("n"))
 
 
 @query()
 def word_errors(spark, d):
-    return al.word_errors(_page_pairs(spark, d), "clean", "ocr")
+    return al.word_errors(page_pairs(spark, d), "clean", "ocr")
 
 
 @query()
 def word_error_rates(spark, d):
     """Errors of a symbol by its occurrences in the clean pages."""
-    pp = _page_pairs(spark, d)
+    pp = page_pairs(spark, d)
     return er.letter_shares(al.word_errors(pp, "clean", "ocr"), er.character_counts(pp, "clean"))
 
 
 @query()
 def space_error_totals(spark, d):
-    return er.space_totals(al.word_errors(_page_pairs(spark, d), "clean", "ocr"))
+    return er.space_totals(al.word_errors(page_pairs(spark, d), "clean", "ocr"))
 
 
 @query()
 def space_error_examples(spark, d):
-    return al.space_examples(_page_pairs(spark, d), ["page_id"], "clean", "ocr")
+    return al.space_examples(page_pairs(spark, d), ["page_id"], "clean", "ocr")
 
 
 @query()
 def clean_chunks(spark, d):
-    return al.clean_chunks(_page_pairs(spark, d), ["page_id"], "clean")
+    return al.clean_chunks(page_pairs(spark, d).select("page_id", "clean").distinct(), ["page_id"], "clean")
 
 
 @query()
 def aligned_chunks(spark, d):
-    return al.aligned_chunks(_page_pairs(spark, d), ["page_id"], "clean", "ocr")
+    return al.aligned_chunks(page_pairs(spark, d), ["page_id"], "clean", "ocr")
 
 
 @query()
@@ -284,10 +302,11 @@ def common_word_errors(spark, d):
 
 @query()
 def synthetic_pages(spark, d):
-    """A noisy corpus from the clean pages and the errors found in the scanned ones."""
-    model = ns.model_of(er.shares(er.merged(word_errors(spark, d)), ["kind"]))
-    clean = _page_pairs(spark, d).select("page_id", "clean")
-    return ns.noisy_corpus(clean, "page_id", "clean", model)
+    """A noisy corpus from the clean pages, with the errors of characters found in aligned chunks and the shapes found in words."""
+    found = er.merged(chunk_error_counts(spark, d), word_errors(spark, d).where("kind = 'visual'"))
+    model = ns.model_of(er.shares(found, ["kind"]))
+    clean = page_pairs(spark, d).select(F.xxhash64("page_id", "clean").alias("text_id"), "clean").distinct()
+    return ns.noisy_corpus(clean, "text_id", "clean", model)
 
 
 _SUB = {"e": ("c", 0.03), "h": ("b", 0.02), "n": ("u", 0.02), "l": ("1", 0.01)}
@@ -303,12 +322,17 @@ def substituted_chunks(spark, d):
     return c.select("page_id", "chunk_no", ns.substitute(F.col("text"), F.concat_ws("/", "page_id", "chunk_no"), _SUB).alias("noisy"))
 
 
-@query()
+_WORDS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+
+
+@query(f"""WITH {_SENTENCES}, w AS (SELECT page_id, chunk_no, text, ord, start_, array_to_string(list_transform(string_split(part, ' '), lambda x: CASE WHEN x IN ('tbe', 'tle', 'lhe', 'thc') THEN 'the' ELSE x END), ' ') AS said FROM placed),
+v AS (SELECT page_id, chunk_no, text, ord, start_, array_to_string(list_filter(regexp_split_to_array(said, '{_WORDS}'), lambda x: x <> ''), ' ') AS voted FROM w)
+SELECT page_id, chunk_no, string_agg(voted, ' ' ORDER BY start_, ord) AS denoised FROM v GROUP BY page_id, chunk_no, text""")
 def denoised_chunks(spark, d):
     """Chunks through a dictionary backend, three attempts, voted and merged."""
-    c = table(spark, d, "text_chunks").select("page_id", "chunk_no", "text").distinct().where("text is not null")
+    c = table(spark, d, "text_chunks").select("page_id", "chunk_no", "text", F.xxhash64("text").alias("id")).distinct().where("text is not null")
     table_ = {"tbe": "the", "tle": "the", "lhe": "the", "thc": "the"}
-    return dn.denoise(c, ["page_id", "chunk_no"], "text", dn.dictionary_backend(table_), attempts=3, mode="simple", shots=_SHOTS)
+    return dn.denoise(c, ["page_id", "chunk_no", "id"], "text", dn.dictionary_backend(table_), attempts=3, mode="simple", shots=_SHOTS).drop("id")
 
 
 @query("SELECT lang, count(*) AS pages, max(page_id) AS last_page FROM (SELECT DISTINCT page_id, lang, text FROM ocr_pages WHERE text IS NOT NULL) GROUP BY ALL")

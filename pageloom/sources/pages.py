@@ -21,6 +21,14 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     return files.where("m is not null").select("file", F.posexplode(F.map_entries("m")).alias("ord", "e")).select("file", F.col("e.key").alias("key"), F.col("e.value").alias("value"), "ord")
 
 
+def object_report(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """(file, status, entries) of the files a scan should find: ok, empty (an object without entries), broken (no object) or missing."""
+    wanted = spark.createDataFrame([(n,) for n in names], "file string")
+    files = spark.read.text(folder, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("file"), F.size(F.from_json("value", "map<string,string>")).alias("n"), F.from_json("value", "map<string,string>").isNull().alias("bad"))
+    status = F.when(F.col("bad").isNull(), "missing").when(F.col("bad"), "broken").when(F.col("n") == 0, "empty").otherwise("ok")
+    return wanted.join(files, "file", "left").select("file", status.alias("status"), F.when(status == "ok", F.col("n")).otherwise(0).alias("entries"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(file, page_id, text, ord) of page datasets; of a key given twice the last value counts."""
     rows = read_objects(spark, path).select("file", F.col("key").cast("bigint").alias("page_id"), F.col("value").alias("text"), "ord")

@@ -143,3 +143,81 @@ def test_retry():
         dn.with_retry(lambda: 1 / 0, lambda e: False)
     with pytest.raises(RuntimeError):
         dn.with_retry(lambda: (_ for _ in ()).throw(OSError("503")), lambda e: True, retries=1, sleep=waits.append)
+
+
+def test_numbering_over_many_parts(spark):
+    d = spark.range(5000).select((F.col("id") % 7).alias("a"), F.xxhash64("id").alias("b"), F.lit("x").alias("other")).repartition(8)
+    got = ds.numbered(d, ["a", "b"]).collect()
+    assert [r["new_id"] for r in sorted(got, key=lambda r: (r["a"], r["b"]))] == list(range(5000))
+    assert ds.numbered(d.limit(0), ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.2, 0.5, 1.0])
+def test_split_has_exact_sizes_and_keeps_keys_together(spark, ratio):
+    d = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.col("id").alias("v"))
+    rows = ds.hash_split(d, "k", ratio).collect()
+    sides = {}
+    for r in rows:
+        sides.setdefault(r["k"], set()).add(r["split"])
+    assert len(rows) == 3000 and all(len(s) == 1 for s in sides.values())
+    assert sum("train" in s for s in sides.values()) == int(1000 * (1 - ratio) + 1e-9)
+    assert ds.hash_split(d.limit(0), "k", ratio).count() == 0
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from pageloom.operators import summary as sm
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=999).tolist(), "b": [1.0] * 50 + [2.0], "c": [5.0], "d": np.round(rng.exponential(size=400), 1).tolist()}
+    d = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("e", None)], "s string, cer double").repartition(6)
+    got = {r["s"]: r for r in sm.box_summary(d, "s", ("cer",)).collect()}
+    assert got.keys() == values.keys()
+    for k, vs in values.items():
+        assert [got[k][c] for c in ("n", "low", "q1", "median", "q3", "high")] == pytest.approx([len(vs), *np.quantile(vs, [0, 0.25, 0.5, 0.75, 1])])
+    assert {r["s"]: r["median"] for r in sm.metric_summary(d, "s", ("cer",)).collect()} == pytest.approx({k: np.median(v) for k, v in values.items()})
+
+
+def test_paired_merge_is_strict(spark):
+    c = spark.createDataFrame([(2, "two"), (1, "one")], "page_id int, text string")
+    n = spark.createDataFrame([(1, "0ne"), (2, "tw0")], "page_id int, text string")
+    got = ds.merge_paired_datasets([c, c], [n, n], "page_id").orderBy("new_id").collect()
+    assert [(r["part_no"], r["page_id"], r["new_id"], r["clean"], r["noisy"]) for r in got] == [(0, 1, 0, "one", "0ne"), (0, 2, 1, "two", "tw0"), (1, 1, 2, "one", "0ne"), (1, 2, 3, "two", "tw0")]
+    for other in (n.limit(1), n.unionByName(n)):
+        with pytest.raises(Exception, match="not one clean and one noisy page"):
+            ds.merge_paired_datasets([c], [other], "page_id").collect()
+    with pytest.raises(ValueError):
+        ds.merge_paired_datasets([c], [], "page_id")
+
+
+def test_votes_in_arrays_and_rows(spark):
+    cases = [(["a b", "a c", "a b d"], "a b"), (["x", None, None], "x"), ([None, None], None), (["", " ", "a"], ""), (["b a", "c a", "c b"], "c a"), ([], None)]
+    d = spark.createDataFrame(cases, "a array<string>, want string")
+    assert all(r["got"] == r["want"] for r in d.withColumn("got", dn.majority_of(F.col("a"))).collect())
+
+
+def test_judge_turns_labels_back(spark):
+    rows = spark.createDataFrame([(k, "clean", "ocr", "long answer" if k % 2 else "x", "short") for k in range(20)] + [(99, None, None, None, None)], "k int, c string, o string, a string, b string")
+    got = {r["k"]: r for r in dn.judge(rows, ["k"], "c", "o", "a", "b", dn.length_judge).collect()}
+    assert all(got[k]["fluency"] == (1 if k % 2 else 2) for k in range(20)) and got[99]["overall_winner"] == 0
+    broken = dn.judge(rows, ["k"], "c", "o", "a", "b", lambda: lambda ps: ["no json" if i % 2 else '{"fluency": 7}' for i, _ in enumerate(ps)])
+    assert {r["fluency"] for r in broken.collect()} == {None}
+
+
+def test_backend_is_asked_again(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def factory():
+        def backend(prompts):
+            with open(log, "a") as f:
+                f.write("x")
+            if len(open(log).read()) < 3:
+                raise TimeoutError
+            return [p[-1]["content"] for p in prompts]
+
+        return backend
+
+    d = spark.createDataFrame([(1, "t")], "k int, text string").coalesce(1)
+    out = dn.denoise(d, ["k"], "text", factory, transient=lambda e: isinstance(e, TimeoutError), retries=2)
+    assert [tuple(r) for r in out.collect()] == [(1, "t")]

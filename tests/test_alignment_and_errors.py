@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -107,13 +108,77 @@ def test_common_errors(spark):
 
 
 def test_noise_is_reproducible_and_null_safe(spark):
-    model = {"sub": {"e": [("c", 0.5)]}, "del": {"x": 0.5}, "ins": [("i", 0.05)], "visual": [("rn", "m", 0.5)]}
+    model = {"sub": {"e": [("c", 0.5)]}, "del": {"x": 0.5}, "ins": {"i": 0.05}, "visual": [("rn", "m", 0.5)]}
     a = ns.perturb("the modern example exists here", model, ns.rng_of(1, 2))
     assert a == ns.perturb("the modern example exists here", model, ns.rng_of(1, 2)) != ns.perturb("the modern example exists here", model, ns.rng_of(1, 3))
     d = spark.createDataFrame([(1, "One sentence here. " * 200), (2, None), (3, "  ")], "id int, t string")
     rows = ns.noisy_corpus(d, "id", "t", model).collect()
     assert {r["id"] for r in rows} == {1}
-    assert "".join(r["clean"] for r in sorted(rows, key=lambda r: r["chunk_no"])) == "One sentence here. " * 200
+    assert "".join(r["clean"] for r in sorted(rows, key=lambda r: r["chunk_no"])) == ("One sentence here. " * 200).rstrip()  # the blank after the last full stop is a blank chunk
     assert sorted(rows) == sorted(ns.noisy_corpus(d.repartition(3), "id", "t", model).collect())
     same = d.where("id = 1").select(ns.substitute(F.col("t"), F.col("id"), {"e": ("c", 1.0)})).first()[0]
     assert same == ("One sentence here. " * 200).replace("e", "c")
+
+
+class Script:
+    """A generator that gives what is written down."""
+
+    def __init__(self, *draws):
+        self.draws = list(draws)
+
+    def random(self):
+        return self.draws.pop(0)
+
+    randint = choice = lambda self, *_: self.draws.pop(0)
+
+
+MODEL = {"sub": {"e": [("c", 0.1), ("o", 0.2)]}, "del": {"x": 0.5}, "ins": {"i": 0.3, "x": 0.3}, "visual": [("rn", "m", 0.4)]}
+
+
+@pytest.mark.parametrize("text, draws, out", [
+    ("a", (0.0, "#"), "#"),  # uniform noise ends the turn
+    ("rna", (0.9, 0.1, 0.9, 0.9), "ma"),  # so does a shape, which takes both letters
+    ("rn", (0.9, 0.6, 0.9, 0.9, 0.9), "rn"),
+    ("xa", (0.9, 0.4, 0.9, 0.9), "a"),  # a deleted character has no insertion and no stray symbol
+    ("e", (0.9, 0.5, 0.15, 0.9), "o"),  # the first substitution that is drawn counts
+    ("e", (0.9, 0.5, 0.5, 0.9), "e"),
+    ("i", (0.9, 0.1, 5, 0.9), "i"),  # an insertion needs more places than it goes back
+    ("aaaai", (0.9, 0.9) * 4 + (0.9, 0.1, 5, 0.9), "aaaai"),
+    ("aaaaai", (0.9, 0.9) * 5 + (0.9, 0.1, 5, 0.9), "aiaaaai"),
+    ("a", (0.9, 0.001, "~"), "a~"),
+])
+def test_every_branch_of_the_noise(text, draws, out):
+    script = Script(*draws)
+    assert ns.perturb(text, MODEL, script) == out and not script.draws
+
+
+def test_random_chunks_end_at_full_stops():
+    text = "a" * 50 + ". " + "b" * 70 + ". ccc"
+    assert ns.random_chunks(text, Script(60, 60, 60), 60, 60, 20) == ["a" * 50 + ".", " " + "b" * 70 + ".", " ccc"]
+    # the last chunk is drawn back to a full stop near its end as well
+    assert ns.random_chunks("d" * 30 + ". ee", Script(90, 90), 90, 90, 20) == ["d" * 30 + ".", " ee"]
+    assert ns.random_chunks("", Script()) == [] and ns.random_chunks("  ", Script(5, 5)) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 5)), min_size=1, max_size=24, unique_by=lambda x: x[0]), st.integers(1, 5))
+def test_clusters_are_the_best_ones(pairs, k):
+    """Against all ways to part the values."""
+    from itertools import combinations
+
+    pairs.sort()
+    v, w = np.array([float(a) for a, _ in pairs]), np.array([float(b) for _, b in pairs])
+
+    def cost(starts):
+        ends = [*starts[1:], len(v)]
+        return sum((w[i:j] * (v[i:j] - np.average(v[i:j], weights=w[i:j])) ** 2).sum() for i, j in zip(starts, ends))
+
+    if len(v) <= 10:
+        best = min(cost((0, *c)) for n in range(min(k, len(v))) for c in combinations(range(1, len(v)), n))
+        got = [int(np.flatnonzero(v == b)[0]) for b in er.cluster_breaks(v, w, k)]
+        assert len(got) <= k and cost(got) == pytest.approx(best, abs=1e-6)
+
+
+def test_many_values_are_clustered_exactly(spark):
+    d = spark.range(20_000).select(F.col("id"), (F.col("id") / 1000 + F.when(F.col("id") >= 15_000, 100).otherwise(0)).alias("v"))
+    assert er.common_errors(d, "v", 2, 1).count() == 5_000

@@ -92,3 +92,34 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).select(F.count("*")).first()[0] > 0
+
+
+def test_report_of_a_scan(spark, tmp_path):
+    from pageloom.sources import pages as src
+
+    for name, text in (("a.json", '{"0": "x", "1": "y"}'), ("b.json", "{}"), ("c.json", "[1")):
+        (tmp_path / name).write_text(text)
+    got = {r["file"]: (r["status"], r["entries"]) for r in src.object_report(spark, str(tmp_path), ["a", "b", "c", "d"]).collect()}
+    assert got == {"a": ("ok", 2), "b": ("empty", 0), "c": ("broken", 0), "d": ("missing", 0)}
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from pageloom.__main__ import main
+
+    def folder(name, pages):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "d.json").write_text(json.dumps(pages))
+        return str(tmp_path / name)
+
+    clean, noisy = folder("clean", {"0": "The cat sat.", "1": "On it."}), folder("noisy", {"0": "Tbe cat sat.", "1": "On it."})
+    out = str(tmp_path / "out")
+    main(["merge_datasets", out, "--clean", clean, clean, "--noisy", noisy, noisy])
+    assert json.loads(spark.read.text(f"{out}/noisy").first()[0]) == {"0": "Tbe cat sat.", "1": "On it.", "2": "Tbe cat sat.", "3": "On it."}
+    main(["denoise", noisy, out + "2", "--backend", "tests.backends:echo"])
+    assert json.loads(spark.read.text(out + "2").first()[0]) == {"0": "Tbe cat sat.", "1": "On it."}
+    main(["evaluate_metrics", clean, noisy, out + "3"])
+    assert {r["page_id"]: round(r["wer"], 3) for r in spark.read.json(out + "3").collect()} == {0: 0.333, 1: 0.0}
+    main(["evaluate_judge", clean, noisy, clean, noisy, out + "4", "--judge", "pageloom.operators.denoise:length_judge"])
+    assert {r["fluency"] for r in spark.read.json(out + "4").collect()} == {0}

@@ -99,3 +99,30 @@ def test_names(spark):
     assert d.select(tx.alias(F.lit("k"), {"k": "short"})).first()[0] == "short"
     with pytest.raises(Exception):
         d.select(tx.known_model(F.lit("zzz"), {"gemma": "g"})).collect()
+
+
+def test_overlap_of_repeated_grams(spark):
+    rows = [("a a a b", "a a b b"), ("", "a"), ("x " * 300, "x " * 200 + "y"), (None, "a")]
+    d = spark.createDataFrame(rows, "r string, h string").select(mx.overlap(tx.overlap_tokens(F.col("r")), tx.overlap_tokens(F.col("h")), 1).alias("o"))
+    got = [r["o"] for r in d.collect()]
+    assert [got[0]["p"], got[0]["r"]] == [0.75, 0.75] and got[1]["f"] == 0.0 and [got[2]["p"], got[2]["r"]] == pytest.approx([200 / 201, 200 / 300])
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 7, 64, 500)]
+    for r in spark.createDataFrame(rows, "a array<int>").select("a", tx.running_sums(F.col("a")).alias("s")).collect():
+        assert r["s"] == [sum(r["a"][: k + 1]) for k in range(len(r["a"]))]
+
+
+def test_word_error_rate_of_many_different_words(spark):
+    """More different words than one plane of code points has, and, with a lower limit, than all have: the rate is never null."""
+    a = " ".join(f"w{k}" for k in range(3000))
+    b = " ".join(f"w{k}" if k % 1000 else f"v{k}" for k in range(3000))
+    d = spark.createDataFrame([(a, b)], "r string, h string")
+    assert d.select(mx.wer(F.col("r"), F.col("h"))).first()[0] == pytest.approx(0.001)
+    old = mx._ALPHABET_LIMIT
+    mx._ALPHABET_LIMIT = 2500
+    try:
+        assert d.select(mx.wer(F.col("r"), F.col("h"))).first()[0] == pytest.approx(0.001)
+    finally:
+        mx._ALPHABET_LIMIT = old
