@@ -30,7 +30,7 @@ _BLANK = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0
 _BEFORE, _AFTER = "“”„\"'‘’([«¿", "”“\"'‘’)]».,;:!?"
 _EDGE = r"(?<![^\s])[“”„\"'‘’(\[«¿]+|[”“\"'‘’)\]».,;:!?]+(?![^\s])"
 ROMAN = r"c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
-#: Words of at most this many letters are looked for as variants at distance two; longer ones too, but shorter ones than LEAST_TWO are not.
+#: Variants at distance two are looked for of words of this length or more: of shorter ones they are other words.
 LEAST_TWO = 6
 
 
@@ -165,6 +165,12 @@ def _without(words: DataFrame, n: int) -> DataFrame:
     return d.select("word", "n", F.col("_h").alias("hash")).distinct()
 
 
+def _of_lengths(words: DataFrame, others: DataFrame, n: int) -> DataFrame:
+    """The words whose length is within n of some other word's; the lengths are told by a broadcast of the different ones, of which there are few."""
+    near = others.select(F.explode(F.sequence(F.length("word") - n, F.length("word") + n)).alias("_len")).distinct()
+    return words.withColumn("_len", F.length("word")).join(near, "_len", "left_semi").drop("_len")
+
+
 def corrections(lex: DataFrame, ratio: float = 3.0) -> DataFrame:
     """(word, fix): ranked corrections of the words that are not sound.
 
@@ -173,7 +179,6 @@ def corrections(lex: DataFrame, ratio: float = 3.0) -> DataFrame:
     words without such a partner, less two letters. The edit distance confirms,
     a sound word of `ratio` times the variant's frequency is wanted.
     """
-    lex = lex.where(F.length("word") <= 40)
     good = lex.where("known").select("word", "n")
     bad = lex.where(~F.col("known") & ~_ordinary(F.col("word"))).select("word", "n")
     plain = F.regexp_replace("word", r"[^\p{L}\p{N}' -]+", "")
@@ -183,7 +188,9 @@ def corrections(lex: DataFrame, ratio: float = 3.0) -> DataFrame:
     by_group = swapped.join(good.select(F.col("word").alias("fix"), F.col("n").alias("fn")), "fix").where(F.col("fn") >= ratio * F.col("n")).select("word", "fix", "fn", F.lit(1).alias("d")).distinct()
 
     def near(words: DataFrame, n: int) -> DataFrame:
-        pairs = _without(words, n).join(_without(good, n).select(F.col("word").alias("fix"), F.col("n").alias("fn"), "hash"), "hash").select("word", "n", "fix", "fn").distinct()
+        # only words whose lengths differ by n at most can be n apart: of neither side others are taken apart
+        words, others = _of_lengths(words, good, n), _of_lengths(good, words, n)
+        pairs = _without(words, n).join(_without(others, n).select(F.col("word").alias("fix"), F.col("n").alias("fn"), "hash"), "hash").select("word", "n", "fix", "fn").distinct()
         return pairs.withColumn("d", F.levenshtein("word", "fix", n)).where((F.col("d") > 0) & (F.col("fn") >= ratio * F.col("n"))).select("word", "fix", "fn", "d")
 
     first = durable(marks.unionByName(by_group).unionByName(near(bad, 1)).groupBy("word", "fix").agg(F.max("fn").alias("fn"), F.min("d").alias("d")))
@@ -196,7 +203,9 @@ def corrections(lex: DataFrame, ratio: float = 3.0) -> DataFrame:
 def splits(lex: DataFrame) -> DataFrame:
     """(word, fix): unsound words that are two sound ones run together; the frequentest parting counts."""
     good = lex.where("known").select("word", "n")
-    bad = lex.where(~F.col("known") & (F.length("word").between(3, 40))).select("word")
+    # a word longer than any two sound ones is not two of them
+    longest = F.broadcast(good.agg(F.max(F.length("word")).alias("_most")))
+    bad = lex.where(~F.col("known") & (F.length("word") >= 3)).select("word").crossJoin(longest).where(F.length("word") <= 2 * F.col("_most")).drop("_most")
     cut = bad.withColumn("k", F.explode(F.sequence(F.lit(1), F.length("word") - 1))).select("word", F.expr("left(word, k)").alias("a"), F.expr("substring(word, k + 1)").alias("b"))
     two = cut.join(good.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(good.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     best = two.groupBy("word").agg(F.max(F.struct(F.least("na", "nb").alias("n"), F.concat_ws(" ", "a", "b").alias("fix"))).alias("b"))
@@ -315,8 +324,8 @@ def repair(pages: DataFrame, key: list[str], text: str, lex: DataFrame, noise: D
 
     Paragraphs are parted by an empty line, as blank and indented lines part
     them in the text. The parts of a word with a blank in it are put together
-    before words are corrected. A word keeps the marks around it, and a capital at
-    its beginning. Texts without words have no row here, see repaired_pages(). A page is one row before and after; only its own words come
+    before words are corrected. A word keeps the marks around it, its capitals or the
+    one at its beginning; a hyphen at a line end stays where page_faults() keeps it. Texts without words have no row here, see repaired_pages(). A page is one row before and after; only its own words come
     together again.
     """
     lines = page_lines(pages, key, text).where("kind = 'body'")
@@ -332,10 +341,11 @@ def repair(pages: DataFrame, key: list[str], text: str, lex: DataFrame, noise: D
     t = t.withColumn("hyphened", F.when(F.contains("token", F.lit("\u0001")), F.regexp_replace(F.lower(F.regexp_replace("token", "\u0001", "-")), _EDGE, "")))
     t = _joined_parts(durable(t), key, lex)
     known = lex.where("known")
-    t = t.join(noise, "word", "left").join(known.select(F.col("word").alias("hyphened"), F.col("n").alias("nh")), "hyphened", "left")
+    t = t.join(noise, "word", "left").join(known.select(F.col("word").alias("hyphened"), F.col("n").alias("nh")), "hyphened", "left").join(known.select("word", F.col("n").alias("nj")), "word", "left")
+    compound = F.col("nh").isNotNull() & (F.col("nh") > F.coalesce("nj", F.lit(0)))
     bare = F.regexp_replace(F.regexp_replace("glued", "[—–]", ""), _EDGE, "")
-    fixed = F.when(bare.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("fix", 1, 1)), F.substring("fix", F.lit(2), F.length("fix")))).otherwise(F.col("fix"))
-    text_ = F.when(F.col("nh").isNotNull(), F.regexp_replace("token", "\u0001", "-")).when(F.col("fix").isNotNull() & (bare != ""), F.replace("glued", bare, fixed)).otherwise(F.col("glued"))
+    fixed = F.when(bare.rlike(r"\p{Lu}") & ~bare.rlike(r"\p{Ll}") & (F.length(bare) > 1), F.upper("fix")).when(bare.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("fix", 1, 1)), F.substring("fix", F.lit(2), F.length("fix")))).otherwise(F.col("fix"))
+    text_ = F.when(compound, F.regexp_replace("token", "\u0001", "-")).when(F.col("fix").isNotNull() & (bare != ""), F.replace("glued", bare, fixed)).otherwise(F.col("glued"))
     words = t.select(*key, "part", "line_no", "pos", text_.alias("w")).groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("line_no", "pos", "w"))).alias("ws"))
     para = words.select(*key, "part", F.regexp_replace(F.array_join(F.transform("ws", lambda x: x["w"]), " "), "([—–]) ", "$1").alias("p"))
     return para.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "p"))), lambda x: x["p"]), "\n\n").alias("repaired"))

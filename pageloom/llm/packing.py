@@ -103,9 +103,11 @@ def _packer(capacity: int):
 
 
 def pack_containers(df: DataFrame, key: str, size: Column, capacity: int, group_rows: int = GROUP_ROWS, rounds: int = 2) -> DataFrame:
-    """(id, piece, size, pieces, container): the container of each text or piece.
+    """(id, piece, size, pieces, container, bins, bound): the container of each text or piece.
 
-    size: token count as an integer column. Only ids and sizes are shuffled.
+    size: token count as an integer column. Only ids and sizes are shuffled. bins and
+    bound: how many containers the text's partition takes, and the fewest that any
+    packing of it could take; null without container.
     """
     sized = df.select(F.col(key).cast("long").alias("id"), size.cast("int").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
     parts = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int")
@@ -137,5 +139,12 @@ def pack_containers(df: DataFrame, key: str, size: Column, capacity: int, group_
         if after >= before:
             break
         done, gaps = done.where("bins <= bound").unionByName(again), left
-    placed = done.select("id", "piece", "size", "pieces", F.concat_ws(":", "grp", F.col("bin").cast("string")).alias("container"))
-    return placed.unionByName(pieces.where("size = 0").withColumn("container", F.lit(None).cast("string")))
+    placed = done.select("id", "piece", "size", "pieces", F.concat_ws(":", "grp", F.col("bin").cast("string")).alias("container"), "bins", "bound")
+    empty = pieces.where("size = 0").select("*", F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("bins"), F.lit(None).cast("int").alias("bound"))
+    return placed.unionByName(empty)
+
+
+def certificates(packed: DataFrame) -> DataFrame:
+    """(part, texts, tokens, bins, bound): per partition of pack_containers() its containers and the bound that certifies them; equal ones are the fewest possible."""
+    part = F.substring_index("container", ":", 1)
+    return packed.where("container is not null").groupBy(part.alias("part")).agg(F.count("*").alias("texts"), F.sum("size").alias("tokens"), F.max("bins").alias("bins"), F.max("bound").alias("bound"))

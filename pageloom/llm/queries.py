@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import pair_sides
 from pageloom.llm import consensus, cutoff, leaks, ocr_repair, packing, pairs, ranking, skeleton, splitting
 from pageloom.llm.common import durable, table
 
@@ -30,8 +31,14 @@ def p1_corrections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned text and every clean text with page layout left in it, put into paragraphs."""
     lex, noise = _p1_tables(spark, d)
-    return ocr_repair.repaired_pages(table(spark, d, "ocr_pages").select("page_id", "text").distinct(), ["page_id"], "text", lex, noise)
+    out = None
+    for t, c in (("ocr_pages", "text"), ("annotation_triples", "ground_truth")):
+        texts = table(spark, d, t).select("page_id", F.xxhash64(c).alias("text_id"), F.col(c).alias("text")).distinct()
+        one = ocr_repair.repaired_pages(texts, ["page_id", "text_id"], "text", lex, noise).select(F.lit(c).alias("src_field"), "page_id", "text_id", "repaired")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _ranked(spark: SparkSession, d: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -46,11 +53,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_strengths(spark: SparkSession, d: str) -> DataFrame:
     _, ranked = _ranked(spark, d, "faithfulness")
-    return ranking.bands(table(spark, d, "systems"), ranked, "sys_name", 4)
+    return ranking.bands(table(spark, d, "systems"), ranked, "sys_name", 4).withColumn("strength", F.round("strength", 6))
 
 
 def p2_residuals(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.residuals(*_ranked(spark, d, "overall_winner"))
+    left = ranking.residuals(*_ranked(spark, d, "overall_winner"))
+    return left.select("a", "b", "n", *[F.round(c, 6).alias(c) for c in ("margin", "fitted", "residual", "share")])
 
 
 def p2_margins(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +100,19 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("page_id", "chunk_no", "piece_no", F.col("piece_start").alias("start_pos"), F.col("piece_end").alias("end_pos"), "piece", "cut_kind")
 
 
+def p3_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of every chunk: where its pieces begin and end, whether all keep to the limit, stand at their places, and overlap by 80 characters."""
+    chunks = table(spark, d, "text_chunks").distinct()
+    pieces = splitting.split_texts(chunks.withColumn("_row", F.xxhash64(*chunks.columns)), "text", limit=800, overlap=80)
+    at = F.substring("text", F.col("piece_start") + 1, F.col("piece_end") - F.col("piece_start")) == F.col("piece")
+    per = pieces.groupBy("page_id", "chunk_no", "_row").agg(
+        F.min("piece_start").cast("int").alias("first"), F.max("piece_end").cast("int").alias("last"), (F.max(F.length("piece")) <= 800).alias("fit"), F.min(at).alias("stand"),
+        F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end"))).alias("ps"),
+    )
+    joined = F.forall(F.transform("ps", lambda p, i: (i == 0) | (p["piece_start"] == F.get("ps", i - 1)["piece_end"] - 80)), lambda x: x)
+    return per.select("page_id", "chunk_no", "first", "last", "fit", "stand", joined.alias("joined"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "annotation_triples"), table(spark, d, "ocr_pages"), ["pair", "page_id"])
 
@@ -102,7 +123,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _measured(spark: SparkSession, d: str, reference: bool = True) -> DataFrame:
     """The answers of model1, measured where they are read; what is shuffled holds figures only, the digest keeping different texts apart."""
-    triples = table(spark, d, "annotation_triples").withColumn("sys_name", ranking.pair_side(F.col("pair"), 0)).withColumn("digest", F.xxhash64("model1", "ground_truth"))
+    triples = table(spark, d, "annotation_triples").withColumn("sys_name", pair_sides(F.lower("pair"))["a"]).withColumn("digest", F.xxhash64("model1", "ground_truth"))
     return cutoff.measure(triples, "model1", "ground_truth" if reference else None)
 
 
@@ -143,6 +164,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).where("pieces > 1").select(F.col("id").alias("doc_id")).distinct()
 
 
+def p7_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each partition and the fewest possible."""
+    return packing.certificates(p7_containers(spark, d))
+
+
+def p7_sums(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any right packing: texts, pieces, tokens, and no container overfull, below its bound or split without need."""
+    c = p7_containers(spark, d)
+    full = c.where("container is not null").groupBy("container").agg(F.sum("size").alias("n"), F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+    wrong = full.agg(F.count(F.when((F.col("n") > 1024) | (F.col("bins") < F.col("bound")), 1)).alias("wrong"))
+    sums = c.agg(F.countDistinct("id").alias("texts"), F.count("*").alias("pieces"), F.sum("size").alias("tokens"), F.count(F.when((F.col("pieces") > 1) & (F.col("piece") < F.col("pieces")) & (F.col("size") < 1024), 1)).alias("short_pieces"))
+    return sums.crossJoin(wrong)  # one row each
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -168,25 +203,61 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"), "doc_id", "text").where("texts > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrections, p1_pages, p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p4_agreement, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_rates, p6_evidence, p6_limits, p7_found, p7_containers, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrections, p1_pages, p2_found, p2_strengths, p2_residuals, p2_margins, p4_found, p4_consensus, p4_annotators, p4_agreement, p3_found, p3_pieces, p3_cover, p5_found, p5_counts, p6_found, p6_rates, p6_evidence, p6_limits, p7_found, p7_containers, p7_bounds, p7_sums, p8_found, p8_items, p9_found, p9_forms, p9_classes)}
 
-ORACLES: dict[str, str] = {
-    "p2_margins": r"""
-        WITH names AS (
+_VOTES = r"""names AS (
             SELECT DISTINCT sys_name, unnest([lower(sys_name), lower(hub_path), lower(short_alias), replace(lower(sys_name), '/', '-'), replace(lower(hub_path), '/', '-'), replace(lower(short_alias), '/', '-')]) AS alias FROM systems),
         raw_votes AS (
             SELECT DISTINCT x.sys_name AS s0, y.sys_name AS s1, page_id, judged_at, raw, faithfulness, fluency, completeness, no_hallucinations, overall_winner
             FROM (SELECT *, regexp_split_to_array(regexp_replace(lower(trim(pair)), '\.json$', ''), '_(against|vs)_') AS sides FROM judge_rows)
             JOIN names x ON x.alias = trim(sides[1]) JOIN names y ON y.alias = trim(sides[2]) WHERE x.sys_name <> y.sys_name),
         votes AS (
-            SELECT s0, s1, coalesce(overall_winner, try_cast(nullif(regexp_extract(regexp_extract(regexp_replace(raw, '\\+"', '"', 'g'), '(?s)\{.*\}', 0), '"overall_winner"\s*:\s*"?(-?[0-9]{1,3})\b', 1), '') AS INTEGER)) AS v
+            SELECT s0, s1, coalesce(CRITERION, try_cast(nullif(regexp_extract(regexp_extract(regexp_replace(raw, '\\+"', '"', 'g'), '(?s)\{.*\}', 0), '"CRITERION"\s*:\s*"?(-?[0-9]{1,3})\b', 1), '') AS INTEGER)) AS v
             FROM raw_votes),
         sums AS (
             SELECT least(s0, s1) AS a, greatest(s0, s1) AS b, count(*) AS n,
                    sum(CASE WHEN v = 0 THEN 0.5 WHEN (v = 1) = (s0 < s1) THEN 1.0 ELSE 0.0 END)::DOUBLE + 0.5 AS wa,
                    sum(CASE WHEN v = 0 THEN 0.5 WHEN (v = 1) = (s0 < s1) THEN 0.0 ELSE 1.0 END)::DOUBLE + 0.5 AS wb
-            FROM votes WHERE v BETWEEN 0 AND 2 GROUP BY ALL)
-        SELECT a, b, n, round(ln(wa / wb), 9) AS margin, round(wa * wb / (wa + wb), 9) AS weight FROM sums""",
+            FROM votes WHERE v BETWEEN 0 AND 2 GROUP BY ALL),
+        edges AS (SELECT a, b, n, ln(wa / wb) AS margin, wa * wb / (wa + wb) AS weight FROM sums)"""
+# the least-squares strengths by damped relaxation of the same system, all systems a step, to a mean of 0
+_SOLVED = """arcs AS (SELECT a AS i, b AS j, weight, margin FROM edges UNION ALL SELECT b, a, weight, -margin FROM edges),
+        items AS (SELECT list(DISTINCT i ORDER BY i) AS ids FROM arcs),
+        grid AS (SELECT list(row_ ORDER BY i) AS w, list(deg ORDER BY i) AS deg, list(rhs ORDER BY i) AS rhs FROM (
+            SELECT i, sum(weight) AS deg, sum(weight * margin) AS rhs, list_transform((SELECT ids FROM items), lambda x: coalesce(list_sum(list_transform(list_filter(list({'j': j, 'w': weight}), lambda y: y.j = x), lambda y: y.w)), 0.0)) AS row_ FROM arcs GROUP BY i)),
+        steps AS (SELECT 0 AS k, list_transform(deg, lambda z: 0.0::DOUBLE) AS x, w, deg, rhs FROM grid UNION ALL
+            SELECT k + 1, list_transform(range(1, len(x) + 1), lambda i: 0.5 * x[i] + 0.5 * (rhs[i] + list_dot_product(w[i]::DOUBLE[], x::DOUBLE[])) / deg[i]), w, deg, rhs FROM steps WHERE k < 600),
+        solved AS (SELECT unnest(ids) AS item, unnest(x) - list_avg(x) AS strength FROM (SELECT x FROM steps WHERE k = 600), items)"""
+_RANKED = "SELECT s.sys_name, strength, ntile(4) OVER (ORDER BY strength DESC NULLS LAST, s.sys_name) AS band FROM (SELECT DISTINCT sys_name FROM systems) s LEFT JOIN solved ON item = s.sys_name"
+
+
+def _alike_sql() -> str:
+    """Every document's consistent form: characters replaced one by one. The table holds each character of two bytes, and of the extended Latin ones, that has another form."""
+    forms = {c: f for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000)]) if (f := skeleton.skeleton(c)) != c and (ord(c) < 0x2100 or c in skeleton._PROTOTYPES)}
+    text = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    return f"""t AS (SELECT unnest([{text(forms)}]) AS c, unnest([{text(forms.values())}]) AS f),
+        u AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) AS i, unnest(string_split(text, '')) AS c FROM documents WHERE text <> ''),
+        forms AS (SELECT doc_id, string_agg(coalesce(f, u.c), '' ORDER BY i) AS form FROM u LEFT JOIN t ON t.c = u.c GROUP BY doc_id),
+        every AS (SELECT doc_id, text, CASE WHEN text = '' THEN '' ELSE form END AS form FROM documents LEFT JOIN forms USING (doc_id))"""
+
+
+ORACLES: dict[str, str] = {
+    "p2_margins": f"WITH {_VOTES.replace('CRITERION', 'overall_winner')} SELECT a, b, n, round(margin, 9) AS margin, round(weight, 9) AS weight FROM edges",
+    "p2_found": f"WITH RECURSIVE {_VOTES.replace('CRITERION', 'overall_winner')}, {_SOLVED} SELECT sys_name, band::INT AS band FROM ({_RANKED})",
+    "p2_strengths": f"WITH RECURSIVE {_VOTES.replace('CRITERION', 'faithfulness')}, {_SOLVED} SELECT sys_name, round(strength, 6) AS strength, band::INT AS band FROM ({_RANKED})",
+    "p2_residuals": f"""WITH RECURSIVE {_VOTES.replace('CRITERION', 'overall_winner')}, {_SOLVED},
+        left_ AS (SELECT a, b, n, margin, weight, x.strength - y.strength AS fitted FROM edges JOIN solved x ON x.item = a JOIN solved y ON y.item = b)
+        SELECT a, b, n, round(margin, 6) AS margin, round(fitted, 6) AS fitted, round(margin - fitted, 6) AS residual, round(weight * (margin - fitted) ** 2 / sum(weight * (margin - fitted) ** 2) OVER (), 6) AS share FROM left_""",
+    "p3_cover": r"""
+        WITH d AS (SELECT DISTINCT * FROM text_chunks WHERE text IS NOT NULL),
+        b AS (SELECT page_id, chunk_no, text, regexp_replace(text, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS body, length(text) - length(regexp_replace(text, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', '')) AS lead FROM d)
+        SELECT page_id, chunk_no, (CASE WHEN body = '' THEN 0 ELSE lead END)::INT AS first, (CASE WHEN body = '' THEN 0 ELSE lead + length(body) END)::INT AS last, true AS fit, true AS stand, true AS joined FROM b""",
+    "p7_sums": r"""
+        WITH s AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\p{Z}]+')), 0) AS n FROM documents)
+        SELECT count(*) AS texts, sum(greatest(ceil(n / 1024), 1))::BIGINT AS pieces, sum(n)::BIGINT AS tokens, 0::BIGINT AS short_pieces, 0::BIGINT AS wrong FROM s""",
+    "p9_forms": f"WITH {_alike_sql()} SELECT doc_id, form FROM every",
+    "p9_found": f"WITH {_alike_sql()} SELECT x.doc_id AS doc_a, y.doc_id AS doc_b FROM every x JOIN every y ON x.form = y.form AND x.doc_id < y.doc_id AND x.text <> y.text",
+    "p9_classes": f"WITH {_alike_sql()} SELECT min(doc_id) AS class_id, count(*) AS members, count(DISTINCT text) AS texts FROM every WHERE text IS NOT NULL GROUP BY form HAVING texts > 1",
     "p4_agreement": r"""
         WITH last_ AS (SELECT * FROM human_rows WHERE pair IS NOT NULL AND page_id IS NOT NULL AND annotator_id IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY pair, page_id, annotator_id ORDER BY labelled_at DESC NULLS LAST, loaded_at DESC NULLS LAST, overall_winner DESC NULLS LAST, fluency DESC NULLS LAST) = 1),

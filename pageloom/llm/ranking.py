@@ -13,51 +13,27 @@ rank last. Items of parts of the graph that never met are each centred on 0.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import durable
+from pageloom.operators.agreement import in_range, judgements, sided, swapped
+from pageloom.plans.queries import system_aliases
+from pageloom.schema import CRITERIA
 
 #: Distinct meeting pairs up to which the system is solved in the driver's memory; beyond it, by distributed steps.
 DRIVER_EDGES = 200_000
 
 
-def system_names(systems: DataFrame) -> DataFrame:
-    """(alias, sys_name): every name in use of each system, in lower case; systems is a table of fixed size."""
-    base = [F.lower("sys_name"), F.lower("hub_path"), F.lower("short_alias")]
-    names = F.array_distinct(F.array(*base, *[F.regexp_replace(c, "/", "-") for c in base]))
-    return systems.select("sys_name", F.explode(names).alias("alias")).where("alias is not null").distinct()
-
-
-def pair_side(pair: Column, side: int) -> Column:
-    """Name, in lower case, of one side of a pair in any of its spellings."""
-    clean = F.regexp_replace(F.lower(F.trim(pair)), r"\.json$", "")
-    return F.trim(F.get(F.split(clean, "_(?:against|vs)_"), F.lit(side)))
-
-
-def label_of(column: Column, raw: Column, name: str) -> Column:
-    """A label from its column, or from the object in the raw answer whatever it is wrapped in; null if there is none."""
-    text = F.regexp_replace(raw, r'\\+"', '"')
-    found = F.regexp_extract(F.regexp_extract(text, r"(?s)\{.*\}", 0), rf'"{name}"\s*:\s*"?(-?[0-9]{{1,3}})\b', 1)
-    return F.coalesce(column.cast("int"), F.nullif(found, F.lit("")).cast("int"))
-
-
 def usable_votes(votes: DataFrame, systems: DataFrame, label: str) -> DataFrame:
-    """(a, b, page_id, label): one row per vote, a < b and label 1 = a is better; repeats of a row count once."""
-    names = F.broadcast(system_names(systems))
-    v = votes.select(
-        pair_side(F.col("pair"), 0).alias("n0"), pair_side(F.col("pair"), 1).alias("n1"), "page_id", "judged_at", "raw",
-        *[F.col(c).alias(f"l_{c}") for c in ("faithfulness", "fluency", "completeness", "no_hallucinations", "overall_winner")],
-    )
-    v = v.join(names.select(F.col("alias").alias("n0"), F.col("sys_name").alias("s0")), "n0").join(names.select(F.col("alias").alias("n1"), F.col("sys_name").alias("s1")), "n1")
-    v = v.where("s0 <> s1").drop("n0", "n1").distinct()
-    value = label_of(F.col(f"l_{label}"), F.col("raw"), label)
-    swap = F.col("s0") > F.col("s1")
-    v = v.withColumn("v", value).where("v between 0 and 2")
-    return v.select(
-        F.least("s0", "s1").alias("a"), F.greatest("s0", "s1").alias("b"), "page_id",
-        F.when(swap & (F.col("v") > 0), 3 - F.col("v")).otherwise(F.col("v")).alias("label"),
-    )
+    """(a, b, page_id, label): one row per vote, a < b and label 1 = a is better; repeats of a row count once, in whatever spelling of the pair.
+
+    A digest of the row's labels and raw answer tells votes apart, so that no answer is shuffled.
+    """
+    told = F.xxhash64("raw", *[F.col(c).cast("int") for c in CRITERIA]).alias("told")
+    v = sided(votes.select("pair", "page_id", "judged_at", "raw", told, label), system_aliases(systems)).where("side_a <> side_b")
+    v = judgements(v, (label,)).select("side_a", "side_b", "flipped", "page_id", "judged_at", "told", label).distinct().where(in_range(F.col(label)))
+    return v.select(F.col("side_a").alias("a"), F.col("side_b").alias("b"), "page_id", swapped(F.col(label), F.col("flipped")).alias("label"))
 
 
 def margins(votes: DataFrame, prior: float = 0.5) -> DataFrame:
@@ -69,7 +45,7 @@ def margins(votes: DataFrame, prior: float = 0.5) -> DataFrame:
     )
 
 
-def laplacian_cg(a: np.ndarray, b: np.ndarray, margin: np.ndarray, weight: np.ndarray, n: int, tol: float = 1e-12) -> np.ndarray:
+def laplacian_cg(a: np.ndarray, b: np.ndarray, margin: np.ndarray, weight: np.ndarray, n: int, tol: float = 1e-20) -> np.ndarray:
     """Strengths by conjugate gradient on the weighted Laplacian of the edges (a, b)."""
 
     def apply(x: np.ndarray) -> np.ndarray:
@@ -79,19 +55,29 @@ def laplacian_cg(a: np.ndarray, b: np.ndarray, margin: np.ndarray, weight: np.nd
     r = np.bincount(a, weight * margin, n) - np.bincount(b, weight * margin, n)
     x, p, rr = np.zeros(n), r.copy(), float(r @ r)
     stop = tol * max(rr, 1e-300)
-    for _ in range(10 * n + 10):
+    for _ in range(steps_for(n)):
         if rr <= stop:
-            break
+            return x
         q = apply(p)
         step = rr / float(p @ q)
         x, r = x + step * p, r - step * q
         rr, old = float(r @ r), rr
         p = r + rr / old * p
-    return x
+    raise RuntimeError(f"the residual is still {rr} after {steps_for(n)} steps")
+
+
+def steps_for(items: int) -> int:
+    """Steps after which the iteration counts as failed: as many as there are items suffice but for rounding."""
+    return 10 * items + 10
 
 
-def distributed_cg(edges: DataFrame, steps: int = 60, tol: float = 1e-10) -> DataFrame:
-    """(item, strength) by the same iteration with the vectors as tables; for graphs beyond the driver's bound."""
+def distributed_cg(edges: DataFrame, tol: float = 1e-20) -> DataFrame:
+    """(item, strength) by the same iteration, to the same tolerance, with the vectors as tables; for graphs beyond the driver's bound.
+
+    A step joins the arcs with the vector, whose hot items adaptive execution
+    splits, and sums them per item map-side first; it leaves one table in the
+    checkpoint folder.
+    """
     arcs = durable(
         edges.select(F.col("a").alias("item"), F.col("b").alias("other"), "weight", "margin").unionByName(
             edges.select(F.col("b").alias("item"), F.col("a").alias("other"), "weight", (-F.col("margin")).alias("margin"))
@@ -99,17 +85,19 @@ def distributed_cg(edges: DataFrame, steps: int = 60, tol: float = 1e-10) -> Dat
     )
     state = arcs.groupBy("item").agg(F.sum("weight").alias("deg"), F.sum(F.col("weight") * F.col("margin")).alias("r"))
     state = durable(state.withColumn("x", F.lit(0.0)).withColumn("p", F.col("r")))
-    rr = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    for _ in range(steps):
-        if rr <= tol * start or rr == 0:
-            break
+    first = state.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.count("*").alias("n")).first()
+    rr, n = first["rr"] or 0.0, first["n"]
+    stop = tol * max(rr, 1e-300)
+    for _ in range(steps_for(n)):
+        if rr <= stop:
+            return state.select("item", F.col("x").alias("strength"))
         flows = arcs.join(state.select(F.col("item").alias("other"), F.col("p").alias("po")), "other").groupBy("item").agg(F.sum(F.col("weight") * F.col("po")).alias("wp"))
         q = durable(state.join(flows, "item").withColumn("q", F.col("deg") * F.col("p") - F.col("wp")).drop("wp"))
         step = rr / q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         moved = q.select("item", "deg", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
         now = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state, rr = durable(moved.withColumn("p", F.col("r") + (now / rr) * F.col("p"))), now
-    return state.select("item", F.col("x").alias("strength"))
+        state, rr = moved.withColumn("p", F.col("r") + (now / rr) * F.col("p")), now
+    raise RuntimeError(f"the residual is still {rr} after {steps_for(n)} steps")
 
 
 def strengths(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:

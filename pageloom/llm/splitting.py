@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import WS, stripped
+from pageloom.functions.text import running_sums
+from pageloom.llm.common import WS, settled, stripped
 
 
 def cut_pattern(limit: int, least: int) -> str:
@@ -49,12 +50,12 @@ def split_texts(df: DataFrame, text: str, limit: int, overlap: int) -> DataFrame
     d = df.drop("piece_no", "piece", "piece_start", "piece_end", "cut_kind").where(F.col(text).isNotNull())
     body = stripped(F.col(text))
     lead = F.length(F.regexp_extract(F.col(text), rf"^[{WS}]*", 0))
-    d = d.withColumn("_b", body).withColumn("_lead", F.when(F.length("_b") == 0, 0).otherwise(lead))
+    d = settled(d, _b=body, _lead=F.when(F.length(body) == 0, 0).otherwise(lead))
     long_ = F.length("_b") > limit
-    segments = F.when(long_, F.regexp_extract_all("_b", F.lit(cut_pattern(step, step // 2)), F.lit(0))).otherwise(F.array("_b"))
-    d = d.withColumn("_s", segments).withColumn(
-        "_ends", F.aggregate("_s", F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s))))
-    )
+    # the first piece looks back on nothing: it may take the whole limit
+    pattern = rf"\A(?:{cut_pattern(limit, limit // 2)})|{cut_pattern(step, step // 2)}"
+    segments = F.when(long_, F.regexp_extract_all("_b", F.lit(pattern), F.lit(0))).otherwise(F.array("_b"))
+    d = settled(settled(d, _s=segments), _ends=F.concat(F.array(F.lit(0)), running_sums(F.transform("_s", F.length))))
     at = F.transform(
         "_s",
         lambda s, i: F.struct(
