@@ -16,6 +16,7 @@ from pageloom.operators import denoise as dn
 from pageloom.operators import errors as er
 from pageloom.operators import noise as ns
 from pageloom.operators import summary as sm
+from pageloom.plans.stemsql import overlaps
 from pageloom.schema import CRITERIA, METRICS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,23 +144,13 @@ def _scored(spark, d) -> DataFrame:
     return mx.evaluate(answers(spark, d), "ground_truth", "answer")
 
 
-@query()
-def page_scores(spark, d):
-    return _scored(spark, d).select("pair", "page_id", "side", *METRICS, "length_clean", "length_ocr")
-
-
-@query()
-def score_summary(spark, d):
-    return sm.metric_summary(_scored(spark, d), "sys_name")
-
-
 _SP = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 _ANSWERS = """a AS (SELECT DISTINCT pair, page_id, side, ground_truth, answer FROM (
     SELECT pair, page_id, 1 AS side, ground_truth, model1 AS answer FROM annotation_triples UNION ALL SELECT pair, page_id, 2, ground_truth, model2 FROM annotation_triples) WHERE ground_truth IS NOT NULL)"""
 
 
 # the words that both texts begin and end with are taken off; then one reference word a step, for all texts at once, a running minimum taking the insertions
-@query(rf"""WITH RECURSIVE {_ANSWERS}, w AS (SELECT row_number() OVER () AS id, *, regexp_replace(regexp_replace(ground_truth, '^{_SP}+|{_SP}+$', '', 'g'), '{_SP}{_SP}+', ' ', 'g') AS r, regexp_replace(regexp_replace(answer, '^{_SP}+|{_SP}+$', '', 'g'), '{_SP}{_SP}+', ' ', 'g') AS h FROM a),
+_WER = rf"""w AS (SELECT id, pair, page_id, side, answer, regexp_replace(regexp_replace(ground_truth, '^{_SP}+|{_SP}+$', '', 'g'), '{_SP}{_SP}+', ' ', 'g') AS r, regexp_replace(regexp_replace(answer, '^{_SP}+|{_SP}+$', '', 'g'), '{_SP}{_SP}+', ' ', 'g') AS h FROM numbered),
 s AS (SELECT id, list_filter(string_split(r, ' '), lambda z: z <> '') AS x, list_filter(string_split(h, ' '), lambda z: z <> '') AS y FROM w),
 f AS (SELECT *, least(len(x), len(y)) AS n, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]), false) - 1, least(len(x), len(y))) AS a FROM s WHERE y IS NOT NULL),
 g AS (SELECT id, x, y, a, coalesce(list_position(list_transform(range(0, n - a), lambda i: x[len(x) - i] = y[len(y) - i]), false) - 1, n - a) AS z FROM f),
@@ -170,20 +161,42 @@ d AS (SELECT id, 0 AS i, 0 AS j, 0 AS v, -1 AS c FROM t UNION ALL SELECT id, 0,
 r AS (SELECT id, i, j, v, c FROM d UNION ALL
  SELECT id, i, j, j + min(q - j) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING), c FROM (
    SELECT r.id, r.i + 1 AS i, r.j, r.c, least(r.v + 1, coalesce(lag(r.v) OVER (PARTITION BY r.id ORDER BY r.j) + (xw.c <> r.c)::INT, r.i + 1)) AS q FROM r JOIN xw ON xw.id = r.id AND xw.i = r.i + 1)),
-dist AS (SELECT r.id, r.v FROM r JOIN t ON t.id = r.id AND r.i = t.nx AND r.j = len(t.ys))
-SELECT w.pair, w.page_id, w.side, round(dist.v / nullif(len(s.x), 0), 9) AS wer FROM w JOIN s USING (id) LEFT JOIN dist USING (id)""")
+dist AS (SELECT r.id, r.v FROM r JOIN t ON t.id = r.id AND r.i = t.nx AND r.j = len(t.ys)),
+wer AS (SELECT id, dist.v / nullif(len(s.x), 0) AS wer FROM s LEFT JOIN dist USING (id))"""
+_NUMBERED = _ANSWERS + ", numbered AS (SELECT row_number() OVER () AS id, * FROM a)"
+
+
+@query(f"WITH RECURSIVE {_NUMBERED}, {_WER} SELECT pair, page_id, side, round(wer, 9) AS wer FROM numbered JOIN wer USING (id)")
 def page_word_error_rates(spark, d):
     return answers(spark, d).select("pair", "page_id", "side", F.round(mx.wer(F.col("ground_truth"), F.col("answer")), 9).alias("wer"))
 
 
-@query(f"""WITH {_ANSWERS}, s AS (SELECT *, regexp_replace(ground_truth, '^{_SP}+|{_SP}+$', '', 'g') AS r, regexp_replace(answer, '^{_SP}+|{_SP}+$', '', 'g') AS h FROM a),
-k AS (SELECT *, list_distinct(string_split(r || coalesce(h, ''), '')) AS abc FROM s),
-e AS (SELECT *, list_reduce(list_prepend('', list_transform(string_split(r, ''), lambda c: chr(list_position(abc, c)::INT))), lambda x, y: x || y) AS er, list_reduce(list_prepend('', list_transform(string_split(h, ''), lambda c: chr(list_position(abc, c)::INT))), lambda x, y: x || y) AS eh FROM k)
-SELECT pair, page_id, side, round(CASE WHEN r = '' OR h IS NULL THEN NULL WHEN h = '' THEN 1.0 ELSE levenshtein(er, eh) / length(r) END, 9) AS cer, length(r)::INT AS length_clean, length(h)::INT AS length_ocr FROM e""")
+# every character of a pair of texts is given one byte, as the edit distance there goes by bytes
+_CER = f"""cs AS (SELECT id, regexp_replace(ground_truth, '^{_SP}+|{_SP}+$', '', 'g') AS r, regexp_replace(answer, '^{_SP}+|{_SP}+$', '', 'g') AS h FROM numbered),
+ck AS (SELECT *, list_distinct(string_split(r || coalesce(h, ''), '')) AS abc FROM cs),
+ce AS (SELECT *, list_reduce(list_prepend('', list_transform(string_split(r, ''), lambda c: chr(list_position(abc, c)::INT))), lambda x, y: x || y) AS er, list_reduce(list_prepend('', list_transform(string_split(h, ''), lambda c: chr(list_position(abc, c)::INT))), lambda x, y: x || y) AS eh FROM ck),
+cer AS (SELECT id, CASE WHEN r = '' OR h IS NULL THEN NULL WHEN h = '' THEN 1.0 ELSE levenshtein(er, eh) / length(r) END AS cer, length(r)::DOUBLE AS length_clean, length(h)::DOUBLE AS length_ocr FROM ce)"""
+
+
+@query(f"WITH {_NUMBERED}, {_CER} SELECT pair, page_id, side, round(cer, 9) AS cer, length_clean, length_ocr FROM numbered JOIN cer USING (id)")
 def page_character_error_rates(spark, d):
-    """The SQL gives every character of a pair of texts one byte, as its edit distance goes by bytes."""
     r, h = F.col("ground_truth"), F.col("answer")
-    return answers(spark, d).select("pair", "page_id", "side", F.round(mx.cer(r, h), 9).alias("cer"), F.length(tx.strip(r)).alias("length_clean"), F.length(tx.strip(h)).alias("length_ocr"))
+    return answers(spark, d).select("pair", "page_id", "side", F.round(mx.cer(r, h), 9).alias("cer"), *[F.length(tx.strip(c)).cast("double").alias(n) for c, n in ((r, "length_clean"), (h, "length_ocr"))])
+
+
+_SCORES = f"""{overlaps(_NUMBERED, 'numbered')}, {_WER}, {_CER},
+scores AS (SELECT pair, page_id, side, p1 AS unigram_precision, r1 AS unigram_recall, f1 AS unigram_f1, cer, wer, length_clean, length_ocr FROM numbered JOIN rouge USING (id) JOIN wer USING (id) JOIN cer USING (id))"""
+
+
+@query(f"WITH RECURSIVE {_SCORES} SELECT pair, page_id, side, {', '.join(f'round({m}, 9) AS {m}' for m in METRICS)}, length_clean, length_ocr FROM scores")
+def page_scores(spark, d):
+    return _scored(spark, d).select("pair", "page_id", "side", *[_r(m) for m in METRICS], *[F.col(n).cast("double").alias(n) for n in ("length_clean", "length_ocr")])
+
+
+@query(f"""WITH RECURSIVE {_SCORES}, named AS (SELECT string_split(pair, '_vs_')[side] AS sys_name, {', '.join(METRICS)} FROM scores), long AS (UNPIVOT named ON {', '.join(METRICS)} INTO NAME metric VALUE value)
+SELECT sys_name, metric, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS median, round(stddev_pop(value), 9) AS std FROM long WHERE value IS NOT NULL GROUP BY ALL""")
+def score_summary(spark, d):
+    return sm.metric_summary(_scored(spark, d), "sys_name").select("sys_name", "metric", _r("mean"), _r("median"), _r("std"))
 
 
 def _overlap_sql(n: int) -> str:
@@ -215,7 +228,12 @@ def bigram_overlap(spark, d):
     return _overlap(spark, d, 2)
 
 
-@query()
+def _prefers(m: str) -> str:
+    return f"(CASE WHEN x.f{m} > y.f{m} THEN 1 WHEN y.f{m} > x.f{m} THEN 2 ELSE 0 END)::INT"
+
+
+@query(f"""WITH RECURSIVE {overlaps("t AS (SELECT row_number() OVER () AS n, pair, page_id, model1, model2, ground_truth FROM (SELECT DISTINCT pair, page_id, model1, model2, ground_truth FROM annotation_triples WHERE ground_truth IS NOT NULL)), both_ AS (SELECT 2 * n AS id, ground_truth, model1 AS answer FROM t UNION ALL SELECT 2 * n + 1, ground_truth, model2 FROM t)", 'both_')}
+SELECT pair, page_id, {_prefers('1')} AS rouge1, {_prefers('2')} AS rouge2, {_prefers('l')} AS "rougeL" FROM t JOIN rouge x ON x.id = 2 * t.n JOIN rouge y ON y.id = 2 * t.n + 1""")
 def overlap_preferences(spark, d):
     """Which side's stemmed overlap with the clean page is larger, for unigrams, bigrams and common subsequences."""
     t = triples(spark, d).where("ground_truth is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair", "page_id")

@@ -269,7 +269,16 @@ def space_error_examples(spark, d):
     return al.space_examples(page_pairs(spark, d), ["page_id"], "clean", "ocr")
 
 
-@query()
+# one chunk of every text a step; places count from 0
+_CHUNKS = r"""t AS (SELECT row_number() OVER () AS id, page_id, clean, length(clean) AS n FROM (SELECT DISTINCT page_id, ground_truth AS clean FROM annotation_triples WHERE ground_truth IS NOT NULL) WHERE page_id IN (SELECT page_id FROM ocr_pages WHERE text IS NOT NULL)),
+c AS (SELECT id, -1 AS chunk_no, -1 AS start_, -1 AS end_ FROM t UNION ALL
+    SELECT id, chunk_no + 1, from_, CASE WHEN far < n AND dot > 0 THEN far + dot - 1 WHEN far < n THEN stop + length(regexp_extract(substr(clean, stop + 1, least(stop + 21, n) - stop), '^[^ .]*')) ELSE far END FROM (
+        SELECT *, strpos(substr(clean, far + 1, stop - far), '.') AS dot FROM (
+            SELECT c.id, c.chunk_no, c.end_ + 1 AS from_, c.end_ + 201 AS far, least(c.end_ + 201 + 67, t.n) AS stop, t.clean, t.n FROM c JOIN t USING (id) WHERE c.end_ + 1 < t.n))),
+chunks AS (SELECT id, page_id, chunk_no, regexp_replace(substr(clean, start_ + 1, end_ - start_ + 1), '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS chunk FROM c JOIN t USING (id) WHERE chunk_no >= 0)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT page_id, chunk_no::INT AS chunk_no, chunk FROM chunks")
 def clean_chunks(spark, d):
     return al.clean_chunks(page_pairs(spark, d).select("page_id", "clean").distinct(), ["page_id"], "clean")
 
