@@ -241,6 +241,35 @@ def _alike_sql() -> str:
         every AS (SELECT doc_id, text, CASE WHEN text = '' THEN '' ELSE form END AS form FROM documents LEFT JOIN forms USING (doc_id))"""
 
 
+_LATEST = """last_ AS (SELECT * FROM human_rows WHERE pair IS NOT NULL AND page_id IS NOT NULL AND annotator_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY pair, page_id, annotator_id ORDER BY labelled_at DESC NULLS LAST, loaded_at DESC NULLS LAST, overall_winner DESC NULLS LAST, fluency DESC NULLS LAST) = 1),
+        l AS (SELECT pair, page_id, annotator_id, 'overall_winner' AS criterion, overall_winner::INT AS label FROM last_ WHERE overall_winner IN (0, 1, 2) UNION ALL SELECT pair, page_id, annotator_id, 'fluency', fluency::INT FROM last_ WHERE fluency IN (0, 1, 2))"""
+_LOG = ", ".join(f"ln((l.label = {t})::INT * c + (1 - c) * g) AS l{t}" for t in range(3))
+_SCORED = f"""SELECT *, {", ".join(f"q{t} + sum(l{t}) OVER (PARTITION BY criterion, pair, page_id) AS s{t}" for t in range(3))} FROM (SELECT l.*, c, g, q0, q1, q2, step, {_LOG} FROM l JOIN em USING (criterion, annotator_id, label))"""
+
+
+def _shares(a: str, less: str = "") -> str:
+    """Probabilities p0, p1, p2 from log-probabilities."""
+    s = [f"s{t}{less.format(t)}" for t in range(3)]
+    top = f"greatest({', '.join(s)})"
+    total = " + ".join(f"exp({x} - {top})" for x in s)
+    return f"SELECT *, {', '.join(f'exp({x} - {top}) / ({total}) AS p{t}' for t, x in enumerate(s))} FROM ({a})"
+
+
+# sixty rounds of expectation and maximisation, which is more than they need
+_FITTED = f"""em AS (SELECT 0 AS step, criterion, annotator_id, label, 0.7::DOUBLE AS c, (1 / 3.0)::DOUBLE AS g, ln(1 / 3.0) AS q0, ln(1 / 3.0) AS q1, ln(1 / 3.0) AS q2 FROM (SELECT DISTINCT criterion, annotator_id FROM l), (SELECT unnest([0, 1, 2]) AS label)
+        UNION ALL
+        SELECT step + 1, criterion, annotator_id, label, (sum(kept) OVER own + 0.5) / (sum(n) OVER own + 1), (n - kept + 1 / 3.0) / (sum(n - kept) OVER own + 1), {", ".join(f"ln((sum(m{t}) OVER crit + 1) / (sum(n) OVER crit + 3))" for t in range(3))} FROM (
+            SELECT em.step, em.criterion, em.annotator_id, em.label, coalesce(n, 0) AS n, coalesce(m0, 0.0) AS m0, coalesce(m1, 0.0) AS m1, coalesce(m2, 0.0) AS m2, coalesce(CASE em.label WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END, 0.0) * em.c / (em.c + (1 - em.c) * em.g) AS kept
+            FROM em LEFT JOIN (SELECT criterion, annotator_id, label, count(*) AS n, sum(p0) AS m0, sum(p1) AS m1, sum(p2) AS m2 FROM ({_shares(_SCORED)}) GROUP BY ALL) k USING (criterion, annotator_id, label) WHERE em.step < 60)
+        WINDOW own AS (PARTITION BY criterion, annotator_id), crit AS (PARTITION BY criterion))"""
+_FAULTS = f"""fit AS (SELECT * FROM em WHERE step = 60),
+        others AS ({_shares(_SCORED.replace("JOIN em", "JOIN fit"), " - l{0}")}),
+        crossed AS (SELECT criterion, annotator_id, count(*) AS labels, sum(CASE label WHEN 1 THEN p2 WHEN 2 THEN p1 ELSE 0 END) AS x, sum(CASE label WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE 0 END) AS y FROM others GROUP BY ALL),
+        report AS (SELECT criterion, annotator_id, labels, x / nullif(x + y, 0) AS crossed, max(c) AS c, max(g) AS g FROM crossed JOIN fit USING (criterion, annotator_id) GROUP BY ALL)
+        SELECT annotator_id, CASE WHEN sum(g * labels) / sum(labels) >= 0.8 THEN 'constant' WHEN sum(crossed * labels) / sum(labels) >= 0.7 THEN 'swapped' ELSE 'random' END AS fault FROM report GROUP BY annotator_id HAVING sum(c * labels) / sum(labels) < 0.4"""
+
+
 ORACLES: dict[str, str] = {
     "p2_margins": f"WITH {_VOTES.replace('CRITERION', 'overall_winner')} SELECT a, b, n, round(margin, 9) AS margin, round(weight, 9) AS weight FROM edges",
     "p2_found": f"WITH RECURSIVE {_VOTES.replace('CRITERION', 'overall_winner')}, {_SOLVED} SELECT sys_name, band::INT AS band FROM ({_RANKED})",
@@ -258,6 +287,7 @@ ORACLES: dict[str, str] = {
     "p9_forms": f"WITH {_alike_sql()} SELECT doc_id, form FROM every",
     "p9_found": f"WITH {_alike_sql()} SELECT x.doc_id AS doc_a, y.doc_id AS doc_b FROM every x JOIN every y ON x.form = y.form AND x.doc_id < y.doc_id AND x.text <> y.text",
     "p9_classes": f"WITH {_alike_sql()} SELECT min(doc_id) AS class_id, count(*) AS members, count(DISTINCT text) AS texts FROM every WHERE text IS NOT NULL GROUP BY form HAVING texts > 1",
+    "p4_found": f"WITH RECURSIVE {_LATEST}, {_FITTED}, {_FAULTS}",
     "p4_agreement": r"""
         WITH last_ AS (SELECT * FROM human_rows WHERE pair IS NOT NULL AND page_id IS NOT NULL AND annotator_id IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY pair, page_id, annotator_id ORDER BY labelled_at DESC NULLS LAST, loaded_at DESC NULLS LAST, overall_winner DESC NULLS LAST, fluency DESC NULLS LAST) = 1),
