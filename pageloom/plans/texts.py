@@ -14,6 +14,7 @@ from pageloom.operators import errors as er
 from pageloom.operators import noise as ns
 from pageloom.operators import summary as sm
 from pageloom.schema import CRITERIA
+from pageloom.plans.alignsql import counted, walked
 from pageloom.plans.queries import _ANSWERS, _PAGES, answers, pages, query, table, triples
 
 def page_pairs(spark, d) -> DataFrame:
@@ -247,24 +248,29 @@ def shape_errors(spark, d):
     return p.groupBy("x.gt_shape", "x.ocr_shape").agg(F.sum("x.n").alias("n"))
 
 
-@query()
+@query(f"WITH RECURSIVE {counted(_PAIR_SQL)} SELECT kind, gt_char, ocr_char, n FROM errors")
 def word_errors(spark, d):
     return al.word_errors(page_pairs(spark, d), "clean", "ocr")
 
 
-@query()
+_SYMBOLS = """flat AS (SELECT regexp_replace(clean, '[\n\r]', '', 'g') AS t FROM pp), letters AS (SELECT unnest(string_split(t, '')) AS symbol FROM flat),
+u AS (SELECT symbol, count(*) AS n FROM letters WHERE symbol <> '' GROUP BY 1 UNION ALL SELECT ' ', greatest(count(*) - 1, 0) FROM flat UNION ALL SELECT 'rn', coalesce(sum(len(string_split(t, 'rn')) - 1), 0) FROM flat UNION ALL SELECT 'cl', coalesce(sum(len(string_split(t, 'cl')) - 1), 0) FROM flat UNION ALL SELECT 'vv', coalesce(sum(len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 2) = 'vv'))), 0) FROM flat),
+symbols AS (SELECT symbol, sum(n) AS occ FROM u GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {counted(_PAIR_SQL)}, {_SYMBOLS} SELECT kind, gt_char, ocr_char, n, round_even(n / occ, 3) AS rate FROM errors JOIN symbols ON symbol = gt_char WHERE occ > 0")
 def word_error_rates(spark, d):
     """Errors of a symbol by its occurrences in the clean pages."""
     pp = page_pairs(spark, d)
     return er.letter_shares(al.word_errors(pp, "clean", "ocr"), er.character_counts(pp, "clean"))
 
 
-@query()
+@query(f"WITH RECURSIVE {walked(_PAIR_SQL)} SELECT k.kind, count(met.kind) AS n FROM (SELECT unnest(['space_added', 'space_removed']) AS kind) k LEFT JOIN met USING (kind) GROUP BY ALL")
 def space_error_totals(spark, d):
     return er.space_totals(al.word_errors(page_pairs(spark, d), "clean", "ocr"))
 
 
-@query()
+@query(f"WITH RECURSIVE {walked(_PAIR_SQL)} SELECT page_id, kind, ex AS gt_words, ey AS ocr_words FROM met WHERE kind <> 'pair'")
 def space_error_examples(spark, d):
     return al.space_examples(page_pairs(spark, d), ["page_id"], "clean", "ocr")
 
@@ -303,7 +309,10 @@ def common_error_distribution(spark, d):
     return er.error_distribution(durable(chunk_error_counts(spark, d)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {counted(_PAIR_SQL)}, {_SYMBOLS}, rates AS (SELECT kind, gt_char, ocr_char, n, round_even(n / occ, 3) AS rate FROM errors JOIN symbols ON symbol = gt_char WHERE occ > 0),
+c AS (SELECT rate, sum(w) OVER o AS w, sum(w * rate) OVER o AS x, sum(w * rate * rate) OVER o AS xx FROM (SELECT rate, count(*) AS w FROM rates GROUP BY 1) WINDOW o AS (ORDER BY rate ROWS UNBOUNDED PRECEDING)), t AS (SELECT max_by(w, rate) AS tw, max_by(x, rate) AS tx, max_by(xx, rate) AS txx, max(rate) AS top FROM c),
+cut AS (SELECT arg_min(rate, xx - x * x / w + (txx - xx) - (tx - x) ** 2 / (tw - w)) AS below FROM c, t WHERE rate < top)
+SELECT kind, gt_char, ocr_char, n, rate, 1 AS cluster FROM rates, cut WHERE below IS NULL OR rate > below""")
 def common_word_errors(spark, d):
     """The larger of two clusters of word error rates."""
     return er.common_errors(durable(word_error_rates(spark, d)), "rate", 2, 1)
