@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import durable
 from pageloom.operators.agreement import in_range, judgements, sided, swapped
+from pageloom.operators.datasets import numbered
 from pageloom.plans.queries import system_aliases
 from pageloom.schema import CRITERIA
 
@@ -124,11 +125,10 @@ def residuals(edges: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def bands(items: DataFrame, ranked: DataFrame, name: str, n: int) -> DataFrame:
-    """(name, strength, band): every item of the table, cut into n bands of equal size; ties fall by name.
-
-    The rank counts over the item table, which is of fixed size here.
-    """
-    from pyspark.sql import Window
-
+    """(name, strength, band): every item of the table, cut into n bands of equal size, the first ones larger by one where they can't be; ties fall by name."""
     all_ = items.select(name).distinct().join(ranked.withColumnRenamed("item", name), name, "left")
-    return all_.withColumn("band", F.ntile(n).over(Window.orderBy(F.col("strength").desc_nulls_last(), name)))
+    placed = numbered(all_.withColumn("_order", -F.coalesce("strength", F.lit(float("-inf")))), ["_order", name])
+    size = F.broadcast(all_.agg(F.count("*").alias("_all")))  # one row
+    q, r, at = F.floor(F.col("_all") / n), F.col("_all") % n, F.col("new_id")
+    band = F.when(at < (q + 1) * r, F.floor(at / (q + 1))).otherwise(r + F.floor((at - (q + 1) * r) / F.greatest(q, F.lit(1)))) + 1
+    return placed.crossJoin(size).select(name, "strength", band.cast("int").alias("band"))

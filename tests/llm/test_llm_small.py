@@ -284,3 +284,32 @@ def test_agreement_beyond_chance(spark):
     assert (r["items"], r["labels"]) == (len(items), n) and r["alpha"] == pytest.approx(1 - seen / chance)
     assert consensus.chance_corrected_agreement(d.withColumn("label", F.lit(1)), ["item"]).first()["alpha"] is None
     assert consensus.chance_corrected_agreement(d.limit(0), ["item"]).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 1, 3, 4, 6, 17])
+def test_bands_are_even(spark, size):
+    items = spark.createDataFrame([(f"s{k:02}",) for k in range(size)], "name string")
+    ranked = spark.createDataFrame([(f"s{k:02}", float(k % 5)) for k in range(size) if k != 2], "item string, strength double")
+    got = {r["name"]: r["band"] for r in ranking.bands(items, ranked, "name", 4).collect()}
+    order = sorted(got, key=lambda s: (s == "s02", -(int(s[1:]) % 5), s))
+    assert [got[s] for s in order] == sorted(got.values()) and len(got) == size
+    assert [sum(b == k for b in got.values()) for k in range(1, 5)] == [size // 4 + (k < size % 4) for k in range(4)]
+
+
+def test_long_chains_of_comparisons(spark):
+    """A graph that needs more than sixty steps: both ways to solve it reach the tolerance."""
+    n = 90
+    rng = random.Random(5)
+    margins = [rng.uniform(-1, 1) for _ in range(n - 1)]
+    a, b = np.arange(n - 1), np.arange(1, n)
+    x = ranking.laplacian_cg(a, b, np.array(margins), np.array([rng.uniform(0.01, 10) for _ in range(n - 1)]), n)
+    assert np.allclose(x[a] - x[b], margins, atol=1e-6)
+    with pytest.raises(RuntimeError):
+        ranking.laplacian_cg(a, b, np.array(margins), np.ones(n - 1), n, tol=-1.0)
+
+
+def test_long_chains_in_tables(spark):
+    n = 66
+    edges = spark.createDataFrame([(f"i{k:03}", f"i{k + 1:03}", 1, 0.5, 1.0) for k in range(n - 1)], "a string, b string, n int, margin double, weight double")
+    got = {r["item"]: r["strength"] for r in ranking.strengths(edges, driver_edges=0).collect()}
+    assert all(got[f"i{k:03}"] - got[f"i{k + 1:03}"] == pytest.approx(0.5, abs=1e-6) for k in range(n - 1))
