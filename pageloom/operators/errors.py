@@ -21,12 +21,14 @@ def character_counts(df: DataFrame, text: str) -> DataFrame:
     together with another.
     """
     flat = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\n\r]", "")
-    d = df.select(flat.alias("t"))
-    chars = d.select(F.explode(F.filter(F.split("t", ""), lambda c: c != "")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
-    between = d.agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n")).select(F.lit(" ").alias("symbol"), "n")
-    shapes = d.agg(*[F.coalesce(F.sum((F.length("t") - F.length(F.regexp_replace("t", two, ""))) / 2), F.lit(0)).cast("bigint").alias(two) for two, _ in SHAPES])
-    shapes = shapes.select(F.explode(F.array(*[F.struct(F.lit(two).alias("symbol"), F.col(two).alias("n")) for two, _ in SHAPES])).alias("x")).select("x.*")
-    return chars.unionByName(between).unionByName(shapes).groupBy("symbol").agg(F.sum("n").alias("n"))
+    one = lambda symbol, n: F.struct(symbol.alias("symbol"), n.cast("bigint").alias("n"))
+    chars = F.transform(F.filter(F.split("t", ""), lambda c: c != ""), lambda c: one(c, F.lit(1)))
+    more = F.array(one(F.lit(" "), F.lit(1)), *[one(F.lit(two), overlapping_count(F.col("t"), two)) for two, _ in SHAPES])
+    seen = df.select(flat.alias("t")).select(F.explode(F.concat(chars, more)).alias("x")).select("x.*")
+    # a blank for every text is one too many, and an empty table has none: one is taken off where there is any
+    none = df.sparkSession.createDataFrame([(" ", 0), *[(two, 0) for two, _ in SHAPES]], "symbol string, n bigint")
+    n = F.sum("n")
+    return seen.unionByName(none).groupBy("symbol").agg(F.when((F.col("symbol") == " ") & (n > 0), n - 1).otherwise(n).alias("n"))
 
 
 def overlapping_count(text: Column, shape: str) -> Column:

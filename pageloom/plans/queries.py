@@ -356,3 +356,32 @@ def labels_last_wins(spark, d):
 def label_matrix(spark, d):
     m = sm.label_matrix(judge_labels(spark, d), ["side_a", "side_b", "page_id"])
     return m.select("side_a", "side_b", "page_id", *[F.col(c).cast("double").alias(c) for c in CRITERIA])
+
+
+@query("""WITH m AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM metric_rows), c AS (SELECT sys_name, length_clean, count(*) AS n, min(page_id) AS first_ FROM m WHERE length_clean IS NOT NULL GROUP BY ALL)
+SELECT sys_name, length_clean, n FROM c QUALIFY row_number() OVER (PARTITION BY sys_name ORDER BY n DESC, first_) = 1""")
+def commonest_lengths(spark, d):
+    """The length that most clean pages of a system have; of equally common ones the first seen."""
+    return sm.first_seen_mode(metric_rows(spark, d).where("length_clean is not null"), ["sys_name"], "length_clean", "page_id")
+
+
+@query(r"""WITH t AS (SELECT DISTINCT pair, page_id, model1 FROM annotation_triples WHERE model1 IS NOT NULL), s AS (SELECT *, string_split(regexp_replace(model1, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g'), 'orrected text:') AS ps FROM t)
+SELECT pair, page_id, md5(regexp_replace(ps[-1], '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g')) AS answer_md5, len(ps) > 1 AS marked FROM s""")
+def answers_after_marker(spark, d):
+    """Answers without a lead-in that ends in the marker."""
+    t = triples(spark, d).select("pair", "page_id", "model1").distinct().where("model1 is not null")
+    return t.select("pair", "page_id", F.md5(tx.after_marker(F.col("model1"), "orrected text:")).alias("answer_md5"), F.contains(tx.strip(F.col("model1")), F.lit("orrected text:")).alias("marked"))
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED}, {_WER}, {_CER} SELECT DISTINCT pair, page_id, round(cer, 9) AS cer, round(wer, 9) AS wer, length_ocr FROM numbered JOIN wer USING (id) JOIN cer USING (id) WHERE side = 1""")
+def streamed_scores(spark, d):
+    """Error rates of answers as they arrive, read back from the stream's output; a row delivered twice is scored twice and counts once here."""
+    from pageloom.durable import fresh_folder
+    from pageloom.streaming import scores
+
+    out = fresh_folder(spark, "scores")
+    stream = scores.answers_stream(spark, f"{d}/annotation_triples.parque[t]", table(spark, d, "annotation_triples").schema).where("ground_truth is not null")
+    scored = scores.native_scores(stream, "ground_truth", "model1").select("pair", "page_id", "cer", "wer", "length_ocr", F.xxhash64("model1", "ground_truth").alias("text_id"))
+    scores.run_available(scored, f"{out}/rows", f"{out}/state")
+    rows = spark.read.parquet(f"{out}/rows").distinct()
+    return rows.select("pair", "page_id", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), F.col("length_ocr").cast("double").alias("length_ocr")).distinct()

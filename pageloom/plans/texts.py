@@ -364,3 +364,25 @@ def streamed_pages(spark, d):
     unique = scores.without_repeats(stream.withColumn("digest", F.xxhash64("lang", "text")), ["page_id", "digest"])
     scores.run_available(unique.select("page_id", "lang"), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").groupBy("lang").agg(F.count("*").alias("pages"), F.max("page_id").alias("last_page"))
+
+
+@query("""WITH c AS (SELECT page_id, chunk_no, max(length(text)) AS n FROM text_chunks GROUP BY ALL)
+SELECT page_id, chunk_no, n::INT AS length, coalesce(sum(n) OVER (PARTITION BY page_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM c WHERE n IS NOT NULL""")
+def chunk_offsets(spark, d):
+    """Where each chunk of a page would begin if they followed each other."""
+    c = table(spark, d, "text_chunks").groupBy("page_id", "chunk_no").agg(F.max(F.length("text")).alias("length")).where("length is not null")
+    return sm.running_offset(c, ["page_id"], "chunk_no", F.col("length")).select("page_id", "chunk_no", "length", "offset")
+
+
+@query(f"WITH RECURSIVE {counted(_PAIR_SQL)} SELECT kind, gt_char, ocr_char, n, row_number() OVER (ORDER BY n DESC, kind, gt_char, ocr_char)::INT AS rank FROM errors QUALIFY rank <= 25")
+def frequent_errors(spark, d):
+    """The 25 most frequent errors."""
+    return er.most_frequent(word_errors(spark, d), 25)
+
+
+@query("""SELECT CASE sys_name WHEN 'x' THEN 'y' ELSE sys_name END AS name, count(*) AS n FROM (SELECT DISTINCT sys_name, page_id FROM metric_rows) GROUP BY ALL""")
+def renamed_systems(spark, d):
+    """Names that have no alias stay as they are; every name is a known one."""
+    m = table(spark, d, "metric_rows").select("sys_name", "page_id").distinct()
+    known = {r["sys_name"]: r["sys_name"] for r in table(spark, d, "systems").select("sys_name").distinct().collect()}  # a table of fixed size
+    return m.groupBy(tx.known_model(tx.alias(F.col("sys_name"), {"x": "y"}), known).alias("name")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pageloom.functions import metrics
+from pageloom.functions import text as tx
 
 
 def answers_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -27,9 +28,9 @@ def without_repeats(stream: DataFrame, keys: list[str], event_time: str | None =
 
 
 def native_scores(stream: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """The stream with error rates and lengths; native expressions only, no state."""
+    """The stream with error rates and lengths; native expressions but for texts of a million words, no state."""
     r, h = F.col(reference), F.col(hypothesis)
-    return stream.withColumns({"cer": metrics.cer(r, h), "wer": metrics.wer(r, h), "length_ocr": F.length(h)})
+    return stream.withColumns({"cer": metrics.cer(r, h), "wer": metrics.wer(r, h), "length_ocr": F.length(tx.strip(h))})
 
 
 def windowed_counts(stream: DataFrame, event_time: str, by: list[str], window: str = "1 day", late: str = "7 days") -> DataFrame:
