@@ -362,6 +362,8 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     total = noticed.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     passes = max(1, -(-total // block_letters))
     texts = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_key).cast("long").alias("doc"), F.col(doc_text).alias("t"))
+    if texts.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few files, as only small tables have: else texts stay where they are read
+        texts = texts.repartition(spark.sparkContext.defaultParallelism)
     out = None
     for n in range(passes):
         rows = [(r["i"], r["t"], r["notice"]) for r in noticed.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect()]

@@ -153,7 +153,7 @@ def _hash_of(chars: Column) -> Column:
 
 
 def _without(words: DataFrame, n: int) -> DataFrame:
-    """(word, n, hash, off): hashes of each word less up to n of its letters."""
+    """(word, n, hash): hashes of each word less none or one of its letters (n = 1), or less two (n = 2)."""
     chars = F.split(F.col("word"), "")
     size = F.length("word")
     h = _hash_of(F.col("_c"))
@@ -188,8 +188,8 @@ def corrections(lex: DataFrame, ratio: float = 3.0) -> DataFrame:
     by_group = swapped.join(good.select(F.col("word").alias("fix"), F.col("n").alias("fn")), "fix").where(F.col("fn") >= ratio * F.col("n")).select("word", "fix", "fn", F.lit(1).alias("d")).distinct()
 
     def near(words: DataFrame, n: int) -> DataFrame:
-        # only words whose lengths differ by n at most can be n apart: of neither side others are taken apart
-        words, others = _of_lengths(words, good, n), _of_lengths(good, words, n)
+        # both lose up to one letter, or two each: only words of nearly, or just, the same length can meet, and no others are taken apart
+        words, others = _of_lengths(words, good, n % 2), _of_lengths(good, words, n % 2)
         pairs = _without(words, n).join(_without(others, n).select(F.col("word").alias("fix"), F.col("n").alias("fn"), "hash"), "hash").select("word", "n", "fix", "fn").distinct()
         return pairs.withColumn("d", F.levenshtein("word", "fix", n)).where((F.col("d") > 0) & (F.col("fn") >= ratio * F.col("n"))).select("word", "fix", "fn", "d")
 

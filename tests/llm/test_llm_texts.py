@@ -359,3 +359,21 @@ def test_lexicon_without_trusted_text(spark):
     counts = spark.createDataFrame([("the", 900_000), ("tbe", 3), ("lamp", 50)], "word string, n long")
     got = {r["word"]: r["known"] for r in ocr_repair.lexicon(counts).collect()}
     assert got == {"the": True, "tbe": False, "lamp": True}
+
+
+def test_words_of_any_length(spark):
+    """Variants and run-together words beyond forty letters; a token far longer than any sound word costs nothing and has no fix."""
+    long_ = "abcdefghij" * 6
+    lex = spark.createDataFrame([(long_, 50, True), ("lamp" * 12, 40, True), (long_[:30] + "x" + long_[31:], 1, False), (long_[:-1], 1, False), (long_ + "lamp" * 12, 1, False), ("q" * 3000, 1, False)], "word string, n int, known boolean")
+    fixes = {r["word"]: r["fix"] for r in ocr_repair.corrections(lex).collect()}
+    assert fixes == {long_[:30] + "x" + long_[31:]: long_, long_[:-1]: long_}
+    assert {r["word"]: r["fix"] for r in ocr_repair.splits(lex).collect()} == {long_ + "lamp" * 12: long_ + " " + "lamp" * 12}
+
+
+def test_repair_keeps_capitals_and_the_hyphen_rule(spark):
+    pages = spark.createDataFrame([(1, "THE OLD KEY\nHe saw TBE lamp and Tbe gar-\nden, the well-\nknown gate.\n12")], "page_id int, text string")
+    words = [("the", 90), ("he", 50), ("saw", 50), ("lamp", 50), ("and", 50), ("garden", 50), ("well-known", 50), ("gate", 50), ("gar-den", 4)]
+    lex = spark.createDataFrame([(w, n, True) for w, n in words] + [("tbe", 1, False)], "word string, n int, known boolean")
+    noise = spark.createDataFrame([("tbe", "the")], "word string, fix string")
+    got = ocr_repair.repair(pages, ["page_id"], "text", lex, noise).first()["repaired"]
+    assert got == "He saw THE lamp and The garden, the well-known gate."
