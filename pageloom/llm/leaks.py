@@ -109,11 +109,8 @@ class Items:
             self.text.append(b"".join(words))
             self.starts.append(np.concatenate([[0], np.cumsum([len(w) for w in words])]).tolist())
             self.notice.append(set(notice))
-        # letters that the hits of a run of enough words span at least: its words but those at its ends
-        inner = max(1, min_words - 2 * END_WORDS - 2)
         # letters between the last hit of a stretch and its end, and between its begin and the first hit
         self.reach = width + 2 * max((b - a for s in self.starts for a, b in zip(s, s[1:])), default=0)
-        self.least = np.array([min(b - a for a, b in zip(s, s[inner:])) for s in self.starts], dtype=np.int64)
         self.where: dict[bytes, list[tuple[int, int]]] = {}
         own: set[bytes] = set()
         for k, (t, s) in enumerate(zip(self.text, self.starts)):
@@ -127,15 +124,19 @@ class Items:
         flat = [self.where[p] for p in names]
         #: Patterns that lie in notices only: however many items share them, they begin no run.
         self.shared = np.array([p not in own for p in names], dtype=bool)
-        self.shared_places: dict[int, dict[int, list[int]]] = {}
-        for q in np.flatnonzero(self.shared).tolist():
-            by_item = self.shared_places[q] = {}
-            for k, a in flat[q]:
-                by_item.setdefault(k, []).append(a)
         self.count = np.array([len(f) for f in flat], dtype=np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.owner = np.array([k for f in flat for k, _ in f], dtype=np.int64)
         self.place = np.array([a for f in flat for _, a in f], dtype=np.int64)
+        # number of the word each occurrence begins with, and of the last word that a stretch may hold whose last hit it is: its next words begin within `width` letters
+        self.word = np.array([bisect_left(self.starts[k], a) for f in flat for k, a in f], dtype=np.int64)
+        self.upto = np.array([bisect_left(self.starts[k], self.starts[k][j + 1] + width) - 1 for (k, _), j in zip((x for f in flat for x in f), self.word.tolist())], dtype=np.int64)
+        self.inner = min_words - 2 * END_WORDS
+        self.shared_at: dict[int, dict[int, list[int]]] = {}
+        for q in np.flatnonzero(self.shared).tolist():
+            by_item = self.shared_at[q] = {}
+            for x in range(self.first[q], self.first[q] + self.count[q]):
+                by_item.setdefault(int(self.owner[x]), []).append(x)
         self.shift = np.full(1 << BITS, width - BLOCK + 1, dtype=np.uint8)
         self.both = np.zeros(1 << BITS, dtype=bool)
         if len(self.patterns):
@@ -200,7 +201,7 @@ class Items:
             segments.append((a, z, b))
             reach[diagonal] = z
         starts = self.starts[k]
-        enough = self.min_words - 2 * END_WORDS
+        enough = self.inner
         if bisect_left(starts, max(s[1] for s in segments)) - bisect_left(starts, min(s[0] for s in segments)) < enough:
             return 0
         best = 0
@@ -259,16 +260,15 @@ class Items:
         return sum(j not in self.notice[k] for j in range(lo, hi))
 
 
-def _may_chain(hits: list[tuple[int, int]], reach: int, least: int) -> bool:
-    """Whether hits may follow each other over `least` letters of an item; whatever longest_run() joins, does."""
+def _may_chain(hits: list[tuple[int, int, int, int]], reach: int, words: int) -> bool:
+    """Whether hits (place in item, place in document, word, last word) may follow each other over so many words; whatever longest_run() joins, does."""
     begin: list[int] = []
-    for i, (a, p) in enumerate(hits):
-        first = a
+    for i, (a, p, first, upto) in enumerate(hits):
         for j in range(i):
-            b, q = hits[j]
+            b, q = hits[j][:2]
             if b < a <= b + reach and -DRIFT <= p - a - q + b <= DRIFT and begin[j] < first:
                 first = begin[j]
-        if a - first >= least:
+        if upto - first + 1 >= words:
             return True
         begin.append(first)
     return False
@@ -287,44 +287,40 @@ def find_in_batch(items: Items, docs: list[str | None]) -> list[tuple[int, int,
     many = items.count[pattern[mine]]
     which = np.repeat(items.first[pattern[mine]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     p, d = np.repeat(at[mine], many), np.repeat(doc_of[mine], many)
-    k, a, p = items.owner[which], items.place[which], p - offsets[d]
-    pairs = np.unique(d * len(items.ids) + k)
+    p -= offsets[d]
     if (~mine).any():  # patterns of notices count for the items that are met otherwise in the document
         own = np.isin(doc_of, np.unique(d)) & ~mine
         met = defaultdict(set)
-        for c in pairs.tolist():
-            met[c // len(items.ids)].add(c % len(items.ids))
-        extra = []
-        for q, where, n in zip(pattern[own].tolist(), at[own].tolist(), doc_of[own].tolist()):
-            holders = items.shared_places[q]
-            extra += [(n, o, x, where - offsets[n]) for o in met[n] for x in holders.get(o, ())]
+        for n, o in zip(d.tolist(), items.owner[which].tolist()):
+            met[n].add(o)
+        extra = [(n, x, where - offsets[n]) for q, where, n in zip(pattern[own].tolist(), at[own].tolist(), doc_of[own].tolist()) for o in met[n] for x in items.shared_at[q].get(o, ())]
         if extra:
-            e = np.array(extra, dtype=np.int64)
-            d, k, a, p = (np.concatenate([x, y]) for x, y in zip((d, k, a, p), e.T))
-    if not len(d):
-        return []
+            d, which, p = (np.concatenate([x, y]) for x, y in zip((d, which, p), np.array(extra, dtype=np.int64).T))
     # hits that no run can bridge fall apart: neighbours in a run are near in the document and in the item, and drift little
-    group = d * len(items.ids) + k
+    group = d * len(items.ids) + items.owner[which]
     for turn in range(6):
+        if not len(d):
+            return []
+        a = items.place[which]
         value, most = ((p - a, DRIFT), (p, GAP_DOC + items.reach), (a, GAP_ITEM + items.reach))[turn % 3]
         order = np.lexsort((value, group))
-        d, k, a, p, group, value = (x[order] for x in (d, k, a, p, group, value))
+        d, which, p, group, value = (x[order] for x in (d, which, p, group, value))
         new = np.flatnonzero(np.r_[True, (np.diff(group) != 0) | (np.diff(value) > most)])
-        span = np.maximum.reduceat(a, new) - np.minimum.reduceat(a, new) + items.width
-        size = np.diff(np.r_[new, len(a)])
-        wide = np.repeat(span >= items.least[k[new]], size)
-        group = np.repeat(np.arange(len(new)), size)[wide]
-        d, k, a, p = (x[wide] for x in (d, k, a, p))
-        if not len(d):
-            return []
+        words = np.maximum.reduceat(items.upto[which], new) - np.minimum.reduceat(items.word[which], new) + 1
+        size = np.diff(np.r_[new, len(d)])
+        enough = np.repeat(words >= items.inner, size)
+        group = np.repeat(np.arange(len(new)), size)[enough]
+        d, which, p = (x[enough] for x in (d, which, p))
+    if not len(d):
+        return []
     new = np.flatnonzero(np.r_[True, np.diff(group) != 0])
-    last = np.r_[new[1:], len(a)]
+    hits = list(zip(items.place[which].tolist(), p.tolist(), items.word[which].tolist(), items.upto[which].tolist()))
     best: dict[tuple[int, int], int] = {}
-    for lo, hi in zip(new.tolist(), last.tolist()):
-        key, hits = (int(d[lo]), int(k[lo])), list(zip(a[lo:hi].tolist(), p[lo:hi].tolist()))
-        if len(hits) <= 40 and not _may_chain(sorted(hits), GAP_ITEM + items.reach, items.least[key[1]] - items.width):
+    for lo, hi in zip(new.tolist(), np.r_[new[1:], len(d)].tolist()):
+        key, these = (int(d[lo]), int(items.owner[which[lo]])), hits[lo:hi]
+        if len(these) <= 40 and not _may_chain(sorted(these), GAP_ITEM + items.reach, items.inner):
             continue
-        n = items.longest_run(key[1], parts[key[0]], hits)
+        n = items.longest_run(key[1], parts[key[0]], [h[:2] for h in these])
         if n >= items.min_words:
             best[key] = max(best.get(key, 0), n)
     return [(n, items.ids[o], words) for (n, o), words in sorted(best.items())]
