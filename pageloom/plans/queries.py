@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.durable import durable, fresh_folder
 from pageloom.functions import metrics as mx
 from pageloom.functions import text as tx
 from pageloom.operators import agreement as ag
@@ -40,6 +41,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def parts(spark: SparkSession) -> int:
+    """Tasks for stages that work long on little data, which adaptive execution would put together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def system_aliases(systems: DataFrame) -> DataFrame:
     base = [F.lower("sys_name"), F.lower("hub_path"), F.lower("short_alias")]
     names = F.array_distinct(F.array(*base, *[tx.path_name(c) for c in base]))
@@ -141,7 +147,7 @@ def answers(spark, d) -> DataFrame:
 
 
 def _scored(spark, d) -> DataFrame:
-    return mx.evaluate(answers(spark, d), "ground_truth", "answer")
+    return mx.evaluate(answers(spark, d).repartition(parts(spark), "pair", "page_id"), "ground_truth", "answer")
 
 
 _SP = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -196,7 +202,8 @@ def page_scores(spark, d):
 @query(f"""WITH RECURSIVE {_SCORES}, named AS (SELECT string_split(pair, '_vs_')[side] AS sys_name, {', '.join(METRICS)} FROM scores), long AS (UNPIVOT named ON {', '.join(METRICS)} INTO NAME metric VALUE value)
 SELECT sys_name, metric, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS median, round(stddev_pop(value), 9) AS std FROM long WHERE value IS NOT NULL GROUP BY ALL""")
 def score_summary(spark, d):
-    return sm.metric_summary(_scored(spark, d), "sys_name").select("sys_name", "metric", _r("mean"), _r("median"), _r("std"))
+    scored = durable(_scored(spark, d).select("sys_name", *METRICS))  # read twice, for moments and for ranks
+    return sm.metric_summary(scored, "sys_name").select("sys_name", "metric", _r("mean"), _r("median"), _r("std"))
 
 
 def _overlap_sql(n: int) -> str:
@@ -376,7 +383,6 @@ def answers_after_marker(spark, d):
 @query(f"""WITH RECURSIVE {_NUMBERED}, {_WER}, {_CER} SELECT DISTINCT pair, page_id, round(cer, 9) AS cer, round(wer, 9) AS wer, length_ocr FROM numbered JOIN wer USING (id) JOIN cer USING (id) WHERE side = 1""")
 def streamed_scores(spark, d):
     """Error rates of answers as they arrive, read back from the stream's output; a row delivered twice is scored twice and counts once here."""
-    from pageloom.durable import fresh_folder
     from pageloom.streaming import scores
 
     out = fresh_folder(spark, "scores")

@@ -15,13 +15,13 @@ from pageloom.operators import noise as ns
 from pageloom.operators import summary as sm
 from pageloom.schema import CRITERIA
 from pageloom.plans.alignsql import counted, walked
-from pageloom.plans.queries import _ANSWERS, _PAGES, answers, pages, query, table, triples
+from pageloom.plans.queries import _ANSWERS, _PAGES, answers, pages, parts, query, table, triples
 
 def page_pairs(spark, d) -> DataFrame:
-    """(page_id, ocr, clean): every text of a page with every clean text given for it; the join spreads them over the tasks."""
+    """(page_id, ocr, clean): every text of a page with every clean text given for it."""
     g = table(spark, d, "annotation_triples").where("ground_truth is not null").select("page_id", F.col("ground_truth").alias("clean")).distinct()
     p = pages(spark, d).select("page_id", F.col("text").alias("ocr")).distinct()
-    return p.hint("merge").join(g, "page_id")
+    return p.hint("merge").join(g, "page_id").repartition(parts(spark), "page_id")
 
 
 # ---- lengths and selections
