@@ -182,3 +182,58 @@ def test_clusters_are_the_best_ones(pairs, k):
 def test_many_values_are_clustered_exactly(spark):
     d = spark.range(20_000).select(F.col("id"), (F.col("id") / 1000 + F.when(F.col("id") >= 15_000, 100).otherwise(0)).alias("v"))
     assert er.common_errors(d, "v", 2, 1).count() == 5_000
+
+
+def joined(blocks):
+    out = []
+    for i, j, size in blocks:
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            i, j, size = out[-1][0], out[-1][1], out.pop()[2] + size
+        out.append((i, j, size))
+    return out
+
+
+def misread(rng, text, alphabet, share):
+    return "".join(rng.choice(alphabet) if rng.random() < share else c for c in text if rng.random() > share / 3)
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abc .", "abcdefghijklmnop  eee\n", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789 eee é😀"])
+def test_blocks_are_those_of_difflib(alphabet):
+    """With and without popular characters, which difflib leaves out of texts of 200 characters or more."""
+    rng = random.Random(6)
+    for n in (0, 1, 30, 199, 200, 201, 260, 420):
+        for share in (0.05, 0.3, 1.0):
+            a = "".join(rng.choice(alphabet) for _ in range(n))
+            b = misread(rng, a, alphabet, share)
+            want = [tuple(m) for m in SequenceMatcher(None, a, b).get_matching_blocks()[:-1]]
+            assert joined(al.matching_blocks(a, b)) == want
+            total = sum(size for *_, size in want)
+            assert joined(al.matching_blocks(a, b, total)) == want and al.matching_blocks(a, b, total + 1) is None
+
+
+def test_best_match_against_plain_search_of_any_window():
+    rng = random.Random(7)
+    for alphabet in ("ab", "abcdefghijklmnop  eee\n", "abcdefghijklmnopqrstuvwxyzABC eee é😀"):
+        for n, share in ((0, 0.1), (3, 0.1), (120, 0.2), (230, 0.05), (230, 0.4), (230, 1.0)):
+            text = "".join(rng.choice(alphabet) for _ in range(900))
+            clean, noisy = text[400 : 400 + n], misread(rng, text, alphabet, share)
+            for hint, window, stride in ((0, 1000, 5), (420, 1000, 5), (420, 90, 3), (899, 300, 7), (2000, 1000, 5), (10, 0, 5)):
+                best, at, region = 0.0, hint, ""
+                first = max(0, hint - window // 2)
+                for k in range(first, min(len(noisy), first + window), stride):
+                    score = SequenceMatcher(None, clean, noisy[k : k + n]).ratio()
+                    if score > best:
+                        best, at, region = score, k, noisy[k : k + n]
+                assert al.best_match(clean, noisy, hint, window, stride) == ((region if best > 0.6 else None), best, at + len(region))
+
+
+def test_few_regions_are_compared_whole(monkeypatch):
+    """aligned_chunk_count: of the 200 regions around the hint only those that can be the best are compared character by character."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucmfwypvbgkqjxz"[: rng.randint(6, 26)]) for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(500))
+    noisy = misread(rng, text, "etaoinc1l", 0.03)
+    compared, plain = [], al.matching_blocks
+    monkeypatch.setattr(al, "matching_blocks", lambda *a: compared.append(1) or plain(*a))
+    chunks = al.align_document(text, noisy)
+    assert sum(region is not None for _, region in chunks) > 0.8 * len(chunks) and len(compared) < 50 * len(chunks)
