@@ -237,3 +237,20 @@ def test_few_regions_are_compared_whole(monkeypatch):
     monkeypatch.setattr(al, "matching_blocks", lambda *a: compared.append(1) or plain(*a))
     chunks = al.align_document(text, noisy)
     assert sum(region is not None for _, region in chunks) > 0.8 * len(chunks) and len(compared) < 50 * len(chunks)
+
+
+def test_character_errors_against_difflib(monkeypatch):
+    """chunk_error_counts: the errors between difflib's blocks, found by one search for the blocks of a pair."""
+    rng, searches, plain = random.Random(9), [], al.matching_blocks
+    monkeypatch.setattr(al, "matching_blocks", lambda *a: searches.append(1) or plain(*a))
+    for n in range(0, 300, 23):
+        clean = "".join(rng.choice("abcdefghijklmnop  eee\n") for _ in range(n))
+        ocr = misread(rng, clean, "abcxyz ", 0.2)
+        want = {}
+        for tag, a, b, c, d in SequenceMatcher(None, clean, ocr).get_opcodes():
+            both = min(b - a, d - c)
+            found = [("sub", x, y) for x, y in zip(clean[a:b], ocr[c:d]) if x != y] + [("del", x, "") for x in clean[a + both : b]] + [("ins", "", y) for y in ocr[c + both : d]]
+            for e in found if tag != "equal" else ():
+                want[e] = want.get(e, 0) + 1
+        assert al.character_errors(clean, ocr) == want
+    assert len(searches) == len(range(0, 300, 23))
