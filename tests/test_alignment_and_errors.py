@@ -254,3 +254,18 @@ def test_character_errors_against_difflib(monkeypatch):
                 want[e] = want.get(e, 0) + 1
         assert al.character_errors(clean, ocr) == want
     assert len(searches) == len(range(0, 300, 23))
+
+
+def test_a_page_is_prepared_once(monkeypatch):
+    """aligned_chunks: what the search needs to know of a page is gathered once for all its chunks."""
+    made = []
+
+    class Counted(al.NoisyText):
+        def __init__(self, text):
+            made.append(text)
+            super().__init__(text)
+
+    monkeypatch.setattr(al, "NoisyText", Counted)
+    clean = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ  .") for _ in range(900))
+    assert all(region is not None for _, region in al.align_document(clean, clean.replace("c", "e"))) and len(made) == 1
+    assert al.align_document("", "x") == [] and al.align_document("abc", "") == [("abc", None)] and al.align_document("   ", "x") == [("", "")]
