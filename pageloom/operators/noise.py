@@ -54,28 +54,36 @@ def perturb(text: str, model: dict, rng: random.Random, symbol_p: float = 0.005,
     fifteen places back, where there are more places than that, and a stray symbol.
     """
     out: list[str] = []
+    draw, sub, dele, ins = rng.random, model["sub"], model["del"], model["ins"]
+    visual = {c: [v for v in model["visual"] if not v[0] or v[0][0] == c] for c in set(text)}
     i = 0
     while i < len(text):
         c = text[i]
-        if rng.random() < uniform_p:
+        if draw() < uniform_p:
             out.append(rng.choice(UNIFORM))
             i += 1
             continue
-        shape = next(((a, b) for a, b, p in model["visual"] if text.startswith(a, i) and rng.random() < p), None)
-        if shape:
-            out.append(shape[1])
-            i += len(shape[0])
-            continue
-        i += 1
-        if c in model["del"] and rng.random() < model["del"][c]:
-            continue
-        out.append(next((t for t, p in model["sub"].get(c, ()) if rng.random() < p), c))
-        if c in model["ins"] and rng.random() < model["ins"][c]:
-            back = rng.randint(5, 15)
-            if back < len(out):
-                out.insert(len(out) - back, c)
-        if rng.random() < symbol_p:
-            out.append(rng.choice(SYMBOLS))
+        for a, b, p in visual[c]:
+            if text.startswith(a, i) and draw() < p:
+                out.append(b)
+                i += len(a)
+                break
+        else:
+            i += 1
+            if c in dele and draw() < dele[c]:
+                continue
+            for t, p in sub.get(c, ()):
+                if draw() < p:
+                    out.append(t)
+                    break
+            else:
+                out.append(c)
+            if c in ins and draw() < ins[c]:
+                back = rng.randint(5, 15)
+                if back < len(out):
+                    out.insert(len(out) - back, c)
+            if draw() < symbol_p:
+                out.append(rng.choice(SYMBOLS))
     return "".join(out)
 
 

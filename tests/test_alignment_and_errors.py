@@ -269,3 +269,15 @@ def test_a_page_is_prepared_once(monkeypatch):
     clean = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ  .") for _ in range(900))
     assert all(region is not None for _, region in al.align_document(clean, clean.replace("c", "e"))) and len(made) == 1
     assert al.align_document("", "x") == [] and al.align_document("abc", "") == [("abc", None)] and al.align_document("   ", "x") == [("", "")]
+
+
+def test_one_table_of_distances_for_each_step_of_words(monkeypatch):
+    """synthetic_pages: a step of the words takes one table, from which both distances and the script are read."""
+    made, plain, rng = [], al._table, random.Random(10)
+    monkeypatch.setattr(al, "_table", lambda *a: made.append(1) or plain(*a))
+    counts, examples = al.align_words(["garden", "in", "the", "cat"], ["gar", "den", "inthe", "cot"])
+    assert len(made) == 3 and counts == {("space_added", "", " "): 1, ("space_removed", " ", ""): 1, ("sub", "a", "o"): 1}
+    for _ in range(300):
+        a, b = ("".join(rng.choice("rnmcl") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        turned = al._traced(plain(b + "rn", a), a, b, True)
+        assert turned == al._traced(plain(a + "m", b), a, b) == al.edit_script(a, b)
