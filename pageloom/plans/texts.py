@@ -301,7 +301,7 @@ def aligned_chunk_count(spark, d):
 
 @query()
 def chunk_error_counts(spark, d):
-    return al.chunk_errors(aligned_chunks(spark, d))
+    return al.document_errors(page_pairs(spark, d), "clean", "ocr")
 
 
 @query()

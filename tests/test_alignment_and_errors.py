@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -300,3 +301,29 @@ def test_search_is_much_faster_than_comparing_every_region():
     plain, began = time.thread_time() - began, time.thread_time()
     assert al.align_document(clean, ocr) == want
     assert time.thread_time() - began < plain / 8
+
+
+def noisy_documents(spark, seed):
+    """Clean and noisy texts of many lengths and alphabets, real characters beyond 16 bits among them, and nulls."""
+    rng, rows = random.Random(seed), [(None, "x"), ("x", None), ("", "x"), ("abc", ""), ("   ", "x"), ("x" * 300, "y" * 300)]
+    for alphabet in ("ab", "abc .", "abcdefghijklmnop  eee\n", "abcdefghijklmnopqrstuvwxyzABC 0123 eee é😀.\x1c　\x85"):
+        for n, share in ((5, 0.1), (199, 0.1), (201, 0.02), (420, 0.1), (700, 0.4), (900, 0.05)):
+            clean = "".join(rng.choice(alphabet) for _ in range(n))
+            rows += [(clean, misread(rng, clean, alphabet, share)), (clean, clean[n // 2 :] + clean)]
+    return [(i, *r) for i, r in enumerate(rows)], spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, clean string, ocr string")
+
+
+def without_python(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Python" not in plan and "pageloom_alignment" in plan
+
+
+def test_errors_of_documents_in_the_jvm(spark):
+    """chunk_error_counts: no work in Python, no second search for the blocks, the counts of character_errors over all chunks with a region."""
+    rows, df = noisy_documents(spark, 21)
+    errors = al.document_errors(df, "clean", "ocr")
+    want = Counter()
+    for _, clean, ocr in rows:
+        for chunk, region in al.align_document(clean, ocr) if clean is not None and ocr is not None else ():
+            want.update(al.character_errors(chunk, region) if region is not None else {})
+    assert without_python(errors) and {(r.kind, r.gt_char, r.ocr_char): r.n for r in errors.collect()} == want
