@@ -327,3 +327,14 @@ def test_errors_of_documents_in_the_jvm(spark):
         for chunk, region in al.align_document(clean, ocr) if clean is not None and ocr is not None else ():
             want.update(al.character_errors(chunk, region) if region is not None else {})
     assert without_python(errors) and {(r.kind, r.gt_char, r.ocr_char): r.n for r in errors.collect()} == want
+
+
+def test_aligned_chunks_in_the_jvm(spark, monkeypatch):
+    """aligned_chunks: no work in Python, the chunks and regions of align_document, also where a session takes no Java."""
+    rows, df = noisy_documents(spark, 22)
+    aligned = al.aligned_chunks(df, ["id"], "clean", "ocr")
+    want = [(i, k, *x) for i, clean, ocr in rows if clean is not None and ocr is not None for k, x in enumerate(al.align_document(clean, ocr))]
+    assert without_python(aligned) and sorted(map(tuple, aligned.collect()), key=lambda r: r[:2]) == want
+    monkeypatch.setattr(al, "java_function", lambda *_: None)
+    plain = al.aligned_chunks(df, ["id"], "clean", "ocr")
+    assert plain.schema == aligned.schema and sorted(map(tuple, plain.collect()), key=lambda r: r[:2]) == want
