@@ -338,3 +338,23 @@ def test_aligned_chunks_in_the_jvm(spark, monkeypatch):
     monkeypatch.setattr(al, "java_function", lambda *_: None)
     plain = al.aligned_chunks(df, ["id"], "clean", "ocr")
     assert plain.schema == aligned.schema and sorted(map(tuple, plain.collect()), key=lambda r: r[:2]) == want
+
+
+def test_common_errors_without_python_search(spark, monkeypatch, tmp_path):
+    """common_error_distribution: the whole query without the search in Python, the distribution of the counts of character_errors."""
+    from pageloom.plans.queries import QUERIES
+    from pageloom.plans import texts  # noqa: F401  (registers its queries)
+
+    rng, want, pages, triples = random.Random(23), Counter(), [], []
+    for k in range(12):
+        clean = "".join(rng.choice("abcdefghijklmnop  eee") for _ in range(rng.randint(30, 700)))
+        pages.append(("d", k, "en", ocr := misread(rng, clean, "abcxyz ", 0.1)))
+        triples += [("a_vs_b", k, "m", "n", clean)] * 2
+        for chunk, region in al.align_document(clean, ocr):
+            want.update(al.character_errors(chunk, region) if region is not None else {})
+    spark.createDataFrame(pages, "dataset string, page_id long, lang string, text string").write.parquet(f"{tmp_path}/ocr_pages.parquet")
+    spark.createDataFrame(triples, "pair string, page_id long, model1 string, model2 string, ground_truth string").write.parquet(f"{tmp_path}/annotation_triples.parquet")
+    counts = spark.createDataFrame([(*k, n) for k, n in want.items()], "kind string, gt_char string, ocr_char string, n long")
+    monkeypatch.setattr(al, "_aligned", None)
+    monkeypatch.setattr(al, "_character_errors", None)
+    assert QUERIES["common_error_distribution"](spark, str(tmp_path)).collect() == er.error_distribution(counts).collect() != []
