@@ -358,3 +358,31 @@ def test_common_errors_without_python_search(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(al, "_aligned", None)
     monkeypatch.setattr(al, "_character_errors", None)
     assert QUERIES["common_error_distribution"](spark, str(tmp_path)).collect() == er.error_distribution(counts).collect() != []
+
+
+def test_few_pieces_are_measured_in_the_jvm(spark):
+    """common_error_distribution, whose time is that of the search: groups of regions are measured together, single ones only while they are the likeliest; chunks that fill words of bits among the texts."""
+    rng, texts = random.Random(25), []
+    for _ in range(20):
+        clean = " ".join("".join(rng.choice("etaoinshrdlucmfwypvbgkqjxz"[: rng.randint(6, 26)]) for _ in range(rng.randint(2, 9))) for _ in range(120))
+        texts.append((clean, misread(rng, clean, "etaoinc1l", 0.03)))
+    odd = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n)) for n in (62, 63, 64, 126, 127, 189, 190, 252, 253, 288, 289, 290, 600)]
+    rows = texts + [(clean, misread(rng, clean, "abcxyz", 0.1)) for clean in odd]
+    aligned = al.aligned_chunks(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id int, clean string, ocr string"), ["id"], "clean", "ocr")
+    want = [(i, k, *x) for i, (clean, ocr) in enumerate(rows) for k, x in enumerate(al.align_document(clean, ocr))]
+    assert sorted(map(tuple, aligned.collect()), key=lambda r: r[:2]) == want
+
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    page = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass("pageloom.Alignment$Page")
+    kinds, pair, none = array(jvm.java.lang.Class, 2), array(jvm.java.lang.Object, 2), array(jvm.java.lang.Object, 0)
+    kinds[0] = kinds[1] = jvm.java.lang.Class.forName("java.lang.String")
+    made, step, measured = page.getDeclaredConstructor(kinds), page.getDeclaredMethod("next", array(jvm.java.lang.Class, 0)), page.getDeclaredField("measured")
+    for x in (made, step, measured):
+        x.setAccessible(True)
+    pieces = chunks = 0
+    for pair[0], pair[1] in texts:
+        one = made.newInstance(pair)
+        while step.invoke(one, none):
+            chunks += 1
+        pieces += measured.get(one)
+    assert pieces < 85 * chunks
