@@ -106,21 +106,30 @@ def cluster_breaks(values: np.ndarray, weights: np.ndarray, k: int) -> list[floa
     return sorted({float(values[min(s, n - 1)]) for s in [0, *starts]})
 
 
-def common_errors(errors: DataFrame, value: str, clusters: int, top: int) -> DataFrame:
+def common_errors(errors: DataFrame, value: str, clusters: int, top: int, kinds: tuple[str, ...] = ()) -> DataFrame:
     """errors of the `top` clusters with the largest values, with their cluster's rank (1 = largest).
 
-    Only distinct values come to the driver, CLUSTER_VALUES of them at most.
+    kinds: errors of these kinds, each kind with clusters of its own. Only distinct
+    values come to the driver, CLUSTER_VALUES of a kind at most.
     """
-    v = errors.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("w"))
-    rows = v.limit(CLUSTER_VALUES + 1).collect()
-    if len(rows) > CLUSTER_VALUES:
+    valued = errors.where(F.col(value).isNotNull())
+    if kinds:
+        valued = valued.where(F.col("kind").isin(*kinds))
+    kind = F.col("kind") if kinds else F.lit("")
+    v = valued.groupBy(kind.alias("kind"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    of: dict[str, list] = {}
+    for r in v.limit(CLUSTER_VALUES * max(1, len(kinds)) + 1).collect():
+        of.setdefault(r["kind"], []).append((r["v"], float(r["w"])))
+    if any(len(rows) > CLUSTER_VALUES for rows in of.values()):
         raise ValueError(f"more than {CLUSTER_VALUES} distinct values; round them")
-    if not rows:
+    if not of:
         return errors.withColumn("cluster", F.lit(None).cast("int")).limit(0)
-    rows.sort(key=lambda r: r["v"])
-    breaks = cluster_breaks(np.array([r["v"] for r in rows]), np.array([float(r["w"]) for r in rows]), clusters)
-    rank = sum((F.when(F.col(value) < b, 1).otherwise(0) for b in breaks), F.lit(0)) + 1
-    return errors.where(F.col(value).isNotNull()).withColumn("cluster", rank.cast("int")).where(F.col("cluster") <= top)
+    rank = F.lit(None)
+    for k, rows in of.items():
+        values, weights = (np.array(x) for x in zip(*sorted(rows)))
+        own = sum((F.when(F.col(value) < b, 1).otherwise(0) for b in cluster_breaks(values, weights, clusters)), F.lit(0)) + 1
+        rank = F.when(kind == k, own).otherwise(rank)
+    return valued.withColumn("cluster", rank.cast("int")).where(F.col("cluster") <= top)
 
 
 def error_distribution(errors: DataFrame, drop: tuple[tuple[str, str], ...] = ((" ", "\n"),), clusters: int = 5, top: int = 3) -> DataFrame:
@@ -128,8 +137,7 @@ def error_distribution(errors: DataFrame, drop: tuple[tuple[str, str], ...] = ((
     d = shares(errors, ["kind"])
     for a, b in drop:
         d = d.where(~((F.col("gt_char") == a) & (F.col("ocr_char") == b)))
-    parts = [common_errors(d.where(F.col("kind") == k), "share", clusters, top) for k in ("sub", "ins", "del")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("kind", F.col("share").desc(), "gt_char", "ocr_char")
+    return common_errors(d, "share", clusters, top, ("sub", "ins", "del")).orderBy("kind", F.col("share").desc(), "gt_char", "ocr_char")
 
 
 def most_frequent(errors: DataFrame, n: int) -> DataFrame:

@@ -386,3 +386,21 @@ def test_few_pieces_are_measured_in_the_jvm(spark):
             chunks += 1
         pieces += measured.get(one)
     assert pieces < 85 * chunks
+
+
+def test_kinds_of_errors_are_clustered_in_one_job(spark, monkeypatch):
+    """common_error_distribution: the counts are read once for all kinds, each kind has clusters of its own, also one that is empty; the bound holds for each kind."""
+    rng = random.Random(26)
+    rows = [(kind, chr(97 + i), chr(97 + j), rng.randint(1, 900)) for kind, n in (("sub", 9), ("del", 3), ("other", 4)) for i in range(n) for j in range(n)]
+    d = er.shares(spark.createDataFrame(rows, "kind string, gt_char string, ocr_char string, n long"), ["kind"])
+    got = er.error_distribution(d.drop("share"))
+    own = [er.common_errors(d.where(F.col("kind") == k), "share", 5, 3) for k in ("sub", "ins", "del")]
+    want = sorted((r for p in own for r in p.collect()), key=lambda r: (r.kind, -r.share, r.gt_char, r.ocr_char))
+    assert got.columns == own[0].columns and got.collect() == want != []
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    most = max(len({r[3] for r in rows if r[0] == k}) for k in ("sub", "del"))
+    monkeypatch.setattr(er, "CLUSTER_VALUES", most)
+    assert er.error_distribution(d.drop("share")).count() == len(want)
+    monkeypatch.setattr(er, "CLUSTER_VALUES", most - 1)
+    with pytest.raises(ValueError):
+        er.error_distribution(d.drop("share"))
