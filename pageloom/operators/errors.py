@@ -124,11 +124,11 @@ def common_errors(errors: DataFrame, value: str, clusters: int, top: int, kinds:
         raise ValueError(f"more than {CLUSTER_VALUES} distinct values; round them")
     if not of:
         return errors.withColumn("cluster", F.lit(None).cast("int")).limit(0)
-    rank = F.lit(None)
+    rank = None
     for k, rows in of.items():
         values, weights = (np.array(x) for x in zip(*sorted(rows)))
         own = sum((F.when(F.col(value) < b, 1).otherwise(0) for b in cluster_breaks(values, weights, clusters)), F.lit(0)) + 1
-        rank = F.when(kind == k, own).otherwise(rank)
+        rank = own if rank is None else F.when(kind == k, own).otherwise(rank)
     return valued.withColumn("cluster", rank.cast("int")).where(F.col("cluster") <= top)
 
 
